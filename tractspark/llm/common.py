@@ -19,7 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(base)  # a path without a scheme is one of the default file system
+    return str(path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()).replace("file:/", "file:///", 1) if "://" not in base else base.rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:

@@ -211,7 +211,7 @@ def write_archives(pages: DataFrame, folder: str, revisit_from: int = 0) -> Data
             for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     name, n = f"{uuid.uuid4().hex}.warc.zst", 0
-                    out = ArchiveWriter(store.open_output_stream(f"{root}/{name}"))
+                    out = ArchiveWriter(store.open_output_stream(f"{root}/{name}", compression=None))
                 payload = html.encode()
                 out.add(encode_record(page_id, url, payload, payload_digest(payload), refers_to))
                 n += 1
