@@ -13,9 +13,13 @@ carried as it is, every row is packed once; an empty table gives no rows; furthe
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter, deque
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -26,30 +30,48 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, materialise
 
-#: Distinct words whose ids one Python worker remembers.
-WORDS_KEPT = 400_000
+#: Distinct pieces whose ids one Python worker remembers.
+WORDS_KEPT = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds(dict):
-    """Word -> its ids as little-endian unsigned 32-bit bytes. The tokenizer's pre-tokenizer never joins text across white space,
-    so the ids of a text are those of its words in order."""
+    """Piece of text -> its ids as little-endian unsigned 32-bit bytes, as the tokenizer gives them.
+
+    The pre-tokenizer never joins text across white space, nor letters and digits with other characters (contractions, which start at an
+    apostrophe, aside), and it lower-cases. So the ids of a text are those of its pieces in order: runs of letters and digits and runs of
+    other characters, or whole words where a text has apostrophes or non-ASCII characters other than letters and digits."""
+
+    runs = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
+    odd = re.compile(r"['\x1c-\x1f]|(?![\x00-\x7f])[\W\u0130\u0180-\U0010ffff]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS_KEPT:
+    def pieces(self, text: str) -> list[str]:
+        if self.odd.search(text) or "<|" in text:
+            return text.replace("\n", " ").replace("\t", " ").split(" ")
+        return self.runs.findall(text.lower())
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        pieces = list(map(self.pieces, texts))
+        new = list(set().union(*pieces).difference(self))
+        if len(self) + len(new) > WORDS_KEPT:
             self.clear()
-        ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        self[word] = ids
-        return ids
+            new = list(set().union(*pieces))
+        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self[piece] = array("I", found.ids).tobytes()
+        return [b"".join(map(self.__getitem__, p)) for p in pieces]
+
 
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
+@cache
+def word_ids(path: str) -> WordIds:
+    """One per Python worker, which Spark uses again for later tasks."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return WordIds(path)
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -60,11 +82,12 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id:
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches):
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         for batch in batches:
             rows = [[] for _ in schema]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.ids(text.as_py() or "") + end
+            texts = [x.as_py() or "" for x in batch.column(1)]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.ids(texts)):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     values = [doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)]
