@@ -1,0 +1 @@
+"""Tract measurement analytics on Spark: DataFrames in, DataFrames out."""
