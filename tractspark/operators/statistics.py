@@ -10,31 +10,32 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from ..functions import special
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def rank_sum_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
     return pd.Series([special.rank_sum_p(*row) if row[1] == row[1] and row[1] >= 2 and row[2] >= 2 else None for row in zip(u, n1.astype(int), n2.astype(int), ties)], dtype=float)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([2 * special.t_sf(abs(a), b) if a == a and b > 0 else None for a, b in zip(t, df)], dtype=float)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_upper(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([special.t_sf(a, b) if a == a and b > 0 else None for a, b in zip(t, df)], dtype=float)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([special.t_quantile(a, b) if b > 0 else None for a, b in zip(p, df)], dtype=float)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def f_upper(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([special.f_sf(*row) if row[0] == row[0] and row[2] > 0 else None for row in zip(f, d1, d2)], dtype=float)
 

@@ -11,9 +11,7 @@ TYPE_ALIASES = {"double": TWO, "single": ONE}
 #: Names of the graders; every function takes them as parameters.
 AI, HUMAN = "AI", "Human"
 
-MEASUREMENTS = T.StructType.fromDDL(
-    "image_name string, fiber_id bigint, first_um double, second_um double, ratio double, length_um double, fiber_type string, valid boolean, error_probability double, type string, grader string"
-)
+MEASUREMENTS = "image_name string, fiber_id bigint, first_um double, second_um double, ratio double, length_um double, fiber_type string, valid boolean, error_probability double, type string, grader string"
 #: Header of a prediction CSV.
 CSV = T.StructType(
     [T.StructField(n, t) for n, t in (("Fiber ID", T.LongType()), ("First analog (µm)", T.DoubleType()), ("Second analog (µm)", T.DoubleType()), ("Ratio", T.DoubleType()), ("Fiber type", T.StringType()), ("Valid", T.BooleanType()), ("Error probability", T.DoubleType()), ("Image Name", T.StringType()))]
