@@ -115,7 +115,7 @@ def links(nodes: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) with root the smallest node reachable, for the nodes of the links (a, b). Alternates large-star and small-star rounds,
+    """(node, root) with root the smallest node reachable, for the nodes of the links (a, b) other than the roots. Alternates large-star and small-star rounds,
     each written to the shared folder, until the stars no longer change."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     edges = materialise(edges, "stars")

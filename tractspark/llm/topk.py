@@ -88,10 +88,10 @@ def search(vectors: DataFrame, query_filter: Column, k: int = 5, id_col: str = "
 
 def _search_dim(rows: DataFrame, dim: int, n: int, n_queries: int, k: int) -> DataFrame:
     spark = rows.sparkSession
-    as_matrix = lambda values: np.array(values, dtype=np.float64).reshape(-1, dim)
+    as_matrix = lambda values: np.array(values, dtype=np.float64).reshape(len(values), dim)
     sample = as_matrix([r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toLocalIterator()])
     longest = rows.orderBy(F.desc("norm"), "vec_id").limit(SAMPLE).select("vec_id", "v").toPandas()
-    shared = spark.sparkContext.broadcast((rotation(sample), longest["vec_id"].to_numpy(), as_matrix(longest["v"].to_list())))
+    shared = spark.sparkContext.broadcast((rotation(sample) if dim else None, longest["vec_id"].to_numpy(), as_matrix(longest["v"].to_list())))
     parts = -(-n // SLICE)
     cut = rows.select("norm").approxQuantile("norm", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
     low = F.array(*map(F.lit, sorted(set(cut)))) if cut else F.array().cast("array<double>")
@@ -113,7 +113,7 @@ def _search_dim(rows: DataFrame, dim: int, n: int, n_queries: int, k: int) -> Da
     def pack_block(key, table):
         turn, ids, v = shared.value
         table = table.sort_by("vec_id")
-        q_ids, q = table["vec_id"].to_numpy(), np.array(table["v"].to_pylist(), dtype=np.float64).reshape(-1, dim)
+        q_ids, q = table["vec_id"].to_numpy(), np.array(table["v"].to_pylist(), dtype=np.float64).reshape(len(table), dim)
         i, _, score = search_slice(ids, v, q_ids, q, np.full(len(q), -np.inf), turn, k) if dim else _alike(ids, q_ids, k)
         bounds = np.full(len(q), -np.inf)
         full = np.bincount(i, minlength=len(q)) == k

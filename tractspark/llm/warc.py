@@ -78,7 +78,7 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, digest:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {urn(page_id) if page_id is not None else f'<{uuid.uuid5(uuid.NAMESPACE_URL, digest).urn}>'}", "WARC-Date: 1970-01-01T00:00:00Z"]
-    head += [f"WARC-Target-URI: {quote(url, safe='%/:?#[]@!$&()*+,;=~-._' + chr(39))}"] * (url is not None)
+    head += [f"WARC-Target-URI: {quote(url or '', safe='%/:?#[]@!$&()*+,;=~-._' + chr(39))}"] * (url is not None)
     head += [f"WARC-Refers-To: {urn(refers_to)}", f"WARC-Profile: {REVISIT_PROFILE}"] * (refers_to is not None)
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
