@@ -76,13 +76,13 @@ def border_filter(spark, sf):
     return C.inside_border(C.drop_invalid_boxes(X.boxes(spark, sf)), 50, 1000, 1000).groupBy("grader").agg(F.count("*").alias("n"))
 
 
-@query("SELECT image, fiber_id, round(red * 0.26 + green * 0.26, 6) AS length_um, round(green / nullif(red, 0), 6) AS ratio, printf('%.3f', red * 0.26) AS shown, round(red / nullif(green, 0), 6) AS swapped, (x * 1.5)::INT - CASE WHEN (x * 1.5)::INT > x * 1.5 THEN 1 ELSE 0 END AS x15 FROM b", B)
+@query("SELECT image, fiber_id, round(red * 0.26 + green * 0.26, 6) AS length_um, green / nullif(red, 0) AS ratio, printf('%.3f', red * 0.26) AS shown, round(red / nullif(green, 0), 6) AS swapped, (x * 1.5)::INT - CASE WHEN (x * 1.5)::INT > x * 1.5 THEN 1 ELSE 0 END AS x15 FROM b", B)
 def conversions(spark, sf):
     """P1, P2, P3, P5."""
     rows = C.measure(X.boxes(spark, sf), 0.26).withColumn("x15", G.scale(F.col("bbox"), 1.5)["x"])
     swapped = C.swap(rows).select("image", "fiber_id", F.col("ratio").alias("swapped"))
     shown = C.display(rows).select("image", "fiber_id", F.col("first_um").alias("shown"))
-    return rows.join(swapped, ["image", "fiber_id"]).join(shown, ["image", "fiber_id"]).select("image", "fiber_id", _r("length_um"), _r("ratio"), "shown", _r("swapped"), "x15")
+    return rows.join(swapped, ["image", "fiber_id"]).join(shown, ["image", "fiber_id"]).select("image", "fiber_id", _r("length_um"), "ratio", "shown", _r("swapped"), "x15")
 
 
 @query(f"SELECT type, round(median((second_um - CASE WHEN grader = '{AI}' THEN 0.5 ELSE 0 END) / (first_um + CASE WHEN grader = '{AI}' THEN 0.5 ELSE 0 END)), 6) AS median FROM d GROUP BY 1", M)
@@ -96,7 +96,8 @@ def box_geometry(spark, sf):
     """R9, P7."""
     b = F.col("bbox")
     w = G.crop_window(b, F.lit(100000), F.lit(100000))
-    return X.boxes(spark, sf).select("image", "fiber_id", G.centre(b)["x"].alias("cx"), G.centre(b)["y"].alias("cy"), (w["x1"] - w["x0"] + w["left"]).alias("side"), G.area(b).alias("area"))
+    values = {"cx": G.centre(b)["x"], "cy": G.centre(b)["y"], "side": w["x1"] - w["x0"] + w["left"], "area": G.area(b)}
+    return X.boxes(spark, sf).select("image", "fiber_id", *(v.cast("long").alias(k) for k, v in values.items()))
 
 
 @query("SELECT image_name, array_to_string(list_slice(string_split(image_name, '-'), 1, -2), '-') AS condition, replace(replace(image_name, '_', ' '), '-', ' ') AS shown, split_part(image_name, '-0', 1) AS marked, CASE type WHEN 'SMALL' THEN 'little' ELSE type END AS renamed, upper(replace(type, 'A', '4')) AS replaced FROM (SELECT DISTINCT image_name, type FROM m)", M)
@@ -429,7 +430,7 @@ def ranking_scores(spark, sf):
 def component_boxes(spark, sf):
     """R11."""
     px = X.mask_pixels(spark, sf)
-    return P.component_boxes(px.select(F.struct("image", "grader").alias("image"), F.col("fiber_id").alias("label"), "y", "x")).select("image.image", "image.grader", F.col("label").alias("fiber_id"), "x0", "y0", "x1", "y1", "area")
+    return P.component_boxes(px.select(F.struct("image", "grader").alias("image"), F.col("fiber_id").alias("label"), "y", "x")).select("image.image", "image.grader", F.col("label").alias("fiber_id"), *(F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")), "area")
 
 
 @query(", f AS (SELECT image, y, x, fiber_id FROM px WHERE grader = 'F'), o AS (SELECT image, y, x, fiber_id FROM px WHERE grader = 'O'), h AS (SELECT f.image, f.fiber_id AS a, o.fiber_id AS b, count(*) AS shared FROM f JOIN o USING (image, y, x) GROUP BY ALL), na AS (SELECT image, fiber_id, count(*) AS n FROM px GROUP BY ALL) SELECT h.image, a, b, shared, round(shared / (p.n + q.n - shared), 6) AS iou FROM h JOIN na p ON p.image = h.image AND p.fiber_id = a JOIN na q ON q.image = h.image AND q.fiber_id = b", PX)
@@ -490,7 +491,7 @@ def ordered_traces(spark, sf):
 @query("SELECT image, y, x, max_by(label, fiber_id) AS label FROM px WHERE y BETWEEN 0 AND 999 AND x BETWEEN 0 AND 999 GROUP BY ALL", PX)
 def painted_mask(spark, sf):
     """R16."""
-    return P.paint(X.mask_pixels(spark, sf), 1000, 1000)
+    return P.paint(X.mask_pixels(spark, sf), 1000, 1000).withColumns({c: F.col(c).cast("long") for c in ("y", "x")})
 
 
 @query("SELECT image, round(avg(red_mean), 4) AS red_mean, round(avg(green_mean), 4) AS green_mean FROM (SELECT image, fiber_id, avg(CASE WHEN label = 1 THEN (y * 7 + x * 3) % 256 END) AS red_mean, avg(CASE WHEN label = 2 THEN (y * 5 + x * 11) % 256 END) AS green_mean FROM px GROUP BY ALL) GROUP BY 1", PX)
