@@ -105,8 +105,8 @@ def test_tails():
     assert special.f_sf(4.0, 2, 10) == pytest.approx(0.052922, abs=1e-5)
 
 
-def test_published_regression(spark):
-    """Cluster means as published with the tool: line and Deming slope at the published error ratio."""
+def test_regressions_against_numpy(spark):
+    """Least squares, Kendall's tau and Deming's slope at an error ratio of 1, which is the main axis."""
     means = spark.createDataFrame([("a", 0.1, 0.12), ("b", 0.5, 0.44), ("c", 0.9, 1.0), ("d", 0.3, 0.2)], "type string, A double, B double")
     line, fit = S.agreement(means).first(), S.deming(means, 1.0).first()
     a, b = np.array([0.1, 0.5, 0.9, 0.3]), np.array([0.12, 0.44, 1.0, 0.2])
