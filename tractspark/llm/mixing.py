@@ -50,9 +50,10 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
 
 def apportion(parties: DataFrame, group: list[str], claim: str, seats: str, most: str, key: list[str], quota: str) -> DataFrame:
     """Sainte-Lague in each group: `seats` (equal within a group) go to parties by the highest quotients claim / (2 k + 1), no party beyond
-    `most`. Starts from claims rounded at the mean divisor, which is off by a few seats, and moves those by quotient."""
+    `most`; ties go to the smaller key, nulls last. Starts from claims rounded at the mean divisor, which is off by a few seats, and moves
+    those by quotient."""
     w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
-    rows = parties.withColumn("_sum", F.sum(claim).over(w))
+    rows = parties.withColumn("_sum", F.sum(claim).over(w)).withColumn("_place", F.row_number().over(w.orderBy(*(F.col(k).asc_nulls_last() for k in key))))
     rows = rows.withColumn("_start", F.least(F.col(most), F.when(F.col("_sum") > 0, F.floor(F.col(claim) * F.col(seats) / F.col("_sum") + F.lit(0.5))).otherwise(0)).cast("long"))
     rows = rows.withColumn("_short", (F.col(seats) - F.sum("_start").over(w)).cast("long"))
     steps = F.abs("_short")
@@ -62,11 +63,11 @@ def apportion(parties: DataFrame, group: list[str], claim: str, seats: str, most
     moves = rows.filter("_short <> 0").withColumn("_k", F.explode(F.when(more > 0, F.sequence(F.lit(1).cast("long"), more))))
     seat = F.when(F.col("_short") > 0, F.col("_start") + F.col("_k") - 1).otherwise(F.col("_start") - F.col("_k"))
     moves = moves.withColumn("_quotient", F.col(claim) / (2 * seat + 1))
-    best = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
-    rank = F.row_number().over(best.orderBy(F.when(F.col("_short") > 0, -F.col("_quotient")).otherwise(F.col("_quotient")), *key, "_k"))
+    way = -F.signum("_short")  # the best quotients gain a seat, the worst lose one
+    rank = F.row_number().over(w.orderBy(way * F.col("_quotient"), -way * F.col("_place"), "_k"))
     moved = moves.withColumn("_rank", rank).filter(F.col("_rank") <= F.abs("_short")).groupBy(*[F.col(k).alias(f"_key_{k}") for k in key]).agg(F.sum(F.signum("_short")).cast("long").alias("_moved"))
     rows = rows.join(moved, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in key], "left")
-    return rows.withColumn(quota, F.col("_start") + F.coalesce("_moved", F.lit(0))).drop("_sum", "_start", "_short", "_moved", *(f"_key_{k}" for k in key))
+    return rows.withColumn(quota, F.col("_start") + F.coalesce("_moved", F.lit(0))).drop("_sum", "_place", "_start", "_short", "_moved", *(f"_key_{k}" for k in key))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: str = SEED) -> DataFrame:

@@ -79,6 +79,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _BASE32 = " || ".join(f"substr('{warc.BASE32}', ((('0x' || substr(h, {5 * g + 1}, 5))::INTEGER >> {shift}) & 31) + 1, 1)" for g in range(8) for shift in (15, 10, 5, 0))
 
+#: Kinds of secrets in DuckDB's dialect, where ignoring case would fold letters beyond ASCII: kind, pattern, group of the value.
+_KINDS = (
+    ("assign", "(?:" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token", "api_?key")) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 1),
+    ("access", "AKIA[A-Z0-9]+", 0),
+    ("hex", "[0-9a-f]+", 0),
+)
+_FOUND = """SELECT r, {rank} AS rank, '{kind}' AS kind, unnest(range(0, len(g))) AS i, unnest(g) AS gap, unnest(m) AS whole, unnest(v) AS value
+  FROM (SELECT r, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {group}) AS v FROM d)"""
+
 ORACLES: dict[str, str] = {
     "op1_warc": f"""
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
@@ -87,6 +96,19 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, {_BASE32} AS payload_dig
   CASE WHEN page_id = top OR top IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
 FROM p JOIN f USING (h)""",
+    "op3_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT r, o, substr(h, 2 * o + 1, 1310) AS t FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 399, 256)) AS o FROM d)),
+p AS (SELECT r, o + j AS i, md5(substr(t, 2 * j + 1, 800)) AS k FROM (SELECT r, o, t, unnest(range(0, length(t) // 2 - 399)) AS j FROM b)),
+c AS (SELECT k FROM p GROUP BY k HAVING count(*) > 1),
+s AS (SELECT r, i, lag(i) OVER w AS before FROM p SEMI JOIN c USING (k) WINDOW w AS (PARTITION BY r ORDER BY i)),
+g AS (SELECT r, i, sum((before IS NULL OR i > before + 400)::INT) OVER (PARTITION BY r ORDER BY i) AS run FROM s),
+x AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY r, run),
+y AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS last FROM x),
+z AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS stop, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS kept FROM y JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN z USING (r)""",
     "op5_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -107,4 +129,42 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(n + CASE WHEN joined THEN 6 ELSE length(role) + 12 END)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op8_secrets": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(_FOUND.format(rank=rank, kind=kind, pattern=pattern, group=group) for rank, (kind, pattern, group) in enumerate(_KINDS))}),
+w AS (SELECT r, rank, kind, whole, value, (sum(length(gap) + coalesce(length(whole), 0)) OVER (PARTITION BY r, rank ORDER BY i))::BIGINT AS stop FROM f),
+m AS (SELECT r, rank, kind, stop - length(whole) AS start, stop, stop - length(value) AS value_start, value FROM w
+  WHERE whole IS NOT NULL AND CASE kind WHEN 'assign' THEN length(value) >= {secrets.VALUE_LENGTH} WHEN 'access' THEN length(whole) >= 16 ELSE length(whole) >= 32 END),
+o AS (SELECT value FROM (SELECT DISTINCT value, source FROM m JOIN d USING (r)) GROUP BY value HAVING count(*) >= {secrets.EXAMPLE_OWNERS}),
+e AS (SELECT r, start, rank, kind, stop FROM m UNION ALL
+  SELECT DISTINCT r, value_start, 3, CASE WHEN value IN (FROM o) THEN 'example' ELSE 'live' END, stop FROM m),
+n AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, kind, stop) AS spans FROM e GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN n USING (r)""",
+    "op9_mixing": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS rank,
+  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS documents FROM d GROUP BY source),
+w AS (SELECT *, {list(mixing.WEIGHTS)}[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1)::INT]::DOUBLE AS weight FROM s),
+q AS (SELECT *, {mixing.CAP} * source_size / weight AS ratio FROM w),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum({mixing.CAP} * source_size) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+  / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM q),
+v AS (SELECT *, max(level) FILTER (level <= ratio) OVER () AS top FROM l),
+t AS (SELECT source, source_size, documents, least({mixing.CAP} * source_size, coalesce(top * weight, {mixing.CAP} * source_size))::DOUBLE AS target FROM v),
+a AS (SELECT source, ceil({mixing.CAP} * source_size / {mixing.BLOCK})::BIGINT AS most, target, round(sum(target) OVER () / {mixing.BLOCK})::BIGINT AS seats FROM t),
+b AS (SELECT source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST, k) AS place, seats FROM (SELECT *, unnest(range(0, most)) AS k FROM a)),
+u AS (SELECT source, count(*) AS quota FROM b WHERE place <= seats GROUP BY source),
+x AS (SELECT d.*, source_size, target, coalesce(quota, 0) AS quota, substr(rank, 1, greatest(0, ceil(ln(documents / {mixing.SHARD}) / ln(16)))::INT) AS shard
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN u ON d.source IS NOT DISTINCT FROM u.source),
+h AS (SELECT source, shard, sum(size)::BIGINT AS shard_size, first(quota) AS quota FROM x GROUP BY source, shard),
+i AS (SELECT source, shard, quota, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * k + 1) DESC, shard, k) AS place
+  FROM (SELECT *, unnest(range(0, ceil({mixing.CAP} * shard_size / {mixing.BLOCK})::BIGINT)) AS k FROM h)),
+j AS (SELECT source, shard, count(*) AS blocks FROM i WHERE place <= quota GROUP BY source, shard),
+y AS (SELECT x.*, shard_size, least(coalesce(blocks, 0) * {mixing.BLOCK}, {mixing.CAP} * shard_size) AS budget,
+  sum(size) OVER (PARTITION BY x.source, x.shard ORDER BY rank, doc_id, size, text ROWS UNBOUNDED PRECEDING) AS stop
+  FROM x JOIN h ON x.source IS NOT DISTINCT FROM h.source AND x.shard = h.shard LEFT JOIN j ON x.source IS NOT DISTINCT FROM j.source AND x.shard = j.shard),
+z AS (SELECT *, CASE WHEN shard_size > 0 THEN budget // shard_size ELSE 0 END AS passes FROM y)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (passes * size + least(size, greatest(0, budget - passes * shard_size - (stop - size))))::BIGINT AS taken FROM z""",
 }
