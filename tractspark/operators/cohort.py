@@ -116,7 +116,7 @@ def box_statistics(df: DataFrame, col: str = "ratio", by: Sequence[str] = ("type
     q = F.percentile_approx(col, [0.25, 0.5, 0.75], approximate) if approximate else F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     quartiles = df.groupBy(*by).agg(q.alias("q")).select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = df.join(F.broadcast(quartiles), list(by)).filter(F.col(col).between(F.col("q1") - reach, F.col("q3") + reach))
+    inside = df.join(quartiles, list(by)).filter(F.col(col).between(F.col("q1") - reach, F.col("q3") + reach))
     return inside.groupBy(*by, "q1", "q2", "q3").agg(F.min(col).alias("low"), F.max(col).alias("high"))
 
 
@@ -134,7 +134,7 @@ def normalise(df: DataFrame, baseline: str, col: str = "ratio", per_grader: bool
     """A4: divides by the baseline's median (null without one)."""
     base = df.filter(F.col("type") == baseline)
     if per_grader:
-        return df.join(F.broadcast(base.groupBy("grader").agg(F.median(col).alias("_base"))), "grader", "left").withColumn(col, F.try_divide(F.col(col), F.col("_base"))).drop("_base")
+        return df.join(base.groupBy("grader").agg(F.median(col).alias("_base")), "grader", "left").withColumn(col, F.try_divide(F.col(col), F.col("_base"))).drop("_base")
     return df.crossJoin(F.broadcast(base.agg(F.median(col).alias("_base")))).withColumn(col, F.try_divide(F.col(col), F.col("_base"))).drop("_base")
 
 
@@ -167,8 +167,8 @@ def closest(df: DataFrame, n: int | None, col: str = "ratio", centre: Callable[[
     rest, fixed = df.filter(F.col("grader") != untouched), df.filter(F.col("grader") == untouched)
     centres = rest.groupBy("type", "grader").agg(centre(col).alias("_centre"))
     sizes = fixed.groupBy("type").agg(F.count("*").alias("_n"))
-    rows = rest.join(F.broadcast(centres), ["type", "grader"])
-    rows = rows.withColumn("_n", F.lit(n)) if n is not None else rows.join(F.broadcast(sizes), "type")
+    rows = rest.join(centres, ["type", "grader"])
+    rows = rows.withColumn("_n", F.lit(n)) if n is not None else rows.join(sizes, "type")
     order = Window.partitionBy("type", "grader").orderBy(F.abs(F.col(col) - F.col("_centre")), *KEY)
     return rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= F.col("_n")).drop("_rank", "_centre", "_n").unionByName(fixed)
 
@@ -177,7 +177,7 @@ def cap_groups(df: DataFrame, n: int, col: str = "length_um") -> DataFrame:
     """Groups of at most n stay, of others the n nearest to the median."""
     centres = df.groupBy("type", "grader").agg(F.median(col).alias("_centre"))
     order = Window.partitionBy("type", "grader").orderBy(F.abs(F.col(col) - F.col("_centre")), *KEY)
-    return df.join(F.broadcast(centres), ["type", "grader"]).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank", "_centre")
+    return df.join(centres, ["type", "grader"]).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank", "_centre")
 
 
 def nearest_to_median(df: DataFrame, n: int, col: str = "length_um") -> DataFrame:
@@ -198,7 +198,7 @@ def order_types(df: DataFrame, col: str = "length_um", descending: bool = False,
 
 
 def with_order(df: DataFrame, order: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(order.select("type", "type_order")), "type", "left")
+    return df.join(order.select("type", "type_order"), "type", "left")
 
 
 def fixed_order(df: DataFrame, types: Sequence[str]) -> DataFrame:
@@ -258,7 +258,7 @@ def test_pairs(order: DataFrame, mode: str = "all") -> DataFrame:
     """Pairs of types by order: all, against the first (`reference`), or neighbours and the next but one (`near`)."""
     a, b = order.select(F.col("type").alias("a"), F.col("type_order").alias("i")), order.select(F.col("type").alias("b"), F.col("type_order").alias("j"))
     wanted = {"all": F.col("i") < F.col("j"), "reference": (F.col("i") == 1) & (F.col("j") > 1), "near": (F.col("j") - F.col("i")).isin(1, 2)}[mode]
-    return a.join(F.broadcast(b), wanted)
+    return a.join(b, wanted)
 
 
 def split(df: DataFrame, key: str, percent: int, seed: int = 42) -> DataFrame:

@@ -72,7 +72,7 @@ def normalise_channels(df: DataFrame, value: str = "value") -> DataFrame:
     bounds = df.groupBy("image", "channel").agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.percentile(value, 0.99).alias("p"))
     unit = lambda c: F.coalesce(F.try_divide(c - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
     scaled = F.coalesce(F.try_divide(255 * unit(F.col(value)), unit(F.col("p"))), F.lit(0.0))
-    return df.join(F.broadcast(bounds), ["image", "channel"]).withColumn("scaled", F.greatest(F.lit(0.0), F.least(F.lit(255.0), scaled)).cast("int")).drop("lo", "hi", "p")
+    return df.join(bounds, ["image", "channel"]).withColumn("scaled", F.greatest(F.lit(0.0), F.least(F.lit(255.0), scaled)).cast("int")).drop("lo", "hi", "p")
 
 
 def vote(probs: DataFrame) -> DataFrame:

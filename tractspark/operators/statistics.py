@@ -49,7 +49,7 @@ def _against_reference(df: DataFrame, reference: str, col: str) -> DataFrame:
     counts = _histogram(df, col, "grader", "type")
     types = counts.filter(F.col("type") != reference).select("grader", "type").distinct()
     own = counts.filter(F.col("type") != reference).select("grader", "type", "v", F.col("c").alias("x"), F.lit(0).cast("long").alias("r"))
-    ref = counts.filter(F.col("type") == reference).drop("type").join(F.broadcast(types), "grader").select("grader", "type", "v", F.lit(0).cast("long").alias("x"), F.col("c").alias("r"))
+    ref = counts.filter(F.col("type") == reference).drop("type").join(types, "grader").select("grader", "type", "v", F.lit(0).cast("long").alias("x"), F.col("c").alias("r"))
     return own.unionByName(ref).groupBy("grader", "type", "v").agg(F.sum("x").alias("x"), F.sum("r").alias("r"))
 
 
@@ -204,7 +204,7 @@ def agreement(means: DataFrame) -> DataFrame:
     ranked = means.withColumns({"ra": average_rank("A"), "rb": average_rank("B")})
     line = ranked.agg(F.count("*").alias("n"), F.corr("A", "B").alias("pearson"), F.corr("ra", "rb").alias("spearman"), F.regr_slope("B", "A").alias("slope"), F.regr_intercept("B", "A").alias("intercept"))
     p, q = means.select("type", "A", "B"), means.select(F.col("type").alias("t2"), F.col("A").alias("a2"), F.col("B").alias("b2"))
-    pairs = p.join(F.broadcast(q), F.col("type") < F.col("t2")).select(F.signum(F.col("A") - F.col("a2")).alias("sa"), F.signum(F.col("B") - F.col("b2")).alias("sb"))
+    pairs = p.join(q, F.col("type") < F.col("t2")).select(F.signum(F.col("A") - F.col("a2")).alias("sa"), F.signum(F.col("B") - F.col("b2")).alias("sb"))
     tau = pairs.agg((F.sum(F.col("sa") * F.col("sb")) / F.sqrt(F.count_if(F.col("sa") != 0) * F.count_if(F.col("sb") != 0))).alias("kendall"))
     return line.crossJoin(F.broadcast(tau))
 

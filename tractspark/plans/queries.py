@@ -216,10 +216,14 @@ def annotator_agreement(spark, sf):
     return J.agreement(J.membership(b, J.clusters(b, _pairs(spark, sf)), ["F", "O"]), ["F", "O"])
 
 
-@query()
+_NEAR = "SELECT pr.image, a, b, count(DISTINCT ({0}.y, {0}.x)) AS h FROM pr JOIN px p ON p.image = pr.image AND p.fiber_id = a JOIN px q ON q.image = pr.image AND q.fiber_id = b AND (p.y - q.y) ** 2 + (p.x - q.x) ** 2 <= 25 GROUP BY ALL"
+
+
+@query(f", n AS (SELECT image, fiber_id, count(*) AS n FROM px GROUP BY ALL), s AS (SELECT l.image, a, b, least(l.h / n1.n, r.h / n2.n) AS s FROM ({_NEAR.format('p')}) l JOIN ({_NEAR.format('q')}) r USING (image, a, b) JOIN n n1 ON n1.image = l.image AND n1.fiber_id = a JOIN n n2 ON n2.image = l.image AND n2.fiber_id = b) SELECT image, a, b, round(s, 6) AS similarity FROM s WHERE s > 0.5", PX)
 def skeleton_match(spark, sf):
     """J2, R10."""
-    return J.skeleton_similarity(X.mask_pixels(spark, sf).select("image", "fiber_id", "y", "x"), _pairs(spark, sf)).filter("similarity > 0.5")
+    pixels = X.mask_pixels(spark, sf).select("image", "fiber_id", "y", "x")
+    return J.skeleton_similarity(pixels, _pairs(spark, sf)).filter("similarity > 0.5").select("image", "a", "b", _r("similarity"))
 
 
 @query("SELECT type, grader, round(quantile_cont(ratio, 0.25), 6) AS q1, round(quantile_cont(ratio, 0.5), 6) AS q2, round(quantile_cont(ratio, 0.75), 6) AS q3 FROM d GROUP BY ALL", M)
@@ -271,7 +275,7 @@ def capped_groups(spark, sf):
     """W3."""
     rows = _clean(spark, sf)
     centres = rows.groupBy("type", "grader").agg(F.median("length_um").alias("md"))
-    return C.cap_groups(rows, 100).join(F.broadcast(centres), ["type", "grader"]).groupBy("type", "grader").agg(F.count("*").alias("n"), _r(F.max(F.abs(F.col("length_um") - F.col("md"))), "far"))
+    return C.cap_groups(rows, 100).join(centres, ["type", "grader"]).groupBy("type", "grader").agg(F.count("*").alias("n"), _r(F.max(F.abs(F.col("length_um") - F.col("md"))), "far"))
 
 
 @query("SELECT image_name, fiber_id FROM d, (SELECT median(length_um) AS md FROM d) ORDER BY abs(length_um - md), image_name, fiber_id LIMIT 100", M)
@@ -470,7 +474,7 @@ def skeleton_ends(spark, sf):
     return P.endpoints(P.neighbour_ring(X.mask_pixels(spark, sf).select("image", "y", "x").distinct())).groupBy("image").agg(F.count("*").alias("n_ends"))
 
 
-@query()
+@query(", u AS (SELECT DISTINCT image, y, x FROM px), r AS (SELECT u.image, u.y, u.x, k FROM (SELECT image, y - dy AS y, x - dx AS x, k FROM u CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS k, unnest([-1, -1, -1, 0, 1, 1, 1, 0]) AS dy, unnest([-1, 0, 1, 1, 1, 0, -1, -1]) AS dx)) u), l AS (SELECT image, y, x, bit_or(1 << k) AS ring FROM r GROUP BY ALL HAVING count(*) > 2), t AS (SELECT DISTINCT (1 << a) | (1 << b) | (1 << c) AS three FROM range(8) a(a), range(8) b(b), range(8) c(c) WHERE b - a > 1 AND c - b > 1 AND c - a < 7) SELECT image, y, x FROM l SEMI JOIN u USING (image, y, x) WHERE EXISTS (FROM t WHERE ring & three = three)", PX)
 def skeleton_junctions(spark, sf):
     """R13."""
     return P.junctions(P.neighbour_ring(X.mask_pixels(spark, sf).select("image", "y", "x").distinct())).select("image", "y", "x")

@@ -30,7 +30,7 @@ def pair_sheet_rows(rows: DataFrame) -> DataFrame:
 def second_only_sheet(rows: DataFrame) -> DataFrame:
     """IO3: sheets whose ratio column is empty: the value is the second tract, the first is 0 and the ratio null."""
     empty = rows.groupBy("sheet").agg(F.count("ratio").alias("n")).filter("n = 0").select("sheet")
-    own = rows.join(F.broadcast(empty), "sheet", "left_semi").filter(F.col("value").isNotNull())
+    own = rows.join(empty, "sheet", "left_semi").filter(F.col("value").isNotNull())
     return own.select(F.col("sheet").alias("type"), F.lit(0.0).alias("first_um"), F.col("value").alias("second_um"), F.col("value").alias("length_um"), F.lit(None).cast("double").alias("ratio"))
 
 
