@@ -1,9 +1,9 @@
 """The ten operators against brute force, over nulls, empty and repeated rows, ties, extra columns and empty tables."""
 
 import hashlib
-import json
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -72,8 +72,9 @@ def test_packing(docs, none):
     for r in rows():
         ids = tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [0]
         for piece, at in enumerate(range(0, len(ids), 256)):
-            want[r[0], piece, at, len(ids[at : at + 256])] += 1
-    assert Counter((None if d != d else int(d), p, s, n) for d, p, s, n in zip(got.doc_id, got.piece, got.start, got.length)) == want
+            own = np.asarray(ids[at : at + 256], "<u4")
+            want[r[0], piece, at, len(own), zlib.crc32(own.tobytes())] += 1
+    assert Counter((None if d != d else int(d), p, s, n, c) for d, p, s, n, c in zip(got.doc_id, got.piece, got.start, got.length, got.ids_crc32)) == want
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert (g.offset.to_numpy() == np.concatenate(([0], g.length.cumsum()[:-1]))).all() and g.length.sum() <= 256
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 256) + 1
@@ -113,6 +114,9 @@ def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(i, int(i < 150)) for i in range(300)] + [(1, None), (None, 1)], "doc_id long, quality int")
     got = quality.classify(df, labels).toPandas()
     held = got[got.held_out]
+    assert {d: bool(h) for d, h in zip(got.doc_id, got.held_out)} == {d: zlib.crc32(str(d).encode()) % 5 == 0 for d in range(300)}
+    again = quality.classify(df.unionAll(df).unionAll(df), labels).toPandas()  # repeated rows are learnt from once
+    assert len(again) == 900 and again.groupby("doc_id").score.first().tolist() == got.sort_values("doc_id").score.tolist()
     assert len(got) == 300 and (held.predicted == (held.doc_id < 150)).all() and got.score.between(0, 1).all()
     assert quality.classify(docs, labels).count() == len(rows()) and quality.classify(none, labels).count() == 0
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
@@ -224,15 +228,3 @@ def test_merkle(docs, none, spark):
     old = "one\ntwo three\n\nfour\nfive"
     assert merkle.edits(merkle.tree(old), merkle.tree(old)) == []
     assert [old.replace("three", "3")[a:b] for a, b in merkle.edits(merkle.tree(old), merkle.tree(old.replace("three", "3")))] == ["two 3"]
-
-
-def test_pipeline_keeps_schema(spark):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == docs.columns and out.count() > 0, name
-        docs = out
-    assert json.dumps([n for n, _ in corpus_pipeline.STAGES])

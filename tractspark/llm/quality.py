@@ -6,7 +6,7 @@ in flat arrays, which numpy traverses for a whole batch at once. Labels, lang, s
 
 Defined cases: null and empty texts have the statistics of an empty text and are scored like any other; null doc_ids are scored and
 count as held out; label rows with a null quality or doc_id are ignored; of labels that contradict each other for one doc_id the smallest
-holds; without any usable label the score is 0.5 for all; repeated rows score alike; further columns are ignored.
+holds, and of repeated doc_ids one text is learnt from; without any usable label the score is 0.5 for all; repeated rows score alike; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -137,8 +137,11 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     usable = labels.filter(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     with arrow_rows(docs.sparkSession):
-        rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["doc_id", "quality"]).toPandas()
-    rows = rows.iloc[np.lexsort((rows["stats"].map(tuple).map(hash) if len(rows) else rows["doc_id"], rows["doc_id"]))]
+        texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+        # One text for each label, however often its doc_id is repeated: what the driver gets is at most the sample.
+        texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+        rows = with_statistics(texts, ["doc_id", "quality"]).toPandas()
+    rows = rows.sort_values("doc_id")
     x = np.stack(rows["stats"].to_list()) if len(rows) else np.zeros((0, len(NAMES)))
     return fit(x, rows["quality"].to_numpy(float))
 
