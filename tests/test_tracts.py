@@ -131,3 +131,42 @@ def test_pixels(spark):
     assert P.label_components(df).select("component").distinct().count() == 2
     line = spark.createDataFrame([(1, 5, i, i) for i in range(6)], "image long, fiber_id long, y int, x int")
     assert [r.y for r in P.trace(line).orderBy("pos").collect()] == list(range(6))
+
+
+def test_segments_and_json(spark):
+    import json
+
+    from tractspark.sources import files
+
+    points = "array<struct<x:int,y:int,label:int>>"
+    rows = [(1, [(0, 0, 1), (3, 4, 1), (6, 8, 2)]), (2, [(6, 8, 2), (3, 4, 1), (0, 0, 1)]), (3, [(5, 5, 2)]), (4, [])]
+    df = spark.createDataFrame(rows, f"fiber_id int, points {points}")
+    got = {r.fiber_id: [(s.label, len(s.points), s.length_px) for s in r.s] for r in df.select("fiber_id", G.oriented_segments(F.col("points")).alias("s")).collect()}
+    assert got == {1: [(1, 2, 5.0), (2, 1, 0.0)], 2: [(1, 2, 5.0), (2, 1, 0.0)], 3: [(2, 1, 0.0)], 4: []}
+    box = F.struct(F.lit(1).alias("x"), F.lit(2).alias("y"), F.lit(7).alias("width"), F.lit(9).alias("height"))
+    full = df.select(F.lit("i").alias("image"), "fiber_id", box.alias("bbox"), "points", F.lit(5.0).alias("red"), F.lit(0.0).alias("green"), F.lit("one segment").alias("fiber_type"), F.lit(None).cast("double").alias("ratio"), F.lit(0.25).alias("error_probability"))
+    texts = {r.fiber_id: r.json for r in files.trace_json(full, 1.5).collect()}
+    assert texts[4] is None
+    one = json.loads(texts[1])
+    assert one["points"] == ["1,3 6,9", "10,15"] and one["colors"] == ["red", "green"] and one["segmentLengthsPx"] == [2, 1]
+    assert (one["x"], one["y"], one["width"], one["height"], one["ratio"], one["proba_error"]) == (1, 3, 10, 13, -1.0, 0.25)
+
+
+def test_equivalence_intervals(spark):
+    rng = np.random.default_rng(3)
+    x, y = np.exp(rng.normal(0, 0.3, 300)).round(3), np.exp(rng.normal(0.4, 0.5, 250)).round(3)
+    rows = [("t", "A", float(v)) for v in x] + [("t", "B", float(v)) for v in y] + [("same", g, float(v)) for g in "AB" for v in np.tile(x, 40)]
+    df = spark.createDataFrame(rows, "type string, grader string, ratio double")
+    got = {r.type: r for r in S.equivalence(df, "A", "B", replicates=400).collect()}
+    draws = []
+    for _ in range(400):
+        a, b = rng.choice(x, len(x)), rng.choice(y, len(y))
+        at = np.unique(np.concatenate([a, b]))
+        gap = np.abs(np.searchsorted(np.sort(a), at, "right") / len(a) - np.searchsorted(np.sort(b), at, "right") / len(b))
+        draws.append((a.var(ddof=1) / b.var(ddof=1), gap.max(), (gap[:-1] * np.diff(np.log(at))).sum()))
+    want = np.percentile(draws, [2.5, 97.5], axis=0)
+    r = got["t"]
+    assert r.variance_ratio == pytest.approx(x.var(ddof=1) / y.var(ddof=1))
+    for k, c in enumerate(("variance", "ks", "wasserstein")):
+        assert r[f"{c}_low"] == pytest.approx(want[0, k], rel=0.15) and r[f"{c}_high"] == pytest.approx(want[1, k], rel=0.15)
+    assert r.gmr_low < r.gmr < r.gmr_high and not r.equivalent and got["same"].equivalent

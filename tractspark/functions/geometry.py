@@ -68,6 +68,28 @@ def runs(points: Column) -> Column:
     return F.aggregate(points, zero, lambda s, p: F.when(F.coalesce(F.try_element_at(s, F.lit(-1)) == p["label"], F.lit(False)), s).otherwise(F.concat(s, F.array(p["label"].cast("int")))))
 
 
+def segments(points: Column) -> Column:
+    """The runs along a trace in order, structs of label and points; runs share no point."""
+    n, none = F.size(points), F.array().cast("array<int>")
+    turn = lambda i: (i == 0) | (F.get(points, i)["label"] != F.get(points, i - 1)["label"])
+    starts = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), turn)).otherwise(none)
+    ends = F.when(n > 0, F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n))).otherwise(none)
+    return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(points, a)["label"].alias("label"), F.slice(points, a + 1, b - a).alias("points")))
+
+
+def polyline_length(points: Column) -> Column:
+    """Sum of the steps; 0 for fewer than two points."""
+    rest = F.greatest(F.size(points) - 1, F.lit(0))
+    steps = F.zip_with(F.slice(points, 2, rest), F.slice(points, 1, rest), lambda p, q: F.sqrt((p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"])))
+    return F.aggregate(steps, F.lit(0.0), lambda s, v: s + v)
+
+
+def oriented_segments(points: Column) -> Column:
+    """Label, points and length_px of each run; the last run first if the trace ends left of its start."""
+    own = F.transform(segments(points), lambda s: F.struct(s["label"].alias("label"), s["points"].alias("points"), polyline_length(s["points"]).alias("length_px")))
+    return F.when(F.try_element_at(points, F.lit(1))["x"] > F.try_element_at(points, F.lit(-1))["x"], F.reverse(own)).otherwise(own)
+
+
 def fiber_type(red: Column, green: Column, run_labels: Column) -> Column:
     """R2."""
     n = F.size(run_labels)

@@ -165,6 +165,16 @@ def ordered_union(boxes: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.groupBy("image").applyInPandas(lambda pdf: run(pdf), "image long, grader string, fiber_id long")
 
 
+def found_flags(union: DataFrame, boxes: DataFrame, graders: list[str], threshold: float = 0.75) -> DataFrame:
+    """For each fiber of the union a boolean per grader: whether a box of that grader overlaps it by more than threshold. Both sides:
+    image, fiber_id, bbox, and boxes grader as well."""
+    out = union.select("image", "grader", "fiber_id")
+    for g in graders:
+        hit = box_pairs(union, boxes.filter(F.col("grader") == g), threshold).select("image", F.col("a").alias("fiber_id")).distinct().withColumn(f"found_{g}", F.lit(True))
+        out = out.join(hit, ["image", "fiber_id"], "left").withColumn(f"found_{g}", F.coalesce(f"found_{g}", F.lit(False)))
+    return out
+
+
 def clusters(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Image, fiber_id and cluster (its smallest fiber), by components of each image's pairs."""
     edges = pairs.select("image", "a", "b")

@@ -125,9 +125,9 @@ def bootstrap(df: DataFrame, by: str, statistic: Callable[[np.ndarray, np.ndarra
     return draws.groupBy(by).agg(F.percentile("value", alpha / 2).alias("low"), F.percentile("value", 1 - alpha / 2).alias("high"))
 
 
-def _moments(df: DataFrame, a: str, b: str, col: Column, by: str = "type") -> DataFrame:
+def _moments(df: DataFrame, a: str, b: str, col: Column, by: str = "type", *more: Column) -> DataFrame:
     own = lambda g: F.when(F.col("grader") == g, col)
-    out = df.groupBy(by).agg(*(f(own(g)).alias(f"{n}{k}") for k, g in ((1, a), (2, b)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))))
+    out = df.groupBy(by).agg(*(f(own(g)).alias(f"{n}{k}") for k, g in ((1, a), (2, b)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))), *more)
     return out.filter((F.col("n1") > 1) & (F.col("n2") > 1))
 
 
@@ -160,20 +160,60 @@ def partially_overlapping_t(df: DataFrame, key: str, equal: bool = True, mu: flo
     return s.filter((n12 >= 2) & (alone > 0)).select(F.try_divide(est - mu, se).alias("statistic"), df_.alias("df"), est.alias("estimate"))
 
 
-def equivalence_parts(df: DataFrame, a: str, b: str, margin_percent: float = 20.0, col: str = "ratio") -> DataFrame:
-    """T7 and T8, point parts: both one-sided statistics of Welch's test on logs, the geometric mean ratio and the variance ratio."""
-    m = _moments(df.filter(F.col(col) > 0), a, b, F.ln(col))
+def equivalence_parts(df: DataFrame, a: str, b: str, margin_percent: float = 10.0, col: str = "ratio", alpha: float = 0.05) -> DataFrame:
+    """T7 and T8, point parts: both one-sided statistics of Welch's test on logs, the geometric mean ratio with its interval, and the ratio
+    of the variances of the values themselves. Values must be positive; others are left out."""
+    raw = [F.var_samp(F.when(F.col("grader") == g, F.col(col))) for g in (a, b)]
+    m = _moments(df.filter(F.col(col) > 0), a, b, F.ln(col), "type", F.try_divide(*raw).alias("variance_ratio"))
     s1, s2 = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
     d, se, margin = F.col("m1") - F.col("m2"), F.sqrt(s1 + s2), float(np.log1p(margin_percent / 100))
     dof = F.pow(s1 + s2, 2) / (F.pow(s1, 2) / (F.col("n1") - 1) + F.pow(s2, 2) / (F.col("n2") - 1))
-    return m.select("type", F.exp(d).alias("gmr"), ((d + margin) / se).alias("t_low"), ((d - margin) / se).alias("t_high"), dof.alias("df"), (F.col("v1") / F.col("v2")).alias("variance_ratio"))
+    reach = t_quantile(F.lit(1 - alpha / 2), dof) * se
+    return m.select(
+        "type", F.exp(d).alias("gmr"), F.exp(d - reach).alias("gmr_low"), F.exp(d + reach).alias("gmr_high"), ((d + margin) / se).alias("t_low"), ((d - margin) / se).alias("t_high"), dof.alias("df"), "variance_ratio",
+    )
 
 
-def equivalence(df: DataFrame, a: str, b: str, margin_percent: float = 20.0, alpha: float = 0.05, ks_limit: float = 0.08, distance_limit: float = 0.10, col: str = "ratio") -> DataFrame:
-    """P of both one-sided tests, variance ratio, distances, and whether all hold."""
-    parts = equivalence_parts(df, a, b, margin_percent, col).withColumn("p", F.greatest(t_upper("t_low", "df"), t_upper(-F.col("t_high"), "df")))
-    both = parts.join(distances(df, a, b, col), "type")
-    return both.withColumn("equivalent", (F.col("p") < alpha) & F.col("variance_ratio").between(0.8, 1.25) & (F.col("ks") <= ks_limit) & (F.col("wasserstein") <= distance_limit))
+def bootstrap_equivalence(df: DataFrame, a: str, b: str, col: str = "ratio", replicates: int = 1000, block: int = 50, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """Percentile intervals of the variance ratio and of both distances of logs, from resampled counts of distinct values. The
+    three share their resamples; blocks of replicates are spread over tasks."""
+    counts = _histogram(df.filter((F.col(col) > 0) & F.col("grader").isin(a, b)), col, "type", "grader")
+    own = lambda g: F.sum(F.when(F.col("grader") == g, F.col("c")).otherwise(0))
+    lists = counts.groupBy("type", "v").agg(own(a).alias("x"), own(b).alias("y")).groupBy("type").agg(F.sort_array(F.collect_list(F.struct("v", "x", "y"))).alias("h"), F.sum("x").alias("nx"), F.sum("y").alias("ny"))
+    work = lists.filter("nx > 1 and ny > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // block) - 1)))).repartition("type", "block")
+
+    def variances(drawn: np.ndarray, centred: np.ndarray) -> np.ndarray:
+        n = drawn.sum(1)
+        return (drawn @ centred**2 - (drawn @ centred) ** 2 / n) / (n - 1)
+
+    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                v, x, y = (np.array([h[k] for h in row.h], float) for k in ("v", "x", "y"))
+                rng = np.random.default_rng((seed, row.block))
+                n = min(block, replicates - row.block * block)
+                xs, ys = rng.multinomial(int(row.nx), x / x.sum(), n), rng.multinomial(int(row.ny), y / y.sum(), n)
+                gap = np.abs(np.cumsum(xs, axis=1) / row.nx - np.cumsum(ys, axis=1) / row.ny)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    ratio = variances(xs, v - v.mean()) / variances(ys, v - v.mean())
+                yield pd.DataFrame({"type": row.type, "variance": ratio, "ks": gap.max(1), "wasserstein": gap[:, :-1] @ np.diff(np.log(v))})
+
+    draws = work.mapInPandas(resample, "type string, variance double, ks double, wasserstein double")
+    ends = (("low", alpha / 2), ("high", 1 - alpha / 2))
+    return draws.groupBy("type").agg(*(F.percentile(c, q).alias(f"{c}_{end}") for c in ("variance", "ks", "wasserstein") for end, q in ends))
+
+
+def equivalence(df: DataFrame, a: str, b: str, margin_percent: float = 10.0, alpha: float = 0.05, ks_limit: float = 0.08, distance_limit: float = 0.10, col: str = "ratio", variance_bounds: tuple[float, float] = (0.8, 1.25), replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """P of both one-sided tests, variance ratio, distances and their bootstrap intervals, and whether all hold: p below alpha, the
+    interval of the variance ratio within its bounds, and the upper ends of both distances at most at their limits."""
+    parts = equivalence_parts(df, a, b, margin_percent, col, alpha).withColumn("p", F.greatest(t_upper("t_low", "df"), t_upper(-F.col("t_high"), "df")))
+    both = parts.join(distances(df, a, b, col), "type").join(bootstrap_equivalence(df, a, b, col, replicates, alpha=alpha, seed=seed), "type")
+    checks = {
+        "mean_equivalent": F.col("p") < alpha, "variance_equivalent": within(F.col("variance_low"), F.col("variance_high"), variance_bounds),
+        "ks_equivalent": F.col("ks_high") <= ks_limit, "wasserstein_equivalent": F.col("wasserstein_high") <= distance_limit,
+    }
+    both = both.withColumns(checks)
+    return both.withColumn("equivalent", F.expr(" and ".join(checks)))
 
 
 def distances(df: DataFrame, a: str, b: str, col: str = "ratio") -> DataFrame:

@@ -127,6 +127,14 @@ def colour_lengths(spark, sf):
     return X.traces(spark, sf).filter(F.size(p) > 1).select("user_id", _r(G.colour_length(p, 1), "red"), _r(G.colour_length(p, 2), "green"), F.size(G.runs(p)).cast("long").alias("n_runs"))
 
 
+@query("SELECT user_id, (run - 1)::INT AS pos, any_value(label)::INT AS label, count(*)::INT AS n_points, round(sum(CASE WHEN pl = label THEN sqrt((x - px) ** 2 + (y - py) ** 2) ELSE 0 END), 6) AS length_px FROM (SELECT *, sum((pl IS DISTINCT FROM label)::INT) OVER (PARTITION BY user_id ORDER BY x) AS run FROM s) GROUP BY user_id, run", T)
+def trace_segments(spark, sf):
+    """Every other trace runs backwards, which the orientation undoes."""
+    rows = X.traces(spark, sf).select("user_id", F.when(F.col("user_id") % 2 == 1, F.reverse("points")).otherwise(F.col("points")).alias("points"))
+    rows = rows.select("user_id", F.posexplode(G.oriented_segments(F.col("points"))).alias("pos", "s"))
+    return rows.select("user_id", "pos", F.col("s.label").cast("int").alias("label"), F.size("s.points").alias("n_points"), _r("s.length_px", "length_px"))
+
+
 @query("SELECT user_id, CASE WHEN r = 0 OR g = 0 THEN 'one segment' WHEN n = 2 THEN 'two segments' WHEN n = 3 AND f = 1 THEN 'termination' WHEN n = 3 THEN 'origin' ELSE 'other' END AS fiber_type FROM (SELECT user_id, sum(CASE WHEN label = 1 THEN sqrt((x - px) ** 2 + (y - py) ** 2) ELSE 0 END) AS r, sum(CASE WHEN label = 2 THEN sqrt((x - px) ** 2 + (y - py) ** 2) ELSE 0 END) AS g, 1 + sum((pl <> label)::INT) AS n, min_by(label, x) AS f FROM s GROUP BY 1 HAVING count(*) > 1)", T)
 def fiber_types(spark, sf):
     """R2."""
@@ -203,12 +211,23 @@ def detection(spark, sf):
     return J.detection_scores(b.filter("grader = 'F'"), b.filter("grader = 'O'"), J.greedy_match(_pairs(spark, sf)), per_image=True)
 
 
-@query()
+_UNION = "SELECT * FROM b WHERE grader = 'F' OR (image, fiber_id) NOT IN (SELECT (image, b) FROM pr)"
+
+
+@query(f"SELECT image, u.grader, u.fiber_id FROM ({_UNION}) u", B)
 def ordered_union(spark, sf):
     """J5."""
     return J.ordered_union(X.boxes(spark, sf), _pairs(spark, sf))
 
 
+@query(f"SELECT image, grader, fiber_id, grader = 'F' AS found_F, grader = 'O' OR (image, fiber_id) IN (SELECT (image, a) FROM pr WHERE i / (s - i) > 0.75) AS found_O FROM ({_UNION})", B)
+def union_found_flags(spark, sf):
+    """J9."""
+    b = X.boxes(spark, sf)
+    kept = b.join(J.ordered_union(b, _pairs(spark, sf)), ["image", "grader", "fiber_id"], "left_semi")
+    return J.found_flags(kept, b, ["F", "O"])
+
+
 @query()
 def annotator_agreement(spark, sf):
     """J6, J7, A8."""
@@ -358,7 +377,7 @@ def welch_and_anova(spark, sf):
     return S.welch_and_anova(_clean(spark, sf), AI, HUMAN).select("type", "n1", "n2", _r("t", digits=5), _r("df", digits=4), _r("f", digits=5))
 
 
-@query(_MOMENTS.replace("VAL", "ln(ratio)") + " SELECT type, round(exp(m1 - m2), 6) AS gmr, round((m1 - m2 + ln(1.2)) / sqrt(v1 / n1 + v2 / n2), 5) AS t_low, round((m1 - m2 - ln(1.2)) / sqrt(v1 / n1 + v2 / n2), 5) AS t_high, round(v1 / v2, 6) AS variance_ratio FROM g", M)
+@query(_MOMENTS.replace("VAL", "ln(ratio)") + " SELECT type, round(exp(m1 - m2), 6) AS gmr, round((m1 - m2 + ln(1.1)) / sqrt(v1 / n1 + v2 / n2), 5) AS t_low, round((m1 - m2 - ln(1.1)) / sqrt(v1 / n1 + v2 / n2), 5) AS t_high, round((SELECT var_samp(ratio) FILTER (grader = '" + AI + "') / var_samp(ratio) FILTER (grader = '" + HUMAN + "') FROM d WHERE d.type = g.type), 6) AS variance_ratio FROM g", M)
 def equivalence_parts(spark, sf):
     """T7, T8."""
     return S.equivalence_parts(_clean(spark, sf), AI, HUMAN).select("type", _r("gmr"), _r("t_low", digits=5), _r("t_high", digits=5), _r("variance_ratio"))
@@ -554,6 +573,17 @@ def fiber_json(spark, sf):
     return files.fiber_json(X.measurements(spark, sf))
 
 
+@query()
+def trace_json(spark, sf):
+    """IO7 with polylines."""
+    p = F.col("points")
+    red, green = G.colour_length(p, 1), G.colour_length(p, 2)
+    box = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.size(p).alias("width"), F.lit(50).alias("height"))
+    rows = X.traces(spark, sf).select(F.lit("events").alias("image"), F.col("user_id").alias("fiber_id"), box.alias("bbox"), "points", red.alias("red"), green.alias("green"))
+    rows = rows.select("*", G.fiber_type(F.col("red"), F.col("green"), G.runs(p)).alias("fiber_type"), F.try_divide("green", F.nullif("red", F.lit(0.0))).alias("ratio"), F.lit(None).cast("double").alias("error_probability"))
+    return files.trace_json(rows)
+
+
 @query("SELECT host, url FROM (SELECT split_part(split_part(url, '//', 2), '/', 1) AS host, url, row_number() OVER (PARTITION BY split_part(split_part(url, '//', 2), '/', 1) ORDER BY page_id) AS k FROM pages) WHERE k = 1")
 def queue_dedupe(spark, sf):
     """U3."""

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import segments
 from ..schemas import AI, CSV, TYPE_ALIASES
 
 
@@ -50,6 +51,20 @@ def fiber_json(df: DataFrame) -> DataFrame:
     return df.select("image_name", "fiber_id", F.to_json(F.struct(F.col("fiber_type").alias("type"), F.coalesce("ratio", F.lit(-1.0)).alias("ratio"), F.coalesce("error_probability", F.lit(-1.0)).alias("proba"))).alias("json"))
 
 
+def trace_json(df: DataFrame, scale: float = 1.0, colours: Sequence[str] = ("red", "green")) -> DataFrame:
+    """IO7 with traces: image, fiber_id and json, null for an empty trace. df: image, fiber_id, bbox, points (from the box's corner), red,
+    green, fiber_type, ratio and error_probability. Scaled coordinates are truncated; a null ratio or probability is -1."""
+    b, cut = F.col("bbox"), lambda c: (c * scale).cast("int")
+    found = segments(F.col("points"))
+    line = lambda s: F.array_join(F.transform(s["points"], lambda p: F.concat_ws(",", cut(p["x"] + b["x"]).cast("string"), cut(p["y"] + b["y"]).cast("string"))), " ")
+    whole = F.struct(
+        *(cut(b[k]).alias(k) for k in ("x", "y", "width", "height")), F.transform(found, line).alias("points"), F.transform(found, lambda s: F.when(s["label"] == 1, colours[0]).otherwise(colours[1])).alias("colors"),
+        "fiber_id", F.col("fiber_type").alias("type"), F.coalesce("ratio", F.lit(-1.0)).alias("ratio"), F.coalesce("error_probability", F.lit(-1.0)).alias("proba_error"),
+        F.transform(found, lambda s: F.size(s["points"])).alias("segmentLengthsPx"), F.col("red").cast("double").alias("firstAnalogPx"), F.col("green").cast("double").alias("secondAnalogPx"),
+    )
+    return df.select("image", "fiber_id", F.when(F.size("points") > 0, F.to_json(whole)).alias("json"))
+
+
 def list_files(spark: SparkSession, root: str, extensions: Sequence[str]) -> DataFrame:
     """IO8: paths below root whose extension is listed, whatever its case."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
