@@ -170,3 +170,12 @@ def test_equivalence_intervals(spark):
     for k, c in enumerate(("variance", "ks", "wasserstein")):
         assert r[f"{c}_low"] == pytest.approx(want[0, k], rel=0.15) and r[f"{c}_high"] == pytest.approx(want[1, k], rel=0.15)
     assert r.gmr_low < r.gmr < r.gmr_high and not r.equivalent and got["same"].equivalent
+
+
+def test_partially_overlapping_alternatives(spark):
+    df = spark.createDataFrame([(k, 1.0 * (k * 7 % 10) if k < 8 else None, 0.3 + k * 3 % 10 if k > 2 else None) for k in range(12)], "k int, x double, y double")
+    both, less, more = (S.partially_overlapping_t(df, "k", alternative=a).first() for a in ("two.sided", "less", "greater"))
+    assert less.p + more.p == pytest.approx(1) and both.p == pytest.approx(2 * min(less.p, more.p))
+    assert both.low < both.estimate < both.high and less.low == -math.inf and more.high == math.inf and less.high < both.high and more.low > both.low
+    assert both.low + both.high == pytest.approx(2 * both.estimate)
+    assert S.partially_overlapping_t(df.filter("x is null or y is null"), "k").count() == 0

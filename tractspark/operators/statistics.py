@@ -142,8 +142,11 @@ def welch_and_anova(df: DataFrame, a: str, b: str, col: str = "ratio") -> DataFr
     return m.select("type", "n1", "n2", ((F.col("m1") - F.col("m2")) / F.sqrt(s1 + s2)).alias("t"), (F.pow(s1 + s2, 2) / (F.pow(s1, 2) / (F.col("n1") - 1) + F.pow(s2, 2) / (F.col("n2") - 1))).alias("df"), (between / within).alias("f"))
 
 
-def partially_overlapping_t(df: DataFrame, key: str, equal: bool = True, mu: float = 0.0) -> DataFrame:
-    """Df has `key`, x and y (null where only one was seen). Statistic, degrees of freedom and estimate in one row."""
+def partially_overlapping_t(df: DataFrame, key: str, equal: bool = True, mu: float = 0.0, alternative: str = "two.sided", level: float = 0.95) -> DataFrame:
+    """Df has `key`, x and y (null where only one was seen). Statistic, degrees of freedom, estimate, p for the alternative (1 without a
+    standard error) and the interval (one end infinite for one-sided alternatives) in one row; no row for fewer than two pairs or none alone."""
+    if alternative not in ("two.sided", "less", "greater"):
+        raise ValueError("alternative: two.sided, less or greater")
     x, y, pair = F.col("x"), F.col("y"), F.col("x").isNotNull() & F.col("y").isNotNull()
     s = df.agg(F.count(x).alias("n1"), F.count(y).alias("n2"), F.count_if(pair).alias("n12"), F.avg(x).alias("m1"), F.avg(y).alias("m2"), F.var_samp(x).alias("v1"), F.var_samp(y).alias("v2"), F.coalesce(F.corr(F.when(pair, x), F.when(pair, y)), F.lit(0.0)).alias("r"))
     n1, n2, n12, v1, v2 = (F.col(c) for c in ("n1", "n2", "n12", "v1", "v2"))
@@ -157,7 +160,13 @@ def partially_overlapping_t(df: DataFrame, key: str, equal: bool = True, mu: flo
         welch = F.pow(v1 / n1 + v2 / n2, 2) / (F.pow(v1 / n1, 2) / (n1 - 1) + F.pow(v2 / n2, 2) / (n2 - 1))
         df_ = (n12 - 1) + (welch - n12 + 1) / (alone + 2 * n12) * alone
     est = F.col("m1") - F.col("m2")
-    return s.filter((n12 >= 2) & (alone > 0)).select(F.try_divide(est - mu, se).alias("statistic"), df_.alias("df"), est.alias("estimate"))
+    out = s.filter((n12 >= 2) & (alone > 0)).select(F.try_divide(est - mu, se).alias("statistic"), df_.alias("df"), est.alias("estimate"), se.alias("_se"))
+    t, dof, tails = F.col("statistic"), F.col("df"), 2 if alternative == "two.sided" else 1
+    p = t_two_sided(t, dof) if tails == 2 else t_upper(-t if alternative == "less" else t, dof)
+    reach = t_quantile(F.lit(1 - (1 - level) / tails), dof) * F.col("_se")
+    low = F.lit(float("-inf")) if alternative == "less" else F.col("estimate") - reach
+    high = F.lit(float("inf")) if alternative == "greater" else F.col("estimate") + reach
+    return out.select("statistic", "df", "estimate", F.coalesce(p, F.lit(1.0)).alias("p"), low.alias("low"), high.alias("high"))
 
 
 def equivalence_parts(df: DataFrame, a: str, b: str, margin_percent: float = 10.0, col: str = "ratio", alpha: float = 0.05) -> DataFrame:

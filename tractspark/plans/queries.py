@@ -424,10 +424,25 @@ def interaction(spark, sf):
     return S.interaction(_clean(spark, sf).withColumn("log_ratio", F.ln("ratio")), "log_ratio")
 
 
+def _overlapping(spark, sf) -> DataFrame:
+    key = F.col("o_orderkey") % 3
+    rows = X.table(spark, sf, "orders").select("o_orderkey", F.when(key < 2, F.col("o_totalprice")).alias("x"), F.when(key > 0, F.col("o_totalprice") * 0.9 + F.col("o_custkey")).alias("y"))
+    return S.partially_overlapping_t(rows, "o_orderkey")
+
+
 @query()
 def partially_overlapping(spark, sf):
     """T6."""
-    return S.partially_overlapping_t(X.table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 < 2, F.col("o_totalprice")).alias("x"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice") * 0.9 + F.col("o_custkey")).alias("y")), "o_orderkey")
+    return _overlapping(spark, sf)
+
+
+@query("""WITH t AS (SELECT CASE WHEN o_orderkey % 3 < 2 THEN o_totalprice END AS x, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice * 0.9 + o_custkey END AS y FROM orders),
+s AS (SELECT count(x) AS n1, count(y) AS n2, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS n12, avg(x) AS m1, avg(y) AS m2, var_samp(x) AS v1, var_samp(y) AS v2, corr(x, y) AS r FROM t)
+SELECT round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) / sqrt(1 / n1 + 1 / n2 - 2 * r * n12 / (n1 * n2)), 5) AS statistic,
+  round(n12 - 1 + (n1 + n2 - n12 - 1) / (n1 + n2) * (n1 + n2 - 2 * n12), 4) AS df, round(m1 - m2, 4) AS estimate FROM s""")
+def partially_overlapping_parts(spark, sf):
+    """T6 without p and interval."""
+    return _overlapping(spark, sf).select(_r("statistic", digits=5), _r("df", digits=4), _r("estimate", digits=4))
 
 
 _SCORED = "z AS (SELECT toxic AS y, (n_chars % 101) / 100 AS score FROM labels JOIN documents USING (doc_id))"
