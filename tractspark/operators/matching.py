@@ -31,6 +31,18 @@ def box_pairs(left: DataFrame, right: DataFrame, threshold: float, inclusive: bo
     return rows.filter(F.col("iou") >= threshold if inclusive else F.col("iou") > threshold).select("image", "a", "b", "box_a", "box_b", "iou")
 
 
+def near_pairs(left: DataFrame, right: DataFrame, distance: int = 5, cell: int = CELL) -> DataFrame:
+    """J2's candidates: image, a, b of all fibers that may have pixels within `distance` (pixels lie in their boxes; left boxes are inflated)."""
+    b = F.col("bbox")
+    grown = F.struct((b["x"] - distance).alias("x"), (b["y"] - distance).alias("y"), (b["width"] + 2 * distance).alias("width"), (b["height"] + 2 * distance).alias("height"))
+    one = _cells(left.select("image", F.col("fiber_id").alias("a"), grown.alias("bbox")), cell).withColumnRenamed("bbox", "p")
+    other = _cells(right.select("image", F.col("fiber_id").alias("b"), "bbox"), cell).withColumnRenamed("bbox", "q")
+    corner = lambda k: F.floor(F.greatest(F.col("p")[k], F.col("q")[k]) / cell)
+    meet = lambda k, s: (F.col("p")[k] < F.col("q")[k] + F.col("q")[s]) & (F.col("q")[k] < F.col("p")[k] + F.col("p")[s])
+    rows = one.join(other, ["image", "cx", "cy"]).filter((F.col("cx") == corner("x")) & (F.col("cy") == corner("y")))
+    return rows.filter(meet("x", "width") & meet("y", "height")).select("image", "a", "b")
+
+
 def difference(left: DataFrame, pairs: DataFrame) -> DataFrame:
     """J3."""
     return left.join(pairs.select("image", F.col("a").alias("fiber_id")), ["image", "fiber_id"], "left_anti")

@@ -159,6 +159,13 @@ def _pairs(spark, sf, threshold: float = 0.25) -> DataFrame:
     return J.box_pairs(b.filter("grader = 'F'"), b.filter("grader = 'O'"), threshold)
 
 
+def _similar(spark, sf, everyone: bool = False) -> DataFrame:
+    """Skeleton similarity of all pairs above 0: of F with O, or of any two fibers of an image."""
+    b = X.boxes(spark, sf)
+    near = J.near_pairs(b, b).filter("a < b") if everyone else J.near_pairs(b.filter("grader = 'F'"), b.filter("grader = 'O'"))
+    return J.skeleton_similarity(X.mask_pixels(spark, sf).select("image", "fiber_id", "y", "x"), near).filter("similarity > 0")
+
+
 @query("SELECT image, a, b, round(i / (s - i), 6) AS iou FROM pr", B)
 def box_overlap_join(spark, sf):
     """J1, R8."""
@@ -230,9 +237,9 @@ def union_found_flags(spark, sf):
 
 @query()
 def annotator_agreement(spark, sf):
-    """J6, J7, A8."""
+    """J6 (fibers of one grader link as well), J7, A8."""
     b = X.boxes(spark, sf)
-    return J.agreement(J.membership(b, J.clusters(b, _pairs(spark, sf)), ["F", "O"]), ["F", "O"])
+    return J.agreement(J.membership(b, J.clusters(b, _similar(spark, sf, everyone=True).filter("similarity > 0.5")), ["F", "O"]), ["F", "O"])
 
 
 _NEAR = "SELECT pr.image, a, b, count(DISTINCT ({0}.y, {0}.x)) AS h FROM pr JOIN px p ON p.image = pr.image AND p.fiber_id = a JOIN px q ON q.image = pr.image AND q.fiber_id = b AND (p.y - q.y) ** 2 + (p.x - q.x) ** 2 <= 25 GROUP BY ALL"
@@ -241,8 +248,7 @@ _NEAR = "SELECT pr.image, a, b, count(DISTINCT ({0}.y, {0}.x)) AS h FROM pr JOIN
 @query(f", n AS (SELECT image, fiber_id, count(*) AS n FROM px GROUP BY ALL), s AS (SELECT l.image, a, b, least(l.h / n1.n, r.h / n2.n) AS s FROM ({_NEAR.format('p')}) l JOIN ({_NEAR.format('q')}) r USING (image, a, b) JOIN n n1 ON n1.image = l.image AND n1.fiber_id = a JOIN n n2 ON n2.image = l.image AND n2.fiber_id = b) SELECT image, a, b, round(s, 6) AS similarity FROM s WHERE s > 0.5", PX)
 def skeleton_match(spark, sf):
     """J2, R10."""
-    pixels = X.mask_pixels(spark, sf).select("image", "fiber_id", "y", "x")
-    return J.skeleton_similarity(pixels, _pairs(spark, sf)).filter("similarity > 0.5").select("image", "a", "b", _r("similarity"))
+    return _similar(spark, sf).filter("similarity > 0.5").select("image", "a", "b", _r("similarity"))
 
 
 @query("SELECT type, grader, round(quantile_cont(ratio, 0.25), 6) AS q1, round(quantile_cont(ratio, 0.5), 6) AS q2, round(quantile_cont(ratio, 0.75), 6) AS q3 FROM d GROUP BY ALL", M)
