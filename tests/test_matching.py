@@ -63,3 +63,30 @@ def test_agreement_links_skeletons_of_all_fibers(spark, few, two_images):
             graders.setdefault(group[i, f[0]], set()).add(f[1])
     got = Q.annotator_agreement(spark, SF).first()
     assert (got.total, got.found_by_all) == (len(graders), sum(len(g) == 2 for g in graders.values()))
+
+
+def test_optimal_match_weighs_all_pairs(spark, few, two_images):
+    want = 0
+    for i, fibers in few.items():
+        left, right = ([f for f in fibers if f[1] == g] for g in "FO")
+        table = np.array([[similarity(a[3], b[3]) for b in right] for a in left])
+        table = table if len(left) <= len(right) else table.T
+        chosen = table[np.arange(len(table)), J.hungarian(table)]
+        want += chosen[chosen >= 0.5].sum()
+    got = Q.optimal_match(spark, SF).collect()
+    every = all_pairs(few)
+    assert sum(every[r.image, r.a, r.b] for r in got) == pytest.approx(want) and all(r.similarity >= 0.5 for r in got)
+
+
+def test_greedy_and_detection_from_a_tenth(spark, few, two_images):
+    want = set()
+    for i, fibers in few.items():
+        pairs = [(-iou(a[2], b[2]), a[0], b[0]) for a in fibers for b in fibers if (a[1], b[1]) == ("F", "O")]
+        used = set()
+        for v, a, b in sorted(p for p in pairs if -p[0] >= 0.1):
+            if not {("a", a), ("b", b)} & used:
+                used |= {("a", a), ("b", b)}
+                want.add((i, a, b))
+    assert {(r.image, r.a, r.b) for r in Q.greedy_match(spark, SF).collect()} == want
+    tp = {r.image: r.tp for r in Q.detection(spark, SF).collect()}
+    assert tp == {i: sum(k[0] == i for k in want) for i in few}

@@ -154,9 +154,9 @@ def curvature(spark, sf):
     return X.traces(spark, sf).select("user_id", _r(G.curvature(F.col("points")), "curvature", 5))
 
 
-def _pairs(spark, sf, threshold: float = 0.25) -> DataFrame:
+def _pairs(spark, sf, threshold: float = 0.25, inclusive: bool = False) -> DataFrame:
     b = X.boxes(spark, sf)
-    return J.box_pairs(b.filter("grader = 'F'"), b.filter("grader = 'O'"), threshold)
+    return J.box_pairs(b.filter("grader = 'F'"), b.filter("grader = 'O'"), threshold, inclusive)
 
 
 def _similar(spark, sf, everyone: bool = False) -> DataFrame:
@@ -196,7 +196,7 @@ def paired_lengths(spark, sf):
 @query()
 def greedy_match(spark, sf):
     """J11."""
-    return J.greedy_match(_pairs(spark, sf))
+    return J.greedy_match(_pairs(spark, sf, 0.1, inclusive=True))
 
 
 @query()
@@ -207,15 +207,15 @@ def first_come_match(spark, sf):
 
 @query()
 def optimal_match(spark, sf):
-    """J10."""
-    return J.optimal_match(_pairs(spark, sf), 0.5)
+    """By skeleton similarity."""
+    return J.optimal_match(_similar(spark, sf).withColumnRenamed("similarity", "iou"), 0.5).withColumnRenamed("iou", "similarity")
 
 
 @query()
 def detection(spark, sf):
     """A10, A12."""
     b = X.boxes(spark, sf)
-    return J.detection_scores(b.filter("grader = 'F'"), b.filter("grader = 'O'"), J.greedy_match(_pairs(spark, sf)), per_image=True)
+    return J.detection_scores(b.filter("grader = 'F'"), b.filter("grader = 'O'"), J.greedy_match(_pairs(spark, sf, 0.1, inclusive=True)), per_image=True)
 
 
 _UNION = "SELECT * FROM b WHERE grader = 'F' OR (image, fiber_id) NOT IN (SELECT (image, b) FROM pr)"
