@@ -371,7 +371,7 @@ def rank_test_p(spark, sf):
 @query()
 def bootstrap_intervals(spark, sf):
     """T3."""
-    return S.bootstrap_delta(_clean(spark, sf), BASELINE, replicates=1000)
+    return S.bootstrap_delta(_clean(spark, sf), BASELINE)
 
 
 _MOMENTS = f", g AS (SELECT type, count(*) FILTER (grader = '{AI}') AS n1, count(*) FILTER (grader = '{HUMAN}') AS n2, avg(VAL) FILTER (grader = '{AI}') AS m1, avg(VAL) FILTER (grader = '{HUMAN}') AS m2, var_samp(VAL) FILTER (grader = '{AI}') AS v1, var_samp(VAL) FILTER (grader = '{HUMAN}') AS v2 FROM d GROUP BY 1)"
