@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, materialise
@@ -147,12 +147,134 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3
     return fps.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The documents (all columns) whose doc_id is their component's; rows without an id stay, and of rows that repeat an id the one with
-    the smallest text digest stays."""
-    found = near_duplicates(docs, radius).filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_n"))
-    found = materialise(found, "kept")
-    once = docs.join(found.filter("_n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    repeated = docs.join(found.filter("_n > 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_digest"))
-    repeated = repeated.groupBy("doc_id").agg(F.min_by("_row", "_digest").alias("_row")).select("_row.*")
-    return once.unionByName(repeated).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+def shingle_set(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles: one for a shorter text, none for an empty one."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    last = min(words_per_shingle, len(words))
+    starts, stops = np.concatenate(([0], ends))[: len(words) - last + 1].tolist(), (ends[last - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, len(starts)).view(np.int64))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+
+
+def _sets(rows: DataFrame, words_per_shingle: int) -> DataFrame:
+    """key (a long) and text to key and items, the text's shingle set."""
+    schema = pa.schema([("key", pa.int64()), ("items", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(x.as_py(), words_per_shingle) for x in batch.column(1)]).cast(schema.field(1).type)], schema=schema)
+
+    return rows.mapInArrow(run, "key long, items array<long>")
+
+
+def _prefixes(rows: DataFrame, at_least: float, words_per_shingle: int, common: list[int]) -> DataFrame:
+    """doc_id, digest and text to doc_id, digest, cls (equal for equal sets), n and prefix: the first shingles of the set, rare ones before
+    those of `common` (rarest first). Sets of a Jaccard index of at_least share a shingle of their prefixes, whatever the order is."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    hot = np.array(common, np.int64)
+    by_hash = np.argsort(hot)
+    hashes = hot[by_hash]
+
+    def run(batches):
+        for batch in batches:
+            cls, n, prefix = [], [], []
+            for x in batch.column(2):
+                items = shingle_set(x.as_py(), words_per_shingle)
+                cls.append(xxhash.xxh64_intdigest(items.tobytes()))
+                n.append(len(items))
+                if len(hashes):
+                    at = np.minimum(np.searchsorted(hashes, items), len(hashes) - 1)
+                    items = items[np.argsort(np.where(hashes[at] == items, by_hash[at] + 1, 0), kind="stable")]
+                prefix.append(items[: len(items) - int(np.ceil(at_least * len(items) - 1e-9)) + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(n, pa.int64()), _lists(prefix).cast(schema.field(4).type)], schema=schema)
+
+    return rows.mapInArrow(run, "doc_id long, digest long, cls long, n long, prefix array<long>")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard index of at_least."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= at_least * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda key, items: sets.select(F.col("key").alias(key), F.col("items").alias(items))
+    joined = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    with arrow_rows(pairs.sparkSession):
+        return materialise(joined.mapInArrow(run, "a long, b long"), "links")
+
+
+def similar_classes(docs: DataFrame, at_least: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
+    """doc_id, digest (of the text) and root for each row: rows share a root if a chain of texts joins them whose shingle sets have, each
+    with the next, a Jaccard index of at_least (above 0). Exact: candidates share a shingle of their prefixes, all are confirmed on
+    their whole sets, and only pairs that stars around the least and the greatest set of a shingle have joined already are passed over.
+    Texts without words are alike."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+    with arrow_rows(spark):
+        # Any one order is right; this one, from a sixteenth of the texts, keeps passages of many texts out of the prefixes.
+        seen = _sets(rows.filter(F.pmod("digest", F.lit(16)) == 0).dropDuplicates(["digest"]).select(F.col("digest").alias("key"), "text"), words_per_shingle)
+        seen = seen.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c")).filter("c > 1")
+        common = [r.item for r in reversed(seen.orderBy(F.desc("c"), "item").limit(200_000).select("item").collect())]
+        marked = materialise(_prefixes(rows, at_least, words_per_shingle, common), "prefixes")
+    own = marked.groupBy("cls").agg(F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"))
+    own = own.select("cls", "n", F.posexplode("prefix").alias("pos", "item")).select("item", F.struct("cls", "n", "pos").alias("own"))
+    at = Window.partitionBy("item")
+    own = materialise(own.withColumns({"low": F.min("own").over(at), "high": F.max("own").over(at)}).filter("low.cls < high.cls"), "shared")
+
+    def pairs(df: DataFrame, p: str, q: str) -> DataFrame:
+        """Of two sets that first meet in a shingle, no more than the rests of both can be common."""
+        n, m, i, j = (F.col(f"{side}.{x}") for x in ("n", "pos") for side in (p, q))
+        fits = F.least(n - i, m - j) >= at_least / (1 + at_least) * (n + m) - 1e-6
+        return df.filter(fits).select(F.least(f"{p}.cls", f"{q}.cls").alias("a"), F.greatest(f"{p}.cls", f"{q}.cls").alias("b")).filter("a < b").distinct()
+
+    def confirmed(found: DataFrame) -> DataFrame:
+        """The found pairs that are alike, by the sets of their classes alone."""
+        classes = found.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        text_of = materialise(marked.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("digest").alias("digest")), "texts")
+        texts = rows.join(text_of, "digest").dropDuplicates(["cls"]).select(F.col("cls").alias("key"), "text")
+        with arrow_rows(spark):
+            sets = materialise(_sets(texts, words_per_shingle), "sets")
+        return _confirmed(found, sets, at_least)
+
+    stars = materialise(pairs(own, "own", "low").unionByName(pairs(own, "own", "high")).distinct(), "pairs")
+    links_ = confirmed(stars)
+    roots = components(links_)
+    own = own.select("item", "own").join(roots, F.col("own.cls") == F.col("node"), "left").select("item", "own", F.coalesce("root", "own.cls").alias("root"))
+    own = materialise(own, "rooted")
+    split = own.groupBy("item").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("item")
+    own = own.join(split, "item", "left_semi")
+    met = own.join(own.select("item", F.col("own").alias("other"), F.col("root").alias("other_root")), "item").filter("root <> other_root and own.cls < other.cls")
+    rest = materialise(pairs(met, "own", "other").join(stars, ["a", "b"], "left_anti"), "pairs")
+    roots = components(links_.unionByName(confirmed(rest)))
+    return marked.join(roots, F.col("cls") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("root", "cls").alias("root"))
+
+
+def keep_one(docs: DataFrame, at_least: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
+    """One row (all columns) of each group of near copies, by similar_classes: the one with the least doc_id (rows without one come last),
+    then the least text digest."""
+    found = similar_classes(docs, at_least, words_per_shingle)
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("k"))
+    least = least.select(F.col("k.doc_id").alias("_id"), F.col("k.digest").alias("_digest"))
+    counts = found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).groupBy("_id", "_digest").agg(F.count("*").alias("_n"))
+    least, counts = least.alias("l"), counts.alias("c")
+    kept = materialise(least.join(counts, F.col("l._id").eqNullSafe(F.col("c._id")) & (F.col("l._digest") == F.col("c._digest"))).select("l._id", "l._digest", "_n"), "kept")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_digest"))
+    once = docs.join(kept.filter("_n = 1"), same, "left_semi").select(*docs.columns)
+    repeated = docs.join(kept.filter("_n > 1"), same).select("_id", "_digest", F.struct(*docs.columns).alias("_row"))
+    repeated = repeated.groupBy("_id", "_digest").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")
+    return once.unionByName(repeated).select(*docs.columns)
