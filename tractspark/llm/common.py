@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,10 +56,10 @@ class Scratch:
         self.n += 1
         return _written(df, f"{self.path}/{self.n}")
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that `write` gave, once nothing reads it any more."""
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if name.startswith(self.path.split("://")[0]) and f"{self.path.rsplit('/', 1)[-1]}/" in name:
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that `write` gave, once nothing reads them any more."""
+        for table in tables:
+            for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
                 self._delete(name)
 
     def _delete(self, name: str) -> None:
@@ -91,14 +92,23 @@ def arrow_rows(spark: SparkSession, n: int = ARROW_ROWS):
         spark.conf.set(key, old)
 
 
-def running_sums(values: Column) -> Column:
-    """Array of the sums of all elements before each one (as int), by steps of STEP elements, so that no array grows by one element at a time."""
-    starts = lambda a: F.aggregate(a, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Array (int) of what merge makes of 0 and all elements before each one, by steps of STEP elements, so that no array grows by one
+    element at a time."""
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = lambda a: F.aggregate(a, empty, lambda s, x: F.struct(merge(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
     last = F.greatest(F.lit(0), F.floor((F.size(values) - 1) / STEP)).cast("int")
     steps = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * STEP + 1, F.lit(STEP)))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    before = starts(F.transform(steps, total))
-    return F.flatten(F.zip_with(F.transform(steps, starts), before, lambda own, first: F.transform(own, lambda x: x + first)))
+    before = starts(F.transform(steps, lambda a: F.aggregate(a, F.lit(0), merge)))
+    return F.flatten(F.zip_with(F.transform(steps, starts), before, lambda own, first: F.transform(own, lambda x: merge(first, x))))
+
+
+def running_sums(values: Column) -> Column:
+    return running(values, lambda s, x: s + x)
+
+
+def running_most(values: Column) -> Column:
+    return running(values, F.greatest)
 
 
 def text_or_empty(col: str = "text") -> Column:
@@ -111,3 +121,8 @@ def free_name(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

@@ -135,7 +135,8 @@ f AS ({" UNION ALL ".join(_FOUND.format(rank=rank, kind=kind, pattern=pattern, g
 w AS (SELECT r, rank, kind, whole, value, (sum(length(gap) + coalesce(length(whole), 0)) OVER (PARTITION BY r, rank ORDER BY i))::BIGINT AS stop FROM f),
 m AS (SELECT r, rank, kind, stop - length(whole) AS start, stop, stop - length(value) AS value_start, value FROM w
   WHERE whole IS NOT NULL AND CASE kind WHEN 'assign' THEN length(value) >= {secrets.VALUE_LENGTH} WHEN 'access' THEN length(whole) >= 16 ELSE length(whole) >= 32 END),
-o AS (SELECT value FROM (SELECT DISTINCT value, source FROM m JOIN d USING (r)) GROUP BY value HAVING count(*) >= {secrets.EXAMPLE_OWNERS}),
+h AS (SELECT DISTINCT value, source, doc_id, CASE WHEN doc_id IS NULL THEN t END AS t FROM m JOIN d USING (r)),
+o AS (SELECT value FROM h GROUP BY value HAVING count(DISTINCT source) + max((source IS NULL)::INT) >= {secrets.EXAMPLE_OWNERS} OR count(*) >= {secrets.EXAMPLE_REPOSITORIES}),
 e AS (SELECT r, start, rank, kind, stop FROM m UNION ALL
   SELECT DISTINCT r, value_start, 3, CASE WHEN value IN (FROM o) THEN 'example' ELSE 'live' END, stop FROM m),
 n AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
