@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_name, materialise, own_columns
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -97,9 +97,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, blo
 
 def resample(docs: DataFrame, **how) -> DataFrame:
     """docs as the mix takes them: a document whose words are taken k times and in part once more stays k + 1 times, one of which nothing
-    is taken goes (rows equal in doc_id, source and text stay as often as the one taken most). Only the last document of a shard's selection is taken in part, so sources stay near their targets."""
-    taken = mix(docs, **how).filter("taken > 0").select("doc_id", "source", "text_key", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    taken = taken.groupBy("doc_id", "source", "text_key").agg(F.max("_times").alias("_times"))
-    taken = taken.select(*(F.col(k).alias(f"_{k}") for k in ("doc_id", "source", "text_key")), "_times")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_doc_id")) & docs["source"].eqNullSafe(F.col("_source")) & F.xxhash64("text").eqNullSafe(F.col("_text_key")))
-    return rows.withColumn("_copy", F.explode(F.expr("array_repeat(0, cast(_times as int))"))).select(*docs.columns)
+    is taken goes (rows equal in doc_id, source and text stay as often as the one taken most). Only the last document of a shard's selection
+    is taken in part, so sources stay near their targets. Null or empty texts have no words and go; null sources are one source; an empty
+    table gives no rows; columns of any name are carried."""
+    keys = {k: free_name(docs.columns, f"mix_{k}") for k in ("doc_id", "source", "text_key")}
+    times = free_name(docs.columns, "mix_times")
+    taken = mix(docs, **how).filter("taken > 0").groupBy("doc_id", "source", "text_key").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(times))
+    taken = taken.select(*(F.col(k).alias(v) for k, v in keys.items()), times)
+    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(keys["doc_id"])) & F.col("source").eqNullSafe(F.col(keys["source"])) & F.xxhash64("text").eqNullSafe(F.col(keys["text_key"])))
+    return rows.select(*own_columns(docs), F.explode(F.array_repeat(F.lit(0), F.col(times))).alias(times)).select(*own_columns(docs))

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import arrow_rows
+from .common import bound_arrow, free_name, own_columns
 
 #: Labelled rows to fit on, at most.
 SAMPLE = 20_000
@@ -122,32 +123,33 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """keep, the columns to carry, and stats, an array of the statistics."""
-    fields = docs.select(*keep).schema
+    bound_arrow(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             x = [statistics(v.as_py()) for v in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(x, pa.list_(pa.float64()))], names=[*keep, "stats"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{fields.simpleString()[7:-1]}, stats array<double>")
+    schema = StructType([*docs.select(*keep).schema.fields, StructField("stats", ArrayType(DoubleType()))])
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Fits on at most `sample` labelled documents that aren't held out."""
     usable = labels.filter(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    with arrow_rows(docs.sparkSession):
-        texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        # One text for each label, however often its doc_id is repeated: what the driver gets is at most the sample.
-        texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-        rows = with_statistics(texts, ["doc_id", "quality"]).toPandas()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # One text for each label, however often its doc_id is repeated: what the driver gets is at most the sample.
+    texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = with_statistics(texts, ["doc_id", "quality"]).toPandas()
     rows = rows.sort_values("doc_id")
     x = np.stack(rows["stats"].to_list()) if len(rows) else np.zeros((0, len(NAMES)))
     return fit(x, rows["quality"].to_numpy(float))
 
 
-def score(docs: DataFrame, trees: Trees) -> DataFrame:
-    """docs with two more columns, quality_score and quality_predicted."""
+def score(docs: DataFrame, trees: Trees, score_name: str = "quality_score", predicted_name: str = "quality_predicted") -> DataFrame:
+    """docs with two more columns, whose names must be free: the score and whether it reaches THRESHOLD."""
+    bound_arrow(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     columns = docs.columns
 
@@ -156,19 +158,20 @@ def score(docs: DataFrame, trees: Trees) -> DataFrame:
             text = batch.column(columns.index("text"))
             x = np.array([statistics(v.as_py()) for v in text]).reshape(-1, len(NAMES))
             p = shared.value.score(x)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*columns, "quality_score", "quality_predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*columns, score_name, predicted_name])
 
-    schema = docs.schema.simpleString()[7:-1]
-    return docs.mapInArrow(run, f"{schema}, quality_score double, quality_predicted int")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_name, DoubleType()), StructField(predicted_name, IntegerType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    trees = fit_on(docs, labels, sample)
-    scored = score(docs.select("doc_id", "text"), trees)
+    scored = score(docs.select("doc_id", "text"), fit_on(docs, labels, sample))
     return scored.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents (all columns) predicted to be of quality 1."""
-    return score(docs, fit_on(docs, labels, sample)).filter("quality_predicted = 1").select(*docs.columns)
+    """The documents (all columns, of whatever names) predicted to be of quality 1; repeated rows stay or go alike, a null text is judged as
+    an empty one, an empty table gives no rows, and without any usable label (score 0.5) all stay."""
+    score_name, predicted_name = free_name(docs.columns, "quality_score"), free_name(docs.columns, "quality_predicted")
+    scored = score(docs, fit_on(docs, labels, sample), score_name, predicted_name)
+    return scored.filter(F.col(predicted_name) == 1).select(*own_columns(docs))

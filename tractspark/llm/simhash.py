@@ -19,10 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialise
+from .common import Scratch, arrow_rows, bound_arrow, free_name, materialise
+from .rolling import Hashes, mixed
 
 #: Fingerprints in a tile.
 TILE = 2048
+#: Shingles that the order of prefixes puts last, at most.
+COMMON = 200_000
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
@@ -118,33 +121,35 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) with root the smallest node reachable, for the nodes of the links (a, b) other than the roots. Alternates large-star and small-star rounds,
     each written to the shared folder, until the stars no longer change."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    edges = materialise(edges, "stars")
-    state = None
-    while True:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.filter("m < a").select("a", F.col("m").alias("b")))
-        large = materialise(large.filter("a <> b").distinct(), "stars")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionAll(low.select("a", F.col("m").alias("b")))
-        edges = materialise(small.distinct(), "stars")
-        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.expr("sum(cast(a as decimal(38,0)) - b)")).first())
-        if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = now
+    with Scratch(edges.sparkSession, "stars") as scratch:
+        edges, state = scratch.write(edges), None
+        while True:
+            both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.filter("m < a").select("a", F.col("m").alias("b")))
+            large = scratch.write(large.filter("a <> b").distinct())
+            low = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionAll(low.select("a", F.col("m").alias("b")))
+            new = scratch.write(small.distinct())
+            now = tuple(new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.expr("sum(cast(a as decimal(38,0)) - b)")).first())
+            if now == state:
+                return materialise(new.select(F.col("a").alias("node"), F.col("b").alias("root")), "components")
+            scratch.drop(edges, large)
+            edges, state = new, now
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id."""
-    with arrow_rows(docs.sparkSession):
-        fps = materialise(fingerprints(docs, words_per_shingle), "fps")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    groups = components(links(nodes.select("fp"), radius))
-    # Components of fingerprints first; then the smallest document of each.
-    member = nodes.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    first = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    member = member.join(first, "root").select("fp", "component_id")
-    return fps.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with Scratch(docs.sparkSession, "simhash") as scratch:
+        bound_arrow(docs.sparkSession)
+        fps = scratch.write(fingerprints(docs, words_per_shingle))
+        nodes = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+        groups = components(links(nodes.select("fp"), radius))
+        # Components of fingerprints first; then the smallest document of each.
+        member = nodes.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+        first = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
+        member = member.join(first, "root").select("fp", "component_id")
+        return materialise(fps.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), "near")
 
 
 def shingle_set(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
@@ -152,12 +157,11 @@ def shingle_set(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.int64)
-    joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     last = min(words_per_shingle, len(words))
-    starts, stops = np.concatenate(([0], ends))[: len(words) - last + 1].tolist(), (ends[last - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, len(starts)).view(np.int64))
+    starts, stops = np.concatenate(([0], ends))[: len(words) - last + 1], ends[last - 1 :] - 1
+    joined = np.frombuffer(b" ".join(words), np.uint8)
+    return np.unique(mixed(Hashes(joined).window(starts, stops)).view(np.int64), sorted=True)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -213,9 +217,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(keep, pa.bool_()))
 
     side = lambda key, items: sets.select(F.col("key").alias(key), F.col("items").alias(items))
-    joined = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
-    with arrow_rows(pairs.sparkSession):
-        return materialise(joined.mapInArrow(run, "a long, b long"), "links")
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def similar_classes(docs: DataFrame, at_least: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
@@ -224,17 +226,8 @@ def similar_classes(docs: DataFrame, at_least: float = 0.8, words_per_shingle: i
     their whole sets, and only pairs that stars around the least and the greatest set of a shingle have joined already are passed over.
     Texts without words are alike."""
     spark = docs.sparkSession
+    bound_arrow(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
-    with arrow_rows(spark):
-        # Any one order is right; this one, from a sixteenth of the texts, keeps passages of many texts out of the prefixes.
-        seen = _sets(rows.filter(F.pmod("digest", F.lit(16)) == 0).dropDuplicates(["digest"]).select(F.col("digest").alias("key"), "text"), words_per_shingle)
-        seen = seen.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c")).filter("c > 1")
-        common = [r.item for r in reversed(seen.orderBy(F.desc("c"), "item").limit(200_000).select("item").collect())]
-        marked = materialise(_prefixes(rows, at_least, words_per_shingle, common), "prefixes")
-    own = marked.groupBy("cls").agg(F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"))
-    own = own.select("cls", "n", F.posexplode("prefix").alias("pos", "item")).select("item", F.struct("cls", "n", "pos").alias("own"))
-    at = Window.partitionBy("item")
-    own = materialise(own.withColumns({"low": F.min("own").over(at), "high": F.max("own").over(at)}).filter("low.cls < high.cls"), "shared")
 
     def pairs(df: DataFrame, p: str, q: str) -> DataFrame:
         """Of two sets that first meet in a shingle, no more than the rests of both can be common."""
@@ -242,39 +235,59 @@ def similar_classes(docs: DataFrame, at_least: float = 0.8, words_per_shingle: i
         fits = F.least(n - i, m - j) >= at_least / (1 + at_least) * (n + m) - 1e-6
         return df.filter(fits).select(F.least(f"{p}.cls", f"{q}.cls").alias("a"), F.greatest(f"{p}.cls", f"{q}.cls").alias("b")).filter("a < b").distinct()
 
-    def confirmed(found: DataFrame) -> DataFrame:
-        """The found pairs that are alike, by the sets of their classes alone."""
-        classes = found.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        text_of = materialise(marked.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("digest").alias("digest")), "texts")
-        texts = rows.join(text_of, "digest").dropDuplicates(["cls"]).select(F.col("cls").alias("key"), "text")
-        with arrow_rows(spark):
-            sets = materialise(_sets(texts, words_per_shingle), "sets")
-        return _confirmed(found, sets, at_least)
-
-    stars = materialise(pairs(own, "own", "low").unionByName(pairs(own, "own", "high")).distinct(), "pairs")
-    links_ = confirmed(stars)
-    roots = components(links_)
-    own = own.select("item", "own").join(roots, F.col("own.cls") == F.col("node"), "left").select("item", "own", F.coalesce("root", "own.cls").alias("root"))
-    own = materialise(own, "rooted")
-    split = own.groupBy("item").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("item")
-    own = own.join(split, "item", "left_semi")
-    met = own.join(own.select("item", F.col("own").alias("other"), F.col("root").alias("other_root")), "item").filter("root <> other_root and own.cls < other.cls")
-    rest = materialise(pairs(met, "own", "other").join(stars, ["a", "b"], "left_anti"), "pairs")
-    roots = components(links_.unionByName(confirmed(rest)))
-    return marked.join(roots, F.col("cls") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("root", "cls").alias("root"))
+    with Scratch(spark, "near") as scratch:
+        # Any one order is right; this one, from a sixteenth of the texts, keeps passages of many texts out of the prefixes.
+        seen = _sets(rows.filter(F.pmod("digest", F.lit(16)) == 0).dropDuplicates(["digest"]).select(F.col("digest").alias("key"), "text"), words_per_shingle)
+        seen = seen.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c")).filter("c > 1")
+        common = [r.item for r in reversed(seen.orderBy(F.desc("c"), "item").limit(COMMON).select("item").collect())]
+        marked = scratch.write(_prefixes(rows, at_least, words_per_shingle, common))
+        own = marked.groupBy("cls").agg(F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"))
+        own = own.select("cls", "n", F.posexplode("prefix").alias("pos", "item")).select("item", F.struct("cls", "n", "pos").alias("own"))
+        at = Window.partitionBy("item")
+        own = scratch.write(own.withColumns({"low": F.min("own").over(at), "high": F.max("own").over(at)}).filter("low.cls < high.cls"))
+        of_class = scratch.write(marked.groupBy("cls").agg(F.min("digest").alias("digest")))
+
+        def sets_of(found: DataFrame) -> DataFrame:
+            """key (a class) and items of the classes that are found."""
+            needed = of_class.join(found.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls")
+            texts = rows.select("digest", "text").join(needed, "digest").dropDuplicates(["cls"])
+            return scratch.write(_sets(texts.select(F.col("cls").alias("key"), "text"), words_per_shingle))
+
+        stars = scratch.write(pairs(own, "own", "low").unionByName(pairs(own, "own", "high")).distinct())
+        sets = sets_of(stars)
+        links_ = scratch.write(_confirmed(stars, sets, at_least))
+        roots = components(links_)
+        rooted = own.select("item", "own").join(roots, F.col("own.cls") == F.col("node"), "left").select("item", "own", F.coalesce("root", "own.cls").alias("root"))
+        rooted = scratch.write(rooted)
+        scratch.drop(own)
+        # What is left of a shingle's sets meets in classes of size: sets whose sizes differ by more than at_least can't be alike.
+        split = rooted.groupBy("item").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("item")
+        size = F.floor(F.log("own.n") / -F.log(F.lit(at_least)) + 1e-9) if at_least < 1 else F.col("own.n")
+        left = rooted.join(split, "item", "left_semi").withColumn("size", size)
+        other = left.select("item", F.col("own").alias("other"), F.col("root").alias("other_root"), F.explode(F.array("size", F.col("size") - 1)).alias("size"))
+        met = left.join(other, ["item", "size"]).filter("root <> other_root and own.cls <> other.cls")
+        rest = scratch.write(pairs(met, "own", "other").join(stars, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            new = sets_of(rest.select("a", "b"))
+            links_ = links_.unionByName(scratch.write(_confirmed(rest, new, at_least)))
+            roots = components(links_)
+        return materialise(marked.select("doc_id", "digest", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("root", "cls").alias("root")), "classes")
 
 
 def keep_one(docs: DataFrame, at_least: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
     """One row (all columns) of each group of near copies, by similar_classes: the one with the least doc_id (rows without one come last),
-    then the least text digest."""
+    then the least text digest. A null or empty text counts as one without words, and all of these are one group; of rows equal in doc_id
+    and text one stays; an empty table gives no rows; columns of any name are carried."""
     found = similar_classes(docs, at_least, words_per_shingle)
+    key_id, key_digest = (free_name(docs.columns, c) for c in ("key_id", "key_digest"))
     least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("k"))
-    least = least.select(F.col("k.doc_id").alias("_id"), F.col("k.digest").alias("_digest"))
-    counts = found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).groupBy("_id", "_digest").agg(F.count("*").alias("_n"))
-    least, counts = least.alias("l"), counts.alias("c")
-    kept = materialise(least.join(counts, F.col("l._id").eqNullSafe(F.col("c._id")) & (F.col("l._digest") == F.col("c._digest"))).select("l._id", "l._digest", "_n"), "kept")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_digest"))
-    once = docs.join(kept.filter("_n = 1"), same, "left_semi").select(*docs.columns)
-    repeated = docs.join(kept.filter("_n > 1"), same).select("_id", "_digest", F.struct(*docs.columns).alias("_row"))
-    repeated = repeated.groupBy("_id", "_digest").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")
-    return once.unionByName(repeated).select(*docs.columns)
+    least = least.select(F.col("k.doc_id").alias(key_id), F.col("k.digest").alias(key_digest))
+    counts = found.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    same = F.col("doc_id").eqNullSafe(F.col(key_id)) & (F.col("digest") == F.col(key_digest))
+    kept = materialise(least.join(counts, same).select(key_id, key_digest, "n"), "kept")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key_id)) & (F.xxhash64("text") == F.col(key_digest))
+    once = docs.join(kept.filter("n = 1").drop("n"), same, "left_semi")
+    repeated = docs.join(kept.filter("n > 1").drop("n"), same).select(key_id, key_digest, F.struct(*own).alias("row"))
+    repeated = repeated.groupBy(key_id, key_digest).agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return once.unionByName(repeated)

@@ -25,45 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, materialise
+from .rolling import BASES, Hashes, mixed
 
 LENGTH, K = 400, 32
 #: Bytes that are hashed at once, contexts of one group that one shard takes, and bytes of a shard, about.
 SEGMENT, GROUP, SHARD = 1 << 19, 1500, 1 << 20
 
 _U = np.uint64
-_BASE1, _BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up = np.multiply.accumulate(np.concatenate(([_U(1)], np.full(n, base, _U))))
-        down = np.multiply.accumulate(np.concatenate(([_U(1)], np.full(n, pow(base, -1, 1 << 64), _U))))
-    return up, down
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> _U(33))
-    h *= _U(0xFF51AFD7ED558CCD)
-    h ^= h >> _U(33)
-    h *= _U(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> _U(33))
-
-
-class Hashes:
-    """Polynomial hashes of any windows of a segment, from prefix sums."""
-
-    tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def __init__(self, data: np.ndarray, base: int):
-        n = len(data)
-        if base not in self.tables or len(self.tables[base][0]) < n + 1:
-            self.tables[base] = _powers(base, n + 1)
-        self.up, self.down = self.tables[base]
-        self.sums = np.zeros(n + 1, _U)
-        np.cumsum((data.astype(_U) + _U(1)) * self.up[:n], out=self.sums[1:])
-
-    def window(self, start, stop) -> np.ndarray:
-        return (self.sums[stop] - self.sums[start]) * self.down[start]
 
 
 def contexts(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = K) -> np.ndarray:
@@ -82,9 +50,9 @@ def contexts(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int =
         fits = np.arange(at, at + n) + length <= ends[np.minimum(own, len(ends) - 1)]
         if not fits.any():
             continue
-        one, two = Hashes(piece, _BASE1), Hashes(piece, _BASE2)
+        one, two = Hashes(piece, BASES[0]), Hashes(piece, BASES[1])
         m = len(piece) - k + 1
-        keys = _mixed(one.window(slice(0, m), slice(k, k + m)))
+        keys = mixed(one.window(slice(0, m), slice(k, k + m)))
         keys = (keys & ~_U((1 << bits) - 1)) | np.arange(m, dtype=_U)
         blocks = np.full(-(-m // span) * span, ~_U(0))
         blocks[:m] = keys
@@ -105,7 +73,7 @@ def contexts(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int =
         # All strings of a near run hold [a, a + length - half + 1), of a far one [a - half, a + k).
         group = one.window(np.where(f, a - half, a), np.where(f, a + k, a + length - half + 1)) + f.astype(_U) * _U(0x5851F42D4C957F2D)
         whole = two.window(first, first + count + length - 1)
-        out.append(np.stack([first + at, count, _mixed(group).view(np.int64), _mixed(whole).view(np.int64)]))
+        out.append(np.stack([first + at, count, mixed(group).view(np.int64), mixed(whole).view(np.int64)]))
     return np.concatenate(out, axis=1).T if out else np.zeros((0, 4), np.int64)
 
 
@@ -186,7 +154,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     rough = rough[is_lms[rough]]
     # LMS substrings, each to the next LMS position, are in order now; neighbours are equal if their hashes and sizes are.
     stop = np.append(lms[1:], n - 1) + 1
-    digest = _mixed(Hashes(t, _BASE1).window(lms, stop)) ^ _mixed(Hashes(t, _BASE2).window(lms, stop) + _U(1))
+    digest = mixed(Hashes(t, BASES[0]).window(lms, stop)) ^ mixed(Hashes(t, BASES[1]).window(lms, stop) + _U(1))
     place = np.full(n, -1, np.int32)
     place[lms] = np.arange(len(lms))
     at = place[rough]
@@ -346,7 +314,7 @@ def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             if is_split:  # each distinct string once for the shard; alone ones with their place
                 data = np.frombuffer(parts[i], np.uint8)
                 s = np.arange(cnt[i])
-                h = (_mixed(Hashes(data, _BASE1).window(s, s + length)) ^ Hashes(data, _BASE2).window(s, s + length)).view(np.int64)
+                h = (mixed(Hashes(data, BASES[0]).window(s, s + length)) ^ Hashes(data, BASES[1]).window(s, s + length)).view(np.int64)
                 fresh = np.array([not (dup and x in known) for x, dup in zip(h.tolist(), own.tolist())], bool)
                 known.update(dict.fromkeys(h[own].tolist()))
                 at, hashes = np.where(own | (m[i] > 1), -1, s + pos[i])[fresh], h[fresh]
