@@ -108,7 +108,7 @@ def running_sums(values: Column) -> Column:
 
 
 def running_most(values: Column) -> Column:
-    return running(values, F.greatest)
+    return running(values, lambda s, x: F.greatest(s, x))
 
 
 def text_or_empty(col: str = "text") -> Column:
