@@ -1,119 +1,157 @@
-"""Document fingerprints: Merkle trees over paragraphs and sections.
+"""Document fingerprints: Merkle trees over sections, paragraphs and short runs.
 
-A text falls into sections (at blank lines), these into paragraphs (lines), and a long paragraph into runs of words cut where the hash
-of a word says so, so cuts follow the text and not the position. Leaves are hashes of runs; a paragraph's, section's and document's node
-is the hash of its children's. The fingerprint is the root followed by the leaves, so roots test equality; likeness is the share of
-leaves in common; `edits` compares two trees from the root and goes down differing branches only.
+A text falls into sections (behind blank lines), these into paragraphs (lines), these into leaves: runs that end at a space, or where there is
+none at a letter of a few, so cuts follow the text and not the position; only the first characters of a text are cut more finely, so that
+short texts have several leaves too. All parts together are the text. A node's digest is the hash of its children's, up to the root, so roots
+test equality. A fingerprint holds the root, then each section's and paragraph's digest and the leaves with their lengths, all but the root
+cut short; it gives the whole tree back.
+
+Likeness goes down the differing branches: nodes of one level with equal digests count with all their characters, the children of the
+others are compared on the next level. `edits` locates changes alike: it passes over equal branches and goes down the differing ones.
 
 Defined cases: a null text is an empty one, whose tree has no leaf; two empty fingerprints have likeness 1; documents follow each other by
-descending doc_id, null last, and by text where ids repeat; a single document is its own next; an empty table gives no rows; further
-columns are ignored.
+descending doc_id, null last, and by the text's hash where ids repeat; a single document is its own next; an empty table gives no rows;
+further columns are ignored, whatever their names. Very long texts are read whole; a line of any length has leaves of bounded length.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
-from dataclasses import dataclass, field
+import re
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
-from .common import arrow_rows
-
-#: Words of a run: cut after a word whose hash is divisible by RUN once RUN // 2 words are in it, and after 4 * RUN at the latest.
-RUN = 16
-LEAF, ROOT = 8, 32
-#: Documents of a range in which neighbours are found, about.
-RANGE = 5000
-#: Ranges at most; with more documents ranges grow, which costs no memory, as tasks read them in order.
-RANGES = 1024
-
-
-@dataclass
-class Node:
-    digest: str
-    start: int
-    stop: int
-    children: list["Node"] = field(default_factory=list)
-
-
-def _runs(paragraph: str) -> list[str]:
-    words = paragraph.split(" ")
-    if len(words) <= RUN:
-        return [paragraph]
-    out, first = [], 0
-    for i, word in enumerate(words):
-        n = i + 1 - first
-        if n >= 4 * RUN or n >= RUN // 2 and xxhash.xxh32_intdigest(word) % RUN == 0:
-            out.append(" ".join(words[first : i + 1]))
-            first = i + 1
-    if first < len(words):
-        out.append(" ".join(words[first:]))
-    return out
+from .common import bound_arrow
 
+#: Leaves of two characters before FINE, of at least 6 before MIDDLE, of at least 40 behind.
+FINE, MIDDLE = 32, 256
+_SHORT = re.compile(r"(?s).{6,16}? |.{6,16}?[aeiou0-4/+]|.{1,16}")
+_LONG = re.compile(r"(?s).{40,80}? |.{40,80}?[aeiou0-4/+]|.{1,80}")
+#: Hexadecimal digits of the root, of sections and paragraphs, of a leaf's hash and length.
+ROOT, INNER, LEAF, SIZE = 32, 8, 6, 2
+#: Documents of a range in which neighbours are found, about, and ranges (what the driver knows of the table is one key for each).
+RANGE, RANGES = 5000, 100_000
 
-def _leaf(text: str) -> str:
-    return f"{xxhash.xxh32_intdigest(text, 7):08x}"
+#: A node: digest as the fingerprint holds it, characters, children.
+Node = tuple[str, int, list]
 
 
-def leaves(text: str) -> list[list[list[tuple[str, int]]]]:
-    """Sections of paragraphs of (leaf hash, characters)."""
-    return [[[(_leaf(r), len(r)) for r in _runs(p)] for p in section.split("\n")] for section in text.split("\n\n")] if text else []
+def _runs(paragraph: str, at: int) -> list[str]:
+    """The leaves of a paragraph that starts at character `at` of its text."""
+    out, i = [], 0
+    if at < FINE:
+        out = [paragraph[k : k + 2] for k in range(0, min(len(paragraph), FINE - at), 2)]
+        i = 2 * len(out)
+    if at + i < MIDDLE:
+        out += _SHORT.findall(paragraph[i : MIDDLE - at])
+        i = max(i, MIDDLE - at)
+    return out + _LONG.findall(paragraph, i) if i < len(paragraph) else out
 
 
-def fingerprint(text: str | None) -> str:
-    """Root and leaves. The root hashes the nodes' hashes of the exact texts, so texts are equal if and only if their roots are."""
-    text = text or ""
-    found = leaves(text)
-    sections = ["".join(hashlib.blake2b("\n".join(x for x, _ in p).encode(), digest_size=8).hexdigest() for p in s) for s in found]
-    exact = hashlib.blake2b(text.encode(), digest_size=16).hexdigest()
-    root = hashlib.blake2b("/".join([exact, *sections]).encode(), digest_size=ROOT // 2).hexdigest()
-    return root + "".join(x for s in found for p in s for x, _ in p)
-
-
-def likeness(a: str, b: str) -> float:
-    """Twice the leaves in common over all leaves, with repeats; 1 if the roots are equal."""
-    if a[:ROOT] == b[:ROOT]:
-        return 1.0
-    x, y = (Counter(f[i : i + LEAF] for i in range(ROOT, len(f), LEAF)) for f in (a, b))
-    n = sum(x.values()) + sum(y.values())
-    return 2 * sum((x & y).values()) / n if n else 0.0
+def _parts(text: str, mark: str) -> list[str]:
+    """text cut behind each mark."""
+    parts = text.split(mark)
+    return [p + mark for p in parts[:-1]] + parts[-1:] * (parts[-1] != "")
 
 
 def tree(text: str | None) -> Node:
-    """The whole tree with character ranges."""
-    text = text or ""
-    join = lambda kids: hashlib.blake2b("".join(k.digest for k in kids).encode(), digest_size=16).hexdigest()
-    at, sections = 0, []
-    for section in leaves(text):
+    at, sections, above = 0, [], b""
+    for section in _parts(text or "", "\n\n"):
+        paragraphs, below = [], b""
+        lines = _parts(section, "\n")
+        if len(lines) > 1 and lines[-1] == "\n":  # the blank line goes with the line before it
+            lines[-2:] = [lines[-2] + "\n"]
+        for line in lines:
+            leaves, digests = [], []
+            for k, run in enumerate(_runs(line, at)):
+                digest = xxh3_128_digest(run.encode(), at + 2 * k + 1 if at + 2 * k < FINE else 0)
+                digests.append(digest)
+                leaves.append((digest.hex()[:LEAF], len(run), ()))
+            own = xxh3_128_digest(b"".join(digests), 1)
+            paragraphs.append((own.hex()[:INNER], len(line), leaves))
+            below += own
+            at += len(line)
+        own = xxh3_128_digest(below, 2)
+        sections.append((own.hex()[:INNER], len(section), paragraphs))
+        above += own
+    return hashlib.blake2b(above, digest_size=ROOT // 2).hexdigest(), at, sections
+
+
+def written(root: Node) -> str:
+    """The fingerprint of a tree."""
+    return root[0] + "".join("/" + s[0] + "".join("." + p[0] + "".join([f"{x[0]}{x[1]:02x}" for x in p[2]]) for p in s[2]) for s in root[2])
+
+
+def read(fingerprint: str) -> Node:
+    """The tree of a fingerprint."""
+    sections = []
+    for section in fingerprint.split("/")[1:]:
+        key, *lines = section.split(".")
         paragraphs = []
-        for paragraph in section:
-            kids, begin = [], at
-            for digest, n in paragraph:
-                kids.append(Node(digest, at, at + n))
-                at += n + 1  # the space or the line end
-            paragraphs.append(Node(join(kids), begin, at - 1, kids))
-        sections.append(Node(join(paragraphs), paragraphs[0].start, at - 1, paragraphs))
-        at += 1
-    return Node(join(sections), 0, len(text), sections)
-
-
-def edits(a: Node, b: Node) -> list[tuple[int, int]]:
-    """Character ranges of b that differ from a: equal branches are passed over; children are matched from both ends."""
-    if a.digest == b.digest:
+        for line in lines:
+            leaves = [(line[i : i + LEAF], int(line[i + LEAF : i + LEAF + SIZE], 16), ()) for i in range(INNER, len(line), LEAF + SIZE)]
+            paragraphs.append((line[:INNER], sum(x[1] for x in leaves), leaves))
+        sections.append((key, sum(p[1] for p in paragraphs), paragraphs))
+    return fingerprint[:ROOT], sum(s[1] for s in sections), sections
+
+
+def fingerprint(text: str | None) -> str:
+    return written(tree(text))
+
+
+def likeness(a: Node, b: Node) -> float:
+    """Characters below equal branches, as a share of all of both."""
+    if a[0] == b[0]:
+        return 1.0
+    same, xs, ys = 0, a[2], b[2]
+    while xs and ys:
+        left: dict[str, int] = {}
+        for x in xs:
+            left[x[0]] = left.get(x[0], 0) + 1
+        open_y = []
+        for y in ys:
+            if left.get(y[0]):
+                left[y[0]] -= 1
+                same += y[1]
+            else:
+                open_y.append(y)
+        open_x = []
+        for x in xs:
+            if left[x[0]]:
+                left[x[0]] -= 1
+                open_x.append(x)
+        xs, ys = ([child for node in nodes for child in node[2]] for nodes in (open_x, open_y))
+    return 2 * same / (a[1] + b[1])
+
+
+def edits(a: Node, b: Node, at: int = 0) -> list[tuple[int, int]]:
+    """Character ranges of b's text that differ from a's: equal branches are passed over; children are matched from both ends."""
+    if a[0] == b[0]:
         return []
-    if not a.children or not b.children:
-        return [(b.start, b.stop)]
-    x, y = a.children, b.children
-    head = next((i for i, (p, q) in enumerate(zip(x, y)) if p.digest != q.digest), min(len(x), len(y)))
-    tail = next((i for i, (p, q) in enumerate(zip(x[head:][::-1], y[head:][::-1])) if p.digest != q.digest), min(len(x), len(y)) - head)
+    x, y = a[2], b[2]
+    if not x or not y:
+        return [(at, at + b[1])]
+    least = min(len(x), len(y))
+    head = next((i for i in range(least) if x[i][0] != y[i][0]), least)
+    tail = next((i for i in range(least - head) if x[-1 - i][0] != y[-1 - i][0]), least - head)
+    at += sum(n[1] for n in y[:head])
     mine, theirs = y[head : len(y) - tail], x[head : len(x) - tail]
-    if len(mine) == len(theirs):
-        return [r for p, q in zip(theirs, mine) for r in edits(p, q)]
-    return [(mine[0].start, mine[-1].stop)] if mine else [(y[head].start if head < len(y) else b.stop,) * 2]
+    if len(mine) != len(theirs):
+        return [(at, at + sum(n[1] for n in mine))]
+    out: list[tuple[int, int]] = []
+    for p, q in zip(theirs, mine):
+        for lo, hi in edits(p, q, at):
+            if out and out[-1][1] == lo:
+                out[-1] = (out[-1][0], hi)
+            else:
+                out.append((lo, hi))
+        at += q[1]
+    return out
 
 
 def edited(text: str, following: str) -> str:
@@ -124,6 +162,7 @@ def edited(text: str, following: str) -> str:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, and the tree's root alone, for every row of docs."""
+    bound_arrow(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -133,50 +172,65 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string, root string")
 
 
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edits array<array<long>>"
+
+
 def compare_with_next(docs: DataFrame, per_range: int = RANGE) -> DataFrame:
-    """Each document's fingerprint against those of its edited text and of the next document. Documents go to ranges of doc_id; each range
-    gets the first document of the one that follows as well, so neighbours meet without any window over the whole table."""
+    """Each document's fingerprint against those of its edited text and of the next document; edits are the ranges of the edited text that
+    differ. Documents go to ranges of (doc_id, hash of the text); each range gets the first document of the one that follows as well, so
+    neighbours meet without any window over the whole table."""
     spark = docs.sparkSession
+    bound_arrow(spark, 256)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = rows.count()
-    key = -F.col("doc_id").cast("double")
-    parts = min(RANGES, max(1, -(-n // per_range)))
-    bounds = sorted(set(rows.select(key.alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    span = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(_bucket(key, bounds))
-    rows = rows.withColumn("span", span)
-    # The first id of each range that has rows: at most as many as there are ranges.
-    heads = sorted((r.span, r.doc_id) for r in rows.groupBy("span").agg(F.max("doc_id").alias("doc_id")).collect())
-    if not heads:
-        return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    before = {heads[i][0]: heads[i - 1][0] for i in range(len(heads))}
-    marks = spark.createDataFrame([(s, d, before[s]) for s, d in heads], "head_span int, head_id long, span int")
-    firsts = rows.withColumnRenamed("span", "head_span").join(F.broadcast(marks), "head_span").filter(F.col("doc_id").eqNullSafe(F.col("head_id")))
-    firsts = firsts.groupBy("span").agg(F.min(F.struct("doc_id", "text")).alias("h")).select("h.doc_id", "h.text", "span", F.lit(1).alias("guest"))
-    dealt = rows.select("doc_id", "text", "span", F.lit(0).alias("guest")).unionByName(firsts)
-    dealt = dealt.repartitionByRange(len(heads), "span").sortWithinPartitions("span", "guest", F.desc_nulls_last("doc_id"), "text")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    # In the order wanted: nulls last, then by descending id.
+    rows = rows.select("doc_id", "text", F.col("doc_id").isNull().cast("int").alias("none"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("down"), F.xxhash64("text").alias("hash"))
+    key = ["none", "down", "hash"]
+    step = max(per_range, -(-rows.count() // RANGES))
+
+    def first_of_each(batches):
+        n = 0
+        for batch in batches:
+            yield batch.take(pa.array(np.arange(-n % step, batch.num_rows, step)))
+            n += batch.num_rows
+
+    firsts = rows.select(*key).repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(first_of_each, "none int, down long, hash long").toPandas()
+    firsts = firsts.drop_duplicates().sort_values(key, ignore_index=True)
+    n_ranges = len(firsts)
+    if not n_ranges:
+        return spark.createDataFrame([], RESULT)
+    shared = spark.sparkContext.broadcast([firsts[k].to_numpy() for k in key])
+
+    @F.pandas_udf("array<int>")
+    def ranges_of(none: pd.Series, down: pd.Series, hash: pd.Series) -> pd.Series:
+        """The range of a key; and of its first key, also the range before, in which it is a guest (-1 - range)."""
+        bounds, own = shared.value, [none.to_numpy(), down.to_numpy(), hash.to_numpy()]
+        both = [np.concatenate([b, x]) for b, x in zip(bounds, own)]
+        is_bound = np.arange(len(both[0])) < n_ranges
+        order = np.lexsort((~is_bound, *both[::-1]))  # of equal keys the bound comes first
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(is_bound[order]) - 1
+        place = place[n_ranges:]
+        first = np.logical_and.reduce([b[place] == x for b, x in zip(bounds, own)])
+        return pd.Series([[p, -1 - (p - 1) % n_ranges] if f else [p] for p, f in zip(place.tolist(), first.tolist())])
+
+    dealt = rows.withColumn("range", F.explode(ranges_of(*key)))
+    dealt = dealt.select("doc_id", "text", *key, F.greatest("range", -1 - F.col("range")).alias("range"), (F.col("range") < 0).cast("int").alias("guest"))
+    dealt = dealt.repartition(n_ranges, "range").sortWithinPartitions("range", "guest", *key).select("doc_id", "text", "range", "guest")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edits", pa.list_(pa.list_(pa.int64())))])
 
     def run(batches):
-        last = None  # span, id, text, fingerprint
+        last = None  # range, id, text, tree
         for batch in batches:
             out = []
-            for doc_id, text, span, guest in zip(*(c.to_pylist() for c in batch.columns)):
-                own = fingerprint(text)
-                if last is not None and last[0] == span:
-                    changed = edited(last[2], text)
-                    print_of = fingerprint(changed) if changed != last[2] else last[3]
-                    out.append((last[1], len(last[2]), hashlib.sha256(changed.encode()).hexdigest(), last[3], print_of, likeness(last[3], print_of), likeness(last[3], own)))
-                last = None if guest else (span, doc_id, text, own)
+            for doc_id, text, number, guest in zip(*(c.to_pylist() for c in batch.columns)):
+                own = tree(text)
+                if last is not None and last[0] == number:
+                    _, id_, before, root = last
+                    changed = edited(before, text)
+                    other = tree(changed)
+                    out.append((id_, len(before), hashlib.sha256(changed.encode()).hexdigest(), written(root), written(other), likeness(root, other), likeness(root, own), edits(root, other)))
+                last = None if guest else (number, doc_id, text, own)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    with arrow_rows(spark, 256):
-        return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
-
-def _bucket(key: Column, bounds: list[float], first: int = 0) -> Column:
-    """Number of bounds that are at most key, by a tree of comparisons."""
-    if not bounds:
-        return F.lit(first)
-    mid = len(bounds) // 2
-    return F.when(key < bounds[mid], _bucket(key, bounds[:mid], first)).otherwise(_bucket(key, bounds[mid + 1 :], first + mid + 1))
+    return dealt.mapInArrow(run, RESULT)
