@@ -96,7 +96,7 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, {_BASE32} AS payload_dig
   CASE WHEN page_id = top OR top IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
 FROM p JOIN f USING (h)""",
-    "op3_suffix_dedup": """
+    "op3_suffix_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 b AS (SELECT r, o, substr(h, 2 * o + 1, 1310) AS t FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 399, 256)) AS o FROM d)),
 p AS (SELECT r, o + j AS i, md5(substr(t, 2 * j + 1, 800)) AS k FROM (SELECT r, o, t, unnest(range(0, length(t) // 2 - 399)) AS j FROM b)),
@@ -105,10 +105,15 @@ s AS (SELECT r, i, lag(i) OVER w AS before FROM p SEMI JOIN c USING (k) WINDOW w
 g AS (SELECT r, i, sum((before IS NULL OR i > before + 400)::INT) OVER (PARTITION BY r ORDER BY i) AS run FROM s),
 x AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY r, run),
 y AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS last FROM x),
-z AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS stop, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS kept FROM y JOIN d USING (r) GROUP BY r)
+u AS (SELECT row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS v FROM documents),
+pw AS (SELECT r, j AS i, md5(array_to_string(v[j + 1:j + 51], ' ')) AS k FROM (SELECT r, v, unnest(range(0, len(v) - 50)) AS j FROM u)),
+cw AS (SELECT k FROM pw GROUP BY k HAVING count(*) > 1),
+sw AS (SELECT r, i, lag(i) OVER w AS before FROM pw SEMI JOIN cw USING (k) WINDOW w AS (PARTITION BY r ORDER BY i)),
+zw AS (SELECT r, sum(least(51, i - coalesce(before, i - 51)))::BIGINT AS passage_words FROM sw GROUP BY r),
+z AS (SELECT r, string_agg(a || ':' || b, ',' ORDER BY a) AS spans, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS stop, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS kept FROM y JOIN d USING (r) GROUP BY r)
 SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
-  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
-FROM d LEFT JOIN z USING (r)""",
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256, coalesce(spans, '') AS spans, coalesce(passage_words, 0)::BIGINT AS passage_words
+FROM d LEFT JOIN z USING (r) LEFT JOIN zw USING (r)""",
     "op5_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -2,17 +2,20 @@
 
 Every string of LENGTH bytes has one anchor that its bytes alone decide: the leftmost smallest hash among its K-byte grams. Runs of strings
 with one anchor make a context; contexts are grouped by a hash of bytes that all their strings share around the anchor, so equal strings
-meet in one group. Equal contexts are counted, which settles exact copies; the distinct contexts of the groups that hold several are
+meet in one group. Equal contexts are counted first, so that copies don't fill a shard; the distinct contexts of the groups that hold several are
 dealt to shards of bounded size, and a shard's suffix array is built by induced sorting: classify suffixes, sort leftmost-smaller (LMS)
-substrings by induction and name them, sort the reduced string recursively by doubling of ranks, induce the whole array in linear passes
-over the buckets, then compute permuted common prefixes from the irreducible ones. Neighbours that share LENGTH bytes start equal strings.
+substrings by induction and name them, sort the reduced string of names by recursion where names repeat, induce the whole array in linear
+passes, then compute permuted common prefixes from the irreducible ones. Neighbours that share LENGTH bytes start equal strings.
 A group with more contexts than a shard takes is split over several; their shards' distinct strings then meet by hash.
 
 Anchors, counts and contexts only choose what is compared and never drop a string: any two equal strings share their group.
 
+Passages are reported beside: runs of WORDS or more words (whatever lies between ASCII white space) that start elsewhere too, found alike over
+hashes of words. They aren't removed unless their bytes are.
+
 Defined cases: null and empty texts have no bytes and lose none; texts shorter than LENGTH lose none; matches never cross documents;
 repeated rows are documents of their own, so both lose all strings; null doc_ids are carried; an empty table gives no rows; further
-columns are ignored.
+columns are ignored, whatever their names; very long texts are hashed by segments that overlap.
 """
 
 from __future__ import annotations
@@ -24,12 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialise
+from .common import Scratch, bound_arrow, materialise
 from .rolling import BASES, Hashes, mixed
 
 LENGTH, K = 400, 32
+#: Words of a passage, and of the grams that anchor it.
+WORDS, WORD_GRAM = 51, 8
 #: Bytes that are hashed at once, contexts of one group that one shard takes, and bytes of a shard, about.
 SEGMENT, GROUP, SHARD = 1 << 19, 1500, 1 << 20
+#: Symbols from which on suffixes are induced one by one and not a bucket at a time.
+SYMBOLS = 4096
 
 _U = np.uint64
 
@@ -136,8 +143,30 @@ def _induce(t: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, counts: np.ndarr
     return sa
 
 
+def _induce_each(t: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The same for many symbols with few suffixes each, where passes over buckets gain nothing: one suffix after the other."""
+    text, small, sa = t.tolist(), is_s.tolist(), [-1] * len(t)
+    tails = np.cumsum(counts).tolist()
+    end = tails.copy()
+    for i in seeds[::-1].tolist():
+        end[text[i]] -= 1
+        sa[end[text[i]]] = i
+    front = [0, *tails[:-1]]
+    for i in range(len(sa)):
+        j = sa[i] - 1
+        if j >= 0 and not small[j]:
+            sa[front[text[j]]] = j
+            front[text[j]] += 1
+    for i in range(len(sa) - 1, -1, -1):
+        j = sa[i] - 1
+        if j >= 0 and small[j]:
+            tails[text[j]] -= 1
+            sa[tails[text[j]]] = j
+    return np.array(sa, np.int32)
+
+
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """t: small non-negative numbers, the last of them 0 and no other. Induced sorting, with LMS names sorted by doubling."""
+    """t: small non-negative numbers, the last of them 0 and no other."""
     n = len(t)
     counts = np.bincount(t)
     step = np.zeros(n, np.int8)
@@ -146,9 +175,10 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     known = np.where(step != 0, np.arange(n), n)
     is_s = step[np.minimum.accumulate(known[::-1])[::-1]] > 0
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]).astype(np.int32) + 1
+    induce = _induce_each if len(counts) > SYMBOLS else _induce
     if not len(lms):
-        return np.argsort(t, kind="stable")[::1] if n < 2 else _induce(t, is_s, np.array([n - 1], np.int32), counts)
-    rough = _induce(t, is_s, lms[np.argsort(t[lms], kind="stable")], counts)
+        return np.zeros(1, np.int32) if n < 2 else induce(t, is_s, np.array([n - 1], np.int32), counts)
+    rough = induce(t, is_s, lms[np.argsort(t[lms], kind="stable")], counts)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     rough = rough[is_lms[rough]]
@@ -160,23 +190,11 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     at = place[rough]
     new = np.ones(len(at), bool)
     new[1:] = (digest[at[1:]] != digest[at[:-1]]) | ((stop - lms)[at[1:]] != (stop - lms)[at[:-1]])
-    rank = np.empty(len(at), np.int64)
-    rank[at] = np.cumsum(new)
-    width, top = 1, len(at)
-    order = at
-    while rank.max() < top:
-        ahead = np.zeros(top, np.int64)
-        ahead[:-width] = rank[width:] if width < top else 0
-        pair = rank * (top + 1) + ahead
-        order = np.argsort(pair, kind="stable")
-        sorted_pair = pair[order]
-        new = np.ones(top, bool)
-        new[1:] = sorted_pair[1:] != sorted_pair[:-1]
-        rank[order] = np.cumsum(new)
-        width *= 2
-    order = np.empty(top, np.int64)
-    order[rank - 1] = np.arange(top)
-    return _induce(t, is_s, lms[order], counts)
+    name = np.empty(len(at), np.int32)
+    name[at] = np.cumsum(new)
+    # The last LMS position is the end mark, whose name is the least and its own: the reduced string ends like t does.
+    order = at if new.all() else suffix_array(name - 1)
+    return induce(t, is_s, lms[order], counts)
 
 
 def repeated(parts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -234,67 +252,94 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _occurrences(rows: DataFrame, length: int) -> DataFrame:
+_OCCURRENCES = "gkey long, ctx long, doc_id long, thash long, pos long, cnt int"
+
+
+def _found(batch: pa.RecordBatch, data: np.ndarray, ends: np.ndarray, length: int, k: int) -> pa.RecordBatch:
+    """The contexts of a batch (doc_id, thash, text) whose texts' symbols lie after each other in data."""
     schema = pa.schema([("gkey", pa.int64()), ("ctx", pa.int64()), ("doc_id", pa.int64()), ("thash", pa.int64()), ("pos", pa.int64()), ("cnt", pa.int32())])
+    found = contexts(data, ends, length, k)
+    own = np.searchsorted(ends, found[:, 0], side="right")
+    pos = found[:, 0] - np.concatenate(([0], ends[:-1]))[own]
+    take = pa.array(own)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 2]), pa.array(found[:, 3]), batch.column(0).take(take), batch.column(1).take(take), pa.array(pos), pa.array(found[:, 1].astype(np.int32))], schema=schema)
 
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' words after each other, and where each text's stop."""
+    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    blank = np.concatenate(([True], (raw == 32) | ((raw > 8) & (raw < 14))))
+    first, stop = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    ends = np.cumsum(np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts)))
+    return mixed(Hashes(raw).window(first, stop)), np.searchsorted(first, ends)
+
+
+def _occurrences(rows: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = [x.as_py().encode() for x in batch.column(2)]
-            data = np.frombuffer(b"".join(texts), np.uint8)
             ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-            found = contexts(data, ends, length)
-            if not len(found):
-                continue
-            own = np.searchsorted(ends, found[:, 0], side="right")
-            pos = found[:, 0] - np.concatenate(([0], ends[:-1]))[own]
-            take = pa.array(own)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 2]), pa.array(found[:, 3]), batch.column(0).take(take), batch.column(1).take(take), pa.array(pos), pa.array(found[:, 1].astype(np.int32))], schema=schema)
+            yield _found(batch, np.frombuffer(b"".join(texts), np.uint8), ends, length, K)
 
-    return rows.filter(F.octet_length("text") >= length).mapInArrow(run, "gkey long, ctx long, doc_id long, thash long, pos long, cnt int")
+    return rows.filter(F.octet_length("text") >= length).mapInArrow(run, _OCCURRENCES)
+
+
+def _word_occurrences(rows: DataFrame, words: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            yield _found(batch, *word_hashes([x.as_py().encode() for x in batch.column(2)]), words, WORD_GRAM)
+
+    return rows.filter(F.octet_length("text") >= 2 * words - 1).mapInArrow(run, _OCCURRENCES)
 
 
 def _same_doc(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["thash"] == b["thash"])
 
 
-def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, thash (a hash of the text), lo, hi: byte ranges whose every `length`-byte string starts elsewhere too."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("thash"), F.coalesce("text", F.lit("")).alias("text"))
-    with arrow_rows(spark, 128):
-        occ = materialise(_occurrences(rows, length), "contexts")
-    seen = occ.groupBy("gkey", "ctx").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "thash", "pos", "cnt")).alias("rep"))
-    seen = materialise(seen, "seen")
-    groups = seen.groupBy("gkey").agg(F.sum("m").alias("total"), F.count("*").alias("kinds"), F.max("m").alias("most")).filter("total > 1")
-    groups = materialise(groups, "groups")
+def _met(scratch: Scratch, occ: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Of the contexts those that aren't alone in their group: the ranges (doc_id, thash, lo, hi) of contexts that are equal to another, and
+    the distinct contexts of groups with several, with kinds (contexts of the group), m (equal ones) and one place of each."""
+    occ = scratch.write(occ)
+    groups = occ.groupBy("gkey").agg(F.count("*").alias("total"), (F.min("ctx") < F.max("ctx")).alias("differ")).filter("total > 1").select("gkey", "differ")
+    live = scratch.write(occ.join(groups, "gkey"))
+    scratch.drop(occ)
+    seen = scratch.write(live.groupBy("gkey", "ctx").agg(F.count("*").alias("m"), F.any_value("differ").alias("differ"), F.min(F.struct("doc_id", "thash", "pos", "cnt")).alias("rep")))
     equal = seen.filter("m > 1").select("gkey", "ctx")
-    direct = occ.join(equal, ["gkey", "ctx"], "left_semi").select("doc_id", "thash", F.col("pos").alias("lo"), (F.col("pos") + F.col("cnt") + length - 1).alias("hi"))
-    several = seen.join(groups.filter("kinds > 1").select("gkey", "kinds"), "gkey")
-    several = materialise(several.select("gkey", "ctx", "kinds", "m", "rep.*"), "several")
-    n_bytes = several.agg(F.sum(F.col("cnt") + length)).first()[0] or 0
-    if not n_bytes:
-        return direct
-    split = F.col("kinds") > GROUP
-    shard = F.when(split, F.xxhash64("gkey", F.pmod(F.xxhash64("ctx"), F.ceil(F.col("kinds") / GROUP)))).otherwise(F.pmod(F.xxhash64("gkey"), F.lit(n_bytes // SHARD + 1)))
-    asked = several.withColumns({"split": split, "shard": shard}).groupBy("doc_id", "thash").agg(F.collect_list(F.struct("gkey", "ctx", "m", "pos", "cnt", "split", "shard")).alias("asked"))
-    once = rows.join(asked, _same_doc(rows, asked)).select(rows["doc_id"], rows["thash"], "text", "asked")
+    direct = live.join(equal, ["gkey", "ctx"], "left_semi").select("doc_id", "thash", F.col("pos").alias("lo"), (F.col("pos") + F.col("cnt") + length - 1).alias("hi"))
+    direct = scratch.write(direct)
+    scratch.drop(live)
+    several = seen.filter("differ")
+    kinds = several.groupBy("gkey").agg(F.count("*").alias("kinds"))
+    return direct, scratch.write(several.join(kinds, "gkey").select("gkey", "ctx", "kinds", "m", "rep.*"))
+
+
+_STRINGS = "doc_id long, thash long, gkey long, at array<long>, hashes array<long>"
+
+
+def _across(found: DataFrame, length: int) -> DataFrame:
+    """Ranges of strings that meet by hash: found has the strings' hashes, and their places (-1 where they needn't be given back)."""
+    met = found.select("doc_id", "thash", "gkey", F.explode(F.arrays_zip("at", "hashes")).alias("s")).select("doc_id", "thash", "gkey", "s.at", F.col("s.hashes").alias("h"))
+    both = met.groupBy("gkey", "h").agg(F.count("*").alias("n")).filter("n > 1").select("gkey", "h")
+    return met.filter("at >= 0").join(both, ["gkey", "h"], "left_semi").select("doc_id", "thash", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
+
+
+def _sorted(scratch: Scratch, asked: DataFrame, length: int) -> DataFrame:
+    """doc_id, thash, gkey, lo, hi, at, hashes: what the suffix arrays of the shards tell of the contexts asked for."""
     cut = "gkey long, ctx long, m long, doc_id long, thash long, pos long, cnt int, split boolean, shard long, part binary"
 
     def cut_out(batches):
         names = ["gkey", "ctx", "m", "doc_id", "thash", "pos", "cnt", "split", "shard", "part"]
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for doc_id, thash, text, asked in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, thash, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = text.encode()
-                for s in asked:
+                for s in wanted:
                     row = (s["gkey"], s["ctx"], s["m"], doc_id, thash, s["pos"], s["cnt"], s["split"], s["shard"], raw[s["pos"] : s["pos"] + s["cnt"] + length - 1])
                     for column, value in zip(out, row):
                         column.append(value)
             types = [pa.int64()] * 6 + [pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
-    found_type = "doc_id long, thash long, gkey long, ctx long, lo array<long>, hi array<long>, at array<long>, hashes array<long>, shard long"
-
     def sort_shard(table):
         table = table.combine_chunks()
         parts = table["part"].to_pylist()
@@ -304,8 +349,8 @@ def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         index = list(order.values())  # a context that a repeated row gives twice is taken once
         mask, firsts = repeated([parts[i] for i in index], length)
         is_split = table["split"][0].as_py()
-        out: list[list] = [[] for _ in range(9)]
-        doc, thash, gkey, ctx, m, pos, cnt = (table[c].to_pylist() for c in ("doc_id", "thash", "gkey", "ctx", "m", "pos", "cnt"))
+        out: list[list] = [[] for _ in range(7)]
+        doc, thash, gkey, m, pos, cnt = (table[c].to_pylist() for c in ("doc_id", "thash", "gkey", "m", "pos", "cnt"))
         known: dict = {}
         for i, first in zip(index, firsts):
             own = mask[first : first + cnt[i]]
@@ -319,20 +364,52 @@ def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 known.update(dict.fromkeys(h[own].tolist()))
                 at, hashes = np.where(own | (m[i] > 1), -1, s + pos[i])[fresh], h[fresh]
             if len(lo) or is_split:
-                values = (doc[i], thash[i], gkey[i], ctx[i], lo + pos[i], hi + pos[i] + length - 1, at, hashes, table["shard"][i].as_py())
-                for column, value in zip(out, values):
+                for column, value in zip(out, (doc[i], thash[i], gkey[i], at, hashes, lo + pos[i], hi + pos[i] + length - 1)):
                     column.append(value)
-        types = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 4 + [pa.int64()]
-        names = [x.split()[0] for x in found_type.split(", ")]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
-
-    with arrow_rows(spark, 256):
-        found = materialise(once.mapInArrow(cut_out, cut).groupBy("split", "shard").applyInArrow(sort_shard, found_type), "sorted")
-    out = direct.unionAll(found.select("doc_id", "thash", F.explode(F.arrays_zip("lo", "hi")).alias("r")).select("doc_id", "thash", "r.lo", "r.hi"))
-    met = found.filter("hashes is not null").select("doc_id", "thash", "gkey", F.explode(F.arrays_zip("at", "hashes")).alias("s")).select("doc_id", "thash", "gkey", "s.at", F.col("s.hashes").alias("h"))
-    both = met.groupBy("gkey", "h").agg(F.count("*").alias("n")).filter("n > 1").select("gkey", "h")
-    across = met.filter("at >= 0").join(both, ["gkey", "h"], "left_semi")
-    return out.unionAll(across.select("doc_id", "thash", F.col("at").alias("lo"), (F.col("at") + length).alias("hi")))
+        types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 4
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "thash", "gkey", "at", "hashes", "lo", "hi"])
+
+    wanted = asked.filter("strings is not null").select("doc_id", "thash", "text", "strings")
+    return scratch.write(wanted.mapInArrow(cut_out, cut).groupBy("split", "shard").applyInArrow(sort_shard, _STRINGS + ", lo array<long>, hi array<long>"))
+
+
+def _word_strings(asked: DataFrame, words: int) -> DataFrame:
+    """The hashes of all passages in the contexts asked for."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in range(5)]
+            for doc_id, thash, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+                own = Hashes(word_hashes([text.encode()])[0])
+                for s in wanted:
+                    at = s["pos"] + np.arange(s["cnt"])
+                    for column, value in zip(out, (doc_id, thash, s["gkey"], np.where(s["m"] > 1, -1, at), mixed(own.window(at, at + words)).view(np.int64))):
+                        column.append(value)
+            types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "thash", "gkey", "at", "hashes"])
+
+    return asked.filter("passages is not null").select("doc_id", "thash", "text", "passages").mapInArrow(run, _STRINGS)
+
+
+def covered(scratch: Scratch, rows: DataFrame, length: int = LENGTH, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """Of rows (doc_id, thash, text): doc_id, thash, lo, hi of byte ranges whose every `length`-byte string starts elsewhere too, and the
+    same of word ranges whose every run of `words` words does."""
+    bound_arrow(rows.sparkSession, 256)
+    direct, several = _met(scratch, _occurrences(rows, length), length)
+    word_direct, word_several = _met(scratch, _word_occurrences(rows, words), words)
+    n_bytes = several.agg(F.sum(F.col("cnt") + length)).first()[0] or 0
+    split = F.col("kinds") > GROUP
+    shard = F.when(split, F.xxhash64("gkey", F.pmod(F.xxhash64("ctx"), F.ceil(F.col("kinds") / GROUP)))).otherwise(F.pmod(F.xxhash64("gkey"), F.lit(n_bytes // SHARD + 1)))
+    strings = several.withColumns({"split": split, "shard": shard}).select("doc_id", "thash", F.struct("gkey", "ctx", "m", "pos", "cnt", "split", "shard").alias("string"), F.lit(None).alias("passage"))
+    passages = word_several.select("doc_id", "thash", F.lit(None).alias("string"), F.struct("gkey", "m", "pos", "cnt").alias("passage"))
+    none_if_empty = lambda c: F.when(F.size(F.collect_list(c)) > 0, F.collect_list(c))
+    wanted = strings.unionAll(passages).groupBy("doc_id", "thash").agg(none_if_empty("string").alias("strings"), none_if_empty("passage").alias("passages"))
+    asked = rows.join(wanted, _same_doc(rows, wanted)).select(rows["doc_id"], rows["thash"], "text", "strings", "passages")
+    asked = scratch.write(asked)
+    found = _sorted(scratch, asked, length)
+    inside = found.select("doc_id", "thash", F.explode(F.arrays_zip("lo", "hi")).alias("r")).select("doc_id", "thash", "r.lo", "r.hi")
+    ranges = direct.unionAll(inside).unionAll(_across(found.filter("hashes is not null"), length))
+    return ranges, word_direct.unionAll(_across(scratch.write(_word_strings(asked, words)), words))
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -346,28 +423,33 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs; with keep_bytes also the remaining bytes and the spans."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = False, words: int = WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (the removed ranges, lo:hi, comma-joined) and passage_words (words in
+    passages) for every row of docs; with keep_bytes also the remaining bytes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("thash"), F.coalesce("text", F.lit("")).alias("text"))
-    lists = covered(docs, length).groupBy("doc_id", "thash").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    both = rows.join(lists, _same_doc(rows, lists), "left").select(rows["doc_id"], "text", "ranges")
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "spans"] * keep_bytes
-    types = [pa.int64()] * 4 + [pa.string()] + [pa.binary(), pa.list_(pa.list_(pa.int64()))] * keep_bytes
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "passage_words"] + ["kept"] * keep_bytes
+    types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] + [pa.binary()] * keep_bytes
 
     def run(batches):
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for doc_id, text, ranges in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text, ranges, passages in zip(*(c.to_pylist() for c in batch.columns)):
                 raw, kept, at = text.encode(), [], 0
                 spans = merged([(r["lo"], r["hi"]) for r in ranges or ()])
                 for lo, hi in spans:
                     kept.append(raw[at:lo])
                     at = hi
                 rest = b"".join(kept) + raw[at:]
-                row = (doc_id, len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest, [list(s) for s in spans])
+                in_passages = sum(hi - lo for lo, hi in merged([(r["lo"], r["hi"]) for r in passages or ()]))
+                row = (doc_id, len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), ",".join(f"{lo}:{hi}" for lo, hi in spans), in_passages, rest)
                 for column, value in zip(out, row):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
-    with arrow_rows(docs.sparkSession, 256):
-        return materialise(both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<array<long>>" * keep_bytes), "kept")
+    with Scratch(docs.sparkSession, "suffix") as scratch:
+        ranges, passages = covered(scratch, rows, length, words)
+        one = F.struct("lo", "hi")
+        each = ranges.select("doc_id", "thash", one.alias("range"), F.lit(None).alias("passage")).unionAll(passages.select("doc_id", "thash", F.lit(None).alias("range"), one.alias("passage")))
+        lists = scratch.write(each.groupBy("doc_id", "thash").agg(F.collect_set("range").alias("ranges"), F.collect_set("passage").alias("passages")))
+        both = rows.join(lists, _same_doc(rows, lists), "left").select(rows["doc_id"], "text", "ranges", "passages")
+        return materialise(both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string, passage_words long" + ", kept binary" * keep_bytes), "kept")
