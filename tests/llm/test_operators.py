@@ -1,13 +1,18 @@
 """The ten operators against brute force, over nulls, empty and repeated rows, ties, extra columns and empty tables."""
 
 import hashlib
+import io
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from tractspark.llm import chat, merkle, mixing, packing, quality, queries, secrets, simhash, suffix, topk, warc
@@ -63,6 +68,31 @@ def test_warc_validation():
             warc.decode_record(bad)
 
 
+def test_broken_archives(spark, tmp_path):
+    records = [warc.encode_record(i, f"http://h/{i}", f"page {i} ".encode() * 40, warc.payload_digest(f"page {i} ".encode() * 40), None) for i in range(50)]
+    stream = io.BytesIO()
+    stream.close, archive = lambda: None, warc.ArchiveWriter(stream)
+    for r in records:
+        archive.add(r)
+    archive.close()
+    raw = stream.getvalue()
+    assert [r[0] for r in warc.read_archive(pa.py_buffer(raw))] == list(range(50))
+    size = struct.unpack_from("<I", raw, 4)[0]
+    bad_magic, bad_dictionary = raw[:3] + b"\x00" + raw[4:], raw[:20] + bytes(x ^ 255 for x in raw[20 : 8 + size]) + raw[8 + size :]
+    bad_frame = raw[:-30] + bytes(x ^ 255 for x in raw[-30:-20]) + raw[-20:]
+    for bad in (raw[:-9], bad_magic, bad_dictionary, bad_frame):
+        with pytest.raises((warc.WarcError, zstandard.ZstdError)):
+            list(warc.read_archive(pa.py_buffer(bad)))
+    (tmp_path / "a.warc.zst").write_bytes(raw)
+    for listed, fails in ((50, False), (49, True)):
+        manifest = spark.createDataFrame([("a.warc.zst", listed, len(raw))], "file string, records long, bytes long")
+        if fails:
+            with pytest.raises(Exception, match="records"):
+                warc.read_archives(manifest, f"file://{tmp_path}").count()
+        else:
+            assert warc.read_archives(manifest, f"file://{tmp_path}").count() == 50
+
+
 def test_packing(docs, none):
     path = queries.tokenizer_path()
     got = packing.pack_documents(docs, path, 256).toPandas()
@@ -81,10 +111,12 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, path).count() == 0
 
 
-def test_suffix_arrays_and_removal(docs, none):
-    for _ in range(200):
-        t = np.array([random.randint(1, random.choice((1, 2, 4))) for _ in range(random.randint(1, 50))] + [0], np.int16)
-        assert suffix.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+def test_suffix_arrays_and_removal(docs, none, monkeypatch):
+    for most in (suffix.SYMBOLS, 1):  # by buckets, and one suffix after the other
+        monkeypatch.setattr(suffix, "SYMBOLS", most)
+        for _ in range(200):
+            t = np.array([random.randint(1, random.choice((1, 2, 4, 30))) for _ in range(random.randint(1, 50))] + [0], np.int16)
+            assert suffix.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
     raw, counts = [(r[1] or "").encode() for r in rows()], Counter()
     for x in raw:
         counts.update(x[i : i + 400] for i in range(len(x) - 399))
@@ -122,6 +154,16 @@ def test_quality(spark, docs, none):
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality.classify(spark.read.parquet(f"{sf}/documents.parquet"), labels).filter("held_out").join(labels, "doc_id").toPandas()
+    good, bad = got[got.quality == 1], got[got.quality == 0]
+    assert len(good) > 40 and len(bad) > 5
+    auc = np.mean([(g > b) + (g == b) / 2 for g in good.score for b in bad.score])
+    assert auc >= 0.97 and good.predicted.mean() >= 0.97 and bad.predicted.mean() <= 0.25
+
+
 def test_topk(spark):
     rng = np.random.default_rng(5)
     data = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(120)] + [(i + 120, [0.5] * 8) for i in range(30)] + [(200, None), (201, [None] * 8), (202, [float("nan")] * 8), (204, []), (206, []), (208, [1.0, 2.0]), (None, [1.0] * 8)]
@@ -151,11 +193,17 @@ def test_chat(spark):
     assert chat.summary(df.limit(0)).count() == 0
 
 
+def plain_simhash(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(max(1, len(words) - 2))] if words else []
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
 def test_simhash(docs, none):
     got = {}
     for r in simhash.near_duplicates(docs).collect():
         got.setdefault(r.doc_id, []).append((r.fingerprint, r.component_id))
-    fps = [(r[0], simhash.fingerprint(r[1])) for r in rows()]
+    fps = [(r[0], plain_simhash(r[1])) for r in rows()]
     group = list(range(len(fps)))
     for i, (_, a) in enumerate(fps):
         for j, (_, b) in enumerate(fps):
@@ -196,6 +244,11 @@ def test_secrets(spark, docs, none):
     assert "example:7:20" in got[0].spans and "live:7:19" in got[10].spans
     assert {r.doc_id: r.text for r in secrets.redact(df).collect()}[10] == "secret=[REDACTED] end"
     assert secrets.redact(df).filter("doc_id = 1").first().text == "secret=EXAMPLEVALUE1"
+    often = [(i, f"secret=OFTENCOPIED{9 + i // 20} {i}", "en", "one", 0, "k", "z") for i in [*range(9), *range(20, 30)]] + [(40, f"secret=OFTENCOPIED9 {i}", "en", "one", 0, "k", "z") for i in range(3)]
+    kinds = {r.doc_id: r.spans.split(",")[-1].split(":")[0] for r in secrets.scan(spark.createDataFrame(often[:19], DOCS)).collect()}
+    assert all(kinds[i] == ("live" if i < 9 else "example") for i in kinds)  # 9 repositories of one owner, and 10
+    kinds = {r.spans.split(",")[-1].split(":")[0] for r in secrets.scan(spark.createDataFrame(often, DOCS)).filter("doc_id = 40").collect()}
+    assert kinds == {"example"}  # the tenth repository, once for its three texts
     assert secrets.scan(none).count() == 0 and secrets.redact(docs).count() == len(rows())
 
 
@@ -212,6 +265,32 @@ def test_mixing(docs, none):
     assert mixing.resample(docs).columns == docs.columns
 
 
+def test_merkle_trees():
+    texts = [x or "" for x in TEXTS] + [OTHER, "one\ntwo three\n\nfour\nfive", "one\n\n\n\ntwo\n", "\n\n", "x" * 5000, "漢字" * 300, LONG[:400] + "inserted " + LONG[400:], LONG[7:]]
+    trees = [merkle.tree(x) for x in texts]
+    for x, root in zip(texts, trees):
+        back = merkle.read(merkle.written(root))
+        assert back[:2] == root[:2] == (merkle.fingerprint(x)[: merkle.ROOT], len(x)) and merkle.likeness(back, root) == 1
+        leaves = [leaf for s in root[2] for p in s[2] for leaf in p[2]]
+        assert sum(leaf[1] for leaf in leaves) == len(x) and all(1 <= leaf[1] <= 82 for leaf in leaves)
+    for x, a in zip(texts, trees):
+        for y, b in zip(texts, trees):
+            assert (a[0] == b[0]) == (x == y) and merkle.likeness(a, b) == merkle.likeness(b, a)
+            at, parts = 0, []
+            for lo, hi in merkle.edits(a, b):
+                parts.append(y[at:lo])
+                at = hi
+            parts.append(y[at:])
+            place = 0
+            for part in parts:  # what isn't in a range of edits is in the other text, in order
+                place = x.find(part, place)
+                assert place >= 0
+                place += len(part)
+    # A change of one word costs the leaves around it only; a text with nothing in common has likeness 0.
+    assert merkle.likeness(trees[texts.index(LONG)], trees[-2]) > 0.96 and merkle.likeness(trees[texts.index(LONG)], trees[-1]) > 0.95
+    assert merkle.likeness(merkle.tree("x" * 5000), merkle.tree("漢字" * 300)) == 0
+
+
 def test_merkle(docs, none, spark):
     got = {r.doc_id: r for r in merkle.compare_with_next(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), per_range=5).collect()}
     order = sorted(range(len(TEXTS)), reverse=True)
@@ -220,11 +299,33 @@ def test_merkle(docs, none, spark):
         n = len(a) // 3
         edited = a[: len(a) - n] + b[:n]
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(a)
-        assert got[i].fingerprint == merkle.fingerprint(a) and 0 <= got[i].near_edited <= 1
+        assert got[i].fingerprint == merkle.fingerprint(a) and got[i].edited_fingerprint == merkle.fingerprint(edited)
+        assert got[i].near_next == merkle.likeness(merkle.tree(a), merkle.tree(b))
+        if len(a) > 200:  # about two thirds are kept
+            assert abs(got[i].near_edited - 2 * (len(a) - n) / (len(a) + len(edited))) < 0.15
+        assert all(lo >= len(a) - n - 82 for lo, _ in got[i].edits)
     assert got[6].fingerprint == got[7].fingerprint and got[7].near_next == 1
     assert merkle.compare_with_next(docs).count() == len(rows()) and merkle.compare_with_next(none).count() == 0
     one = merkle.compare_with_next(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
     assert one.near_next == 1 and one.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
-    old = "one\ntwo three\n\nfour\nfive"
-    assert merkle.edits(merkle.tree(old), merkle.tree(old)) == []
-    assert [old.replace("three", "3")[a:b] for a, b in merkle.edits(merkle.tree(old), merkle.tree(old.replace("three", "3")))] == ["two 3"]
+    ties = [(1, "a b c"), (1, "a b c"), (None, "n"), (None, "m"), (2, "x")]
+    assert sorted(str(r.doc_id) for r in merkle.compare_with_next(spark.createDataFrame(ties, "doc_id long, text string"), per_range=1).collect()) == ["1", "1", "2", "None", "None"]
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"word{i % 977} of{i % 31} {i}" for i in range(250_000)) + " secret=abcdefgh1234"
+    df = spark.createDataFrame([(1, long, "s", "x"), (2, "short", "s", "x")], "doc_id long, text string, source string, range string")
+    assert len(long) > 4_000_000
+    top = lambda out: out.filter("doc_id = 1").first()
+    r = top(suffix.remove_repeats(df))
+    assert (r.n_bytes, r.n_removed, r.passage_words) == (len(long), 0, 0)
+    assert top(simhash.near_duplicates(df)).fingerprint == f"{plain_simhash(long):016x}"
+    assert top(secrets.scan(df)).spans.startswith(f"assign:{len(long) - 19}:{len(long)}")
+    assert top(mixing.mix(df))["size"] == len(long.split())
+    r = top(merkle.compare_with_next(df))
+    assert r.n_chars == len(long) and r.fingerprint == merkle.fingerprint(long)
+    assert packing.pack_documents(df, queries.tokenizer_path()).filter("doc_id = 1").agg(F.sum("length")).first()[0] > 750_000
+    page = warc.round_trip(df.selectExpr("doc_id as page_id", "'u' as url", "text as html")).filter("page_id = 1").first()
+    assert page.payload_bytes == len(long)
+    said = chat.summary(df.selectExpr("doc_id as conv_id", "1L as turn", "'assistant' as role", "text")).filter("conv_id = 1").first()
+    assert said.loss_chars == len(long) and said.loss_sha256 == hashlib.sha256(long.encode()).hexdigest()

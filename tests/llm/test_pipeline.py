@@ -6,8 +6,6 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
-import xxhash
-
 import corpus_pipeline
 from tractspark.llm import mixing, quality, queries
 
@@ -38,18 +36,16 @@ def good(docs, trees):
     return out
 
 
-def simhash(text):
+def shingles(text):
     words = [w for w in BLANK.split("".join(c.lower() if c.isascii() else c for c in text or "")) if w]
-    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
 def one_each(docs):
-    prints, group = [simhash(d["text"]) for d in docs], list(range(len(docs)))
-    for i, a in enumerate(prints):
-        for j in range(i):
-            if (a ^ prints[j]).bit_count() <= 3 and group[i] != group[j]:
+    sets, group = [shingles(d["text"]) for d in docs], list(range(len(docs)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b) and group[i] != group[j]:
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
     first = {}
@@ -67,14 +63,15 @@ def values(text):
 
 
 def without_secrets(docs):
-    owners = defaultdict(set)
+    owners, repositories = defaultdict(set), defaultdict(set)
     for d in docs:
         for _, _, v in values(d["text"] or ""):
             owners[v].add(d["source"])
+            repositories[v].add(d["doc_id"])
     out = []
     for d in docs:
         at, parts = 0, []
-        for a, b in sorted({(a, b) for a, b, v in values(d["text"] or "") if len(owners[v]) < 3}):
+        for a, b in sorted({(a, b) for a, b, v in values(d["text"] or "") if len(owners[v]) < 2 and len(repositories[v]) < 10}):
             if a >= at:
                 parts.append(d["text"][at:a] + "[REDACTED]")
             at = max(at, b)
@@ -106,7 +103,7 @@ def mixed(docs):
     for s in sources:
         assert len(of[s]) <= mixing.SHARD  # one shard for each source
         budget, at = min(quota[s] * mixing.BLOCK, 3 * total[s]), 0
-        for d in sorted(of[s], key=lambda d: hashlib.md5(f"{mixing.SEED}:{d['doc_id']}".encode()).hexdigest()):
+        for d in sorted(of[s], key=lambda d: hashlib.md5(f"{mixing.SEED}:{d['doc_id']}:{hashlib.md5((d['text'] or '').encode()).hexdigest()}".encode()).hexdigest()):
             n = size(d)
             taken = budget // total[s] * n + min(n, max(0, budget % total[s] - at)) if n else 0
             at += n
@@ -141,6 +138,7 @@ def test_stages_equal_brute_force(spark):
         assert 0 < len(brute) and bag(rows_of(out)) == bag(brute), name
         docs = spark.createDataFrame([tuple(r[c] for c in docs.columns) for r in brute], docs.schema)
     packed = corpus_pipeline.run(spark, SF).toPandas()
+    assert not packed.duplicated(["row_id", "piece"]).any()
     tokenizer, pieces = Tokenizer.from_file(queries.tokenizer_path()), Counter()
     for d in brute:
         ids = tokenizer.encode(d["text"] or "", add_special_tokens=False).ids + [0]
@@ -148,6 +146,40 @@ def test_stages_equal_brute_force(spark):
             own = ids[at : at + queries.CAPACITY]
             pieces[d["doc_id"], piece, at, len(own), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in own))] += 1
     assert Counter(zip(packed.doc_id, packed.piece, packed.start, packed.length, packed.ids_crc32)) == pieces
+    for ids, length, crc in zip(packed.ids, packed.length, packed.ids_crc32):
+        assert len(ids) == length and zlib.crc32(b"".join(int(x).to_bytes(4, "little") for x in ids)) == crc
     for _, g in packed.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == [0, *g.length.cumsum()[:-1]] and g.length.sum() <= queries.CAPACITY
     assert packed.sequence_id.nunique() <= best_fit(packed.length, queries.CAPACITY)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, quality_score string, quality_predicted string, `a b` string, key_id string, key_digest string, secret_cuts string, mix_times string, _live string, row string, n int, root string, `c.d` string"
+
+
+def test_stages_defined_cases(spark):
+    """Nulls in every column, empty, repeated and very long texts, ties, columns of clashing and unusual names, empty tables."""
+    extra = ("e",) * 9 + (1,) + ("e",) * 2
+    long = " ".join(f"word{i % 977} of{i % 31} {i}" for i in range(250_000))
+    assert len(long) > 4_000_000
+    rows = [(1, "token=abcdef123456 and more words here", "en", "s", 0, *extra), (1, "token=abcdef123456 and more words here", "en", "s", 0, *extra), (2, "", "en", None, 0, *extra), (3, None, "en", "s", 0, *extra), (None,) * 17, (None, "words of a row without an id", None, None, None, *extra), (5, long, "en", "t", 0, *extra)]
+    docs, labels = spark.createDataFrame(rows, ODD), spark.createDataFrame([], "doc_id long, quality int")
+    out = {}
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        real = quality.keep_good
+        if stage is corpus_pipeline.good_quality:
+            kept = real(docs, labels)
+        else:
+            kept = stage(spark, kept, "")
+        assert kept.columns == docs.columns, name
+        out[name] = kept.collect()
+    assert [len(x) for x in out.values()][:3] == [7, 4, 4]  # repeated rows, and all texts without words, are one group each
+    assert {r.doc_id for r in list(out.values())[1]} == {1, 2, None, 5}
+    by_id = {r.doc_id: r for r in list(out.values())[2]}
+    assert by_id[1].text == "token=[REDACTED] and more words here" and by_id[1].n_chars == 36 and by_id[5].text == long and by_id[1]["a b"] == "e"
+    assert {r.doc_id for r in list(out.values())[3]} <= {1, None, 5}  # texts without words aren't in the mix
+    packed = corpus_pipeline.packed(spark, kept, "").collect()
+    assert sum(r.length for r in packed if r.doc_id == 5) > 250_000
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+    assert quality.keep_good(docs.limit(0), labels).count() == 0

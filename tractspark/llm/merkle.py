@@ -28,10 +28,11 @@ from xxhash import xxh3_128_digest
 
 from .common import bound_arrow
 
-#: Leaves of two characters before FINE, of at least 6 before MIDDLE, of at least 40 behind.
+#: Leaves of two characters before FINE, of at least 6 before MIDDLE, of at least 24 behind: there the first word end after some letters,
+#: about one in four, counts, so that the cuts of shifted texts soon meet again.
 FINE, MIDDLE = 32, 256
 _SHORT = re.compile(r"(?s).{6,16}? |.{6,16}?[aeiou0-4/+]|.{1,16}")
-_LONG = re.compile(r"(?s).{40,80}? |.{40,80}?[aeiou0-4/+]|.{1,80}")
+_LONG = re.compile(r"(?s).{24,80}?[aeimquy159] |.{24,80}? |.{24,80}?[aeiou0-4/+]|.{1,80}")
 #: Hexadecimal digits of the root, of sections and paragraphs, of a leaf's hash and length.
 ROOT, INNER, LEAF, SIZE = 32, 8, 6, 2
 #: Documents of a range in which neighbours are found, about, and ranges (what the driver knows of the table is one key for each).
@@ -71,7 +72,7 @@ def tree(text: str | None) -> Node:
             for k, run in enumerate(_runs(line, at)):
                 digest = xxh3_128_digest(run.encode(), at + 2 * k + 1 if at + 2 * k < FINE else 0)
                 digests.append(digest)
-                leaves.append((digest.hex()[:LEAF], len(run), ()))
+                leaves.append((f"{digest.hex()[:LEAF]}{len(run):0{SIZE}x}", len(run), ()))
             own = xxh3_128_digest(b"".join(digests), 1)
             paragraphs.append((own.hex()[:INNER], len(line), leaves))
             below += own
@@ -84,7 +85,7 @@ def tree(text: str | None) -> Node:
 
 def written(root: Node) -> str:
     """The fingerprint of a tree."""
-    return root[0] + "".join("/" + s[0] + "".join("." + p[0] + "".join([f"{x[0]}{x[1]:02x}" for x in p[2]]) for p in s[2]) for s in root[2])
+    return root[0] + "".join("/" + s[0] + "".join("." + p[0] + "".join([x[0] for x in p[2]]) for p in s[2]) for s in root[2])
 
 
 def read(fingerprint: str) -> Node:
@@ -94,7 +95,7 @@ def read(fingerprint: str) -> Node:
         key, *lines = section.split(".")
         paragraphs = []
         for line in lines:
-            leaves = [(line[i : i + LEAF], int(line[i + LEAF : i + LEAF + SIZE], 16), ()) for i in range(INNER, len(line), LEAF + SIZE)]
+            leaves = [(line[i : i + LEAF + SIZE], int(line[i + LEAF : i + LEAF + SIZE], 16), ()) for i in range(INNER, len(line), LEAF + SIZE)]
             paragraphs.append((line[:INNER], sum(x[1] for x in leaves), leaves))
         sections.append((key, sum(p[1] for p in paragraphs), paragraphs))
     return fingerprint[:ROOT], sum(s[1] for s in sections), sections

@@ -6,7 +6,7 @@ the first ones capped, the others at one level). Sizes are counted in words.
 
 Method: Sainte-Lague apportionment. All words are cut into blocks of `block` words; the blocks go to the sources by the highest quotients
 target / (2 k + 1), giving integer quotas; a source's quota is apportioned alike to its shards (documents with a common prefix of the MD5
-of seed and doc_id, so shards stay small however large a source is). In a shard, documents lie in the order of that hash; as many whole
+of seed, doc_id and text, so shards stay small however large a source is and however often an id repeats). In a shard, documents lie in the order of that hash; as many whole
 passes as the quota has go to every block, and the rest of the quota to the first blocks of the seeded order. A document takes the words
 of its blocks, so never more than CAP times its size, and reruns agree.
 
@@ -72,7 +72,7 @@ def apportion(parties: DataFrame, group: list[str], claim: str, seats: str, most
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: str = SEED) -> DataFrame:
     """doc_id, text_key (a hash of the text), size, source_size, target, taken for every row of docs."""
-    rank = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    rank = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
     rows = docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("size"), rank.alias("rank"))
     rows = materialise(rows, "sizes")
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents")), weights, cap)

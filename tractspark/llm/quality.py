@@ -160,7 +160,8 @@ def score(docs: DataFrame, trees: Trees, score_name: str = "quality_score", pred
             p = shared.value.score(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*columns, score_name, predicted_name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_name, DoubleType()), StructField(predicted_name, IntegerType())]))
+    plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])  # mapInArrow can't take names with dots
+    return plain.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_name, DoubleType()), StructField(predicted_name, IntegerType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -150,7 +150,7 @@ n AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN n USING (r)""",
     "op9_mixing": f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS rank,
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS rank,
   len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS documents FROM d GROUP BY source),
 w AS (SELECT *, {list(mixing.WEIGHTS)}[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1)::INT]::DOUBLE AS weight FROM s),

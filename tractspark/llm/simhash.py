@@ -290,4 +290,4 @@ def keep_one(docs: DataFrame, at_least: float = 0.8, words_per_shingle: int = 5)
     once = docs.join(kept.filter("n = 1").drop("n"), same, "left_semi")
     repeated = docs.join(kept.filter("n > 1").drop("n"), same).select(key_id, key_digest, F.struct(*own).alias("row"))
     repeated = repeated.groupBy(key_id, key_digest).agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
-    return once.unionByName(repeated)
+    return once.unionAll(repeated)
