@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_rows, bound_arrow, free_name, materialise
@@ -223,17 +223,20 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
 def similar_classes(docs: DataFrame, at_least: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
     """doc_id, digest (of the text) and root for each row: rows share a root if a chain of texts joins them whose shingle sets have, each
     with the next, a Jaccard index of at_least (above 0). Exact: candidates share a shingle of their prefixes, all are confirmed on
-    their whole sets, and only pairs that stars around the least and the greatest set of a shingle have joined already are passed over.
-    Texts without words are alike."""
+    their whole sets, and only pairs that are joined already are passed over. Three rounds: each set with the least and the greatest one that
+    it shares a shingle with; in shingles whose sets aren't joined yet, all with those of the least and the greatest root; then what is
+    left. So a large group of near copies is joined by few pairs. Texts without words are alike."""
     spark = docs.sparkSession
     bound_arrow(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
 
-    def pairs(df: DataFrame, p: str, q: str) -> DataFrame:
+    def fits(p: str, q: str) -> Column:
         """Of two sets that first meet in a shingle, no more than the rests of both can be common."""
         n, m, i, j = (F.col(f"{side}.{x}") for x in ("n", "pos") for side in (p, q))
-        fits = F.least(n - i, m - j) >= at_least / (1 + at_least) * (n + m) - 1e-6
-        return df.filter(fits).select(F.least(f"{p}.cls", f"{q}.cls").alias("a"), F.greatest(f"{p}.cls", f"{q}.cls").alias("b")).filter("a < b").distinct()
+        return (F.least(n - i, m - j) >= at_least / (1 + at_least) * (n + m) - 1e-6) & (F.col(f"{p}.cls") != F.col(f"{q}.cls"))
+
+    def pairs(df: DataFrame, p: str, q: str) -> DataFrame:
+        return df.filter(fits(p, q)).select(F.least(f"{p}.cls", f"{q}.cls").alias("a"), F.greatest(f"{p}.cls", f"{q}.cls").alias("b"))
 
     with Scratch(spark, "near") as scratch:
         # Any one order is right; this one, from a sixteenth of the texts, keeps passages of many texts out of the prefixes.
@@ -246,31 +249,49 @@ def similar_classes(docs: DataFrame, at_least: float = 0.8, words_per_shingle: i
         at = Window.partitionBy("item")
         own = scratch.write(own.withColumns({"low": F.min("own").over(at), "high": F.max("own").over(at)}).filter("low.cls < high.cls"))
         of_class = scratch.write(marked.groupBy("cls").agg(F.min("digest").alias("digest")))
-
-        def sets_of(found: DataFrame) -> DataFrame:
-            """key (a class) and items of the classes that are found."""
-            needed = of_class.join(found.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls")
-            texts = rows.select("digest", "text").join(needed, "digest").dropDuplicates(["cls"])
-            return scratch.write(_sets(texts.select(F.col("cls").alias("key"), "text"), words_per_shingle))
-
-        stars = scratch.write(pairs(own, "own", "low").unionByName(pairs(own, "own", "high")).distinct())
-        sets = sets_of(stars)
-        links_ = scratch.write(_confirmed(stars, sets, at_least))
-        roots = components(links_)
-        rooted = own.select("item", "own").join(roots, F.col("own.cls") == F.col("node"), "left").select("item", "own", F.coalesce("root", "own.cls").alias("root"))
-        rooted = scratch.write(rooted)
+        sets = links_ = None
+
+        def confirm(found: DataFrame) -> DataFrame:
+            """Adds the links among the pairs that are found and returns the roots of all."""
+            nonlocal sets, links_
+            needed = found.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+            if sets is not None:
+                needed = needed.join(sets.select(F.col("key").alias("cls")), "cls", "left_anti")
+            needed = scratch.write(of_class.join(needed, "cls"))
+            if not needed.isEmpty():
+                texts = rows.select("digest", "text").join(needed, "digest").dropDuplicates(["cls"])
+                new = scratch.write(_sets(texts.select(F.col("cls").alias("key"), "text"), words_per_shingle))
+                sets = new if sets is None else sets.unionAll(new)
+            if sets is not None:
+                new = scratch.write(_confirmed(found, sets, at_least))
+                links_ = new if links_ is None else links_.unionAll(new)
+            return components(links_ if links_ is not None else found)
+
+        def rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
+            """item, own and root of the shingles whose sets have several roots."""
+            out = scratch.write(df.select("item", "own").join(roots, F.col("own.cls") == F.col("node"), "left").select("item", "own", F.coalesce("root", "own.cls").alias("root")))
+            split = out.groupBy("item").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("item")
+            return out.join(split, "item", "left_semi")
+
+        first = own.filter(fits("own", "low")).groupBy("own.cls").agg(F.min("low.cls").alias("other"))
+        last = own.filter(fits("own", "high")).groupBy("own.cls").agg(F.max("high.cls").alias("other"))
+        roots = confirm(scratch.write(first.unionAll(last).select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()))
+        left = scratch.write(rooted(own, roots))
         scratch.drop(own)
+        both = left.select("item", "own", "root", F.struct("root", "own").alias("one"))
+        both = both.select("item", "own", "root", F.min("one").over(at).alias("low"), F.max("one").over(at).alias("high"))
+        both = both.select("own", "root", F.explode(F.array("low", "high")).alias("other")).filter("root <> other.root").select("own", F.col("other.own").alias("other"))
+        stars = scratch.write(pairs(both, "own", "other").distinct())
+        if not stars.isEmpty():
+            roots = confirm(stars)
+            left = rooted(left, roots)
         # What is left of a shingle's sets meets in classes of size: sets whose sizes differ by more than at_least can't be alike.
-        split = rooted.groupBy("item").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("item")
-        size = F.floor(F.log("own.n") / -F.log(F.lit(at_least)) + 1e-9) if at_least < 1 else F.col("own.n")
-        left = rooted.join(split, "item", "left_semi").withColumn("size", size)
+        left = left.withColumn("size", F.floor(F.log("own.n") / -F.log(F.lit(at_least)) + 1e-9) if at_least < 1 else F.col("own.n"))
         other = left.select("item", F.col("own").alias("other"), F.col("root").alias("other_root"), F.explode(F.array("size", F.col("size") - 1)).alias("size"))
-        met = left.join(other, ["item", "size"]).filter("root <> other_root and own.cls <> other.cls")
-        rest = scratch.write(pairs(met, "own", "other").join(stars, ["a", "b"], "left_anti"))
+        met = left.join(other, ["item", "size"]).filter("root <> other_root")
+        rest = scratch.write(pairs(met, "own", "other").distinct().join(stars, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
-            new = sets_of(rest.select("a", "b"))
-            links_ = links_.unionByName(scratch.write(_confirmed(rest, new, at_least)))
-            roots = components(links_)
+            roots = confirm(rest)
         return materialise(marked.select("doc_id", "digest", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("root", "cls").alias("root")), "classes")
 
 
