@@ -56,16 +56,18 @@ def standardise(value: Column, mean: float, std: float) -> Column:
     return (value - mean) / std
 
 
-def colour_length(points: Column, label: int) -> Column:
-    """Steps that end in a point of the label; fewer than two points: the points of that label. points: structs y, x, label."""
+def colour_length(points: Column, label: int, correction: Column | None = None) -> Column:
+    """Steps that end in a point of the label, and the endpoint correction; fewer than two points: the points of that label, without
+    correction. points: structs y, x, label."""
     steps = F.zip_with(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))), lambda p, q: F.when(p["label"] == label, F.sqrt((p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"]))).otherwise(F.lit(0.0)))
-    return F.when(F.size(points) < 2, F.size(F.filter(points, lambda p: p["label"] == label)).cast("double")).otherwise(F.aggregate(steps, F.lit(0.0), lambda s, v: s + v))
+    total = F.aggregate(steps, F.lit(0.0), lambda s, v: s + v)
+    total = total if correction is None else total + F.coalesce(correction, F.lit(0.0))
+    return F.when(F.size(points) < 2, F.size(F.filter(points, lambda p: p["label"] == label)).cast("double")).otherwise(total)
 
 
 def runs(points: Column) -> Column:
     """The labels of the runs along a trace, in order."""
-    zero = F.array().cast("array<int>")
-    return F.aggregate(points, zero, lambda s, p: F.when(F.coalesce(F.try_element_at(s, F.lit(-1)) == p["label"], F.lit(False)), s).otherwise(F.concat(s, F.array(p["label"].cast("int")))))
+    return F.transform(segments(points), lambda s: s["label"].cast("int"))
 
 
 def segments(points: Column) -> Column:
@@ -90,11 +92,11 @@ def oriented_segments(points: Column) -> Column:
     return F.when(F.try_element_at(points, F.lit(1))["x"] > F.try_element_at(points, F.lit(-1))["x"], F.reverse(own)).otherwise(own)
 
 
-def fiber_type(red: Column, green: Column, run_labels: Column) -> Column:
-    """R2."""
+def fiber_type(red: Column, green: Column, run_labels: Column, outside: Column | None = None) -> Column:
+    """R2. outside: whether the trace leaves its raster, which is an error."""
     n = F.size(run_labels)
     return (
-        F.when((red == 0) | (green == 0), "one segment").when(n == 2, "two segments")
+        F.when((red == 0) | (green == 0), "one segment").when(F.lit(False) if outside is None else outside, "error").when(n == 2, "two segments")
         .when((n == 3) & (F.try_element_at(run_labels, F.lit(1)) == 1), "termination").when(n == 3, "origin").otherwise("other")
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,10 +14,11 @@ def nan_to_null(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in cols})
 
 
-def drop_invalid_boxes(df: DataFrame, box: str = "bbox") -> DataFrame:
-    """F1."""
+def drop_invalid_boxes(df: DataFrame, box: str = "bbox", pixels: str | None = None) -> DataFrame:
+    """F1; pixels: the column of the fiber's pixels, which must not be empty."""
     b = F.col(box)
-    return df.filter((b["width"] > 0) & (b["height"] > 0) & (b["x"] >= 0) & (b["y"] >= 0))
+    rows = df.filter((b["width"] > 0) & (b["height"] > 0) & (b["x"] >= 0) & (b["y"] >= 0))
+    return rows.filter(F.size(pixels) > 0) if pixels else rows
 
 
 def valid_only(df: DataFrame) -> DataFrame:
@@ -33,9 +34,28 @@ def only_triple(df: DataFrame) -> DataFrame:
     return df.filter(F.col("fiber_type").isin(TERMINATION, ORIGIN))
 
 
-def exclude_types(df: DataFrame, types: Sequence[str]) -> DataFrame:
-    """F4."""
-    return df.filter(~F.col("fiber_type").isin(*types))
+def exclude_types(df: DataFrame, types: Sequence[str], col: str = "fiber_type") -> DataFrame:
+    """F4; with the column of conditions F10. Rows without a type stay."""
+    return df.filter(~F.coalesce(F.col(col).isin(*types), F.lit(False)))
+
+
+def complete(df: DataFrame, cols: Sequence[str] = ("ratio", "length_um")) -> DataFrame:
+    """F11."""
+    return df.dropna(subset=list(cols))
+
+
+def lookup(df: DataFrame, fiber_id: int) -> DataFrame:
+    """F12."""
+    return df.filter(F.col("fiber_id") == fiber_id)
+
+
+def renamed(df: DataFrame, by_grader: Mapping[str, Callable[[Column], Column]], then: Callable[[Column], Column] | None = None, col: str = "type") -> DataFrame:
+    """Each grader's own renaming of its conditions, then one for all. A renaming maps a Column to a Column."""
+    out = F.col(col)
+    for grader, rename in by_grader.items():
+        out = F.when(F.col("grader") == grader, rename(F.col(col))).otherwise(out)
+    rows = df.withColumn(col, out)
+    return rows.withColumn(col, then(F.col(col))) if then else rows
 
 
 def below_error(df: DataFrame, threshold: float = 0.5, inclusive: bool = False) -> DataFrame:
@@ -99,6 +119,21 @@ def union_graded(*tables: tuple[DataFrame, str]) -> DataFrame:
     return out
 
 
+def append(df: DataFrame, other: DataFrame) -> DataFrame:
+    """All rows of both, by name; their files are not kept."""
+    return df.drop("path").unionByName(other.drop("path"), allowMissingColumns=True)
+
+
+def distinct_names(df: DataFrame, *cols: str) -> DataFrame:
+    """The names that each column has, as rows of column and name."""
+    return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("name")) for c in cols])).alias("n")).select("n.*").filter("name is not null").distinct()
+
+
+def added_and_skipped(df: DataFrame, key: str) -> DataFrame:
+    """How many rows `dedupe` keeps, and how many it passes over."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).agg(F.count("*").alias("added"), F.sum(F.col("n") - 1).alias("skipped"))
+
+
 def dedupe(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The first row of each key."""
     first = F.row_number().over(Window.partitionBy(key).orderBy(*order))
@@ -271,11 +306,16 @@ def split_by_rule(df: DataFrame, name: str, pattern: str = "04|05|06") -> DataFr
     return df.withColumn("part", F.when(F.col(name).rlike(pattern), "test").otherwise("train"))
 
 
-def pair_by_position(a: DataFrame, b: DataFrame, name: str = "path") -> DataFrame:
-    """The i-th of a with the i-th of b, by name, within each entry."""
+def pair_by_position(a: DataFrame, b: DataFrame, name: str = "path", strict: bool = True) -> DataFrame:
+    """The i-th of a with the i-th of b, by name, within each entry. Their numbers must agree: an error if strict, else the other side
+    of a left-over file is null."""
     rank = F.row_number().over(Window.partitionBy("entry").orderBy(name))
     left, right = a.select("entry", rank.alias("position"), F.col(name).alias("first")), b.select("entry", rank.alias("position"), F.col(name).alias("second"))
-    return left.join(right, ["entry", "position"])
+    both = left.join(right, ["entry", "position"], "full")
+    if not strict:
+        return both
+    alone = F.raise_error(F.concat(F.lit("files without a partner: entry "), F.col("entry").cast("string"))).cast("string")
+    return both.withColumns({c: F.coalesce(c, alone) for c in ("first", "second")})
 
 
 def role_check(df: DataFrame, required: Sequence[str], optional: Sequence[str] = ()) -> DataFrame:
@@ -295,3 +335,8 @@ def missing_annotators(df: DataFrame) -> DataFrame:
     annotators = df.select("annotator").distinct().agg(F.collect_set("annotator").alias("a"))
     grid = df.select("image").distinct().crossJoin(F.broadcast(annotators)).select("image", F.explode("a").alias("annotator"))
     return grid.join(df.select("image", "annotator").distinct(), ["image", "annotator"], "left_anti")
+
+
+def annotator_stacks(df: DataFrame) -> DataFrame:
+    """Each image's masks by annotator, in order, as one array."""
+    return df.groupBy("image").agg(F.array_sort(F.collect_set("annotator")).alias("present"))

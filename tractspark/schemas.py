@@ -12,8 +12,15 @@ TYPE_ALIASES = {"double": TWO, "single": ONE}
 AI, HUMAN = "AI", "Human"
 
 MEASUREMENTS = "image_name string, fiber_id bigint, first_um double, second_um double, ratio double, length_um double, fiber_type string, valid boolean, error_probability double, type string, grader string"
-#: Header of a prediction CSV.
-CSV = T.StructType(
-    [T.StructField(n, t) for n, t in (("Fiber ID", T.LongType()), ("First analog (µm)", T.DoubleType()), ("Second analog (µm)", T.DoubleType()), ("Ratio", T.DoubleType()), ("Fiber type", T.StringType()), ("Valid", T.BooleanType()), ("Error probability", T.DoubleType()), ("Image Name", T.StringType()))]
-)
+# Spellings of the image column in prediction files.
+IMAGE_COLUMNS = ("Image Name", "image_name")
+_point = [T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType()), T.StructField("label", T.IntegerType())]
+#: A fiber as it is stored: pixels and trace from the corner of the box.
+FIBERS = T.StructType(
+    [
+        T.StructField("image", T.StringType()), T.StructField("grader", T.StringType()), T.StructField("fiber_id", T.LongType()), T.StructField("bbox", T.StructType([T.StructField(k, T.IntegerType()) for k in ("x", "y", "width", "height")])),
+        T.StructField("pixels", T.ArrayType(T.StructType(_point))), T.StructField("trace", T.ArrayType(T.StructType(_point))), T.StructField("error_probability", T.DoubleType()),
+        T.StructField("correction", T.StructType([T.StructField(k, T.DoubleType()) for k in ("red", "green")])),
+    ]
+)
 KEY = ("image_name", "fiber_id")

@@ -6,19 +6,29 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from ..functions.geometry import segments
-from ..schemas import AI, CSV, TYPE_ALIASES
-
-
-def read_predictions(spark: SparkSession, root: str, grader: str = AI) -> DataFrame:
-    """IO1: all CSV files below root."""
-    raw = spark.read.schema(CSV).option("recursiveFileLookup", True).option("header", True).option("enforceSchema", False).csv(root)
+from pyspark.sql.types import StructType
+
+from ..functions.geometry import colour_length, fiber_type, runs, segments
+from ..operators.cohort import drop_invalid_boxes
+from ..schemas import AI, FIBERS, IMAGE_COLUMNS, TYPE_ALIASES
+
+
+def read_predictions(spark: SparkSession, root: str, grader: str = AI, most_columns: int = 32) -> DataFrame:
+    """IO1: all CSV files below root. Each file's header says where its columns are, in any order; the image column may be spelt either way,
+    and columns that a file lacks are null."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root).select(F.col("_metadata.file_path").alias("path"), "value")
+    is_header = F.col("value").contains("First analog")
+    headers = lines.filter(is_header).select("path", F.transform(F.split("value", ","), F.trim).alias("names")).dropDuplicates(["path"])
+    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(most_columns)))
+    rows = lines.filter(~is_header & (F.trim("value") != "")).join(headers, "path").select("names", cells.alias("c"))
+    rows = rows.select("names", F.array(*[F.col(f"c.c{i}") for i in range(most_columns)]).alias("cells"))
+    pick = lambda *names: F.coalesce(*[F.get("cells", (F.array_position("names", n) - 1).cast("int")) for n in names])
     aliases = F.create_map(*[F.lit(x) for p in TYPE_ALIASES.items() for x in p])
-    first, second = F.col("First analog (µm)"), F.col("Second analog (µm)")
-    return raw.select(
-        F.col("Image Name").alias("image_name"), F.col("Fiber ID").alias("fiber_id"), first.alias("first_um"), second.alias("second_um"), F.col("Ratio").alias("ratio"), (first + second).alias("length_um"),
-        F.coalesce(aliases[F.col("Fiber type")], F.col("Fiber type")).alias("fiber_type"), F.col("Valid").alias("valid"), F.col("Error probability").alias("error_probability"), F.lit(grader).alias("grader"),
+    number = lambda n: F.when(~F.isnan(pick(n).try_cast("double")), pick(n).try_cast("double"))
+    first, second, kind = number("First analog (µm)"), number("Second analog (µm)"), pick("Fiber type")
+    return rows.select(
+        pick(*IMAGE_COLUMNS).alias("image_name"), pick("Fiber ID").try_cast("long").alias("fiber_id"), first.alias("first_um"), second.alias("second_um"), number("Ratio").alias("ratio"), (first + second).alias("length_um"),
+        F.coalesce(aliases[kind], kind).alias("fiber_type"), pick("Valid").try_cast("boolean").alias("valid"), number("Error probability").alias("error_probability"), F.lit(grader).alias("grader"),
     )
 
 
@@ -42,10 +52,29 @@ def melt_ratios(wide: DataFrame, conditions: Sequence[str], invert: bool = False
 
 
 def write_measurements(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """IO5, IO6."""
+    """IO5."""
     (df.write.partitionBy("type").parquet if kind == "parquet" else df.write.option("header", True).csv)(path)
 
 
+def read_measurements(spark: SparkSession, path: str, schema: str | StructType, kind: str = "parquet") -> DataFrame:
+    """IO5: what write_measurements wrote, with the columns of the schema."""
+    return spark.read.schema(schema).parquet(path) if kind == "parquet" else spark.read.schema(schema).option("header", True).csv(path)
+
+
+def write_fibers(df: DataFrame, path: str) -> None:
+    """IO6: keeps what a fiber is (FIBERS); derived columns go."""
+    df.select(*(f.name for f in FIBERS)).write.parquet(path)
+
+
+def read_fibers(spark: SparkSession, path: str) -> DataFrame:
+    """IO6: fibers with their lengths, type, ratio and boxes computed anew; rows with an invalid box go."""
+    rows = drop_invalid_boxes(spark.read.schema(FIBERS).parquet(path), pixels="pixels")
+    p = F.col("trace")
+    lengths = {"red": colour_length(p, 1, F.col("correction.red")), "green": colour_length(p, 2, F.col("correction.green"))}
+    outside = F.exists(p, lambda q: (q["x"] < 0) | (q["y"] < 0) | (q["x"] >= F.col("bbox.width")) | (q["y"] >= F.col("bbox.height")))
+    return rows.withColumns(lengths).withColumns({"fiber_type": fiber_type(F.col("red"), F.col("green"), runs(p), outside), "ratio": F.try_divide("green", F.nullif("red", F.lit(0.0)))})
+
+
 def fiber_json(df: DataFrame) -> DataFrame:
     """IO7: one JSON text per fiber; a null ratio is -1."""
     return df.select("image_name", "fiber_id", F.to_json(F.struct(F.col("fiber_type").alias("type"), F.coalesce("ratio", F.lit(-1.0)).alias("ratio"), F.coalesce("error_probability", F.lit(-1.0)).alias("proba"))).alias("json"))
@@ -66,9 +95,9 @@ def trace_json(df: DataFrame, scale: float = 1.0, colours: Sequence[str] = ("red
 
 
 def list_files(spark: SparkSession, root: str, extensions: Sequence[str]) -> DataFrame:
-    """IO8: paths below root whose extension is listed, whatever its case."""
+    """IO8: paths below root whose extension is listed, whatever its case, by name."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    return files.filter(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*(e.lower().lstrip(".") for e in extensions)))
+    return files.filter(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*(e.lower().lstrip(".") for e in extensions))).orderBy("path")
 
 
 def read_labels(spark: SparkSession, path: str, ddl: str) -> DataFrame:
