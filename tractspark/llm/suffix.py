@@ -145,23 +145,28 @@ def _induce(t: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, counts: np.ndarr
 
 def _induce_each(t: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The same for many symbols with few suffixes each, where passes over buckets gain nothing: one suffix after the other."""
-    text, small, sa = t.tolist(), is_s.tolist(), [-1] * len(t)
-    tails = np.cumsum(counts).tolist()
-    end = tails.copy()
-    for i in seeds[::-1].tolist():
-        end[text[i]] -= 1
-        sa[end[text[i]]] = i
-    front = [0, *tails[:-1]]
-    for i in range(len(sa)):
-        j = sa[i] - 1
-        if j >= 0 and not small[j]:
-            sa[front[text[j]]] = j
-            front[text[j]] += 1
-    for i in range(len(sa) - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and small[j]:
-            tails[text[j]] -= 1
-            sa[tails[text[j]]] = j
+    n = len(t)
+    # The symbol before each suffix if that suffix is a larger one, or a smaller one; -1 where it isn't, and for places still empty (-1).
+    before = np.full((2, n + 1), -1, np.int64)
+    before[0, 1:n], before[1, 1:n] = np.where(is_s[:-1], -1, t[:-1]), np.where(is_s[:-1], t[:-1], -1)
+    larger, smaller = before[0].tolist(), before[1].tolist()
+    tails = np.cumsum(counts)
+    place = np.full(n, -1, np.int64)
+    kind = t[seeds]  # seeds are sorted by their first symbol: they fill the ends of its bucket
+    place[tails[kind] - 1 - (np.searchsorted(kind, kind, side="right") - 1 - np.arange(len(kind)))] = seeds
+    sa, front, tails = place.tolist(), [0, *tails[:-1].tolist()], tails.tolist()
+    for j in sa:  # sees what is placed ahead
+        c = larger[j]
+        if c >= 0:
+            k = front[c]
+            sa[k] = j - 1
+            front[c] = k + 1
+    for j in reversed(sa):
+        c = smaller[j]
+        if c >= 0:
+            k = tails[c] - 1
+            sa[k] = j - 1
+            tails[c] = k
     return np.array(sa, np.int32)
 
 
@@ -301,7 +306,7 @@ def _met(scratch: Scratch, occ: DataFrame, length: int) -> tuple[DataFrame, Data
     the distinct contexts of groups with several, with kinds (contexts of the group), m (equal ones) and one place of each."""
     occ = scratch.write(occ)
     groups = occ.groupBy("gkey").agg(F.count("*").alias("total"), (F.min("ctx") < F.max("ctx")).alias("differ")).filter("total > 1").select("gkey", "differ")
-    live = scratch.write(occ.join(groups, "gkey"))
+    live = scratch.write(occ.join(scratch.write(groups), "gkey"))  # a table of its own, so that a hot group's side can be split
     scratch.drop(occ)
     seen = scratch.write(live.groupBy("gkey", "ctx").agg(F.count("*").alias("m"), F.any_value("differ").alias("differ"), F.min(F.struct("doc_id", "thash", "pos", "cnt")).alias("rep")))
     equal = seen.filter("m > 1").select("gkey", "ctx")
