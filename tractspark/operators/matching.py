@@ -3,14 +3,13 @@ the cell that holds the upper left corner of its intersection, so no pair is mad
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
+from .rounds import components, first_come_set, matched
 
 CELL = 64
 
@@ -55,8 +54,10 @@ def intersection(left: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def found_by_all(boxes: DataFrame, first: str, others: list[str], threshold: float = 0.8) -> DataFrame:
     """Fibers of the first grader with a match in every other; images that miss a grader are left out."""
-    complete = boxes.groupBy("image").agg(F.count_distinct("grader").alias("k")).filter(F.col("k") == len(others) + 1).select("image")
+    complete = boxes.filter(F.col("grader").isin(first, *others)).groupBy("image").agg(F.count_distinct("grader").alias("k")).filter(F.col("k") == len(others) + 1).select("image")
     own = boxes.filter(F.col("grader") == first).join(complete, "image", "left_semi")
+    if not others:  # nothing is missing
+        return own
     hits = None
     for g in others:
         one = box_pairs(own, boxes.filter(F.col("grader") == g), threshold).select("image", F.col("a").alias("fiber_id"), F.lit(g).alias("other"))
@@ -71,34 +72,14 @@ def paired_lengths(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataF
     return pairs.select("image", "a", "b", "iou").join(side(left, "a", 1), ["image", "a"]).join(side(right, "b", 2), ["image", "b"])
 
 
-def _per_image(pairs: DataFrame, choose: Callable[[np.ndarray, np.ndarray, np.ndarray], list[int]]) -> DataFrame:
-    """Pairs that `choose` (a, b, iou -> indices) accepts, image by image."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a", "b"], ignore_index=True)
-        return pdf.iloc[choose(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["iou"].to_numpy())]
-
-    return pairs.select("image", "a", "b", "iou").groupBy("image").applyInPandas(lambda pdf: run(pdf), pairs.select("image", "a", "b", "iou").schema)
-
-
-def _first_free(order, a, b) -> list[int]:
-    used_a, used_b, out = set(), set(), []
-    for i in order:
-        if a[i] not in used_a and b[i] not in used_b:
-            used_a.add(a[i])
-            used_b.add(b[i])
-            out.append(int(i))
-    return out
-
-
 def greedy_match(pairs: DataFrame) -> DataFrame:
     """The best pair first, ties by a and then b; pairs hold IoU at or above their threshold (and above 0)."""
-    return _per_image(pairs, lambda a, b, v: _first_free(np.lexsort((b, a, -v)), a, b))
+    return matched(pairs.select("image", "a", "b", "iou"), -F.col("iou"), "a", "b")
 
 
 def first_come_match(pairs: DataFrame) -> DataFrame:
     """In the order of a and then b."""
-    return _per_image(pairs, lambda a, b, v: _first_free(range(len(a)), a, b))
+    return matched(pairs.select("image", "a", "b", "iou"), "a", "b")
 
 
 def hungarian(value: np.ndarray) -> np.ndarray:
@@ -127,54 +108,38 @@ def hungarian(value: np.ndarray) -> np.ndarray:
 
 
 def optimal_match(pairs: DataFrame, at_least: float) -> DataFrame:
-    """Greatest total per image, kept at `at_least` and above after the assignment. Components are solved on their own."""
-
-    def choose(a, b, v):
-        label = _components(a, b)
-        out = []
-        for c in np.unique(label):
-            at = np.flatnonzero(label == c)
-            ua, ia = np.unique(a[at], return_inverse=True)
-            ub, ib = np.unique(b[at], return_inverse=True)
-            table, index = np.zeros((len(ua), len(ub))), np.full((len(ua), len(ub)), -1)
-            table[ia, ib], index[ia, ib] = v[at], at
-            turned = len(ua) > len(ub)
-            table, index = (table.T, index.T) if turned else (table, index)
-            out += [int(i) for i in index[np.arange(len(table)), hungarian(table)] if i >= 0]
-        return [i for i in out if v[i] >= at_least]
-
-    return _per_image(pairs, choose)
-
-
-def _components(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A label for each pair, equal within a component of the bipartite graph."""
-    _, ia = np.unique(a, return_inverse=True)
-    _, ib = np.unique(b, return_inverse=True)
-    label = np.arange(ia.max() + 1 if len(ia) else 0)
-    while True:
-        low = np.full(ib.max() + 1 if len(ib) else 0, len(label))
-        np.minimum.at(low, ib, label[ia])
-        new = label.copy()
-        np.minimum.at(new, ia, low[ib])
-        if (new == label).all():
-            return label[ia]
-        label = new
-
-
-def ordered_union(boxes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Graders in name order; a fiber stays if it matches none that stays before it. pairs: image, a, b with a before b."""
-    rows = boxes.select("image", "grader", "fiber_id").join(pairs.groupBy("image", F.col("b").alias("fiber_id")).agg(F.collect_set("a").alias("earlier")), ["image", "fiber_id"], "left")
+    """Greatest total per image, kept at `at_least` and above after the assignment. Components of the pairs are solved each on its own,
+    a group of its own."""
+    rows = pairs.select("image", "a", "b", "iou")
+    side = lambda k, c: F.struct(F.lit(k).alias("side"), F.col(c).alias("id"))
+    roots = components(rows.select("image", side(0, "a").alias("a"), side(1, "b").alias("b")))
+    # A component's root is one of its first sides.
+    rows = rows.withColumn("_node", side(1, "b")).join(roots, (F.col("_node") == roots["node"]) & (rows["image"] == roots["image"])).select(rows["image"], "a", "b", "iou", F.col("root.id").alias("root"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: set = set()
-        keep = []
-        for row in pdf.sort_values(["grader", "fiber_id"]).itertuples():
-            if row.earlier is None or kept.isdisjoint(row.earlier):
-                kept.add(row.fiber_id)
-                keep.append(row.Index)
-        return pdf.loc[keep, ["image", "grader", "fiber_id"]]
-
-    return rows.groupBy("image").applyInPandas(lambda pdf: run(pdf), "image long, grader string, fiber_id long")
+        pdf = pdf.sort_values(["a", "b"], ignore_index=True)
+        ua, ia = np.unique(pdf["a"], return_inverse=True)
+        ub, ib = np.unique(pdf["b"], return_inverse=True)
+        table, index = np.zeros((len(ua), len(ub))), np.full((len(ua), len(ub)), -1)
+        table[ia, ib], index[ia, ib] = pdf["iou"], np.arange(len(pdf))
+        table, index = (table.T, index.T) if len(ua) > len(ub) else (table, index)
+        at = index[np.arange(len(table)), hungarian(table)]
+        return pdf.iloc[at[at >= 0]][["image", "a", "b", "iou"]]
+
+    schema = rows.select("image", "a", "b", "iou").schema
+    return rows.groupBy("image", "root").applyInPandas(lambda pdf: run(pdf), schema).filter(F.col("iou") >= at_least)
+
+
+def ordered_union(boxes: DataFrame, pairs: DataFrame, graders: list[str] | None = None) -> DataFrame:
+    """Graders in the order given (or of their names), each one's fibers by id; a fiber stays if it matches none that stays before it, the
+    same grader's included. pairs: image, a, b of fibers that match, in either order."""
+    rank = F.col("grader") if graders is None else F.array_position(F.array(*map(F.lit, graders)), F.col("grader"))
+    rows = boxes.select("image", "grader", "fiber_id")
+    place = rows.select("image", "fiber_id", F.struct(rank.alias("grader"), "fiber_id").alias("place"))
+    at = lambda c: place.select("image", F.col("fiber_id").alias(c), F.col("place").alias(f"_{c}"))
+    both = pairs.select("image", "a", "b").filter("a <> b").join(at("a"), ["image", "a"]).join(at("b"), ["image", "b"])
+    before = F.col("_a") < F.col("_b")
+    return first_come_set(rows, both.select("image", F.when(before, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("b")))
 
 
 def found_flags(union: DataFrame, boxes: DataFrame, graders: list[str], threshold: float = 0.75) -> DataFrame:
@@ -187,24 +152,15 @@ def found_flags(union: DataFrame, boxes: DataFrame, graders: list[str], threshol
     return out
 
 
-def clusters(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Image, fiber_id and cluster (its smallest fiber), by components of each image's pairs."""
+def clusters(nodes: DataFrame, pairs: DataFrame, same_grader: bool = True) -> DataFrame:
+    """Image, fiber_id and cluster (its smallest fiber), by components of each image's pairs. J7's mode, same_grader False, leaves out
+    links of fibers that one grader drew."""
     edges = pairs.select("image", "a", "b")
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(left["fiber_id"].unique())
-        label, a, b = np.arange(len(ids)), np.searchsorted(ids, right["a"]), np.searchsorted(ids, right["b"])
-        while len(a):
-            new = label.copy()
-            np.minimum.at(new, a, label[b])
-            np.minimum.at(new, b, label[a])
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        return pd.DataFrame({"image": key[0], "fiber_id": ids, "cluster": ids[label]})
-
-    return nodes.groupBy("image").cogroup(edges.groupBy("image")).applyInPandas(lambda key, left, right: run(key, left, right), "image long, fiber_id long, cluster long")
+    if not same_grader:
+        own = lambda c: nodes.select("image", F.col("fiber_id").alias(c), F.col("grader").alias(f"_{c}"))
+        edges = edges.join(own("a"), ["image", "a"]).join(own("b"), ["image", "b"]).filter("_a <> _b").select("image", "a", "b")
+    roots = components(edges).withColumnRenamed("node", "fiber_id")
+    return nodes.select("image", "fiber_id").distinct().join(roots, ["image", "fiber_id"], "left").select("image", "fiber_id", F.coalesce("root", "fiber_id").alias("cluster"))
 
 
 def membership(boxes: DataFrame, found: DataFrame, annotators: list[str]) -> DataFrame:
@@ -214,12 +170,16 @@ def membership(boxes: DataFrame, found: DataFrame, annotators: list[str]) -> Dat
 
 
 def agreement(members: DataFrame, annotators: list[str]) -> DataFrame:
-    """Total clusters, those found by all, and per annotator the unique and total ones and recall of the union."""
+    """Total clusters, those found by all and their share, per annotator the unique and total ones and recall of the union, and the mean
+    share of unique ones and mean recall over the annotators."""
     size = sum((F.col(g).cast("int") for g in annotators), F.lit(0))
     cols = [F.count("*").alias("total"), F.count_if(size == len(annotators)).alias("found_by_all")]
     for g in annotators:
-        cols += [F.count_if(F.col(g)).alias(f"{g}_total"), F.count_if(F.col(g) & (size == 1)).alias(f"{g}_unique"), (F.count_if(F.col(g)) / F.count("*")).alias(f"{g}_recall")]
-    return members.agg(*cols)
+        cols += [F.count_if(F.col(g)).alias(f"{g}_total"), F.count_if(F.col(g) & (size == 1)).alias(f"{g}_unique")]
+    out, over = members.agg(*cols), lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    out = out.withColumns({"found_by_all_share": over("found_by_all", "total")} | {f"{g}_recall": over(f"{g}_total", "total") for g in annotators})
+    unique = sum((over(f"{g}_unique", f"{g}_total") for g in annotators), F.lit(0.0)) / len(annotators)
+    return out.withColumns({"average_unique": unique, "average_recall": sum((F.col(f"{g}_recall") for g in annotators), F.lit(0.0)) / len(annotators)})
 
 
 def detection_scores(pred: DataFrame, truth: DataFrame, matches: DataFrame, per_image: bool = False) -> DataFrame:

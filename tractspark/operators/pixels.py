@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import components, cut
+
 #: The ring of eight neighbours in circular order.
 RING = ((-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1))
 AT = ("image", "y", "x")
+#: Side of a block of pixels that one task sees at once; pixels of a group of fibers, about. Coordinates are at least 0.
+BLOCK, PART = 512, 20_000
 
 
 def component_boxes(pixels: DataFrame) -> DataFrame:
@@ -23,12 +27,27 @@ def mean_intensity(mask: DataFrame, intensities: DataFrame) -> DataFrame:
     return mask.join(intensities, list(AT)).groupBy("image", "fiber_id").agg(own(1, "red").alias("red_mean"), own(2, "green").alias("green_mean"))
 
 
+def _blocks(pixels: DataFrame, rim: int, *keep: str) -> DataFrame:
+    """pixels dealt to blocks (image, by, bx) of BLOCK x BLOCK pixels, those within `rim` of another block to that one as well."""
+    touched = lambda c: F.array_distinct(F.array(F.floor((F.col(c) - rim) / BLOCK), F.floor(F.col(c) / BLOCK), F.floor((F.col(c) + rim) / BLOCK)))
+    return pixels.select(*AT, *keep, F.explode(touched("y")).alias("by"), "x").select(*AT, *keep, "by", F.explode(touched("x")).alias("bx")) if rim else pixels.select(*AT, *keep, F.floor(F.col("y") / BLOCK).alias("by"), F.floor(F.col("x") / BLOCK).alias("bx"))
+
+
 def neighbour_ring(pixels: DataFrame) -> DataFrame:
-    """For each foreground pixel a bit mask of its foreground neighbours in ring order."""
-    ring = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(-dy).alias("dy"), F.lit(-dx).alias("dx")) for k, (dy, dx) in enumerate(RING)]))
-    seen = pixels.select(*AT).withColumn("r", ring).select("image", (F.col("y") + F.col("r.dy")).alias("y"), (F.col("x") + F.col("r.dx")).alias("x"), F.expr("shiftleft(1, r.k)").alias("bit"))
-    masks = seen.groupBy(*AT).agg(F.bit_or("bit").alias("ring"))
-    return pixels.join(masks, list(AT), "left").withColumn("ring", F.coalesce("ring", F.lit(0)))
+    """For each foreground pixel (once) a bit mask of its foreground neighbours in ring order. One shuffle: blocks with a rim of one pixel,
+    each a small bitmap in its task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = int(pdf["by"].iloc[0]) * BLOCK, int(pdf["bx"].iloc[0]) * BLOCK
+        grid = np.zeros((BLOCK + 2, BLOCK + 2), np.uint8)
+        grid[pdf["y"].to_numpy() - y0 + 1, pdf["x"].to_numpy() - x0 + 1] = 1
+        y, x = np.nonzero(grid[1:-1, 1:-1])
+        ring = np.zeros(len(y), np.int32)
+        for k, (dy, dx) in enumerate(RING):
+            ring |= grid[y + 1 + dy, x + 1 + dx].astype(np.int32) << k
+        return pd.DataFrame({"image": pdf["image"].iloc[0], "y": (y + y0).astype(np.int32), "x": (x + x0).astype(np.int32), "ring": ring})
+
+    return _blocks(pixels, 1).groupBy("image", "by", "bx").applyInPandas(lambda pdf: run(pdf), "image long, y int, x int, ring int")
 
 
 def endpoints(ringed: DataFrame) -> DataFrame:
@@ -43,28 +62,62 @@ def junctions(ringed: DataFrame) -> DataFrame:
 
 
 def overlap_matrix(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """Shared pixels, areas and IoU of each pair of labels that meet."""
-    areas = lambda df, k: df.groupBy("image", F.col("label").alias(k)).agg(F.count("*").alias(f"n_{k}"))
-    both = pred.select(*AT, F.col("label").alias("a")).join(truth.select(*AT, F.col("label").alias("b")), list(AT)).groupBy("image", "a", "b").agg(F.count("*").alias("shared"))
-    rows = both.join(areas(pred, "a"), ["image", "a"]).join(areas(truth, "b"), ["image", "b"])
+    """Shared pixels, areas and IoU of each pair of labels that meet. Both sides go through one shuffle, by blocks of pixels; counts of
+    pairs and labels per block are added up afterwards. A pixel may have several labels."""
+    side = lambda df, k: df.select(*AT, "label", F.lit(k).alias("side"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        image = pdf["image"].iloc[0]
+        code = (pdf["y"].to_numpy(np.int64) << 32) | pdf["x"].to_numpy(np.int64)
+        label, is_b = pdf["label"].to_numpy(np.int64), pdf["side"].to_numpy() == 1
+        own = [np.unique(label[m], return_counts=True) for m in (~is_b, is_b)]
+        order = np.argsort(code[is_b], kind="stable")
+        at_b, label_b = code[is_b][order], label[is_b][order]
+        low, high = (np.searchsorted(at_b, code[~is_b], side=s) for s in ("left", "right"))
+        n = high - low
+        a = np.repeat(label[~is_b], n)
+        b = label_b[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        pairs, shared = np.unique(np.stack([a, b]), axis=1, return_counts=True) if len(a) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+        out = [pd.DataFrame({"kind": 2, "a": pairs[0], "b": pairs[1], "n": shared})] + [pd.DataFrame({"kind": k, "a": ids, "b": 0, "n": c}) for k, (ids, c) in enumerate(own)]
+        return pd.concat(out, ignore_index=True).assign(image=image)[["image", "kind", "a", "b", "n"]]
+
+    counts = _blocks(side(pred, 0).unionAll(side(truth, 1)), 0, "label", "side").groupBy("image", "by", "bx").applyInPandas(lambda pdf: run(pdf), "image long, kind int, a long, b long, n long")
+    counts = cut(counts.groupBy("image", "kind", "a", "b").agg(F.sum("n").alias("n")))
+    area = lambda kind, c: counts.filter(F.col("kind") == kind).select("image", F.col("a").alias(c), F.col("n").alias(f"n_{c}"))
+    rows = counts.filter("kind = 2").select("image", "a", "b", F.col("n").alias("shared")).join(area(0, "a"), ["image", "a"]).join(area(1, "b"), ["image", "b"])
     return rows.withColumn("iou", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")))
 
 
-def colour_scores(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """For each colour Dice, recall and precision over the union's pixels, 0 where undefined."""
-    rows = pred.select(*AT, F.col("label").alias("p")).join(truth.select(*AT, F.col("label").alias("t")), list(AT), "full")
-    cols = []
+def colour_scores(pred: DataFrame, truth: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Image, a, b and for each colour Dice (by way of the Jaccard index), recall and precision of the two label maps over the pixels of
+    the matched fibers a (of pred) and b (of truth) that the truth labels; 0 where undefined. pred, truth: image, fiber_id, y, x, label."""
+    at = lambda df, c: df.select(*AT, F.col("fiber_id").alias(c)).join(pairs.select("image", "a", "b"), ["image", c]).select("image", "a", "b", "y", "x")
+    both = at(pred, "a").unionAll(at(truth, "b")).distinct()
+    shown = lambda df, c: df.groupBy(*AT).agg(F.max_by("label", "fiber_id").alias(c))
+    rows = both.join(shown(truth, "t").filter("t > 0"), list(AT)).join(shown(pred, "p"), list(AT), "left")
+    cols, over = [], lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     for k, name in ((1, "red"), (2, "green")):
         hit, p, t = F.count_if((F.col("p") == k) & (F.col("t") == k)), F.count_if(F.col("p") == k), F.count_if(F.col("t") == k)
-        over = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-        cols += [over(2 * hit, p + t).alias(f"{name}_dice"), over(hit, t).alias(f"{name}_recall"), over(hit, p).alias(f"{name}_precision")]
-    return rows.groupBy("image").agg(*cols)
+        jaccard = over(hit, p + t - hit)
+        cols += [(2 * jaccard / (1 + jaccard)).alias(f"{name}_dice"), over(hit, t).alias(f"{name}_recall"), over(hit, p).alias(f"{name}_precision")]
+    return rows.groupBy("image", "a", "b").agg(*cols)
+
 
+def mean_colour_scores(scores: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The means over all matched pairs; pairs whose pixels the truth doesn't label count as 0."""
+    n = pairs.agg(F.count("*").alias("tp"))
+    names = [c for c in scores.columns if c not in ("image", "a", "b")]
+    return scores.agg(*(F.sum(c).alias(c) for c in names)).crossJoin(F.broadcast(n)).select("tp", *(F.coalesce(F.try_divide(c, "tp"), F.lit(0.0)).alias(c) for c in names))
 
-def tile_share(pixels: DataFrame, size: int) -> DataFrame:
-    """Foreground pixels of each tile and whether they make up more than half of it."""
-    tiles = pixels.groupBy("image", F.floor(F.col("y") / size).alias("ty"), F.floor(F.col("x") / size).alias("tx")).agg(F.count("*").alias("n"))
-    return tiles.withColumn("keep", F.col("n") > 0.5 * size * size)
+
+def tile_share(pixels: DataFrame, size: int, height: int | None = None, width: int | None = None) -> DataFrame:
+    """Foreground pixels of each tile, whether they make up more than half of it (a tile beyond the image's edge is filled with
+    background) and, with the image's size, whether it also lies in the image whole."""
+    tiles = pixels.select(*AT).distinct().groupBy("image", F.floor(F.col("y") / size).alias("ty"), F.floor(F.col("x") / size).alias("tx")).agg(F.count("*").alias("n"))
+    tiles = tiles.withColumn("keep", F.col("n") > 0.5 * size * size)
+    if height is None or width is None:
+        return tiles
+    return tiles.withColumn("keep_whole", F.col("keep") & ((F.col("ty") + 1) * size <= height) & ((F.col("tx") + 1) * size <= width))
 
 
 def normalise_channels(df: DataFrame, value: str = "value") -> DataFrame:
@@ -106,27 +159,43 @@ def paint(pixels: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def label_components(pixels: DataFrame) -> DataFrame:
-    """8-connected components of each image's foreground, numbered by their first pixel in row order."""
+    """8-connected components of each image's foreground, numbered by their first pixel in row order. Two levels: blocks with a rim of
+    one pixel are labelled each in its task, and the labels that a rim's pixel has in several blocks are joined in rounds."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[["image", "y", "x"]].drop_duplicates().sort_values(["y", "x"], ignore_index=True)
-        y, x = pdf["y"].to_numpy(np.int64), pdf["x"].to_numpy(np.int64)
-        wide = x.max() - x.min() + 3
-        code = (y - y.min() + 1) * wide + x - x.min() + 1
-        label = np.arange(len(code))
-        steps = [(np.flatnonzero(np.isin(code + d, code)), d) for d in (1, wide - 1, wide, wide + 1)]
-        edges = [(a, np.searchsorted(code, code[a] + d)) for a, d in steps]
-        a, b = (np.concatenate([e[k] for e in edges]) for k in (0, 1))
+        by, bx = int(pdf["by"].iloc[0]), int(pdf["bx"].iloc[0])
+        grid = np.full((BLOCK + 4, BLOCK + 4), -1, np.int64)
+        pdf = pdf[["y", "x"]].drop_duplicates().sort_values(["y", "x"], ignore_index=True)
+        y, x = pdf["y"].to_numpy(np.int64) - by * BLOCK + 2, pdf["x"].to_numpy(np.int64) - bx * BLOCK + 2
+        grid[y, x] = np.arange(len(y))
+        steps = [(grid[y + dy, x + dx], np.arange(len(y))) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]
+        a, b = np.concatenate([n[n >= 0] for n, _ in steps]), np.concatenate([k[n >= 0] for n, k in steps])
+        label = np.arange(len(y))
         while True:
             new = label.copy()
             np.minimum.at(new, a, label[b])
             np.minimum.at(new, b, label[a])
             new = new[new]
             if (new == label).all():
-                return pdf.assign(component=np.unique(label, return_inverse=True)[1] + 1)
+                break
             label = new
+        code = ((pdf["y"].to_numpy(np.int64)) << 32) | pdf["x"].to_numpy(np.int64)
+        inside = (y > 1) & (y < BLOCK + 2) & (x > 1) & (x < BLOCK + 2)
+        rim = ~inside | (y == 2) | (y == BLOCK + 1) | (x == 2) | (x == BLOCK + 1)
+        return pd.DataFrame({"code": code, "first": code[label], "inside": inside, "rim": rim})
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        return run(pdf).assign(image=pdf["image"].iloc[0])[["image", "code", "first", "inside", "rim"]]
 
-    return pixels.select(*AT).groupBy("image").applyInPandas(lambda pdf: run(pdf), "image long, y int, x int, component long")
+    own = cut(_blocks(pixels.select(*AT), 1).groupBy("image", "by", "bx").applyInPandas(lambda pdf: block(pdf), "image long, code long, first long, inside boolean, rim boolean"))
+    met = own.filter("rim").groupBy("image", "code").agg(F.min("first").alias("low"), F.collect_set("first").alias("all"))  # a pixel lies in four blocks at most
+    links = met.select("image", F.col("low").alias("a"), F.explode("all").alias("b")).filter("a <> b")
+    roots = components(links).withColumnRenamed("node", "first")
+    whole = own.filter("inside").join(roots, ["image", "first"], "left").select("image", "code", F.coalesce("root", "first").alias("root"))
+    # A block's labels are named by pixels of its rim too, so the least pixel of a component names it.
+    numbers = whole.groupBy("image", "root").agg(F.min("code").alias("least"))
+    numbers = numbers.withColumn("component", F.row_number().over(Window.partitionBy("image").orderBy("least")).cast("long")).select("image", "root", "component")
+    return whole.join(numbers, ["image", "root"]).select("image", F.shiftright("code", 32).cast("int").alias("y"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("x"), "component")
 
 
 def trace(pixels: DataFrame) -> DataFrame:
@@ -155,5 +224,6 @@ def trace(pixels: DataFrame) -> DataFrame:
 
     steps = sorted(RING)
     # Groups of some fibers of an image: one group a fiber would cost more in dealing than in walking.
-    parted = pixels.select("image", "fiber_id", "y", "x", F.pmod(F.xxhash64("fiber_id"), F.lit(16)).alias("part"))
+    sizes = pixels.groupBy("image").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    parted = pixels.join(sizes, "image").select("image", "fiber_id", "y", "x", F.pmod(F.xxhash64("fiber_id"), F.col("parts")).alias("part"))
     return parted.groupBy("image", "part").applyInPandas(lambda pdf: run(pdf), "image long, fiber_id long, pos int, y int, x int")

@@ -16,8 +16,8 @@ from ..functions import special
 
 
 @pandas_udf(DoubleType())
-def rank_sum_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
-    return pd.Series([special.rank_sum_p(*row) if row[1] == row[1] and row[1] >= 2 and row[2] >= 2 else None for row in zip(u, n1.astype(int), n2.astype(int), ties)], dtype=float)
+def rank_sum_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series, exact: pd.Series) -> pd.Series:
+    return pd.Series([special.rank_sum_p(*row) if row[1] == row[1] and row[1] >= 2 and row[2] >= 2 else None for row in zip(u, n1.astype(int), n2.astype(int), ties, exact)], dtype=float)
 
 
 @pandas_udf(DoubleType())
@@ -68,9 +68,12 @@ def rank_test(df: DataFrame, reference: str, col: str = "ratio") -> DataFrame:
     return out.withColumns({"effect": effect, "delta": -effect})
 
 
-def rank_test_p(df: DataFrame, reference: str, col: str = "ratio") -> DataFrame:
+def rank_test_p(df: DataFrame, reference: str, col: str = "ratio", exact: bool = False) -> DataFrame:
+    """T1 with p. exact: the exact distribution wherever a test has at most special.EXACT_PAIRS pairs; `method` says which one was used."""
     tested = rank_test(df, reference, col)
-    return tested.withColumn("p", F.when(F.col("u").isNotNull(), rank_sum_p(F.coalesce("u", F.lit(0.0)), "n1", "n2", "ties")))
+    p = rank_sum_p(F.coalesce("u", F.lit(0.0)), "n1", "n2", "ties", F.lit(exact))
+    small = F.col("n1") * F.col("n2") <= special.EXACT_PAIRS if exact else (F.least("n1", "n2") <= 8) & (F.col("ties") == 0)
+    return tested.withColumns({"p": F.when(F.col("u").isNotNull(), p), "method": F.when(F.col("u").isNotNull(), F.when(small, "exact").otherwise("normal"))})
 
 
 def disagreement(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -79,6 +82,12 @@ def disagreement(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     return hits.select("type", F.when(F.col("n") == 1, F.concat("who", F.lit("_only"))).alias("disagreement"))
 
 
+def interval_disagreement(intervals: DataFrame) -> DataFrame:
+    """`<grader>_only` for types with intervals of exactly two graders, one of which excludes 0."""
+    out = intervals.groupBy("type").agg(F.count("excludes_zero").alias("n"), F.count_if("excludes_zero").alias("hits"), F.max(F.when(F.col("excludes_zero"), F.col("grader"))).alias("who"))
+    return out.select("type", F.when((F.col("n") == 2) & (F.col("hits") == 1), F.concat("who", F.lit("_only"))).alias("disagreement"))
+
+
 def symbols(p: Column, levels: int = 4) -> Column:
     """T4."""
     base = F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*")
@@ -97,11 +106,10 @@ def bootstrap_delta(df: DataFrame, reference: str, col: str = "ratio", replicate
                 x, r = (np.array([h[k] for h in row.h], float) for k in ("x", "r"))
                 rng = np.random.default_rng((seed, row.key, row.block))
                 n = min(block, replicates - row.block * block)
-                xs, rs = rng.multinomial(int(x.sum()), x / x.sum(), n), rng.multinomial(int(r.sum()), r / r.sum(), n)
-                less = np.cumsum(xs, axis=1) - xs
-                wins = (rs * less).sum(1)
-                ties = (rs * xs).sum(1)
-                delta = (2 * wins + ties) / (x.sum() * r.sum()) - 1
+                delta = np.empty(n)
+                for k in range(n):  # one replicate at a time: memory follows the distinct values alone
+                    xs, rs = rng.multinomial(int(x.sum()), x / x.sum()), rng.multinomial(int(r.sum()), r / r.sum())
+                    delta[k] = (2 * (rs * (np.cumsum(xs) - xs)).sum() + (rs * xs).sum()) / (x.sum() * r.sum()) - 1
                 yield pd.DataFrame({"grader": row.grader, "type": row.type, "delta": delta})
 
     draws = work.filter("exists(h, e -> e.x > 0) and exists(h, e -> e.r > 0)").select("grader", "type", key, "block", "h").mapInPandas(resample, "grader string, type string, delta double")
@@ -142,6 +150,12 @@ def welch_and_anova(df: DataFrame, a: str, b: str, col: str = "ratio") -> DataFr
     return m.select("type", "n1", "n2", ((F.col("m1") - F.col("m2")) / F.sqrt(s1 + s2)).alias("t"), (F.pow(s1 + s2, 2) / (F.pow(s1, 2) / (F.col("n1") - 1) + F.pow(s2, 2) / (F.col("n2") - 1))).alias("df"), (between / within).alias("f"))
 
 
+def welch_and_anova_p(df: DataFrame, a: str, b: str, col: str = "ratio") -> DataFrame:
+    """T5 with both p."""
+    out = welch_and_anova(df, a, b, col)
+    return out.withColumns({"p_welch": t_two_sided("t", "df"), "p_anova": f_upper("f", F.lit(1.0), (F.col("n1") + F.col("n2") - 2).cast("double"))})
+
+
 def partially_overlapping_t(df: DataFrame, key: str, equal: bool = True, mu: float = 0.0, alternative: str = "two.sided", level: float = 0.95) -> DataFrame:
     """Df has `key`, x and y (null where only one was seen). Statistic, degrees of freedom, estimate, p for the alternative (1 without a
     standard error) and the interval (one end infinite for one-sided alternatives) in one row; no row for fewer than two pairs or none alone."""
@@ -258,6 +272,30 @@ def agreement(means: DataFrame) -> DataFrame:
     return line.crossJoin(F.broadcast(tau))
 
 
+@pandas_udf(DoubleType())
+def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([special.correlation_p(a, int(b)) if a == a else None for a, b in zip(r, n)], dtype=float)
+
+
+@pandas_udf(DoubleType())
+def kendall_p(score: pd.Series, n: pd.Series, x: pd.Series, x0: pd.Series, x1: pd.Series, y: pd.Series, y0: pd.Series, y1: pd.Series) -> pd.Series:
+    return pd.Series([special.kendall_p(r[0], int(r[1]), (r[2:5], r[5:8])) for r in zip(score, n, x, x0, x1, y, y0, y1)], dtype=float)
+
+
+def agreement_p(means: DataFrame) -> DataFrame:
+    """T12 with p of all three coefficients, over one row for each type."""
+    p, q = means.select("type", "A", "B"), means.select(F.col("type").alias("t2"), F.col("A").alias("a2"), F.col("B").alias("b2"))
+    score = p.join(q, F.col("type") < F.col("t2")).agg(F.sum(F.signum(F.col("A") - F.col("a2")) * F.signum(F.col("B") - F.col("b2"))).alias("score"))
+
+    def ties(c: str) -> DataFrame:
+        t = F.col("t").cast("double")
+        sums = means.groupBy(c).agg(F.count("*").alias("t"))
+        return sums.agg(F.sum(t * (t - 1) / 2).alias(f"{c}_x"), F.sum(t * (t - 1) * (t - 2)).alias(f"{c}_x0"), F.sum(t * (t - 1) * (2 * t + 5)).alias(f"{c}_x1"))
+
+    out = agreement(means).crossJoin(F.broadcast(score)).crossJoin(F.broadcast(ties("A"))).crossJoin(F.broadcast(ties("B")))
+    return out.select("n", "pearson", correlation_p("pearson", "n").alias("pearson_p"), "spearman", correlation_p("spearman", "n").alias("spearman_p"), "kendall", kendall_p("score", "n", "A_x", "A_x0", "A_x1", "B_x", "B_x0", "B_x1").alias("kendall_p"))
+
+
 def regression_intervals(means: DataFrame, level: float = 0.95) -> DataFrame:
     """Least squares of B on A with intervals; T16 asks whether they lie in given bounds."""
     s = means.agg(F.count("*").alias("n"), F.avg("A").alias("ma"), F.regr_slope("B", "A").alias("slope"), F.regr_intercept("B", "A").alias("intercept"), F.regr_sxx("B", "A").alias("sxx"), F.regr_syy("B", "A").alias("syy"), F.regr_sxy("B", "A").alias("sxy"))
@@ -291,7 +329,11 @@ def error_ratio(df: DataFrame, a: str, b: str, col: str = "ratio", log: bool = T
 
 def interaction(df: DataFrame, col: str = "ratio") -> DataFrame:
     """F of type x grader with unbalanced cells: the additive model is fitted on the table of cells, a row for each."""
-    cells = df.filter(F.col(col).isNotNull()).groupBy("type", "grader").agg(F.count("*").alias("n"), F.avg(col).alias("m"), F.coalesce(F.var_samp(col), F.lit(0.0)).alias("v"))
+    return interaction_of_cells(df.filter(F.col(col).isNotNull()).groupBy("type", "grader").agg(F.count("*").alias("n"), F.avg(col).alias("m"), F.coalesce(F.var_samp(col), F.lit(0.0)).alias("v")))
+
+
+def interaction_of_cells(cells: DataFrame) -> DataFrame:
+    """T15 from the number, mean and variance of each cell."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.column_stack([np.ones(len(pdf)), pd.get_dummies(pdf["type"], drop_first=True, dtype=float), pd.get_dummies(pdf["grader"], drop_first=True, dtype=float)])

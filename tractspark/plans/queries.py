@@ -76,13 +76,13 @@ def border_filter(spark, sf):
     return C.inside_border(C.drop_invalid_boxes(X.boxes(spark, sf)), 50, 1000, 1000).groupBy("grader").agg(F.count("*").alias("n"))
 
 
-@query("SELECT image, fiber_id, round(red * 0.26 + green * 0.26, 6) AS length_um, green / nullif(red, 0) AS ratio, printf('%.3f', red * 0.26) AS shown, round(red / nullif(green, 0), 6) AS swapped, (x * 1.5)::INT - CASE WHEN (x * 1.5)::INT > x * 1.5 THEN 1 ELSE 0 END AS x15 FROM b", B)
+@query("SELECT image, fiber_id, round(red * 0.26 + green * 0.26, 6) AS length_um, green / nullif(red, 0) AS ratio, printf('%.3f', red * 0.26) AS shown, TRUE AS ratio_as_shown, round(red / nullif(green, 0), 6) AS swapped, (x * 1.5)::INT - CASE WHEN (x * 1.5)::INT > x * 1.5 THEN 1 ELSE 0 END AS x15 FROM b", B)
 def conversions(spark, sf):
     """P1, P2, P3, P5."""
-    rows = C.measure(X.boxes(spark, sf), 0.26).withColumn("x15", G.scale(F.col("bbox"), 1.5)["x"])
-    swapped = C.swap(rows).select("image", "fiber_id", F.col("ratio").alias("swapped"))
-    shown = C.display(rows).select("image", "fiber_id", F.col("first_um").alias("shown"))
-    return rows.join(swapped, ["image", "fiber_id"]).join(shown, ["image", "fiber_id"]).select("image", "fiber_id", _r("length_um"), "ratio", "shown", _r("swapped"), "x15")
+    rows = C.measure(X.boxes(spark, sf), 0.26).withColumns({"x15": G.scale(F.col("bbox"), 1.5)["x"], "own": F.col("ratio")})
+    swapped = C.swap(rows).withColumn("swapped", F.col("ratio"))
+    shown = C.display(C.swap(swapped))  # swapped back before it is shown
+    return shown.select("image", "fiber_id", _r("length_um"), F.col("own").alias("ratio"), F.col("first_um").alias("shown"), (F.abs(F.col("ratio").cast("double") - F.coalesce("own", F.lit(0.0))) <= 0.00051).alias("ratio_as_shown"), _r("swapped"), "x15")
 
 
 @query(f"SELECT type, round(median((second_um - CASE WHEN grader = '{AI}' THEN 0.5 ELSE 0 END) / (first_um + CASE WHEN grader = '{AI}' THEN 0.5 ELSE 0 END)), 6) AS median FROM d GROUP BY 1", M)
@@ -91,15 +91,29 @@ def offset(spark, sf):
     return C.offset_transition(_clean(spark, sf), AI, 0.5, symmetric=True).groupBy("type").agg(_r(F.median("ratio"), "median"))
 
 
-@query("SELECT image, fiber_id, x + width // 2 AS cx, y + height // 2 AS cy, greatest(width, height) AS side, width * height AS area FROM b", B)
+@query(", w AS (SELECT image, fiber_id, width * height AS area, x + width // 2 AS cx, y + height // 2 AS cy, trunc(greatest(width, height) * 1.5)::BIGINT AS side FROM b), o AS (SELECT *, cx - side // 2 AS l, cy - side // 2 AS t FROM w) SELECT image, fiber_id, cx, cy, area, greatest(0, l) AS x0, greatest(0, t) AS y0, least(1000, l + side) AS x1, least(1000, t + side) AS y1, greatest(0, -l) AS \"left\", greatest(0, -t) AS top, greatest(0, l + side - 1000) AS \"right\", greatest(0, t + side - 1000) AS bottom FROM o", B)
 def box_geometry(spark, sf):
-    """R9, P7."""
+    """Crops of half as much again, clipped to images of 1000 x 1000."""
     b = F.col("bbox")
-    w = G.crop_window(b, F.lit(100000), F.lit(100000))
-    values = {"cx": G.centre(b)["x"], "cy": G.centre(b)["y"], "side": w["x1"] - w["x0"] + w["left"], "area": G.area(b)}
+    w = G.crop_window(b, F.lit(1000), F.lit(1000), 1.5)
+    values = {"cx": G.centre(b)["x"], "cy": G.centre(b)["y"], "area": G.area(b)} | {k: w[k] for k in ("x0", "y0", "x1", "y1", "left", "top", "right", "bottom")}
     return X.boxes(spark, sf).select("image", "fiber_id", *(v.cast("long").alias(k) for k, v in values.items()))
 
 
+@query("SELECT image, fiber_id, trunc(width * 1.25)::BIGINT AS width, trunc(height * 1.25)::BIGINT AS height, trunc(x - (trunc(width * 1.25) - width) / 2)::BIGINT AS x, trunc(y - (trunc(height * 1.25) - height) / 2)::BIGINT AS y, round((width - 45.5) / 14.5, 6) AS wide FROM b", B)
+def box_expansion(spark, sf):
+    """P6, P9."""
+    e = G.expand(F.col("bbox"), 0.25)
+    return X.boxes(spark, sf).select("image", "fiber_id", *(e[k].cast("long").alias(k) for k in ("width", "height", "x", "y")), _r(G.standardise(F.col("bbox.width"), 45.5, 14.5), "wide"))
+
+
+@query("SELECT label, count(*) AS n FROM (SELECT CASE WHEN (y * 5 + x * 11) % 256 > 150 THEN 2 WHEN (y * 7 + x * 3) % 256 > 150 THEN 1 ELSE 0 END AS label FROM px) GROUP BY 1", PX)
+def rgb_labels(spark, sf):
+    """P8."""
+    px = X.mask_pixels(spark, sf).select(G.label_from_rgb((F.col("y") * 7 + F.col("x") * 3) % 256, (F.col("y") * 5 + F.col("x") * 11) % 256).alias("label"))
+    return px.groupBy("label").agg(F.count("*").alias("n"))
+
+
 @query("SELECT image_name, array_to_string(list_slice(string_split(image_name, '-'), 1, -2), '-') AS condition, replace(replace(image_name, '_', ' '), '-', ' ') AS shown, split_part(image_name, '-0', 1) AS marked, CASE type WHEN 'SMALL' THEN 'little' ELSE type END AS renamed, upper(replace(type, 'A', '4')) AS replaced FROM (SELECT DISTINCT image_name, type FROM m)", M)
 def condition_names(spark, sf):
     """S1, S2, S4, S5, S7."""
@@ -120,11 +134,11 @@ def anonymised(spark, sf):
     return C.summary(N.anonymise(X.measurements(spark, sf), ["STANDARD"]), "length_um", ("type", "label")).select("type", "label", "n")
 
 
-@query("SELECT user_id, round(sum(CASE WHEN label = 1 THEN sqrt((x - px) ** 2 + (y - py) ** 2) ELSE 0 END), 6) AS red, round(sum(CASE WHEN label = 2 THEN sqrt((x - px) ** 2 + (y - py) ** 2) ELSE 0 END), 6) AS green, 1 + sum((pl IS NOT NULL AND pl <> label)::INT)::BIGINT AS n_runs FROM s GROUP BY 1 HAVING count(*) > 1", T)
+@query("SELECT user_id, round(CASE WHEN count(*) < 2 THEN count(*) FILTER (label = 1) ELSE 0.125 + coalesce(sum(CASE WHEN label = 1 THEN sqrt((x - px) ** 2 + (y - py) ** 2) ELSE 0 END), 0) END, 6) AS red, round(CASE WHEN count(*) < 2 THEN count(*) FILTER (label = 2) ELSE 0.25 + coalesce(sum(CASE WHEN label = 2 THEN sqrt((x - px) ** 2 + (y - py) ** 2) ELSE 0 END), 0) END, 6) AS green, 1 + sum((pl IS NOT NULL AND pl <> label)::INT)::BIGINT AS n_runs FROM s GROUP BY 1", T)
 def colour_lengths(spark, sf):
-    """R1, R5."""
+    """R1 with an endpoint correction, R5."""
     p = F.col("points")
-    return X.traces(spark, sf).filter(F.size(p) > 1).select("user_id", _r(G.colour_length(p, 1), "red"), _r(G.colour_length(p, 2), "green"), F.size(G.runs(p)).cast("long").alias("n_runs"))
+    return X.traces(spark, sf).select("user_id", _r(G.colour_length(p, 1, F.lit(0.125)), "red"), _r(G.colour_length(p, 2, F.lit(0.25)), "green"), F.size(G.runs(p)).cast("long").alias("n_runs"))
 
 
 @query("SELECT user_id, (run - 1)::INT AS pos, any_value(label)::INT AS label, count(*)::INT AS n_points, round(sum(CASE WHEN pl = label THEN sqrt((x - px) ** 2 + (y - py) ** 2) ELSE 0 END), 6) AS length_px FROM (SELECT *, sum((pl IS DISTINCT FROM label)::INT) OVER (PARTITION BY user_id ORDER BY x) AS run FROM s) GROUP BY user_id, run", T)
@@ -135,11 +149,11 @@ def trace_segments(spark, sf):
     return rows.select("user_id", "pos", F.col("s.label").cast("int").alias("label"), F.size("s.points").alias("n_points"), _r("s.length_px", "length_px"))
 
 
-@query("SELECT user_id, CASE WHEN r = 0 OR g = 0 THEN 'one segment' WHEN n = 2 THEN 'two segments' WHEN n = 3 AND f = 1 THEN 'termination' WHEN n = 3 THEN 'origin' ELSE 'other' END AS fiber_type FROM (SELECT user_id, sum(CASE WHEN label = 1 THEN sqrt((x - px) ** 2 + (y - py) ** 2) ELSE 0 END) AS r, sum(CASE WHEN label = 2 THEN sqrt((x - px) ** 2 + (y - py) ** 2) ELSE 0 END) AS g, 1 + sum((pl <> label)::INT) AS n, min_by(label, x) AS f FROM s GROUP BY 1 HAVING count(*) > 1)", T)
+@query("SELECT user_id, CASE WHEN r = 0 OR g = 0 THEN 'one segment' WHEN outside THEN 'error' WHEN n = 2 THEN 'two segments' WHEN n = 3 AND f = 1 THEN 'termination' WHEN n = 3 THEN 'origin' ELSE 'other' END AS fiber_type FROM (SELECT user_id, CASE WHEN count(*) < 2 THEN count(*) FILTER (label = 1) ELSE sum(CASE WHEN label = 1 THEN sqrt((x - px) ** 2 + (y - py) ** 2) ELSE 0 END) END AS r, CASE WHEN count(*) < 2 THEN count(*) FILTER (label = 2) ELSE sum(CASE WHEN label = 2 THEN sqrt((x - px) ** 2 + (y - py) ** 2) ELSE 0 END) END AS g, bool_or(y >= 49) AS outside, 1 + sum((pl IS NOT NULL AND pl <> label)::INT) AS n, min_by(label, x) AS f FROM s GROUP BY 1)", T)
 def fiber_types(spark, sf):
-    """R2."""
+    """R2, in rasters of 49 rows."""
     p = F.col("points")
-    return X.traces(spark, sf).filter(F.size(p) > 1).select("user_id", G.fiber_type(G.colour_length(p, 1), G.colour_length(p, 2), G.runs(p)).alias("fiber_type"))
+    return X.traces(spark, sf).select("user_id", G.fiber_type(G.colour_length(p, 1), G.colour_length(p, 2), G.runs(p), F.exists(p, lambda q: q["y"] >= 49)).alias("fiber_type"))
 
 
 @query("SELECT user_id, round(CASE WHEN c = 0 OR n < 2 THEN 0 ELSE n / c - 1 END, 6) AS tortuosity FROM (SELECT user_id, count(*) AS n, sqrt((max_by(x, x) - min_by(x, x)) ** 2 + (max_by(y, x) - min_by(y, x)) ** 2) AS c FROM t GROUP BY 1)", T)
@@ -213,25 +227,45 @@ def optimal_match(spark, sf):
 
 @query()
 def detection(spark, sf):
-    """A10, A12."""
+    """A10: pairs matched greedily."""
     b = X.boxes(spark, sf)
     return J.detection_scores(b.filter("grader = 'F'"), b.filter("grader = 'O'"), J.greedy_match(_pairs(spark, sf, 0.1, inclusive=True)), per_image=True)
 
 
-_UNION = "SELECT * FROM b WHERE grader = 'F' OR (image, fiber_id) NOT IN (SELECT (image, b) FROM pr)"
+@query()
+def image_detection(spark, sf):
+    """Pairs matched first come."""
+    b = X.boxes(spark, sf)
+    return J.detection_scores(b.filter("grader = 'F'"), b.filter("grader = 'O'"), J.first_come_match(_pairs(spark, sf)), per_image=True)
+
+
+def _own_pairs(spark, sf, threshold: float) -> DataFrame:
+    """All pairs of an image's boxes, those of one grader included."""
+    b = X.boxes(spark, sf)
+    return J.box_pairs(b, b, threshold).filter("a < b")
 
 
-@query(f"SELECT image, u.grader, u.fiber_id FROM ({_UNION}) u", B)
+@query()
 def ordered_union(spark, sf):
-    """J5."""
-    return J.ordered_union(X.boxes(spark, sf), _pairs(spark, sf))
+    """Over the fibers of all graders."""
+    return J.ordered_union(X.boxes(spark, sf), _own_pairs(spark, sf, 0.75))
+
+
+_FLAG = "EXISTS (FROM b q WHERE q.image = p.image AND q.grader = '{0}' AND greatest(0, least(p.x + p.width, q.x + q.width) - greatest(p.x, q.x)) * greatest(0, least(p.y + p.height, q.y + q.height) - greatest(p.y, q.y)) / (p.width * p.height + q.width * q.height - greatest(0, least(p.x + p.width, q.x + q.width) - greatest(p.x, q.x)) * greatest(0, least(p.y + p.height, q.y + q.height) - greatest(p.y, q.y))) > 0.75) AS found_{0}"
 
 
-@query(f"SELECT image, grader, fiber_id, grader = 'F' AS found_F, grader = 'O' OR (image, fiber_id) IN (SELECT (image, a) FROM pr WHERE i / (s - i) > 0.75) AS found_O FROM ({_UNION})", B)
+@query(f"SELECT image, grader, fiber_id, {_FLAG.format('F')}, {_FLAG.format('O')} FROM b p", B)
+def found_by_grader(spark, sf):
+    """J9 over all fibers, before any union."""
+    b = X.boxes(spark, sf)
+    return J.found_flags(b, b, ["F", "O"])
+
+
+@query()
 def union_found_flags(spark, sf):
     """J9."""
     b = X.boxes(spark, sf)
-    kept = b.join(J.ordered_union(b, _pairs(spark, sf)), ["image", "grader", "fiber_id"], "left_semi")
+    kept = b.join(J.ordered_union(b, _own_pairs(spark, sf, 0.75)), ["image", "grader", "fiber_id"], "left_semi")
     return J.found_flags(kept, b, ["F", "O"])
 
 
@@ -242,19 +276,27 @@ def annotator_agreement(spark, sf):
     return J.agreement(J.membership(b, J.clusters(b, _similar(spark, sf, everyone=True).filter("similarity > 0.5")), ["F", "O"]), ["F", "O"])
 
 
-_NEAR = "SELECT pr.image, a, b, count(DISTINCT ({0}.y, {0}.x)) AS h FROM pr JOIN px p ON p.image = pr.image AND p.fiber_id = a JOIN px q ON q.image = pr.image AND q.fiber_id = b AND (p.y - q.y) ** 2 + (p.x - q.x) ** 2 <= 25 GROUP BY ALL"
+@query()
+def cross_grader_clusters(spark, sf):
+    """Links between graders only."""
+    b = X.boxes(spark, sf)
+    found = J.clusters(b, _similar(spark, sf, everyone=True).filter("similarity > 0.5"), same_grader=False)
+    return J.membership(b, found, ["F", "O"]).groupBy("F", "O").agg(F.count("*").alias("n"))
 
 
-@query(f", n AS (SELECT image, fiber_id, count(*) AS n FROM px GROUP BY ALL), s AS (SELECT l.image, a, b, least(l.h / n1.n, r.h / n2.n) AS s FROM ({_NEAR.format('p')}) l JOIN ({_NEAR.format('q')}) r USING (image, a, b) JOIN n n1 ON n1.image = l.image AND n1.fiber_id = a JOIN n n2 ON n2.image = l.image AND n2.fiber_id = b) SELECT image, a, b, round(s, 6) AS similarity FROM s WHERE s > 0.5", PX)
+_NEAR = "SELECT nr.image, a, b, count(DISTINCT ({0}.y, {0}.x)) AS h FROM nr JOIN px p ON p.image = nr.image AND p.fiber_id = a JOIN px q ON q.image = nr.image AND q.fiber_id = b AND (p.y - q.y) ** 2 + (p.x - q.x) ** 2 <= 25 GROUP BY ALL"
+
+
+@query(f", nr AS (SELECT p.image, p.fiber_id AS a, q.fiber_id AS b FROM b p JOIN b q ON p.image = q.image AND p.grader = 'F' AND q.grader = 'O' AND p.x - 5 < q.x + q.width AND q.x < p.x + p.width + 5 AND p.y - 5 < q.y + q.height AND q.y < p.y + p.height + 5), n AS (SELECT image, fiber_id, count(*) AS n FROM px GROUP BY ALL), s AS (SELECT l.image, a, b, least(l.h / n1.n, r.h / n2.n) AS s FROM ({_NEAR.format('p')}) l JOIN ({_NEAR.format('q')}) r USING (image, a, b) JOIN n n1 ON n1.image = l.image AND n1.fiber_id = a JOIN n n2 ON n2.image = l.image AND n2.fiber_id = b) SELECT image, a, b, round(s, 6) AS similarity FROM s WHERE s > 0.5", PX)
 def skeleton_match(spark, sf):
     """J2, R10."""
     return _similar(spark, sf).filter("similarity > 0.5").select("image", "a", "b", _r("similarity"))
 
 
-@query("SELECT type, grader, round(quantile_cont(ratio, 0.25), 6) AS q1, round(quantile_cont(ratio, 0.5), 6) AS q2, round(quantile_cont(ratio, 0.75), 6) AS q3 FROM d GROUP BY ALL", M)
+@query(", q AS (SELECT type, grader, quantile_cont(ratio, 0.25) AS q1, quantile_cont(ratio, 0.5) AS q2, quantile_cont(ratio, 0.75) AS q3 FROM d GROUP BY ALL) SELECT type, grader, round(q1, 6) AS q1, round(q2, 6) AS q2, round(q3, 6) AS q3, round(min(ratio), 6) AS low, round(max(ratio), 6) AS high FROM d JOIN q USING (type, grader) WHERE ratio BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY type, grader, q1, q2, q3", M)
 def box_quartiles(spark, sf):
     """A2."""
-    return C.box_statistics(_clean(spark, sf)).select("type", "grader", *map(_r, ("q1", "q2", "q3")))
+    return C.box_statistics(_clean(spark, sf)).select("type", "grader", *map(_r, ("q1", "q2", "q3", "low", "high")))
 
 
 @query(f"SELECT type, round(median(ratio) FILTER (grader = '{HUMAN}') - median(ratio) FILTER (grader = '{AI}'), 6) AS difference FROM d GROUP BY 1", M)
@@ -270,11 +312,11 @@ def count_change(spark, sf):
     return C.count_change(rows, C.below_error(rows)).select("fiber_type", "n_old", "n_new", _r("percent"))
 
 
-@query("SELECT model, round(median_low, 6) AS median_low, n_low, n_high, round(abs(median_high - median_low) / median_low * 100, 6) AS median_change FROM (SELECT grader AS model, min_by(md, sigma) AS median_low, max_by(md, sigma) AS median_high, min_by(n, sigma) AS n_low, max_by(n, sigma) AS n_high FROM (SELECT grader, round(error_probability) AS sigma, median(ratio) AS md, count(*) AS n FROM m WHERE ratio IS NOT NULL GROUP BY ALL) GROUP BY 1)", M)
+@query("SELECT model, round(median_low, 6) AS median_low, n_low, n_high, round(abs(median_high - median_low) / median_low * 100, 6) AS median_change, round((n_low - n_high) * 100.0 / n_low, 6) AS count_drop FROM (SELECT grader AS model, min_by(md, sigma) AS median_low, max_by(md, sigma) AS median_high, min_by(n, sigma) AS n_low, max_by(n, sigma) AS n_high FROM (SELECT grader, round(error_probability) AS sigma, median(ratio) AS md, count(*) AS n FROM m WHERE ratio IS NOT NULL GROUP BY ALL) GROUP BY 1)", M)
 def robustness(spark, sf):
     """A6."""
     rows = X.measurements(spark, sf).filter("ratio is not null").select(F.col("grader").alias("model"), F.round("error_probability").alias("sigma"), "ratio")
-    return C.robustness(rows).select("model", _r("median_low"), "n_low", "n_high", _r("median_change"))
+    return C.robustness(rows).select("model", _r("median_low"), "n_low", "n_high", _r("median_change"), _r("count_drop"))
 
 
 @query("SELECT grader, count(*) AS n, round(avg(ratio), 6) AS mean, round(median(ratio), 6) AS median, round(stddev_samp(ratio), 6) AS sd, round(exp(avg(ln(ratio))), 6) AS geometric_mean FROM d GROUP BY 1", M)
@@ -410,11 +452,11 @@ def trend_agreement(spark, sf):
     return S.agreement(S.cluster_means(_clean(spark, sf), AI, HUMAN)).select("n", *(_r(c, digits=5) for c in ("pearson", "spearman", "slope", "intercept", "kendall")))
 
 
-@query(_MEANS + f", lam AS (SELECT avg(v) FILTER (grader = '{HUMAN}') / avg(v) FILTER (grader = '{AI}') AS l FROM (SELECT type, grader, var_samp(ln(ratio)) AS v FROM d GROUP BY ALL)), s AS (SELECT avg(a) AS ma, avg(b) AS mb, var_samp(a) AS vx, var_samp(b) AS vy, covar_samp(a, b) AS c, any_value(l) AS l FROM g, lam) SELECT round(l, 5) AS lambda, round((vy - l * vx + sqrt((vy - l * vx) ** 2 + 4 * l * c * c)) / (2 * c), 4) AS slope FROM s", M)
+@query(_MEANS + f", lam AS (SELECT avg(v) FILTER (grader = '{HUMAN}') / avg(v) FILTER (grader = '{AI}') AS l FROM (SELECT type, grader, var_samp(ln(ratio)) AS v FROM d GROUP BY ALL)), s AS (SELECT avg(a) AS ma, avg(b) AS mb, var_samp(a) AS vx, var_samp(b) AS vy, covar_samp(a, b) AS c, any_value(l) AS l FROM g, lam) SELECT round(l, 5) AS lambda, round((vy - l * vx + sqrt((vy - l * vx) ** 2 + 4 * l * c * c)) / (2 * c), 4) AS slope, round(mb - (vy - l * vx + sqrt((vy - l * vx) ** 2 + 4 * l * c * c)) / (2 * c) * ma, 4) AS intercept FROM s", M)
 def deming(spark, sf):
     """T14."""
     rows = _clean(spark, sf)
-    return S.deming(S.cluster_means(rows, AI, HUMAN), S.error_ratio(rows, AI, HUMAN)).select(_r("lambda", digits=5), _r("slope", digits=4))
+    return S.deming(S.cluster_means(rows, AI, HUMAN), S.error_ratio(rows, AI, HUMAN)).select(_r("lambda", digits=5), _r("slope", digits=4), _r("intercept", digits=4))
 
 
 @query()
@@ -484,25 +526,28 @@ def overlap_matrix(spark, sf):
     return P.overlap_matrix(px.filter("grader = 'F'"), px.filter("grader = 'O'")).select("image", "a", "b", "shared", _r("iou"))
 
 
-_ONE = ", f AS (SELECT image, y, x, min(label) AS p FROM px WHERE grader = 'F' GROUP BY ALL), o AS (SELECT image, y, x, min(label) AS t FROM px WHERE grader = 'O' GROUP BY ALL), j AS (SELECT * FROM f FULL JOIN o USING (image, y, x))"
-
+_SHOWN = ", k AS (SELECT image, a, b FROM pr WHERE i / (s - i) > 0.5), f AS (SELECT image, y, x, max_by(label, fiber_id) AS p FROM px WHERE grader = 'F' GROUP BY ALL), o AS (SELECT image, y, x, max_by(label, fiber_id) AS t FROM px WHERE grader = 'O' GROUP BY ALL), u AS (SELECT k.*, y, x FROM k JOIN px ON px.image = k.image AND fiber_id IN (a, b) GROUP BY ALL), j AS (SELECT u.image, a, b, p, t FROM u JOIN o USING (image, y, x) LEFT JOIN f USING (image, y, x)), c AS (SELECT image, a, b, " + ", ".join(f"count(*) FILTER (p = {k} AND t = {k}) AS h{k}, count(*) FILTER (p = {k}) AS p{k}, count(*) FILTER (t = {k}) AS t{k}" for k in (1, 2)) + " FROM j GROUP BY ALL)"
 
-def _one(px: DataFrame, grader: str) -> DataFrame:
-    return px.filter(F.col("grader") == grader).groupBy("image", "y", "x").agg(F.min("label").alias("label"))
 
-
-@query(_ONE + " SELECT image, " + ", ".join(f"round(coalesce(2 * count(*) FILTER (p = {k} AND t = {k}) / nullif(count(*) FILTER (p = {k}) + count(*) FILTER (t = {k}), 0), 0), 6) AS {n}_dice, round(coalesce(count(*) FILTER (p = {k} AND t = {k}) / nullif(count(*) FILTER (t = {k}), 0), 0), 6) AS {n}_recall, round(coalesce(count(*) FILTER (p = {k} AND t = {k}) / nullif(count(*) FILTER (p = {k}), 0), 0), 6) AS {n}_precision" for k, n in ((1, "red"), (2, "green"))) + " FROM j GROUP BY 1", PX)
+@query(_SHOWN + " SELECT image, a, b, " + ", ".join(f"round(coalesce(2 * (h{k} / nullif(p{k} + t{k} - h{k}, 0)) / (1 + h{k} / nullif(p{k} + t{k} - h{k}, 0)), 0), 6) AS {n}_dice, round(coalesce(h{k} / nullif(t{k}, 0), 0), 6) AS {n}_recall, round(coalesce(h{k} / nullif(p{k}, 0), 0), 6) AS {n}_precision" for k, n in ((1, "red"), (2, "green"))) + " FROM c", PX)
 def colour_scores(spark, sf):
-    """A11."""
+    """A11, for pairs of boxes of an IoU above 0.5."""
     px = X.mask_pixels(spark, sf)
-    out = P.colour_scores(_one(px, "F"), _one(px, "O"))
-    return out.select("image", *(_r(c) for c in out.columns[1:]))
+    out = P.colour_scores(px.filter("grader = 'F'"), px.filter("grader = 'O'"), _pairs(spark, sf, 0.5))
+    return out.select("image", "a", "b", *(_r(c) for c in out.columns[3:]))
 
 
-@query("SELECT image, y // 64 AS ty, x // 64 AS tx, count(*) AS n, count(*) > 0.5 * 64 * 64 AS keep FROM px GROUP BY ALL", PX)
+@query()
+def mean_colour_scores(spark, sf):
+    """The means over greedily matched pairs."""
+    px, pairs = X.mask_pixels(spark, sf), J.greedy_match(_pairs(spark, sf, 0.1, inclusive=True))
+    return P.mean_colour_scores(P.colour_scores(px.filter("grader = 'F'"), px.filter("grader = 'O'"), pairs), pairs)
+
+
+@query("SELECT *, n > 0.5 * 64 * 64 AS keep, n > 0.5 * 64 * 64 AND (ty + 1) * 64 <= 1000 AND (tx + 1) * 64 <= 1000 AS keep_whole FROM (SELECT image, y // 64 AS ty, x // 64 AS tx, count(DISTINCT (y, x)) AS n FROM px GROUP BY ALL)", PX)
 def tile_share(spark, sf):
-    """A13."""
-    return P.tile_share(X.mask_pixels(spark, sf), 64)
+    """A13, in images of 1000 x 1000."""
+    return P.tile_share(X.mask_pixels(spark, sf), 64, 1000, 1000)
 
 
 _RING = ", u AS (SELECT DISTINCT image, y, x FROM px), k AS (SELECT u.image, u.y, u.x, count(v.y) AS n FROM u LEFT JOIN u v ON v.image = u.image AND v.y BETWEEN u.y - 1 AND u.y + 1 AND v.x BETWEEN u.x - 1 AND u.x + 1 AND (v.y <> u.y OR v.x <> u.x) GROUP BY ALL)"
@@ -511,13 +556,13 @@ _RING = ", u AS (SELECT DISTINCT image, y, x FROM px), k AS (SELECT u.image, u.y
 @query(_RING.replace("LEFT JOIN u v ON v.image = u.image AND v.y BETWEEN u.y - 1 AND u.y + 1 AND v.x BETWEEN u.x - 1 AND u.x + 1 AND (v.y <> u.y OR v.x <> u.x)", "CROSS JOIN (SELECT unnest([-1, -1, -1, 0, 0, 1, 1, 1]) AS dy, unnest([-1, 0, 1, -1, 1, -1, 0, 1]) AS dx) LEFT JOIN u v ON v.image = u.image AND v.y = u.y + dy AND v.x = u.x + dx") + " SELECT image, count(*) FILTER (n <= 1) AS n_ends FROM k GROUP BY 1 HAVING count(*) FILTER (n <= 1) > 0", PX)
 def skeleton_ends(spark, sf):
     """R12."""
-    return P.endpoints(P.neighbour_ring(X.mask_pixels(spark, sf).select("image", "y", "x").distinct())).groupBy("image").agg(F.count("*").alias("n_ends"))
+    return P.endpoints(P.neighbour_ring(X.mask_pixels(spark, sf).select("image", "y", "x"))).groupBy("image").agg(F.count("*").alias("n_ends"))
 
 
 @query(", u AS (SELECT DISTINCT image, y, x FROM px), r AS (SELECT u.image, u.y, u.x, k FROM (SELECT image, y - dy AS y, x - dx AS x, k FROM u CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS k, unnest([-1, -1, -1, 0, 1, 1, 1, 0]) AS dy, unnest([-1, 0, 1, 1, 1, 0, -1, -1]) AS dx)) u), l AS (SELECT image, y, x, bit_or(1 << k) AS ring FROM r GROUP BY ALL HAVING count(*) > 2), t AS (SELECT DISTINCT (1 << a) | (1 << b) | (1 << c) AS three FROM range(8) a(a), range(8) b(b), range(8) c(c) WHERE b - a > 1 AND c - b > 1 AND c - a < 7) SELECT image, y, x FROM l SEMI JOIN u USING (image, y, x) WHERE EXISTS (FROM t WHERE ring & three = three)", PX)
 def skeleton_junctions(spark, sf):
     """R13."""
-    return P.junctions(P.neighbour_ring(X.mask_pixels(spark, sf).select("image", "y", "x").distinct())).select("image", "y", "x")
+    return P.junctions(P.neighbour_ring(X.mask_pixels(spark, sf).select("image", "y", "x"))).select("image", "y", "x")
 
 
 @query()
@@ -557,12 +602,14 @@ def ensemble_vote(spark, sf):
     return P.vote(px.select("image", "y", "x", p(31, 17, 7).alias("p0"), p(13, 29, 11).alias("p1"), p(7, 3, 5).alias("p2"))).groupBy("image", "label").agg(F.count("*").alias("n"))
 
 
-@query("SELECT image, y // 64 * 64 + y % 64 AS gy, x // 64 * 64 + x % 64 AS gx, round(avg(label), 6) AS value FROM px GROUP BY ALL", PX)
+@query(", o AS (SELECT DISTINCT image, y, x, ty, tx FROM (SELECT image, y, x, unnest([y // 48, y // 48 - 1]) AS ky, kx FROM (SELECT image, y, x, unnest([x // 48, x // 48 - 1]) AS kx FROM px)) CROSS JOIN LATERAL (SELECT ky * 48 AS ty, kx * 48 AS tx) WHERE ky >= 0 AND kx >= 0 AND y - ty < 64 AND x - tx < 64), w AS (SELECT image, y, x, (ty + 2 * tx) % 97 AS v, 1 - least(1, sqrt((2 * (y - ty) / 63 - 1) ** 2 + (2 * (x - tx) / 63 - 1) ** 2)) + 0.001 AS w FROM o) SELECT image, y AS gy, x AS gx, round(sum(v * w) / sum(w), 5) AS value FROM w GROUP BY ALL", PX)
 def blended_tiles(spark, sf):
-    """A16."""
-    px = X.mask_pixels(spark, sf)
-    origin = lambda c: F.floor(F.col(c) / 64) * 64
-    return P.blend(px.select("image", origin("y").alias("ty"), origin("x").alias("tx"), (F.col("y") % 64).alias("y"), (F.col("x") % 64).alias("x"), F.col("label").alias("value")), 64).select("image", "gy", "gx", _r("value"))
+    """Tiles of 64 pixels every 48, each with values of its own."""
+    px = X.mask_pixels(spark, sf).select("image", "y", "x").distinct()
+    near = lambda c: F.explode(F.array(F.floor(F.col(c) / 48), F.floor(F.col(c) / 48) - 1))
+    px = px.withColumn("ty", near("y")).withColumn("tx", near("x")).withColumns({c: F.col(c) * 48 for c in ("ty", "tx")}).filter("ty >= 0 and tx >= 0 and y - ty < 64 and x - tx < 64")
+    tiles = px.select("image", "ty", "tx", (F.col("y") - F.col("ty")).alias("y"), (F.col("x") - F.col("tx")).alias("x"), ((F.col("ty") + 2 * F.col("tx")) % 97).alias("value"))
+    return P.blend(tiles, 64).select("image", "gy", "gx", _r("value", digits=5))
 
 
 @query("SELECT image, channel, fiber_id, CASE WHEN hi = lo OR p = lo THEN 0 ELSE trunc(greatest(0, least(255, 255 * ((v - lo) / (hi - lo)) / ((p - lo) / (hi - lo)))))::INT END AS scaled FROM (SELECT l_suppkey AS image, l_linestatus AS channel, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS fiber_id, l_quantity AS v, min(l_quantity) OVER w AS lo, max(l_quantity) OVER w AS hi, quantile_cont(l_quantity, 0.99) OVER w AS p FROM lineitem WINDOW w AS (PARTITION BY l_suppkey, l_linestatus))")
@@ -612,11 +659,12 @@ def queue_dedupe(spark, sf):
     return C.dedupe(rows, "host", ["page_id"]).select("host", "url")
 
 
-@query("SELECT c_nationkey AS entry, a.k AS position, a.c_name AS first, b.c_name AS second FROM (SELECT c_nationkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) AS k FROM customer WHERE c_custkey % 2 = 0) a JOIN (SELECT c_nationkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) AS k FROM customer WHERE c_custkey % 2 = 1) b USING (c_nationkey) WHERE a.k = b.k")
+@query("SELECT entry, position, a.name AS first, b.name AS second FROM (SELECT c_nationkey AS entry, c_name AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) AS position FROM customer) a JOIN (SELECT c_nationkey AS entry, 'x' || lpad(((c_custkey * 7919) % 1000003)::VARCHAR, 7, '0') AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY 'x' || lpad(((c_custkey * 7919) % 1000003)::VARCHAR, 7, '0')) AS position FROM customer) b USING (entry, position)")
 def paired_files(spark, sf):
-    """J14."""
-    rows = X.table(spark, sf, "customer").select(F.col("c_nationkey").alias("entry"), "c_name", "c_custkey")
-    return C.pair_by_position(rows.filter("c_custkey % 2 = 0"), rows.filter("c_custkey % 2 = 1"), "c_name").withColumn("position", F.col("position").cast("long"))
+    """Two roles with as many files each."""
+    rows = X.table(spark, sf, "customer")
+    other = F.concat(F.lit("x"), F.lpad((F.col("c_custkey") * 7919 % 1000003).cast("string"), 7, "0"))
+    return C.pair_by_position(rows.select(F.col("c_nationkey").alias("entry"), F.col("c_name").alias("name")), rows.select(F.col("c_nationkey").alias("entry"), other.alias("name")), "name").withColumn("position", F.col("position").cast("long"))
 
 
 @query("SELECT c_nationkey AS entry, concat_ws('; ', CASE WHEN a <> 1 THEN 'AUTOMOBILE: ' || a END, CASE WHEN h > 1 THEN 'HOUSEHOLD: ' || h END) AS issues FROM (SELECT c_nationkey, count(*) FILTER (c_mktsegment = 'AUTOMOBILE') AS a, count(*) FILTER (c_mktsegment = 'HOUSEHOLD') AS h FROM customer GROUP BY 1)")
@@ -625,16 +673,26 @@ def role_check(spark, sf):
     return C.role_check(X.table(spark, sf, "customer").select(F.col("c_nationkey").alias("entry"), F.col("c_mktsegment").alias("role")), ["AUTOMOBILE"], ["HOUSEHOLD"])
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def not_processed(spark, sf):
     """J17."""
-    return C.not_done(X.table(spark, sf, "customer").select("c_custkey"), X.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return C.not_done(X.table(spark, sf, "customer").select("c_custkey"), X.table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
 
+def _masks(spark, sf):
+    return X.table(spark, sf, "orders").select(F.col("o_custkey").alias("image"), F.col("o_orderpriority").alias("annotator"))
 
-@query("SELECT c_nationkey AS image, s AS annotator FROM (SELECT DISTINCT c_nationkey FROM customer) n, (SELECT DISTINCT c_mktsegment AS s FROM customer) WHERE (c_nationkey, s) NOT IN (SELECT (c_nationkey, c_mktsegment) FROM customer)")
+
+@query("SELECT o_custkey AS image, s AS annotator FROM (SELECT DISTINCT o_custkey FROM orders) n, (SELECT DISTINCT o_orderpriority AS s FROM orders) WHERE (o_custkey, s) NOT IN (SELECT (o_custkey, o_orderpriority) FROM orders)")
 def missing_annotators(spark, sf):
     """J18."""
-    return C.missing_annotators(X.table(spark, sf, "customer").select(F.col("c_nationkey").alias("image"), F.col("c_mktsegment").alias("annotator")))
+    return C.missing_annotators(_masks(spark, sf))
+
+
+@query("SELECT o_custkey AS image, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS present FROM orders GROUP BY 1")
+def annotator_stacks(spark, sf):
+    """J18."""
+    return C.annotator_stacks(_masks(spark, sf)).select("image", F.array_join("present", "|").alias("present"))
 
 
 @query("SELECT CASE WHEN regexp_matches(image_name, '04|05|06') THEN 'test' ELSE 'train' END AS part, count(*) AS n FROM m GROUP BY 1", M)
@@ -655,3 +713,104 @@ def union_graded(spark, sf):
     rows = X.measurements(spark, sf)
     both = C.union_graded((rows.filter(F.col("grader") == HUMAN), "sheet"), (rows.filter(F.col("grader") == AI).drop("ratio"), "tool"))
     return both.groupBy("grader").agg(F.count("*").alias("n"), F.count("ratio").alias("n_ratio"))
+
+
+@query("SELECT name, \"column\", count(*) AS n FROM (SELECT DISTINCT 'type' AS \"column\", type AS name FROM m UNION ALL SELECT DISTINCT 'grader', grader FROM m) GROUP BY ALL", M)
+def distinct_names(spark, sf):
+    """A20."""
+    return C.distinct_names(X.measurements(spark, sf), "type", "grader").groupBy("column", "name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT type, count(*) AS n FROM m WHERE ratio IS NOT NULL AND length_um IS NOT NULL AND type NOT IN ('STANDARD', 'SMALL') GROUP BY 1", M)
+def dropped_categories(spark, sf):
+    """F10, F11."""
+    return C.complete(C.exclude_types(X.measurements(spark, sf), ["STANDARD", "SMALL"], "type")).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT grader, count(*) AS n FROM (FROM m UNION ALL SELECT * FROM m WHERE second_um > 40) GROUP BY 1", M)
+def appended(spark, sf):
+    """U2."""
+    rows = X.measurements(spark, sf)
+    return C.append(rows, rows.filter("second_um > 40")).groupBy("grader").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(DISTINCT split_part(split_part(url, '//', 2), '/', 1)) AS added, count(*) - count(DISTINCT split_part(split_part(url, '//', 2), '/', 1)) AS skipped FROM pages")
+def added_and_skipped(spark, sf):
+    """U3."""
+    return C.added_and_skipped(X.table(spark, sf, "pages").withColumn("host", F.split(F.split("url", "//")[1], "/")[0]), "host")
+
+
+@query(f"SELECT type, grader, count(*) AS n FROM (SELECT grader, lower(CASE grader WHEN '{AI}' THEN replace(type, 'A', '4') ELSE CASE type WHEN 'SMALL' THEN 'little' ELSE type END END) AS type FROM m) GROUP BY ALL", M)
+def renamed_by_grader(spark, sf):
+    """X3."""
+    rows = C.renamed(X.measurements(spark, sf), {AI: lambda c: N.substring_rename(c, [("A", "4")], upper=False), HUMAN: lambda c: N.map_rename(c, {"SMALL": "little"})}, F.lower)
+    return rows.groupBy("type", "grader").agg(F.count("*").alias("n"))
+
+
+@query("SELECT type, type_order, count(*) AS n FROM (SELECT type, list_position(['STANDARD', 'SMALL', 'ECONOMY'], type)::INT AS type_order FROM m) GROUP BY ALL", M)
+def fixed_order(spark, sf):
+    """W7; types that the list lacks have no order."""
+    return C.fixed_order(X.measurements(spark, sf), ["STANDARD", "SMALL", "ECONOMY"]).groupBy("type", F.nullif("type_order", F.lit(0)).alias("type_order")).agg(F.count("*").alias("n"))
+
+
+@query(", p AS (SELECT image_name, avg(error_probability) / 10 AS p FROM m GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY p, image_name) AS k, count(*) OVER () AS m FROM p) SELECT image_name, round(min(least(1, p * m / k)) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS p_bh, round(max(least(1, p * (m - k + 1))) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING), 6) AS p_holm, CASE WHEN p < 0.0001 THEN '****' WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS symbol FROM k", M)
+def adjusted_p(spark, sf):
+    """Of numbers that stand for p values, one for each image."""
+    rows = X.measurements(spark, sf).groupBy("image_name").agg((F.avg("error_probability") / 10).alias("p"))
+    return C.adjust_p(rows, "p", "image_name").select("image_name", _r("p_bh"), _r("p_holm"), S.symbols(F.col("p")).alias("symbol"))
+
+
+@query("SELECT name, right(split_part(name, 'min', 1), 2) || ' min' AS shown FROM (SELECT DISTINCT image_name || ' ' || (first_um::INT + 10) || 'min x' AS name FROM m WHERE first_um IS NOT NULL)", M)
+def durations(spark, sf):
+    """S3."""
+    rows = X.measurements(spark, sf).filter("first_um is not null").select(F.concat(F.col("image_name"), F.lit(" "), (F.col("first_um").cast("int") + 10).cast("string"), F.lit("min x")).alias("name")).distinct()
+    return rows.select("name", N.duration(F.col("name")).alias("shown"))
+
+
+@query("SELECT c_custkey, left(sha1('green=' || c_name || '#2|red=' || c_mktsegment || '#1|' || c_nationkey), 16) AS id FROM customer")
+def entry_ids(spark, sf):
+    """S9."""
+    part = lambda c, k: F.struct(F.col(c).alias("path"), F.lit(k).alias("channel"))
+    return X.table(spark, sf, "customer").select("c_custkey", N.entry_id(F.create_map(F.lit("red"), part("c_mktsegment", 1), F.lit("green"), part("c_name", 2)), F.col("c_nationkey").cast("string")).alias("id"))
+
+
+@query("SELECT user_id, count(*) AS n, sum(x)::DOUBLE AS sx, sum(y)::DOUBLE AS sy FROM t GROUP BY 1", T)
+def polylines(spark, sf):
+    """Traces written as text and read again."""
+    text = F.array_join(F.transform("points", lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string"))), " ")
+    rows = X.traces(spark, sf).select("user_id", F.explode(N.parse_polyline(text)).alias("p"))
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("p.x").alias("sx"), F.sum("p.y").alias("sy"))
+
+
+@query("SELECT o_orderpriority AS type, count(*) AS n, round(sum(o_totalprice / 10000), 4) AS total FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') GROUP BY 1")
+def second_only_sheets(spark, sf):
+    """IO3: sheets with a ratio column that is empty."""
+    rows = X.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("sheet"), (F.col("o_totalprice") / 10000).alias("value"), F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.lit(1.0)).alias("ratio"))
+    return files.second_only_sheet(rows).groupBy("type").agg(F.count("*").alias("n"), F.round(F.sum("second_um"), 4).alias("total"))
+
+
+@query()
+def bootstrap_disagreement(spark, sf):
+    """T3."""
+    return S.interval_disagreement(S.bootstrap_delta(_clean(spark, sf), BASELINE))
+
+
+@query()
+def graders_test(spark, sf):
+    """T5 with p."""
+    return S.welch_and_anova_p(_clean(spark, sf), AI, HUMAN)
+
+
+@query()
+def correlations_p(spark, sf):
+    """T12 with p."""
+    return S.agreement_p(S.cluster_means(_clean(spark, sf), AI, HUMAN))
+
+
+@query()
+def bootstrap_medians(spark, sf):
+    """Interval of the difference of medians."""
+    import numpy as np
+
+    rows = _clean(spark, sf).groupBy("type").agg(*(F.collect_list(F.when(F.col("grader") == g, F.col("ratio"))).alias(c) for g, c in ((AI, "x"), (HUMAN, "y"))))
+    return S.bootstrap(rows.filter("size(x) > 1 and size(y) > 1"), "type", lambda x, y: float(np.median(x) - np.median(y)), 500)
