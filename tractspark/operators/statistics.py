@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from ..functions import special
+from .rounds import cut
 
 
 @pandas_udf(DoubleType())
@@ -44,6 +45,25 @@ def _histogram(df: DataFrame, col: str, *by: str) -> DataFrame:
     return df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("v")).agg(F.count("*").alias("c"))
 
 
+def running_totals(rows: DataFrame, by: list[str], order: str, *cols: str) -> DataFrame:
+    """rows with, for each of cols, `<col>_before`, the sum over the rows of the same `by` that come before in `order` (which tells them apart),
+    and `next`, the order of the row that follows. Rows are dealt to ranges; each range adds up its own, and gets what the ranges before it
+    hold, so a group of any size is spread over many tasks."""
+    dealt = cut(rows.repartitionByRange(*by, order).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy(*by, "_part").agg(*(F.sum(c).alias(f"_{c}") for c in cols), F.min(order).alias("_first"))
+    parts = Window.partitionBy(*by).orderBy("_part")
+    behind = parts.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*(F.col(b).alias(f"_by_{b}") for b in by), F.col("_part").alias("_at"), *(F.coalesce(F.sum(f"_{c}").over(behind), F.lit(0)).alias(f"_{c}") for c in cols), F.lead("_first").over(parts).alias("_next"))
+    own = Window.partitionBy(*by, "_part").orderBy(order)
+    local = own.rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.select("*", *(F.coalesce(F.sum(c).over(local), F.lit(0)).alias(f"_own_{c}") for c in cols), F.lead(order).over(own).alias("_own_next"))
+    same = F.col("_part") == F.col("_at")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    out = out.join(offsets, same)
+    return out.select(*rows.columns, *((F.col(f"_own_{c}") + F.col(f"_{c}")).alias(f"{c}_before") for c in cols), F.coalesce("_own_next", "_next").alias("next"))
+
+
 def _against_reference(df: DataFrame, reference: str, col: str) -> DataFrame:
     """Per grader, type (other than the reference) and value: counts of the type (x) and of the reference (r)."""
     counts = _histogram(df, col, "grader", "type")
@@ -56,11 +76,10 @@ def _against_reference(df: DataFrame, reference: str, col: str) -> DataFrame:
 def rank_test(df: DataFrame, reference: str, col: str = "ratio") -> DataFrame:
     """U of the reference sample, effect size, Cliff's delta and the tie sum, for each grader and type."""
     rows = _against_reference(df, reference, col)
-    below = Window.partitionBy("grader", "type").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("x_below", F.coalesce(F.sum("x").over(below), F.lit(0)))
+    rows = running_totals(rows, ["grader", "type"], "v", "x")
     t = F.col("x") + F.col("r")
     out = rows.groupBy("grader", "type").agg(
-        F.sum("r").alias("n1"), F.sum("x").alias("n2"), F.sum(F.col("r") * (F.col("x_below") + F.col("x") / 2)).alias("u"), F.sum((t * t * t - t).cast("double")).alias("ties")
+        F.sum("r").alias("n1"), F.sum("x").alias("n2"), F.sum(F.col("r") * (F.col("x_before") + F.col("x") / 2)).alias("u"), F.sum((t * t * t - t).cast("double")).alias("ties")
     )
     enough = (F.col("n1") >= 2) & (F.col("n2") >= 2)
     out = out.withColumn("u", F.when(enough, F.col("u")))
@@ -243,10 +262,11 @@ def distances(df: DataFrame, a: str, b: str, col: str = "ratio") -> DataFrame:
     """Greatest gap of the two distribution functions of logs and the area between them."""
     counts = _histogram(df.filter(F.col(col) > 0).withColumn("_log", F.ln(col)), "_log", "type", "grader")
     own = lambda g: F.sum(F.when(F.col("grader") == g, F.col("c")).otherwise(0))
-    rows = counts.groupBy("type", "v").agg(own(a).alias("x"), own(b).alias("y"))
-    w, every = Window.partitionBy("type").orderBy("v"), Window.partitionBy("type")
-    share = lambda c: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(c).over(every)
-    rows = rows.filter("x + y > 0").withColumns({"gap": F.abs(share("x") - share("y")), "step": F.lead("v").over(w) - F.col("v")})
+    rows = counts.groupBy("type", "v").agg(own(a).alias("x"), own(b).alias("y")).filter("x + y > 0")
+    sizes = rows.groupBy(F.col("type").alias("_type")).agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"))
+    rows = running_totals(rows, ["type"], "v", "x", "y").join(sizes, F.col("type").eqNullSafe(F.col("_type")))
+    share = lambda c: (F.col(f"{c}_before") + F.col(c)) / F.nullif(f"n{c}", F.lit(0))
+    rows = rows.withColumns({"gap": F.abs(share("x") - share("y")), "step": F.col("next") - F.col("v")})
     return rows.groupBy("type").agg(F.max("gap").alias("ks"), F.coalesce(F.sum(F.col("gap") * F.col("step")), F.lit(0.0)).alias("wasserstein"))
 
 
@@ -361,7 +381,7 @@ def binary_scores(df: DataFrame, truth: str = "y", score: str = "score", thresho
 def ranking_scores(df: DataFrame, truth: str = "y", score: str = "score") -> DataFrame:
     """AUROC and average precision, ties together. Scores are counted first; running sums go over distinct scores."""
     counts = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("n"))
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    r = counts.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
+    r = running_totals(counts.withColumn("down", -F.col("s")), [], "down", "p", "n")
+    r = r.withColumns({"tp": F.col("p_before") + F.col("p"), "fp": F.col("n_before") + F.col("n")})
     area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)) / (F.sum("p") * F.sum("n"))
     return r.agg(area.alias("auroc"), (F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("p")).alias("average_precision"))
