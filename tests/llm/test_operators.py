@@ -181,6 +181,21 @@ def test_topk(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 3 == 0).count() == 0
 
 
+def test_topk_goes_down_the_ranges(spark, monkeypatch):
+    for name, value in (("SLICE", 16), ("SLICES", 1), ("GROWTH", 2), ("BLOCK", 8), ("SAMPLE", 12)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(8)
+    scale = np.concatenate([np.full(40, 3.0), np.geomspace(2, 0.01, 260)])
+    data = rng.normal(size=(300, 6)) * scale[rng.permutation(300), None]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.search(df, F.col("vec_id") % 10 == 0, 4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    v = np.floor(256 * data)
+    want = {q: [(n + 1, c, -s) for n, (s, c) in enumerate(sorted((-int(v[q] @ v[c]), c) for c in range(300) if c != q)[:4])] for q in range(0, 300, 10)}
+    assert {q: sorted(x) for q, x in got.items()} == want
+
+
 def test_chat(spark):
     said = ["</s>[INST] ok [/INST]", "a\\b", "\\<s>[TXT]", None, "", "<\\/s>", "[\\INST]\\", "é<"]
     turns = [(c, t, random.choice(("user", "assistant", None)), random.choice(said), "e") for c in (1, 2, None) for t in (0, 1, 2, 300, 301, None)] * 2

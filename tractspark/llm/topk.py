@@ -1,10 +1,11 @@
 """Exact top-k search by inner product over whole-number vectors.
 
-A component x becomes floor(SCALE * x). Vectors are range-sorted by descending length (norm) into slices; an orthogonal rotation, fitted by
-singular value decomposition on a bounded sample, puts most of the inner product into the first rotated dimensions. A block of queries
-goes through a slice by descending length: a tile is left out, with all behind it, once |q| * |v| can't reach any query's k-th score;
-otherwise partial sums over the first HEAD rotated dimensions plus the Cauchy-Schwarz bound on the rest pick the pairs whose whole-number
-product is then computed exactly. Queries start from the k-th score among the longest vectors. The rotation affects speed alone.
+A component x becomes floor(SCALE * x). Vectors are range-sorted by descending length (norm) and cut into slices; an orthogonal rotation, fitted by
+singular value decomposition on a bounded sample, puts most of the inner product into the first rotated dimensions. Blocks of queries go
+down the ranges of slices by descending length, in rounds of more ranges each: a range is left out, with all behind it, once |q| * |v| can't reach
+the k-th score of any query of the block, before anything is joined; inside a slice the same holds for its tiles, and partial sums over the
+first HEAD rotated dimensions plus the Cauchy-Schwarz bound on the rest pick the pairs whose whole-number product is then computed exactly.
+Queries start from the k-th score among the longest vectors; each round raises the k-th scores for the next. The rotation affects speed alone.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id; of rows that repeat
 an id the one with the smallest vector counts; only vectors of one dimension are compared (a vector of none scores 0 with its like);
@@ -15,14 +16,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialise
+from .common import Scratch, arrow_rows, materialise
 
 SCALE = 256
 #: Vectors that the rotation is fitted on, and that give the first bounds; vectors of a slice, of a tile; queries of a block.
 SAMPLE, SLICE, TILE, BLOCK, HEAD = 4096, 8192, 512, 1024, 16
+#: Slices of a range, about, and ranges, at most (the driver knows of each its greatest length and its slices); the next round takes GROWTH
+#: times the ranges of the last.
+SLICES, RANGES, GROWTH = 4, 20_000, 8
 
 
 def usable(vector: Column) -> Column:
@@ -73,42 +78,56 @@ def search(vectors: DataFrame, query_filter: Column, k: int = 5, id_col: str = "
     rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("is_query").alias("is_query"))
     floor = lambda x: F.when(F.abs(x) < 2.0**40, F.floor(x * SCALE).cast("double")).otherwise(x * SCALE)
     rows = rows.select("vec_id", "is_query", F.transform("v", floor).alias("v"))
-    rows = materialise(rows.withColumns({"dim": F.size("v"), "norm": F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))}), "vectors")
-    sizes = {r.dim: (r.n, r.q) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).collect()}
-    out = None
-    for dim, (n, n_queries) in sorted(sizes.items()):
-        if n_queries and n > 1:
-            one = _search_dim(rows.filter(F.col("dim") == dim), dim, n, n_queries, k)
-            out = one if out is None else out.unionAll(one)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return materialise(out, "best").withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _search_dim(rows: DataFrame, dim: int, n: int, n_queries: int, k: int) -> DataFrame:
+    with Scratch(spark, "topk") as scratch:
+        rows = scratch.write(rows.withColumns({"dim": F.size("v"), "norm": F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))}))
+        sizes = {r.dim: (r.n, r.q) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).collect()}
+        out = None
+        for dim, (n, n_queries) in sorted(sizes.items()):
+            if n_queries and n > 1:
+                one = _search_dim(scratch, rows.filter(F.col("dim") == dim), dim, n, n_queries, k)
+                out = one if out is None else out.unionAll(one)
+        if out is None:
+            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return materialise(out.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "best")
+
+
+def _search_dim(scratch: Scratch, rows: DataFrame, dim: int, n: int, n_queries: int, k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of each query at least."""
     spark = rows.sparkSession
     as_matrix = lambda values: np.array(values, dtype=np.float64).reshape(len(values), dim)
     sample = as_matrix([r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toLocalIterator()])
     longest = rows.orderBy(F.desc("norm"), "vec_id").limit(SAMPLE).select("vec_id", "v").toPandas()
     shared = spark.sparkContext.broadcast((rotation(sample) if dim else None, longest["vec_id"].to_numpy(), as_matrix(longest["v"].to_list())))
-    parts = -(-n // SLICE)
-    cut = rows.select("norm").approxQuantile("norm", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    low = F.array(*map(F.lit, sorted(set(cut)))) if cut else F.array().cast("array<double>")
-    # Slices by length; equal lengths are dealt by hash where one length fills more than a slice.
-    number = F.aggregate(low, F.lit(0), lambda s, b: s + (F.col("norm") >= b).cast("int"))
-    cut_rows = rows.select("vec_id", "v", "norm", number.alias("by_norm"))
-    in_slice = {r.by_norm: -(-r.n // (2 * SLICE)) for r in cut_rows.groupBy("by_norm").agg(F.count("*").alias("n")).collect()}
-    share = F.element_at(F.create_map(*[F.lit(x) for p in in_slice.items() for x in p]), F.col("by_norm"))
-    cut_rows = cut_rows.withColumn("slice", F.col("by_norm") * 4096 + F.pmod(F.xxhash64("vec_id"), share).cast("int"))
-    names = [b * 4096 + i for b, m in in_slice.items() for i in range(m)]
-    blocks = -(-n_queries // BLOCK)
-    schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int64())), ("flat", pa.list_(pa.float64())), ("bounds", pa.list_(pa.float64()))])
+    packed = pa.schema([("range", pa.int64()), ("slice", pa.int64()), ("top", pa.float64()), ("s_ids", pa.list_(pa.int64())), ("s_flat", pa.list_(pa.float64()))])
+
+    def cut_slices(batches):
+        """Slices of a range, whose vectors come by descending length."""
+        number, ids, flat, tops, at = TaskContext.get().partitionId(), [], [], [], 0
 
-    def pack_slice(key, table):
-        table = table.sort_by([("norm", "descending"), ("vec_id", "ascending")])
-        flat = np.array(table["v"].to_pylist(), dtype=np.float64).ravel()
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([table["vec_id"].to_pylist()], schema[1].type), pa.array([flat], schema[2].type), pa.array([[]], schema[3].type)], schema=schema)
+        def one(m):
+            nonlocal ids, flat, tops, at
+            all_ids, all_flat, all_tops = (np.concatenate(x) for x in (ids, flat, tops))
+            out = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([number], [at], [all_tops[0]], [all_ids[:m]], [all_flat[: m * dim]]), packed)], schema=packed)
+            ids, flat, tops, at = [all_ids[m:]], [all_flat[m * dim :]], [all_tops[m:]], at + 1
+            return out
+
+        for batch in batches:
+            ids.append(batch.column(0).to_numpy())
+            flat.append(batch.column(1).flatten().to_numpy())
+            tops.append(batch.column(2).to_numpy())
+            while sum(map(len, ids)) >= SLICE:
+                yield one(SLICE)
+        if sum(map(len, ids)):
+            yield one(SLICE)
+
+    n_ranges = min(RANGES, -(-n // (SLICE * SLICES)))
+    ordered = rows.repartitionByRange(n_ranges, F.desc("norm"), F.col("vec_id")).sortWithinPartitions(F.desc("norm"), "vec_id").select("vec_id", "v", "norm")
+    slices = scratch.write(ordered.mapInArrow(cut_slices, "range long, slice long, top double, s_ids array<long>, s_flat array<double>"))
+    known = sorted((r.range, r.top, r.n) for r in slices.groupBy("range").agg(F.max("top").alias("top"), F.count("*").alias("n")).collect())
+    blocks = -(-n_queries // BLOCK)
+    block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    block_schema = pa.schema([("block", pa.int64()), ("q_ids", pa.list_(pa.int64())), ("q_flat", pa.list_(pa.float64())), ("bounds", pa.list_(pa.float64()))])
 
     def pack_block(key, table):
         turn, ids, v = shared.value
@@ -120,23 +139,63 @@ def _search_dim(rows: DataFrame, dim: int, n: int, n_queries: int, k: int) -> Da
         lowest = np.full(len(q), np.inf)
         np.minimum.at(lowest, i, score)
         bounds[full] = lowest[full]
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([q_ids], schema[1].type), pa.array([q.ravel()], schema[2].type), pa.array([bounds], schema[3].type)], schema=schema)
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([q_ids], block_schema[1].type), pa.array([q.ravel()], block_schema[2].type), pa.array([bounds], block_schema[3].type)], schema=block_schema)
+
+    queries = rows.filter("is_query").select(block_of("vec_id").alias("block"), "vec_id", "v").groupBy("block").applyInArrow(pack_block, "block long, q_ids array<long>, q_flat array<double>, bounds array<double>")
+    queries = scratch.write(queries)
 
-    packed = "id long, ids array<long>, flat array<double>, bounds array<double>"
-    slices = cut_rows.select("slice", "vec_id", "v", "norm").groupBy("slice").applyInArrow(pack_slice, packed).select(F.col("id").alias("slice"), F.col("ids").alias("s_ids"), F.col("flat").alias("s_flat"))
-    queries = rows.filter("is_query").select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), "vec_id", "v").groupBy("block").applyInArrow(pack_block, packed)
-    dealt = queries.withColumn("slice", F.explode(F.array(*[F.lit(s).cast("long") for s in names])))
+    def reaching(batches):
+        """The blocks with the least length that a vector must have to reach a k-th score of theirs."""
+        for batch in batches:
+            reach = []
+            for q, bounds in zip(batch.column(2), batch.column(3)):
+                q, bounds = q.values.to_numpy().reshape(len(bounds), dim), bounds.values.to_numpy()
+                norm = np.linalg.norm(q, axis=1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    need = np.where(norm > 0, bounds / norm, np.where(bounds > 0, np.inf, -np.inf))
+                reach.append(float(need.min() * (1 - 1e-9) - 1e-6) if dim else -np.inf)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reach, pa.float64())], names=[*batch.schema.names, "reach"])
 
     def compare(batches):
         turn = shared.value[0]
         for batch in batches:
             for q_ids, q, bounds, s_ids, v in zip(*batch.columns):
                 q_ids, q, bounds, s_ids, v = (x.values.to_numpy() for x in (q_ids, q, bounds, s_ids, v))
-                i, ids, scores = search_slice(s_ids, v.reshape(-1, dim), q_ids, q.reshape(-1, dim), bounds, turn, k) if dim else _alike(s_ids, q_ids, k)
+                i, ids, scores = search_slice(s_ids, v.reshape(len(s_ids), dim), q_ids, q.reshape(len(q_ids), dim), bounds, turn, k) if dim else _alike(s_ids, q_ids, k)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(ids), pa.array(scores.astype(np.int64))], names=["query_id", "vec_id", "score"])
 
-    with arrow_rows(spark, 4):
-        return materialise(dealt.join(slices, "slice").select("ids", "flat", "bounds", "s_ids", "s_flat").mapInArrow(compare, "query_id long, vec_id long, score long"), "top")
+    def raised(batches):
+        """Blocks with their bounds raised to the k-th scores found so far."""
+        for batch in batches:
+            out = []
+            for q_ids, bounds, ids, scores in zip(batch.column(1), batch.column(3), batch.column(4), batch.column(5)):
+                new = bounds.values.to_numpy().copy()
+                if ids.is_valid:
+                    at = np.searchsorted(q_ids.values.to_numpy(), ids.values.to_numpy())
+                    new[at] = np.maximum(new[at], scores.values.to_numpy())
+                out.append(new)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, block_schema[3].type)], schema=block_schema)
+
+    found, at, step = None, 0, 1
+    while at < len(known):
+        part = known[at : at + step]
+        numbered = spark.createDataFrame(part, "range long, top double, n long")
+        with arrow_rows(spark, 4):
+            if at:
+                rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+                kth = found.withColumn("rank", rank).filter(F.col("rank") == k).groupBy(block_of("query_id").alias("block")).agg(F.collect_list(F.struct("query_id", F.col("score").cast("double").alias("score"))).alias("known"))
+                kth = kth.select("block", F.col("known.query_id").alias("ids"), F.col("known.score").alias("scores"))
+                queries = scratch.write(queries.join(kth, "block", "left").select("block", "q_ids", "q_flat", "bounds", "ids", "scores").mapInArrow(raised, "block long, q_ids array<long>, q_flat array<double>, bounds array<double>"))
+            reach = scratch.write(queries.mapInArrow(reaching, "block long, q_ids array<long>, q_flat array<double>, bounds array<double>, reach double").select("block", "reach"))
+            # Block and range numbers first; arrays only for those that are compared.
+            dealt = reach.join(F.broadcast(numbered), F.col("reach") <= F.col("top")).select("block", "range", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slice"))
+            pairs = dealt.join(slices.drop("top"), ["range", "slice"]).join(queries, "block").select("q_ids", "q_flat", "bounds", "s_ids", "s_flat")
+            new = scratch.write(pairs.mapInArrow(compare, "query_id long, vec_id long, score long"))
+        if at and new.isEmpty() and reach.filter(F.col("reach") <= part[0][1]).isEmpty():
+            break  # no vector of this length or a lesser one can reach any query
+        found = new if found is None else found.unionAll(new)
+        at, step = at + step, step * GROWTH
+    return found
 
 
 def _alike(ids: np.ndarray, query_ids: np.ndarray, k: int):
