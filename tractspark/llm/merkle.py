@@ -216,7 +216,7 @@ def compare_with_next(docs: DataFrame, per_range: int = RANGE) -> DataFrame:
 
     dealt = rows.withColumn("range", F.explode(ranges_of(*key)))
     dealt = dealt.select("doc_id", "text", *key, F.greatest("range", -1 - F.col("range")).alias("range"), (F.col("range") < 0).cast("int").alias("guest"))
-    dealt = dealt.repartition(n_ranges, "range").sortWithinPartitions("range", "guest", *key).select("doc_id", "text", "range", "guest")
+    dealt = dealt.repartitionById(n_ranges, "range").sortWithinPartitions("range", "guest", *key).select("doc_id", "text", "range", "guest")
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edits", pa.list_(pa.list_(pa.int64())))])
 
     def run(batches):
