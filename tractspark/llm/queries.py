@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over whole tables, and the DuckDB SQL of those that SQL can express."""
+"""Queries op1 to op13 over whole tables, and the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, merkle, mixing, packing, quality, secrets, simhash, suffix, topk, warc
+from . import chat, merkle, mixing, negatives, packing, quality, secrets, sharding, simhash, suffix, topk, warc, whitening
 
 #: The tokenizer of packing; its file is a parameter of the operator.
 TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +67,19 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_packing, op3_suffix_dedup, op4_quality, op5_topk, op6_chat, op7_simhash, op8_secrets, op9_mixing, op10_fingerprints, pipeline)
+    f.__name__: f for f in (op1_warc, op2_packing, op3_suffix_dedup, op4_quality, op5_topk, op6_chat, op7_simhash, op8_secrets, op9_mixing, op10_fingerprints, op11_whitening, op12_hard_negatives, op13_sharding, pipeline)
 }
 
 _BASE32 = " || ".join(f"substr('{warc.BASE32}', ((('0x' || substr(h, {5 * g + 1}, 5))::INTEGER >> {shift}) & 31) + 1, 1)" for g in range(8) for shift in (15, 10, 5, 0))
@@ -121,6 +134,26 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e, c.e
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op12_hard_negatives": """
+WITH v AS (SELECT vec_id, min({'label': CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END, 'e': list_transform(embedding, lambda x: floor(256 * x::DOUBLE))}) AS r FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.r.label = c.r.label AS same, list_dot_product(a.r.e, c.r.e)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10""",
+    "op13_sharding": f"""
+WITH k AS (SELECT list_transform(range(0, 256), lambda k: list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, k)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT + 1 AS size, sha256(coalesce(text, '')) AS digest,
+  xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM documents, k),
+g AS (SELECT digest, sum(size)::BIGINT AS group_bytes, min(doc_id) AS first, count(*) AS n FROM d GROUP BY digest),
+a AS (SELECT sum(size)::BIGINT AS total, floor(sum(size)::DOUBLE / 8 * {sharding.WHOLE}) AS most FROM d),
+o AS (SELECT r, doc_id, size, text_crc32, digest, total, CASE WHEN n > 1 AND group_bytes <= most THEN group_bytes END AS kept, CASE WHEN n > 1 THEN first ELSE doc_id END AS first FROM d JOIN g USING (digest), a),
+p AS (SELECT *, (sum(size) OVER w)::BIGINT - size AS before, row_number() OVER w AS i FROM o WINDOW w AS (ORDER BY first NULLS LAST, digest, doc_id NULLS LAST, r ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT *, CASE WHEN kept IS NULL THEN 2 * before + size ELSE 2 * min(before) OVER (PARTITION BY digest) + kept END AS middle FROM p),
+z AS (SELECT *, least(7, (middle * 8) // (2 * total))::INTEGER AS shard FROM q)
+SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY i) - 1 AS slot, NULL::INTEGER AS grown_shard FROM z""",
     "op6_chat": r"""
 WITH t AS (SELECT conv_id, turn, role, text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
