@@ -1,4 +1,4 @@
-"""The ten operators against brute force, over nulls, empty and repeated rows, ties, extra columns and empty tables."""
+"""Operators 1 to 10 against brute force, over nulls, empty and repeated rows, ties, extra columns and empty tables."""
 
 import hashlib
 import io
