@@ -93,6 +93,63 @@ def test_broken_archives(spark, tmp_path):
             assert warc.read_archives(manifest, f"file://{tmp_path}").count() == 50
 
 
+def plain_removal(texts, length=400):
+    """Bytes removed from each text, by a dictionary of all strings."""
+    raw, counts = [t.encode() for t in texts], Counter()
+    for r in raw:
+        counts.update(r[i : i + length] for i in range(len(r) - length + 1))
+    out = []
+    for r in raw:
+        gone = np.zeros(len(r), bool)
+        for i in range(len(r) - length + 1):
+            if counts[r[i : i + length]] > 1:
+                gone[i : i + length] = True
+        out.append(int(gone.sum()))
+    return out
+
+
+def colliding_texts(n):
+    """Pairs of texts whose first 172 bytes differ by a polynomial that vanishes modulo 2^64 at every odd base, and that share the 400 after."""
+    difference = np.ones(1, np.int64)
+    for e in (1, 2, 4, 8, 16, 32, 64, 2, 4, 8, 16, 2, 4, 8):
+        factor = np.zeros(e + 1, np.int64)
+        factor[0], factor[e] = 1, -1
+        difference = np.convolve(difference, factor)
+    up = 79 + (difference + 1) // 2
+    heads = bytes(up.astype(np.uint8)).decode(), bytes((up - difference).astype(np.uint8)).decode()
+    for _ in range(n):
+        tail = "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400))
+        yield heads[0] + tail
+        yield heads[1] + tail
+
+
+def test_strings_that_polynomial_hashes_confuse(spark):
+    texts = list(colliding_texts(25))
+    assert len(texts[0]) == 572 and texts[0][:172] != texts[1][:172] and min(map(ord, texts[0] + texts[1])) >= 32
+    # Modulo 2^64 both heads hash alike under any odd base; modulo the primes they don't.
+    from tractspark.llm import rolling
+
+    a, b = (np.frombuffer(t.encode(), np.uint8) for t in texts[:2])
+    for base in (rolling.BASE, 3, 0xD6E8FEB86659FD93):
+        assert rolling.Hashes(a, base).window(0, 172) == rolling.Hashes(b, base).window(0, 172)
+    bases = rolling.draw_bases()
+    assert rolling.SafeHashes(a, bases).window(0, 172) != rolling.SafeHashes(b, bases).window(0, 172)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.n_removed for r in suffix.remove_repeats(df).orderBy("doc_id").collect()]
+    assert got == plain_removal(texts) == [400] * len(texts)
+
+
+def test_safe_hashes_equal_plain_ones():
+    from tractspark.llm import rolling
+
+    for data in (np.frombuffer(bytes(range(256)) * 40, np.uint8), np.array([random.randrange(2**62) for _ in range(3000)], np.int64)):
+        bases = rolling.draw_bases()
+        made = rolling.SafeHashes(data, bases)
+        for start, stop in ((0, 0), (5, 6), (17, 400), (0, len(data)), (len(data) - 3, len(data))):
+            parts = [sum((int(x) % p + 1) * pow(base, i, p) for i, x in enumerate(data[start:stop])) % p for p, base in zip(rolling.PRIMES, bases)]
+            assert int(made.window(start, stop)) == parts[0] << 31 | parts[1]
+
+
 def test_packing(docs, none):
     path = queries.tokenizer_path()
     got = packing.pack_documents(docs, path, 256).toPandas()
@@ -134,9 +191,10 @@ def test_suffix_arrays_and_removal(docs, none, monkeypatch):
 def test_suffix_groups_split_over_shards(spark, monkeypatch):
     monkeypatch.setattr(suffix, "GROUP", 3)
     passage = text(120)
-    df = spark.createDataFrame([(i, text(30) + passage + text(30)) for i in range(12)], "doc_id long, text string")
-    alike = [r.n_removed for r in suffix.remove_repeats(df).collect()]
-    assert len(alike) == 12 and min(alike) >= len(passage.encode())
+    texts = [text(30) + f" {i} " + passage[: 520 + 7 * i] + f" {i} " + text(30) for i in range(12)] + [passage, passage[60:470], passage[5:] + "!", passage[:401] + passage[:401]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.n_removed for r in suffix.remove_repeats(df).orderBy("doc_id").collect()]
+    assert got == plain_removal(texts) and min(got) >= 400
 
 
 def test_quality(spark, docs, none):

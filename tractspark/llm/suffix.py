@@ -2,16 +2,17 @@
 
 Every string of LENGTH bytes has one anchor that its bytes alone decide: the leftmost smallest hash among its K-byte grams. Runs of strings
 with one anchor make a context; contexts are grouped by a hash of bytes that all their strings share around the anchor, so equal strings
-meet in one group. Equal contexts are counted first, so that copies don't fill a shard; the distinct contexts of the groups that hold several are
+meet in one group. Equal contexts are counted first, so that copies don't fill a shard; they are told by 128 bits of BLAKE2b under a key drawn for
+each run, as polynomial hashes can be made to agree. The distinct contexts of the groups that hold several are
 dealt to shards of bounded size, and a shard's suffix array is built by induced sorting: classify suffixes, sort leftmost-smaller (LMS)
-substrings by induction and name them, sort the reduced string of names by recursion where names repeat, induce the whole array in linear
+substrings by induction, name them by comparing neighbours' symbols, sort the reduced string of names by recursion where names repeat, induce the whole array in linear
 passes, then compute permuted common prefixes from the irreducible ones. Neighbours that share LENGTH bytes start equal strings.
-A group with more contexts than a shard takes is split over several; their shards' distinct strings then meet by hash.
+A group with more contexts than a shard takes is split over several; their shards' distinct strings then meet by such a digest.
 
 Anchors, counts and contexts only choose what is compared and never drop a string: any two equal strings share their group.
 
 Passages are reported beside: runs of WORDS or more words (whatever lies between ASCII white space) that start elsewhere too, found alike over
-hashes of words. They aren't removed unless their bytes are.
+hashes of words (modulo primes, with bases drawn for each run). They aren't removed unless their bytes are.
 
 Defined cases: null and empty texts have no bytes and lose none; texts shorter than LENGTH lose none; matches never cross documents;
 repeated rows are documents of their own, so both lose all strings; null doc_ids are carried; an empty table gives no rows; further
@@ -21,6 +22,8 @@ columns are ignored, whatever their names; very long texts are hashed by segment
 from __future__ import annotations
 
 import hashlib
+import os
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bound_arrow, materialise
-from .rolling import BASES, Hashes, mixed
+from .rolling import Hashes, SafeHashes, draw_bases, mixed
 
 LENGTH, K = 400, 32
 #: Words of a passage, and of the grams that anchor it.
@@ -41,8 +44,30 @@ SYMBOLS = 4096
 _U = np.uint64
 
 
-def contexts(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = K) -> np.ndarray:
-    """data: the bytes of texts after each other; ends: where each stops. Rows: first string start, strings, group hash, context hash."""
+Naming = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def digests(data: np.ndarray, start: np.ndarray, stop: np.ndarray, key: bytes) -> np.ndarray:
+    """128 bits of the bytes of each range, as two longs; equal for equal bytes alone, for all that can be found."""
+    raw = memoryview(np.ascontiguousarray(data)).cast("B")
+    made = b"".join([hashlib.blake2b(raw[a:b], digest_size=16, key=key).digest() for a, b in zip(start.tolist(), stop.tolist())])
+    return np.frombuffer(made, np.int64).reshape(-1, 2)
+
+
+def by_bytes(key: bytes) -> Naming:
+    return lambda data, start, stop: digests(data, start, stop, key)
+
+
+def by_words(bases: tuple[int, int]) -> Naming:
+    def name(data, start, stop):
+        h = SafeHashes(data, bases).window(start, stop)
+        return np.stack([h, np.zeros_like(h)], axis=1)
+
+    return name
+
+
+def contexts(data: np.ndarray, ends: np.ndarray, naming: Naming, length: int = LENGTH, k: int = K) -> np.ndarray:
+    """data: the bytes of texts after each other; ends: where each stops. Rows: first string start, strings, group hash, both names."""
     begins = np.concatenate(([0], ends[:-1]))
     out, span, half = [], length - k + 1, (length - k) // 2
     bits = 20
@@ -57,7 +82,7 @@ def contexts(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int =
         fits = np.arange(at, at + n) + length <= ends[np.minimum(own, len(ends) - 1)]
         if not fits.any():
             continue
-        one, two = Hashes(piece, BASES[0]), Hashes(piece, BASES[1])
+        one = Hashes(piece)
         m = len(piece) - k + 1
         keys = mixed(one.window(slice(0, m), slice(k, k + m)))
         keys = (keys & ~_U((1 << bits) - 1)) | np.arange(m, dtype=_U)
@@ -79,9 +104,9 @@ def contexts(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int =
         a, f = anchor[first], far[first]
         # All strings of a near run hold [a, a + length - half + 1), of a far one [a - half, a + k).
         group = one.window(np.where(f, a - half, a), np.where(f, a + k, a + length - half + 1)) + f.astype(_U) * _U(0x5851F42D4C957F2D)
-        whole = two.window(first, first + count + length - 1)
-        out.append(np.stack([first + at, count, mixed(group).view(np.int64), mixed(whole).view(np.int64)]))
-    return np.concatenate(out, axis=1).T if out else np.zeros((0, 4), np.int64)
+        names = naming(piece, first, first + count + length - 1)
+        out.append(np.stack([first + at, count, mixed(group).view(np.int64), names[:, 0], names[:, 1]]))
+    return np.concatenate(out, axis=1).T if out else np.zeros((0, 5), np.int64)
 
 
 def _induce(t: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -187,14 +212,19 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     rough = rough[is_lms[rough]]
-    # LMS substrings, each to the next LMS position, are in order now; neighbours are equal if their hashes and sizes are.
-    stop = np.append(lms[1:], n - 1) + 1
-    digest = mixed(Hashes(t, BASES[0]).window(lms, stop)) ^ mixed(Hashes(t, BASES[1]).window(lms, stop) + _U(1))
+    # LMS substrings, each to the next LMS position, are in order now; neighbours are equal if their sizes and all their symbols are.
+    size = np.append(lms[1:], n - 1) + 1 - lms
     place = np.full(n, -1, np.int32)
     place[lms] = np.arange(len(lms))
     at = place[rough]
     new = np.ones(len(at), bool)
-    new[1:] = (digest[at[1:]] != digest[at[:-1]]) | ((stop - lms)[at[1:]] != (stop - lms)[at[:-1]])
+    alike = np.flatnonzero(size[at[1:]] == size[at[:-1]]) + 1
+    if len(alike):
+        long = size[at[alike]].astype(np.int64)
+        begin = np.cumsum(long) - long
+        step = np.arange(begin[-1] + long[-1]) - np.repeat(begin, long)
+        differs = t[np.repeat(lms[at[alike]], long) + step] != t[np.repeat(lms[at[alike - 1]], long) + step]
+        new[alike] = np.logical_or.reduceat(differs, begin)
     name = np.empty(len(at), np.int32)
     name[at] = np.cumsum(new)
     # The last LMS position is the end mark, whose name is the least and its own: the reduced string ends like t does.
@@ -257,141 +287,141 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-_OCCURRENCES = "gkey long, ctx long, doc_id long, thash long, pos long, cnt int"
+_OCCURRENCES = "gkey long, ctx long, ctx2 long, doc_id long, thash long, pos long, cnt int"
+_OCCURRENCE = pa.schema([("gkey", pa.int64()), ("ctx", pa.int64()), ("ctx2", pa.int64()), ("doc_id", pa.int64()), ("thash", pa.int64()), ("pos", pa.int64()), ("cnt", pa.int32())])
 
 
-def _found(batch: pa.RecordBatch, data: np.ndarray, ends: np.ndarray, length: int, k: int) -> pa.RecordBatch:
-    """The contexts of a batch (doc_id, thash, text) whose texts' symbols lie after each other in data."""
-    schema = pa.schema([("gkey", pa.int64()), ("ctx", pa.int64()), ("doc_id", pa.int64()), ("thash", pa.int64()), ("pos", pa.int64()), ("cnt", pa.int32())])
-    found = contexts(data, ends, length, k)
+def _found(batch: pa.RecordBatch, data: np.ndarray, ends: np.ndarray, naming: Naming, length: int, k: int, kind: int) -> pa.RecordBatch:
+    """The contexts of a batch (doc_id, thash, text) whose texts' symbols lie after each other in data; the last bit of a group's key tells what
+    the symbols are: bytes (0) or words (1)."""
+    found = contexts(data, ends, naming, length, k)
     own = np.searchsorted(ends, found[:, 0], side="right")
     pos = found[:, 0] - np.concatenate(([0], ends[:-1]))[own]
     take = pa.array(own)
-    return pa.RecordBatch.from_arrays([pa.array(found[:, 2]), pa.array(found[:, 3]), batch.column(0).take(take), batch.column(1).take(take), pa.array(pos), pa.array(found[:, 1].astype(np.int32))], schema=schema)
+    columns = [pa.array(found[:, 2] & ~1 | kind), pa.array(found[:, 3]), pa.array(found[:, 4]), batch.column(0).take(take), batch.column(1).take(take), pa.array(pos), pa.array(found[:, 1].astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, schema=_OCCURRENCE)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], bases: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the texts' words after each other, and where each text's stop."""
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     blank = np.concatenate(([True], (raw == 32) | ((raw > 8) & (raw < 14))))
     first, stop = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
     ends = np.cumsum(np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts)))
-    return mixed(Hashes(raw).window(first, stop)), np.searchsorted(first, ends)
+    return SafeHashes(raw, bases).window(first, stop), np.searchsorted(first, ends)
+
 
+def _occurrences(rows: DataFrame, length: int, words: int, key: bytes, bases: tuple[int, int]) -> DataFrame:
+    """Contexts of bytes and of words, in one pass over the texts."""
 
-def _occurrences(rows: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = [x.as_py().encode() for x in batch.column(2)]
             ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-            yield _found(batch, np.frombuffer(b"".join(texts), np.uint8), ends, length, K)
-
-    return rows.filter(F.octet_length("text") >= length).mapInArrow(run, _OCCURRENCES)
-
-
-def _word_occurrences(rows: DataFrame, words: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            yield _found(batch, *word_hashes([x.as_py().encode() for x in batch.column(2)]), words, WORD_GRAM)
+            yield _found(batch, np.frombuffer(b"".join(texts), np.uint8), ends, by_bytes(key), length, K, 0)
+            yield _found(batch, *word_hashes(texts, bases), by_words(bases), words, WORD_GRAM, 1)
 
-    return rows.filter(F.octet_length("text") >= 2 * words - 1).mapInArrow(run, _OCCURRENCES)
+    return rows.filter(F.octet_length("text") >= min(length, 2 * words - 1)).mapInArrow(run, _OCCURRENCES)
 
 
 def _same_doc(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["thash"] == b["thash"])
 
 
-def _met(scratch: Scratch, occ: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Of the contexts those that aren't alone in their group: the ranges (doc_id, thash, lo, hi) of contexts that are equal to another, and
+def _met(scratch: Scratch, occ: DataFrame, length: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """Of the contexts those that aren't alone in their group: the ranges (gkey, doc_id, thash, lo, hi) of contexts that are equal to another, and
     the distinct contexts of groups with several, with kinds (contexts of the group), m (equal ones) and one place of each."""
     occ = scratch.write(occ)
-    groups = occ.groupBy("gkey").agg(F.count("*").alias("total"), (F.min("ctx") < F.max("ctx")).alias("differ")).filter("total > 1").select("gkey", "differ")
+    differ = (F.min("ctx") < F.max("ctx")) | (F.min("ctx2") < F.max("ctx2"))
+    groups = occ.groupBy("gkey").agg(F.count("*").alias("total"), differ.alias("differ")).filter("total > 1").select("gkey", "differ")
     live = scratch.write(occ.join(scratch.write(groups), "gkey"))  # a table of its own, so that a hot group's side can be split
     scratch.drop(occ)
-    seen = scratch.write(live.groupBy("gkey", "ctx").agg(F.count("*").alias("m"), F.any_value("differ").alias("differ"), F.min(F.struct("doc_id", "thash", "pos", "cnt")).alias("rep")))
-    equal = seen.filter("m > 1").select("gkey", "ctx")
-    direct = live.join(equal, ["gkey", "ctx"], "left_semi").select("doc_id", "thash", F.col("pos").alias("lo"), (F.col("pos") + F.col("cnt") + length - 1).alias("hi"))
+    one = ("differ", "doc_id", "thash", "pos", "cnt")  # first() takes all of them from one row
+    seen = scratch.write(live.groupBy("gkey", "ctx", "ctx2").agg(F.count("*").alias("m"), *(F.first(c).alias(c) for c in one)))
+    equal = seen.filter("m > 1").select("gkey", "ctx", "ctx2")
+    reach = F.when(F.col("gkey").bitwiseAND(1) == 1, F.lit(words)).otherwise(F.lit(length))
+    direct = live.join(equal, ["gkey", "ctx", "ctx2"], "left_semi").select("gkey", "doc_id", "thash", F.col("pos").alias("lo"), (F.col("pos") + F.col("cnt") + reach - 1).alias("hi"))
     direct = scratch.write(direct)
     scratch.drop(live)
     several = seen.filter("differ")
     kinds = several.groupBy("gkey").agg(F.count("*").alias("kinds"))
-    return direct, scratch.write(several.join(kinds, "gkey").select("gkey", "ctx", "kinds", "m", "rep.*"))
+    return direct, scratch.write(several.join(kinds, "gkey").select("gkey", "ctx", "ctx2", "kinds", "m", *one[1:]))
 
 
-_STRINGS = "doc_id long, thash long, gkey long, at array<long>, hashes array<long>"
+_STRINGS = "doc_id long, thash long, gkey long, at array<long>, hashes array<long>, more array<long>"
 
 
 def _across(found: DataFrame, length: int) -> DataFrame:
     """Ranges of strings that meet by hash: found has the strings' hashes, and their places (-1 where they needn't be given back)."""
-    met = found.select("doc_id", "thash", "gkey", F.explode(F.arrays_zip("at", "hashes")).alias("s")).select("doc_id", "thash", "gkey", "s.at", F.col("s.hashes").alias("h"))
-    both = met.groupBy("gkey", "h").agg(F.count("*").alias("n")).filter("n > 1").select("gkey", "h")
-    return met.filter("at >= 0").join(both, ["gkey", "h"], "left_semi").select("doc_id", "thash", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
+    met = found.select("doc_id", "thash", "gkey", F.explode(F.arrays_zip("at", "hashes", "more")).alias("s")).select("doc_id", "thash", "gkey", "s.at", F.col("s.hashes").alias("h"), F.col("s.more").alias("h2"))
+    both = met.groupBy("gkey", "h", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("gkey", "h", "h2")
+    return met.filter("at >= 0").join(both, ["gkey", "h", "h2"], "left_semi").select("doc_id", "thash", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
 
 
-def _sorted(scratch: Scratch, asked: DataFrame, length: int) -> DataFrame:
-    """doc_id, thash, gkey, lo, hi, at, hashes: what the suffix arrays of the shards tell of the contexts asked for."""
-    cut = "gkey long, ctx long, m long, doc_id long, thash long, pos long, cnt int, split boolean, shard long, part binary"
+def _sorted(scratch: Scratch, asked: DataFrame, length: int, key: bytes) -> DataFrame:
+    """doc_id, thash, gkey, at, hashes, more, lo, hi: what the suffix arrays of the shards tell of the contexts asked for."""
+    cut = "gkey long, ctx long, ctx2 long, m long, doc_id long, thash long, pos long, cnt int, split boolean, shard long, part binary"
 
     def cut_out(batches):
-        names = ["gkey", "ctx", "m", "doc_id", "thash", "pos", "cnt", "split", "shard", "part"]
+        names = ["gkey", "ctx", "ctx2", "m", "doc_id", "thash", "pos", "cnt", "split", "shard", "part"]
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for doc_id, thash, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = text.encode()
                 for s in wanted:
-                    row = (s["gkey"], s["ctx"], s["m"], doc_id, thash, s["pos"], s["cnt"], s["split"], s["shard"], raw[s["pos"] : s["pos"] + s["cnt"] + length - 1])
+                    row = (s["gkey"], s["ctx"], s["ctx2"], s["m"], doc_id, thash, s["pos"], s["cnt"], s["split"], s["shard"], raw[s["pos"] : s["pos"] + s["cnt"] + length - 1])
                     for column, value in zip(out, row):
                         column.append(value)
-            types = [pa.int64()] * 6 + [pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
+            types = [pa.int64()] * 7 + [pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
     def sort_shard(table):
         table = table.combine_chunks()
         parts = table["part"].to_pylist()
         order = {}
-        for i, (g, c) in enumerate(zip(table["gkey"].to_pylist(), table["ctx"].to_pylist())):
-            order.setdefault((g, c), i)
+        for i, named in enumerate(zip(*(table[c].to_pylist() for c in ("gkey", "ctx", "ctx2")))):
+            order.setdefault(named, i)
         index = list(order.values())  # a context that a repeated row gives twice is taken once
         mask, firsts = repeated([parts[i] for i in index], length)
         is_split = table["split"][0].as_py()
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(8)]
         doc, thash, gkey, m, pos, cnt = (table[c].to_pylist() for c in ("doc_id", "thash", "gkey", "m", "pos", "cnt"))
-        known: dict = {}
+        known: set = set()
         for i, first in zip(index, firsts):
             own = mask[first : first + cnt[i]]
             lo, hi = _runs(own)
-            at = hashes = None
+            at = h = np.zeros((0, 2), np.int64)
             if is_split:  # each distinct string once for the shard; alone ones with their place
-                data = np.frombuffer(parts[i], np.uint8)
                 s = np.arange(cnt[i])
-                h = (mixed(Hashes(data, BASES[0]).window(s, s + length)) ^ Hashes(data, BASES[1]).window(s, s + length)).view(np.int64)
-                fresh = np.array([not (dup and x in known) for x, dup in zip(h.tolist(), own.tolist())], bool)
-                known.update(dict.fromkeys(h[own].tolist()))
-                at, hashes = np.where(own | (m[i] > 1), -1, s + pos[i])[fresh], h[fresh]
+                h = digests(np.frombuffer(parts[i], np.uint8), s, s + length, key)
+                named = list(map(tuple, h.tolist()))
+                fresh = np.array([not (dup and x in known) for x, dup in zip(named, own.tolist())], bool)
+                known.update(x for x, dup in zip(named, own.tolist()) if dup)
+                at, h = np.where(own | (m[i] > 1), -1, s + pos[i])[fresh], h[fresh]
             if len(lo) or is_split:
-                for column, value in zip(out, (doc[i], thash[i], gkey[i], at, hashes, lo + pos[i], hi + pos[i] + length - 1)):
+                for column, value in zip(out, (doc[i], thash[i], gkey[i], at.ravel() if is_split else None, h[:, 0] if is_split else None, h[:, 1] if is_split else None, lo + pos[i], hi + pos[i] + length - 1)):
                     column.append(value)
-        types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 4
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "thash", "gkey", "at", "hashes", "lo", "hi"])
+        types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 5
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "thash", "gkey", "at", "hashes", "more", "lo", "hi"])
 
     wanted = asked.filter("strings is not null").select("doc_id", "thash", "text", "strings")
     return scratch.write(wanted.mapInArrow(cut_out, cut).groupBy("split", "shard").applyInArrow(sort_shard, _STRINGS + ", lo array<long>, hi array<long>"))
 
 
-def _word_strings(asked: DataFrame, words: int) -> DataFrame:
+def _word_strings(asked: DataFrame, words: int, bases: tuple[int, int]) -> DataFrame:
     """The hashes of all passages in the contexts asked for."""
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for doc_id, thash, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-                own = Hashes(word_hashes([text.encode()])[0])
+                own = SafeHashes(word_hashes([text.encode()], bases)[0], bases)
                 for s in wanted:
                     at = s["pos"] + np.arange(s["cnt"])
-                    for column, value in zip(out, (doc_id, thash, s["gkey"], np.where(s["m"] > 1, -1, at), mixed(own.window(at, at + words)).view(np.int64))):
+                    for column, value in zip(out, (doc_id, thash, s["gkey"], np.where(s["m"] > 1, -1, at), own.window(at, at + words), np.zeros(len(at), np.int64))):
                         column.append(value)
-            types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "thash", "gkey", "at", "hashes"])
+            types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "thash", "gkey", "at", "hashes", "more"])
 
     return asked.filter("passages is not null").select("doc_id", "thash", "text", "passages").mapInArrow(run, _STRINGS)
 
@@ -400,21 +430,24 @@ def covered(scratch: Scratch, rows: DataFrame, length: int = LENGTH, words: int
     """Of rows (doc_id, thash, text): doc_id, thash, lo, hi of byte ranges whose every `length`-byte string starts elsewhere too, and the
     same of word ranges whose every run of `words` words does."""
     bound_arrow(rows.sparkSession, 256)
-    direct, several = _met(scratch, _occurrences(rows, length), length)
-    word_direct, word_several = _met(scratch, _word_occurrences(rows, words), words)
+    key, bases = os.urandom(16), draw_bases()
+    direct, several = _met(scratch, _occurrences(rows, length, words, key, bases), length, words)
+    is_words = F.col("gkey").bitwiseAND(1) == 1
+    word_several, several = several.filter(is_words), several.filter(~is_words)
     n_bytes = several.agg(F.sum(F.col("cnt") + length)).first()[0] or 0
     split = F.col("kinds") > GROUP
     shard = F.when(split, F.xxhash64("gkey", F.pmod(F.xxhash64("ctx"), F.ceil(F.col("kinds") / GROUP)))).otherwise(F.pmod(F.xxhash64("gkey"), F.lit(n_bytes // SHARD + 1)))
-    strings = several.withColumns({"split": split, "shard": shard}).select("doc_id", "thash", F.struct("gkey", "ctx", "m", "pos", "cnt", "split", "shard").alias("string"), F.lit(None).alias("passage"))
+    strings = several.withColumns({"split": split, "shard": shard}).select("doc_id", "thash", F.struct("gkey", "ctx", "ctx2", "m", "pos", "cnt", "split", "shard").alias("string"), F.lit(None).alias("passage"))
     passages = word_several.select("doc_id", "thash", F.lit(None).alias("string"), F.struct("gkey", "m", "pos", "cnt").alias("passage"))
     none_if_empty = lambda c: F.when(F.size(F.collect_list(c)) > 0, F.collect_list(c))
     wanted = strings.unionAll(passages).groupBy("doc_id", "thash").agg(none_if_empty("string").alias("strings"), none_if_empty("passage").alias("passages"))
     asked = rows.join(wanted, _same_doc(rows, wanted)).select(rows["doc_id"], rows["thash"], "text", "strings", "passages")
     asked = scratch.write(asked)
-    found = _sorted(scratch, asked, length)
+    found = _sorted(scratch, asked, length, key)
     inside = found.select("doc_id", "thash", F.explode(F.arrays_zip("lo", "hi")).alias("r")).select("doc_id", "thash", "r.lo", "r.hi")
-    ranges = direct.unionAll(inside).unionAll(_across(found.filter("hashes is not null"), length))
-    return ranges, word_direct.unionAll(_across(scratch.write(_word_strings(asked, words)), words))
+    at = ("doc_id", "thash", "lo", "hi")
+    ranges = direct.filter(~is_words).select(*at).unionAll(inside).unionAll(_across(found.filter("hashes is not null"), length))
+    return ranges, direct.filter(is_words).select(*at).unionAll(_across(scratch.write(_word_strings(asked, words, bases)), words))
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
