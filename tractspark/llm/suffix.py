@@ -7,7 +7,7 @@ each run, as polynomial hashes can be made to agree. The distinct contexts of th
 dealt to shards of bounded size, and a shard's suffix array is built by induced sorting: classify suffixes, sort leftmost-smaller (LMS)
 substrings by induction, name them by comparing neighbours' symbols, sort the reduced string of names by recursion where names repeat, induce the whole array in linear
 passes, then compute permuted common prefixes from the irreducible ones. Neighbours that share LENGTH bytes start equal strings.
-A group with more contexts than a shard takes is split over several; their shards' distinct strings then meet by such a digest.
+A group with more contexts than a shard takes is split over several; their shards' distinct strings then meet by hashes modulo primes and modulo 2^64.
 
 Anchors, counts and contexts only choose what is compared and never drop a string: any two equal strings share their group.
 
@@ -358,7 +358,7 @@ def _across(found: DataFrame, length: int) -> DataFrame:
     return met.filter("at >= 0").join(both, ["gkey", "h", "h2"], "left_semi").select("doc_id", "thash", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
 
 
-def _sorted(scratch: Scratch, asked: DataFrame, length: int, key: bytes) -> DataFrame:
+def _sorted(scratch: Scratch, asked: DataFrame, length: int, bases: tuple[int, int]) -> DataFrame:
     """doc_id, thash, gkey, at, hashes, more, lo, hi: what the suffix arrays of the shards tell of the contexts asked for."""
     cut = "gkey long, ctx long, ctx2 long, m long, doc_id long, thash long, pos long, cnt int, split boolean, shard long, part binary"
 
@@ -392,8 +392,8 @@ def _sorted(scratch: Scratch, asked: DataFrame, length: int, key: bytes) -> Data
             lo, hi = _runs(own)
             at = h = np.zeros((0, 2), np.int64)
             if is_split:  # each distinct string once for the shard; alone ones with their place
-                s = np.arange(cnt[i])
-                h = digests(np.frombuffer(parts[i], np.uint8), s, s + length, key)
+                data, s = np.frombuffer(parts[i], np.uint8), np.arange(cnt[i])
+                h = np.stack([SafeHashes(data, bases).window(s, s + length), mixed(Hashes(data).window(s, s + length)).view(np.int64)], axis=1)
                 named = list(map(tuple, h.tolist()))
                 fresh = np.array([not (dup and x in known) for x, dup in zip(named, own.tolist())], bool)
                 known.update(x for x, dup in zip(named, own.tolist()) if dup)
@@ -443,7 +443,7 @@ def covered(scratch: Scratch, rows: DataFrame, length: int = LENGTH, words: int
     wanted = strings.unionAll(passages).groupBy("doc_id", "thash").agg(none_if_empty("string").alias("strings"), none_if_empty("passage").alias("passages"))
     asked = rows.join(wanted, _same_doc(rows, wanted)).select(rows["doc_id"], rows["thash"], "text", "strings", "passages")
     asked = scratch.write(asked)
-    found = _sorted(scratch, asked, length, key)
+    found = _sorted(scratch, asked, length, bases)
     inside = found.select("doc_id", "thash", F.explode(F.arrays_zip("lo", "hi")).alias("r")).select("doc_id", "thash", "r.lo", "r.hi")
     at = ("doc_id", "thash", "lo", "hi")
     ranges = direct.filter(~is_words).select(*at).unionAll(inside).unionAll(_across(found.filter("hashes is not null"), length))
