@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import HUMAN, KEY, ORIGIN, TERMINATION, TWO, VALID_TYPES
+from .quantiles import medians, quantiles, with_medians
 
 
 def nan_to_null(df: DataFrame, *cols: str) -> DataFrame:
@@ -142,22 +143,24 @@ def dedupe(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 def summary(df: DataFrame, col: str = "ratio", by: Sequence[str] = ("type", "grader"), log: bool = False) -> DataFrame:
     """A1."""
-    v = F.ln(col) if log else F.col(col)
-    return df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("sd"))
+    rows = df.select(*by, (F.ln(col) if log else F.col(col)).alias("_v"))
+    out = rows.groupBy(*by).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd"))
+    return with_medians(out, medians(rows, "_v", by), by).select(*by, "n", "mean", "median", "sd")
 
 
 def box_statistics(df: DataFrame, col: str = "ratio", by: Sequence[str] = ("type", "grader"), approximate: int | None = None) -> DataFrame:
     """A2: quartiles and whiskers within 1.5 interquartile ranges. approximate: the accuracy of percentile_approx."""
-    q = F.percentile_approx(col, [0.25, 0.5, 0.75], approximate) if approximate else F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    quartiles = df.groupBy(*by).agg(q.alias("q")).select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"))
+    every = df.groupBy(*by).agg(F.percentile_approx(col, [0.25, 0.5, 0.75], approximate).alias("q")) if approximate else quantiles(df, col, [0.25, 0.5, 0.75], by)
+    quartiles = every.select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = df.join(quartiles, list(by)).filter(F.col(col).between(F.col("q1") - reach, F.col("q3") + reach))
+    inside = with_medians(df, quartiles, by, "inner").filter(F.col(col).between(F.col("q1") - reach, F.col("q3") + reach))
     return inside.groupBy(*by, "q1", "q2", "q3").agg(F.min(col).alias("low"), F.max(col).alias("high"))
 
 
 def by_grader(df: DataFrame, graders: Sequence[str], col: str = "ratio") -> DataFrame:
     """One median column per grader."""
-    return df.groupBy("type").agg(*(F.median(F.when(F.col("grader") == g, F.col(col))).alias(g) for g in graders)).dropna(subset=list(graders))
+    every = medians(df.filter(F.col("grader").isin(*graders)), col, ["type", "grader"])
+    return every.groupBy("type").agg(*(F.max(F.when(F.col("grader") == g, F.col("median"))).alias(g) for g in graders)).dropna(subset=list(graders))
 
 
 def median_difference(df: DataFrame, first: str, second: str, col: str = "ratio") -> DataFrame:
@@ -169,8 +172,9 @@ def normalise(df: DataFrame, baseline: str, col: str = "ratio", per_grader: bool
     """A4: divides by the baseline's median (null without one)."""
     base = df.filter(F.col("type") == baseline)
     if per_grader:
-        return df.join(base.groupBy("grader").agg(F.median(col).alias("_base")), "grader", "left").withColumn(col, F.try_divide(F.col(col), F.col("_base"))).drop("_base")
-    return df.crossJoin(F.broadcast(base.agg(F.median(col).alias("_base")))).withColumn(col, F.try_divide(F.col(col), F.col("_base"))).drop("_base")
+        return df.join(medians(base, col, ["grader"], "_base"), "grader", "left").withColumn(col, F.try_divide(F.col(col), F.col("_base"))).drop("_base")
+    whole = base.agg(F.count(col).alias("_n")).join(medians(base, col, (), "_base"), F.lit(True), "left").drop("_n")
+    return df.crossJoin(F.broadcast(whole)).withColumn(col, F.try_divide(F.col(col), F.col("_base"))).drop("_base")
 
 
 def count_change(old: DataFrame, new: DataFrame, col: str = "fiber_type") -> DataFrame:
@@ -182,14 +186,15 @@ def count_change(old: DataFrame, new: DataFrame, col: str = "fiber_type") -> Dat
 
 def robustness(df: DataFrame, col: str = "ratio") -> DataFrame:
     """Medians and counts at the lowest and highest sigma of each model."""
-    per = df.groupBy("model", "sigma").agg(F.median(col).alias("median"), F.count("*").alias("n"))
+    per = with_medians(df.groupBy("model", "sigma").agg(F.count("*").alias("n")), medians(df, col, ["model", "sigma"]), ["model", "sigma"])
     ends = per.groupBy("model").agg(*(f(F.col(c), F.col("sigma")).alias(f"{c}_{name}") for c in ("median", "n") for f, name in ((F.min_by, "low"), (F.max_by, "high"))))
     return ends.withColumns({"median_change": F.abs(F.col("median_high") - F.col("median_low")) / F.col("median_low") * 100, "count_drop": (F.col("n_low") - F.col("n_high")) / F.col("n_low") * 100})
 
 
 def describe(df: DataFrame, col: str, by: str) -> DataFrame:
     """With the geometric mean."""
-    return df.groupBy(by).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.median(col).alias("median"), F.stddev_samp(col).alias("sd"), F.exp(F.avg(F.ln(col))).alias("geometric_mean"))
+    out = df.groupBy(by).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("sd"), F.exp(F.avg(F.ln(col))).alias("geometric_mean"))
+    return with_medians(out, medians(df, col, [by]), [by]).select(by, "n", "mean", "median", "sd", "geometric_mean")
 
 
 def longest(df: DataFrame, n: int) -> DataFrame:
@@ -197,10 +202,10 @@ def longest(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("type").orderBy(F.desc("length_um"), *KEY))).filter(F.col("rank") <= n)
 
 
-def closest(df: DataFrame, n: int | None, col: str = "ratio", centre: Callable[[str], Column] = F.median, untouched: str = HUMAN) -> DataFrame:
-    """Rows nearest to each (type, grader)'s centre; rows of `untouched` stay. n None: that grader's count of the type."""
+def closest(df: DataFrame, n: int | None, col: str = "ratio", centre: Callable[[str], Column] | None = None, untouched: str = HUMAN) -> DataFrame:
+    """Rows nearest to each (type, grader)'s centre (the median, or an aggregate of col); rows of `untouched` stay. n None: that grader's count of the type."""
     rest, fixed = df.filter(F.col("grader") != untouched), df.filter(F.col("grader") == untouched)
-    centres = rest.groupBy("type", "grader").agg(centre(col).alias("_centre"))
+    centres = rest.groupBy("type", "grader").agg(centre(col).alias("_centre")) if centre else medians(rest, col, ["type", "grader"], "_centre")
     sizes = fixed.groupBy("type").agg(F.count("*").alias("_n"))
     rows = rest.join(centres, ["type", "grader"])
     rows = rows.withColumn("_n", F.lit(n)) if n is not None else rows.join(sizes, "type")
@@ -210,14 +215,14 @@ def closest(df: DataFrame, n: int | None, col: str = "ratio", centre: Callable[[
 
 def cap_groups(df: DataFrame, n: int, col: str = "length_um") -> DataFrame:
     """Groups of at most n stay, of others the n nearest to the median."""
-    centres = df.groupBy("type", "grader").agg(F.median(col).alias("_centre"))
+    centres = medians(df, col, ["type", "grader"], "_centre")
     order = Window.partitionBy("type", "grader").orderBy(F.abs(F.col(col) - F.col("_centre")), *KEY)
     return df.join(centres, ["type", "grader"]).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank", "_centre")
 
 
 def nearest_to_median(df: DataFrame, n: int, col: str = "length_um") -> DataFrame:
     """Over the whole table."""
-    return df.crossJoin(F.broadcast(df.agg(F.median(col).alias("_centre")))).orderBy(F.abs(F.col(col) - F.col("_centre")), *KEY).limit(n).drop("_centre")
+    return df.crossJoin(F.broadcast(medians(df, col, (), "_centre"))).orderBy(F.abs(F.col(col) - F.col("_centre")), *KEY).limit(n).drop("_centre")
 
 
 def first_k(df: DataFrame, k: int) -> DataFrame:
@@ -228,8 +233,8 @@ def first_k(df: DataFrame, k: int) -> DataFrame:
 def order_types(df: DataFrame, col: str = "length_um", descending: bool = False, grader: str | None = None) -> DataFrame:
     """Type, its median and type_order."""
     rows = df.filter(F.col("grader") == grader) if grader else df
-    medians = rows.groupBy("type").agg(F.median(col).alias("median"))
-    return medians.withColumn("type_order", F.row_number().over(Window.orderBy(F.desc("median") if descending else F.asc("median"), "type")))
+    every = with_medians(rows.select("type").distinct(), medians(rows, col, ["type"]), ["type"])
+    return every.withColumn("type_order", F.row_number().over(Window.orderBy(F.desc("median") if descending else F.asc("median"), "type")))
 
 
 def with_order(df: DataFrame, order: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
 from .rounds import components, cut
 
 #: The ring of eight neighbours in circular order.
@@ -122,7 +123,8 @@ def tile_share(pixels: DataFrame, size: int, height: int | None = None, width: i
 
 def normalise_channels(df: DataFrame, value: str = "value") -> DataFrame:
     """Minimum to maximum, then 255 over the 99th percentile, clipped and truncated."""
-    bounds = df.groupBy("image", "channel").agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.percentile(value, 0.99).alias("p"))
+    bounds = df.groupBy("image", "channel").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    bounds = bounds.join(quantiles(df, value, [0.99], ["image", "channel"]).select("image", "channel", F.col("q")[0].alias("p")), ["image", "channel"])
     unit = lambda c: F.coalesce(F.try_divide(c - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
     scaled = F.coalesce(F.try_divide(255 * unit(F.col(value)), unit(F.col("p"))), F.lit(0.0))
     return df.join(bounds, ["image", "channel"]).withColumn("scaled", F.greatest(F.lit(0.0), F.least(F.lit(255.0), scaled)).cast("int")).drop("lo", "hi", "p")

@@ -13,6 +13,7 @@ from ..operators import cohort as C
 from ..operators import matching as J
 from ..operators import pixels as P
 from ..operators import statistics as S
+from ..operators.quantiles import medians
 from ..schemas import AI, HUMAN
 from ..sources import files
 from . import fixtures as X
@@ -88,7 +89,7 @@ def conversions(spark, sf):
 @query(f"SELECT type, round(median((second_um - CASE WHEN grader = '{AI}' THEN 0.5 ELSE 0 END) / (first_um + CASE WHEN grader = '{AI}' THEN 0.5 ELSE 0 END)), 6) AS median FROM d GROUP BY 1", M)
 def offset(spark, sf):
     """P4."""
-    return C.offset_transition(_clean(spark, sf), AI, 0.5, symmetric=True).groupBy("type").agg(_r(F.median("ratio"), "median"))
+    return medians(C.offset_transition(_clean(spark, sf), AI, 0.5, symmetric=True), "ratio", ["type"]).select("type", _r("median"))
 
 
 @query(", w AS (SELECT image, fiber_id, width * height AS area, x + width // 2 AS cx, y + height // 2 AS cy, trunc(greatest(width, height) * 1.5)::BIGINT AS side FROM b), o AS (SELECT *, cx - side // 2 AS l, cy - side // 2 AS t FROM w) SELECT image, fiber_id, cx, cy, area, greatest(0, l) AS x0, greatest(0, t) AS y0, least(1000, l + side) AS x1, least(1000, t + side) AS y1, greatest(0, -l) AS \"left\", greatest(0, -t) AS top, greatest(0, l + side - 1000) AS \"right\", greatest(0, t + side - 1000) AS bottom FROM o", B)
@@ -341,7 +342,7 @@ def closest_to_median(spark, sf):
 def capped_groups(spark, sf):
     """W3."""
     rows = _clean(spark, sf)
-    centres = rows.groupBy("type", "grader").agg(F.median("length_um").alias("md"))
+    centres = medians(rows, "length_um", ["type", "grader"], "md")
     return C.cap_groups(rows, 100).join(centres, ["type", "grader"]).groupBy("type", "grader").agg(F.count("*").alias("n"), _r(F.max(F.abs(F.col("length_um") - F.col("md"))), "far"))
 
 
