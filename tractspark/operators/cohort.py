@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import HUMAN, KEY, ORIGIN, TERMINATION, TWO, VALID_TYPES
-from .quantiles import medians, quantiles, with_medians
+from .quantiles import medians, quantiles, with_groups
 
 
 def nan_to_null(df: DataFrame, *cols: str) -> DataFrame:
@@ -145,7 +145,7 @@ def summary(df: DataFrame, col: str = "ratio", by: Sequence[str] = ("type", "gra
     """A1."""
     rows = df.select(*by, (F.ln(col) if log else F.col(col)).alias("_v"))
     out = rows.groupBy(*by).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd"))
-    return with_medians(out, medians(rows, "_v", by), by).select(*by, "n", "mean", "median", "sd")
+    return with_groups(out, medians(rows, "_v", by), by).select(*by, "n", "mean", "median", "sd")
 
 
 def box_statistics(df: DataFrame, col: str = "ratio", by: Sequence[str] = ("type", "grader"), approximate: int | None = None) -> DataFrame:
@@ -153,7 +153,7 @@ def box_statistics(df: DataFrame, col: str = "ratio", by: Sequence[str] = ("type
     every = df.groupBy(*by).agg(F.percentile_approx(col, [0.25, 0.5, 0.75], approximate).alias("q")) if approximate else quantiles(df, col, [0.25, 0.5, 0.75], by)
     quartiles = every.select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = with_medians(df, quartiles, by, "inner").filter(F.col(col).between(F.col("q1") - reach, F.col("q3") + reach))
+    inside = with_groups(df, quartiles, by, "inner").filter(F.col(col).between(F.col("q1") - reach, F.col("q3") + reach))
     return inside.groupBy(*by, "q1", "q2", "q3").agg(F.min(col).alias("low"), F.max(col).alias("high"))
 
 
@@ -186,7 +186,7 @@ def count_change(old: DataFrame, new: DataFrame, col: str = "fiber_type") -> Dat
 
 def robustness(df: DataFrame, col: str = "ratio") -> DataFrame:
     """Medians and counts at the lowest and highest sigma of each model."""
-    per = with_medians(df.groupBy("model", "sigma").agg(F.count("*").alias("n")), medians(df, col, ["model", "sigma"]), ["model", "sigma"])
+    per = with_groups(df.groupBy("model", "sigma").agg(F.count("*").alias("n")), medians(df, col, ["model", "sigma"]), ["model", "sigma"])
     ends = per.groupBy("model").agg(*(f(F.col(c), F.col("sigma")).alias(f"{c}_{name}") for c in ("median", "n") for f, name in ((F.min_by, "low"), (F.max_by, "high"))))
     return ends.withColumns({"median_change": F.abs(F.col("median_high") - F.col("median_low")) / F.col("median_low") * 100, "count_drop": (F.col("n_low") - F.col("n_high")) / F.col("n_low") * 100})
 
@@ -194,7 +194,7 @@ def robustness(df: DataFrame, col: str = "ratio") -> DataFrame:
 def describe(df: DataFrame, col: str, by: str) -> DataFrame:
     """With the geometric mean."""
     out = df.groupBy(by).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("sd"), F.exp(F.avg(F.ln(col))).alias("geometric_mean"))
-    return with_medians(out, medians(df, col, [by]), [by]).select(by, "n", "mean", "median", "sd", "geometric_mean")
+    return with_groups(out, medians(df, col, [by]), [by]).select(by, "n", "mean", "median", "sd", "geometric_mean")
 
 
 def longest(df: DataFrame, n: int) -> DataFrame:
@@ -233,7 +233,7 @@ def first_k(df: DataFrame, k: int) -> DataFrame:
 def order_types(df: DataFrame, col: str = "length_um", descending: bool = False, grader: str | None = None) -> DataFrame:
     """Type, its median and type_order."""
     rows = df.filter(F.col("grader") == grader) if grader else df
-    every = with_medians(rows.select("type").distinct(), medians(rows, col, ["type"]), ["type"])
+    every = with_groups(rows.select("type").distinct(), medians(rows, col, ["type"]), ["type"])
     return every.withColumn("type_order", F.row_number().over(Window.orderBy(F.desc("median") if descending else F.asc("median"), "type")))
 
 

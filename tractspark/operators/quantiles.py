@@ -86,7 +86,7 @@ def medians(df: DataFrame, col: str, by: Sequence[str] = (), name: str = "median
     return quantiles(df, col, [0.5], by).select(*by, F.col("q")[0].alias(name))
 
 
-def with_medians(df: DataFrame, other: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
+def with_groups(df: DataFrame, other: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
     """df with the columns that other has for its groups, null groups included."""
     right = other.select(*(F.col(b).alias(f"_by_{b}") for b in by), *(c for c in other.columns if c not in by))
     if not by:

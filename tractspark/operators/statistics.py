@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from ..functions import special
+from .quantiles import with_groups
 from .rounds import cut
 
 
@@ -113,43 +114,133 @@ def symbols(p: Column, levels: int = 4) -> Column:
     return F.when(p < 0.0001, "****").otherwise(base.otherwise("ns")) if levels == 4 else base.otherwise("n.s.")
 
 
+#: Distinct values that one task resamples together, at most.
+CHUNK = 4096
+
+
+def _chunks(rows: DataFrame, by: list[str], *sides: str) -> DataFrame:
+    """rows (by, v and the counts in sides) by chunks of at most CHUNK values in order: by, chunk, h (v, next and the counts), and for each side
+    its `path`, which leads from all values of the group down to the chunk: of each node the share of its left half and whether the chunk lies
+    there. A chunk's path has a step for each doubling of the number of chunks."""
+    whole = running_totals(rows.withColumn("_one", F.lit(1).cast("long")), by, "v", "_one")
+    chunks = whole.withColumn("chunk", F.floor(F.col("_one_before") / CHUNK)).groupBy(*by, "chunk").agg(F.sort_array(F.collect_list(F.struct("v", "next", *sides))).alias("h"), *(F.sum(c).alias(f"_{c}") for c in sides))
+    chunks = cut(chunks)
+    sums = chunks.select(*by, "chunk", *(f"_{c}" for c in sides))
+    depth = chunks.groupBy(*(F.col(b).alias(f"_by_{b}") for b in by)).agg(F.ceil(F.log2(F.max("chunk") + 1)).cast("int").alias("depth"))
+    alike = lambda a, c, names: [a[n].eqNullSafe(c[m]) for n, m in names]
+    own = [(b, f"_by_{b}") for b in by]
+    # Nodes of level k hold 2^k chunks; level 0 are the chunks.
+    deep = sums.join(depth, alike(sums, depth, own)).drop(*(m for _, m in own))
+    nodes = deep.withColumn("level", F.explode(F.sequence(F.lit(0), "depth"))).withColumn("node", F.expr("shiftright(chunk, level)")).groupBy(*by, "level", "node").agg(*(F.sum(f"_{c}").alias(f"_{c}") for c in sides))
+    nodes = cut(nodes)
+    halves = nodes.withColumns({"up": F.col("level") + 1, "parent": F.expr("shiftright(node, 1)")}).groupBy(*by, "up", "parent").agg(*(F.sum(F.when(F.col("node") % 2 == 0, F.col(f"_{c}")).otherwise(0)).alias(f"left_{c}") for c in sides), *(F.sum(f"_{c}").alias(f"all_{c}") for c in sides))
+    steps = deep.filter("depth > 0").withColumn("up", F.explode(F.sequence(F.lit(1), "depth"))).select(*(F.col(b).alias(f"_by_{b}") for b in by), F.col("chunk").alias("_chunk"), F.col("up").alias("_up"), F.expr("shiftright(chunk, up)").alias("_node"), (F.expr("shiftright(chunk, up - 1)") % 2 == 0).alias("goes_left"))
+    met = halves.join(steps, [*alike(halves, steps, own), halves["up"] == steps["_up"], halves["parent"] == steps["_node"]])
+    share = lambda c: F.coalesce(F.try_divide(F.col(f"left_{c}"), F.col(f"all_{c}")), F.lit(0.0)).alias(c)
+    paths = met.groupBy(*(m for _, m in own), "_chunk").agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("level"), F.col("parent").alias("node"), "goes_left", *map(share, sides)))).alias("path"))
+    totals = nodes.join(depth, [*alike(nodes, depth, own), nodes["level"] == depth["depth"]]).select(*(depth[m] for _, m in own), *(F.col(f"_{c}").alias(f"n_{c}") for c in sides))
+    out = chunks.join(paths, [*alike(chunks, paths, own), chunks["chunk"] == paths["_chunk"]], "left").select(*(chunks[c] for c in (*by, "chunk", "h")), "path")
+    return out.join(totals, alike(out, totals, own)).drop(*(m for _, m in own))
+
+
+def _resampled(rows: DataFrame, by: list[str], sides: tuple[str, str], replicates: int, block: int, seed: int, measure: Callable[..., dict], merge: dict[str, str], known: DataFrame | None = None) -> DataFrame:
+    """by, replicate and the measures of each resample of rows (by, v and the counts in sides): both sides are drawn anew, as many values as
+    they have. A chunk's share of a replicate is found by binomial draws down its path, seeded by replicates and node, so all chunks agree on them
+    and each knows how much lies before it; its own counts are a multinomial draw. measure(row, v, next, counts, before, sizes) gives arrays by replicate, which
+    `merge` (sum or max) joins over chunks; row also has what `known` (by and more columns, a row for each group) knows of the group. No row holds more than a chunk or a block of replicates."""
+    chunks = _chunks(rows, by, *sides)
+    chunks = chunks if known is None else with_groups(chunks, known, by)
+    work = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // block) - 1)))).withColumn("key", F.pmod(F.xxhash64(*by), F.lit(2**31)))
+    work = work.repartition(*by, "chunk", "block")
+    names = list(merge)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                n = min(block, replicates - row["block"] * block)
+                own = (seed, row["key"], row["block"])
+                counts, before, sizes = [], [], []
+                for k, side in enumerate(sides):
+                    total, behind = np.full(n, row[f"n_{side}"], np.int64), np.zeros(n, np.int64)
+                    for step in row["path"] if row["path"] is not None else ():
+                        left = np.random.default_rng((*own, k, -step["level"], step["node"])).binomial(total, min(1.0, step[side]))
+                        behind, total = (behind, left) if step["goes_left"] else (behind + left, total - left)
+                    weights = np.array([h[side] for h in row["h"]], float)
+                    rng = np.random.default_rng((*own, k, 0, row["chunk"]))
+                    counts.append(rng.multinomial(total, weights / weights.sum()) if weights.sum() > 0 else np.zeros((n, len(weights)), np.int64))
+                    before.append(behind)
+                    sizes.append(row[f"n_{side}"])
+                v, following = (np.array([np.nan if h[c] is None else h[c] for h in row["h"]], float) for c in ("v", "next"))
+                out = measure(row, v, following, counts, before, sizes)
+                yield pd.DataFrame({b: [row[b]] * n for b in by} | {"replicate": row["block"] * block + np.arange(n)} | {c: out[c] for c in names})
+
+    kinds = ", ".join(f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by)
+    draws = work.mapInPandas(draw, f"{kinds}, replicate int, " + ", ".join(f"{c} double" for c in names))
+    return draws.groupBy(*by, "replicate").agg(*((F.max if how == "max" else F.sum)(c).alias(c) for c, how in merge.items()))
+
+
 def bootstrap_delta(df: DataFrame, reference: str, col: str = "ratio", replicates: int = 5000, block: int = 250, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """Percentile interval of Cliff's delta from resampled counts of distinct values; blocks of replicates are spread over tasks."""
-    lists = _against_reference(df, reference, col).groupBy("grader", "type").agg(F.sort_array(F.collect_list(F.struct("v", "x", "r"))).alias("h"))
-    work = lists.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // block) - 1)))).repartition("grader", "type", "block")
-    key = F.pmod(F.xxhash64("grader", "type"), F.lit(2**31)).alias("key")
+    """Percentile interval of Cliff's delta from resampled counts of distinct values; chunks of values and blocks of replicates are spread
+    over tasks. Types without values, or without a reference, have no interval."""
+    rows = _against_reference(df, reference, col)
+    both = rows.groupBy(F.col("grader").alias("_g"), F.col("type").alias("_t")).agg(F.sum("x").alias("_x"), F.sum("r").alias("_r")).filter("_x > 0 and _r > 0")
+    rows = rows.join(both, rows["grader"].eqNullSafe(both["_g"]) & rows["type"].eqNullSafe(both["_t"]), "left_semi")
 
-    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                x, r = (np.array([h[k] for h in row.h], float) for k in ("x", "r"))
-                rng = np.random.default_rng((seed, row.key, row.block))
-                n = min(block, replicates - row.block * block)
-                delta = np.empty(n)
-                for k in range(n):  # one replicate at a time: memory follows the distinct values alone
-                    xs, rs = rng.multinomial(int(x.sum()), x / x.sum()), rng.multinomial(int(r.sum()), r / r.sum())
-                    delta[k] = (2 * (rs * (np.cumsum(xs) - xs)).sum() + (rs * xs).sum()) / (x.sum() * r.sum()) - 1
-                yield pd.DataFrame({"grader": row.grader, "type": row.type, "delta": delta})
-
-    draws = work.filter("exists(h, e -> e.x > 0) and exists(h, e -> e.r > 0)").select("grader", "type", key, "block", "h").mapInPandas(resample, "grader string, type string, delta double")
-    out = draws.groupBy("grader", "type").agg(F.percentile("delta", alpha / 2).alias("low"), F.percentile("delta", 1 - alpha / 2).alias("high"))
+    def wins(row, v, following, counts, before, sizes):
+        (xs, rs), x_before = counts, before[0][:, None]
+        below = x_before + np.cumsum(xs, axis=1) - xs
+        # Of a reference value: values below it, and half of its ties, of all.
+        return {"share": (rs * (below + xs / 2)).sum(1) / (float(sizes[0]) * sizes[1])}
+
+    draws = _resampled(rows, ["grader", "type"], ("x", "r"), replicates, block, seed, wins, {"share": "sum"}).withColumn("delta", 2 * F.col("share") - 1)
+    out = draws.groupBy("grader", "type").agg(F.percentile("delta", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q")).select("grader", "type", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
     return out.withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
 
 
-def bootstrap(df: DataFrame, by: str, statistic: Callable[[np.ndarray, np.ndarray], float], replicates: int, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """Df has x and y arrays per `by`; interval of statistic(x, y) over shared resamples."""
-    work = df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // 100) - 1)))).repartition(by, "block")
+#: Values of a side up to which a replicate resamples all of them; a larger side is resampled by bags of about n to the power BAG.
+WHOLE, BAG = 20_000, 0.7
+#: Values of a bag, about, at most.
+BAG_MOST = 1_000_000
+
+
+def bootstrap(
+    df: DataFrame, by: str, statistic: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], float], replicates: int = 1000, alpha: float = 0.05, seed: int = 42, side: str = "side", value: str = "value", bags: int = 20
+) -> DataFrame:
+    """The interval of statistic(x, weights of x, y, weights of y), weights being how often a value is drawn. df has a row for each value, with
+    `by` and the side (0: x, 1: y). Where both sides have at most WHOLE values it is the full bootstrap. Larger ones take a bag of little
+    bootstraps: values fall into bags at random, `bags` of them are resampled to the size of the whole side by multinomial weights, and the
+    ends of their intervals are averaged. An array holds a bag, not a group. Groups with fewer than two values on a side have no interval."""
+    rows = cut(df.filter(F.col(value).isNotNull()).select(F.col(by).alias("_by"), F.col(side).cast("int").alias("side"), F.col(value).cast("double").alias("v"), F.monotonically_increasing_id().alias("_id")))
+    sizes = rows.groupBy("_by").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1")).filter("n0 > 1 and n1 > 1").withColumnRenamed("_by", "_of")
+    bags_of = lambda n: F.when(n <= WHOLE, F.lit(1)).otherwise(F.ceil(n / F.least(F.pow(n.cast("double"), F.lit(BAG)), F.lit(float(BAG_MOST)))))
+    n, most = F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1")), F.greatest("n0", "n1")
+    # A side with fewer bags than the other gives each of its bags several times.
+    dealt = rows.join(sizes, rows["_by"].eqNullSafe(sizes["_of"])).withColumn("bags", F.least(F.lit(bags), bags_of(most)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("_id", F.lit(seed)), bags_of(n)))
+    dealt = dealt.withColumn("bag", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("bags").cast("long") - 1), lambda k: F.pmod(k, bags_of(n)) == F.col("own"))))
+    arrays = dealt.groupBy("_by", "bag", "bags", "n0", "n1").agg(*(F.sort_array(F.collect_list(F.when(F.col("side") == k, F.col("v")))).alias(c) for k, c in ((0, "x"), (1, "y")))).filter("size(x) > 0 and size(y) > 0")
+    block = 100
+    work = arrays.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // block) - 1)))).withColumn("key", F.pmod(F.xxhash64("_by"), F.lit(2**31))).repartition("_by", "bag", "block")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                x, y = np.asarray(row.x, float), np.asarray(row.y, float)
-                rng = np.random.default_rng((seed, row.block))
-                values = [statistic(rng.choice(x, len(x)), rng.choice(y, len(y))) for _ in range(min(100, replicates - 100 * row.block))]
-                yield pd.DataFrame({by: getattr(row, by), "value": values})
+            for row in pdf.to_dict("records"):
+                x, y = np.asarray(row["x"], float), np.asarray(row["y"], float)
+                rng = np.random.default_rng((seed, row["key"], row["bag"], row["block"]))
+                even = [np.full(len(a), 1 / len(a)) for a in (x, y)]
+                values = [float(statistic(x, rng.multinomial(row["n0"], even[0]), y, rng.multinomial(row["n1"], even[1]))) for _ in range(min(block, replicates - block * row["block"]))]
+                yield pd.DataFrame({"_by": [row["_by"]] * len(values), "bag": row["bag"], "value": values})
 
-    draws = work.select(by, "x", "y", "block").mapInPandas(run, f"{by} string, value double")
-    return draws.groupBy(by).agg(F.percentile("value", alpha / 2).alias("low"), F.percentile("value", 1 - alpha / 2).alias("high"))
+    draws = work.mapInPandas(run, f"_by {rows.schema['_by'].dataType.simpleString()}, bag long, value double")
+    ends = draws.groupBy("_by", "bag").agg(F.percentile("value", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
+    return ends.groupBy(F.col("_by").alias(by)).agg(F.avg(F.col("q")[0]).alias("low"), F.avg(F.col("q")[1]).alias("high"))
+
+
+def weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
+    """The median of sorted values that come `weights` times each."""
+    upto = np.cumsum(weights)
+    n = int(upto[-1])
+    return float((values[np.searchsorted(upto, (n - 1) // 2, side="right")] + values[np.searchsorted(upto, n // 2, side="right")]) / 2)
 
 
 def _moments(df: DataFrame, a: str, b: str, col: Column, by: str = "type", *more: Column) -> DataFrame:
@@ -218,29 +309,26 @@ def equivalence_parts(df: DataFrame, a: str, b: str, margin_percent: float = 10.
 
 def bootstrap_equivalence(df: DataFrame, a: str, b: str, col: str = "ratio", replicates: int = 1000, block: int = 50, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """Percentile intervals of the variance ratio and of both distances of logs, from resampled counts of distinct values. The
-    three share their resamples; blocks of replicates are spread over tasks."""
+    three share their resamples; chunks of values and blocks of replicates are spread over tasks."""
     counts = _histogram(df.filter((F.col(col) > 0) & F.col("grader").isin(a, b)), col, "type", "grader")
     own = lambda g: F.sum(F.when(F.col("grader") == g, F.col("c")).otherwise(0))
-    lists = counts.groupBy("type", "v").agg(own(a).alias("x"), own(b).alias("y")).groupBy("type").agg(F.sort_array(F.collect_list(F.struct("v", "x", "y"))).alias("h"), F.sum("x").alias("nx"), F.sum("y").alias("ny"))
-    work = lists.filter("nx > 1 and ny > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // block) - 1)))).repartition("type", "block")
-
-    def variances(drawn: np.ndarray, centred: np.ndarray) -> np.ndarray:
-        n = drawn.sum(1)
-        return (drawn @ centred**2 - (drawn @ centred) ** 2 / n) / (n - 1)
-
-    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                v, x, y = (np.array([h[k] for h in row.h], float) for k in ("v", "x", "y"))
-                rng = np.random.default_rng((seed, row.block))
-                n = min(block, replicates - row.block * block)
-                xs, ys = rng.multinomial(int(row.nx), x / x.sum(), n), rng.multinomial(int(row.ny), y / y.sum(), n)
-                gap = np.abs(np.cumsum(xs, axis=1) / row.nx - np.cumsum(ys, axis=1) / row.ny)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    ratio = variances(xs, v - v.mean()) / variances(ys, v - v.mean())
-                yield pd.DataFrame({"type": row.type, "variance": ratio, "ks": gap.max(1), "wasserstein": gap[:, :-1] @ np.diff(np.log(v))})
-
-    draws = work.mapInPandas(resample, "type string, variance double, ks double, wasserstein double")
+    rows = counts.groupBy("type", "v").agg(own(a).alias("x"), own(b).alias("y"))
+    sizes = rows.groupBy(F.col("type").alias("_type")).agg(F.sum("x").alias("_x"), F.sum("y").alias("_y")).filter("_x > 1 and _y > 1")
+    rows = rows.join(sizes, rows["type"].eqNullSafe(sizes["_type"]), "left_semi")
+
+    def measure(row, v, following, drawn, before, sizes):
+        out = {}
+        with np.errstate(invalid="ignore"):
+            gap = np.abs((before[0][:, None] + np.cumsum(drawn[0], axis=1)) / sizes[0] - (before[1][:, None] + np.cumsum(drawn[1], axis=1)) / sizes[1])
+        width, off = np.log(following) - np.log(v), v - row["centre"]
+        for c, d in zip("xy", drawn):
+            out |= {f"{c}0": d.sum(1).astype(float), f"{c}1": d @ off, f"{c}2": d @ off**2}
+        return out | {"ks": gap.max(1), "wasserstein": gap @ np.nan_to_num(width)}
+
+    merge = {f"{c}{k}": "sum" for c in "xy" for k in range(3)} | {"ks": "max", "wasserstein": "sum"}
+    draws = _resampled(rows, ["type"], ("x", "y"), replicates, block, seed, measure, merge, rows.groupBy("type").agg((F.sum(F.col("v") * (F.col("x") + F.col("y"))) / F.sum(F.col("x") + F.col("y"))).alias("centre")))
+    variance = lambda c: (F.col(f"{c}2") - F.col(f"{c}1") * F.col(f"{c}1") / F.col(f"{c}0")) / (F.col(f"{c}0") - 1)
+    draws = draws.withColumn("variance", F.try_divide(variance("x"), variance("y")))
     ends = (("low", alpha / 2), ("high", 1 - alpha / 2))
     return draws.groupBy("type").agg(*(F.percentile(c, q).alias(f"{c}_{end}") for c in ("variance", "ks", "wasserstein") for end, q in ends))
 

@@ -811,7 +811,5 @@ def correlations_p(spark, sf):
 @query()
 def bootstrap_medians(spark, sf):
     """Interval of the difference of medians."""
-    import numpy as np
-
-    rows = _clean(spark, sf).groupBy("type").agg(*(F.collect_list(F.when(F.col("grader") == g, F.col("ratio"))).alias(c) for g, c in ((AI, "x"), (HUMAN, "y"))))
-    return S.bootstrap(rows.filter("size(x) > 1 and size(y) > 1"), "type", lambda x, y: float(np.median(x) - np.median(y)), 500)
+    rows = _clean(spark, sf).select("type", (F.col("grader") == HUMAN).cast("int").alias("side"), F.col("ratio").alias("value"))
+    return S.bootstrap(rows, "type", lambda x, wx, y, wy: S.weighted_median(x, wx) - S.weighted_median(y, wy))
