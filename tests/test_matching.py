@@ -1,10 +1,13 @@
 """Skeleton matches and assignments on whole images against all pairs."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tractspark.operators import matching as J
+from tractspark.operators import rounds as R
 from tractspark.plans import fixtures as X
 from tractspark.plans import queries as Q
 
@@ -39,6 +42,31 @@ def all_pairs(few, everyone=False):
     return {(i, a[0], b[0]): similarity(a[3], b[3]) for i, fibers in few.items() for a in fibers for b in fibers if (a[0] < b[0] if everyone else (a[1], b[1]) == ("F", "O"))}
 
 
+def hungarian(value):
+    """Column for each row (rows <= columns) with the greatest sum, by shortest augmenting paths over the whole table."""
+    n, m = value.shape
+    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
+    for i in range(1, n + 1):
+        owner[0], j0 = i, 0
+        low, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+        while owner[j0]:
+            used[j0] = True
+            gap = -value[owner[j0] - 1] - u[owner[j0]] - v[1:]
+            better = ~used[1:] & (gap < low[1:])
+            low[1:][better], way[1:][better] = gap[better], j0
+            j1 = int(np.where(used[1:], np.inf, low[1:]).argmin()) + 1
+            step = low[j1]
+            u[owner[used]] += step
+            v[used] -= step
+            low[~used] -= step
+            j0 = j1
+        while j0:
+            owner[j0], j0 = owner[way[j0]], way[j0]
+    out = np.full(n, -1)
+    out[owner[1:][owner[1:] > 0] - 1] = np.flatnonzero(owner[1:] > 0)
+    return out
+
+
 def iou(p, q):
     w, h = (max(0, min(p[k] + p[k + 2], q[k] + q[k + 2]) - max(p[k], q[k])) for k in (0, 1))
     return w * h / (p[2] * p[3] + q[2] * q[3] - w * h)
@@ -71,7 +99,7 @@ def test_optimal_match_weighs_all_pairs(spark, few, two_images):
         left, right = ([f for f in fibers if f[1] == g] for g in "FO")
         table = np.array([[similarity(a[3], b[3]) for b in right] for a in left])
         table = table if len(left) <= len(right) else table.T
-        chosen = table[np.arange(len(table)), J.hungarian(table)]
+        chosen = table[np.arange(len(table)), hungarian(table)]
         want += chosen[chosen >= 0.5].sum()
     got = Q.optimal_match(spark, SF).collect()
     every = all_pairs(few)
@@ -90,3 +118,54 @@ def test_greedy_and_detection_from_a_tenth(spark, few, two_images):
     assert {(r.image, r.a, r.b) for r in Q.greedy_match(spark, SF).collect()} == want
     tp = {r.image: r.tp for r in Q.detection(spark, SF).collect()}
     assert tp == {i: sum(k[0] == i for k in want) for i in few}
+
+
+def test_best_total_equals_all_matchings():
+    rng = np.random.default_rng(0)
+    for trial in range(150):
+        n, m = rng.integers(1, 5, 2)
+        table = np.round(rng.random((n, m)), 1 if trial % 2 else 3) * (rng.random((n, m)) < 0.7)
+        a, b = np.nonzero(table)
+        got = J.best_total(a.tolist(), b.tolist(), table[a, b].tolist())
+        assert len(set(a[got])) == len(got) == len(set(b[got]))
+        wide = table if n <= m else table.T
+        want = max(sum(wide[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(wide.shape[1]), wide.shape[0]))
+        assert table[a[got], b[got]].sum() == pytest.approx(want)
+    for n, m, share in ((60, 80, 0.1), (120, 90, 0.05), (40, 40, 1.0)):
+        table = rng.random((n, m)) * (rng.random((n, m)) < share)
+        a, b = np.nonzero(table)
+        got = J.best_total(a.tolist(), b.tolist(), table[a, b].tolist())
+        wide = table if n <= m else table.T
+        assert table[a[got], b[got]].sum() == pytest.approx(wide[np.arange(len(wide)), hungarian(wide)].sum())
+
+
+def test_a_long_chain_and_a_wide_component(spark):
+    # A chain of 40,001 fibers, each pair better than the one before it, and a component whose table would have 10^8 cells.
+    n = 20_000
+    chain = [(1, k, k, 0.5 + k * 1e-6) for k in range(n)] + [(1, k + 1, k, 0.5 + k * 1e-6 + 4e-7) for k in range(n)]
+    star = [(2, k, k, 0.6) for k in range(10_000)] + [(2, k, 0, 0.1) for k in range(1, 10_000)]
+    pairs = spark.createDataFrame(chain + star, "image long, a long, b long, iou double")
+    best = J.optimal_match(pairs, 0.5).groupBy("image").agg(F.count("*").alias("n"), F.sum("iou").alias("total")).collect()
+    assert {r.image: (r.n, round(r.total, 6)) for r in best} == {1: (n, round(sum(max(0.5 + k * 1e-6 + 4e-7, 0) for k in range(n)), 6)), 2: (10_000, 6000.0)}
+    used, want = set(), set()
+    for i, a, b, v in sorted(chain + star, key=lambda r: (r[0], -r[3], r[1], r[2])):
+        if not {(i, "a", a), (i, "b", b)} & used:
+            used |= {(i, "a", a), (i, "b", b)}
+            want.add((i, a, b))
+    assert {(r.image, r.a, r.b) for r in J.greedy_match(pairs).collect()} == want
+
+
+@pytest.mark.parametrize("limit", [40, 4])
+def test_large_images_by_components_and_rounds(spark, monkeypatch, limit):
+    rng = np.random.default_rng(9)
+    rows = [(i, int(a), int(b), float(rng.integers(1, 9)) / 10 + 1e-6 * k) for i, n in ((1, 60), (2, 8), (3, 30)) for k, (a, b) in enumerate({(int(a), int(b)) for a, b in rng.integers(0, 25, (n, 2))})]
+    pairs = spark.createDataFrame(rows, "image long, a long, b long, iou double")
+    whole = [sorted(map(tuple, f(pairs).collect())) for f in (J.greedy_match, J.first_come_match)]
+    total = J.optimal_match(pairs, 0.0).agg(F.sum("iou")).first()[0]
+    own = pairs.filter("a < b")
+    nodes = spark.createDataFrame([(i, k) for i in (1, 2, 3) for k in range(25)], "image long, fiber_id long")
+    stay = sorted(map(tuple, R.first_come_set(nodes, own).collect()))
+    monkeypatch.setattr(R, "LIMIT", limit)
+    assert [sorted(map(tuple, f(pairs).collect())) for f in (J.greedy_match, J.first_come_match)] == whole
+    assert J.optimal_match(pairs, 0.0).agg(F.sum("iou")).first()[0] == pytest.approx(total)
+    assert sorted(map(tuple, R.first_come_set(nodes, own).collect())) == stay

@@ -3,13 +3,16 @@ the cell that holds the upper left corner of its intersection, so no pair is mad
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
-from .rounds import components, first_come_set, matched
+from .rounds import components, first_come_set, matched, solved
 
 CELL = 64
 
@@ -82,52 +85,57 @@ def first_come_match(pairs: DataFrame) -> DataFrame:
     return matched(pairs.select("image", "a", "b", "iou"), "a", "b")
 
 
-def hungarian(value: np.ndarray) -> np.ndarray:
-    """Column for each row (rows <= columns) with the greatest sum, by shortest augmenting paths."""
-    n, m = value.shape
-    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        owner[0], j0 = i, 0
-        low, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
-        while owner[j0]:
-            used[j0] = True
-            gap = -value[owner[j0] - 1] - u[owner[j0]] - v[1:]
-            better = ~used[1:] & (gap < low[1:])
-            low[1:][better], way[1:][better] = gap[better], j0
-            j1 = int(np.where(used[1:], np.inf, low[1:]).argmin()) + 1
-            step = low[j1]
-            u[owner[used]] += step
-            v[used] -= step
-            low[~used] -= step
-            j0 = j1
-        while j0:
-            owner[j0], j0 = owner[way[j0]], way[j0]
-    out = np.full(n, -1)
-    out[owner[1:][owner[1:] > 0] - 1] = np.flatnonzero(owner[1:] > 0)
-    return out
+def best_total(a: list[int], b: list[int], value: list[float]) -> list[int]:
+    """The numbers of the pairs of a one-to-one matching with the greatest total, of which pairs of no use are left out. Shortest augmenting
+    paths by Dijkstra over the pairs themselves: memory follows the pairs, not the product of both sides."""
+    n, m = max(a, default=-1) + 1, max(b, default=-1) + 1
+    at: list[list[tuple[int, float, int]]] = [[(m + i, 0.0, -1)] for i in range(n)]  # each may stay alone, at a place of its own
+    for k, (i, j, v) in enumerate(zip(a, b, value)):
+        at[i].append((j, -v, k))
+    u, v = [min(c for _, c, _ in own) for own in at], [0.0] * (m + n)
+    owner, taken, place = [-1] * (m + n), [-1] * (m + n), [-1] * n  # of each place its first side and pair; of each first side its place
+    for s in range(n):
+        near: dict[int, float] = {}
+        way: dict[int, tuple[int, int]] = {}
+        done: dict[int, float] = {}
+        heap: list[tuple[float, int]] = []
+        i, d = s, 0.0
+        while True:
+            for j, c, k in at[i]:
+                to = d + max(0.0, c - u[i] - v[j])
+                if j not in done and to < near.get(j, np.inf):
+                    near[j], way[j] = to, (i, k)
+                    heapq.heappush(heap, (to, j))
+            d, j = heapq.heappop(heap)
+            while j in done:
+                d, j = heapq.heappop(heap)
+            if owner[j] < 0:
+                break
+            done[j], i = d, owner[j]
+        u[s] += d
+        for k, e in done.items():
+            u[owner[k]] += d - e
+            v[k] += e - d
+        while True:  # backwards along the path
+            i, k = way[j]
+            owner[j], taken[j] = i, k
+            j, place[i] = place[i], j
+            if i == s:
+                break
+    return [k for k in taken if k >= 0]
 
 
 def optimal_match(pairs: DataFrame, at_least: float) -> DataFrame:
     """Greatest total per image, kept at `at_least` and above after the assignment. Components of the pairs are solved each on its own,
-    a group of its own."""
-    rows = pairs.select("image", "a", "b", "iou")
-    side = lambda k, c: F.struct(F.lit(k).alias("side"), F.col(c).alias("id"))
-    roots = components(rows.select("image", side(0, "a").alias("a"), side(1, "b").alias("b")))
-    # A component's root is one of its first sides.
-    rows = rows.withColumn("_node", side(1, "b")).join(roots, (F.col("_node") == roots["node"]) & (rows["image"] == roots["image"])).select(rows["image"], "a", "b", "iou", F.col("root.id").alias("root"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a", "b"], ignore_index=True)
-        ua, ia = np.unique(pdf["a"], return_inverse=True)
-        ub, ib = np.unique(pdf["b"], return_inverse=True)
-        table, index = np.zeros((len(ua), len(ub))), np.full((len(ua), len(ub)), -1)
-        table[ia, ib], index[ia, ib] = pdf["iou"], np.arange(len(pdf))
-        table, index = (table.T, index.T) if len(ua) > len(ub) else (table, index)
-        at = index[np.arange(len(table)), hungarian(table)]
-        return pdf.iloc[at[at >= 0]][["image", "a", "b", "iou"]]
-
-    schema = rows.select("image", "a", "b", "iou").schema
-    return rows.groupBy("image", "root").applyInPandas(lambda pdf: run(pdf), schema).filter(F.col("iou") >= at_least)
+    over their pairs; no table of all pairs of a component's sides is made."""
+
+    def pick(table: pa.Table) -> np.ndarray:
+        order = pc.sort_indices(table, sort_keys=[("a", "ascending"), ("b", "ascending")])
+        rows = table.take(order)
+        a, b = (rows[c].combine_chunks().dictionary_encode().indices.to_pylist() for c in ("a", "b"))
+        return order.to_numpy()[best_total(a, b, rows["iou"].to_pylist())]
+
+    return solved(pairs.select("image", "a", "b", "iou"), pick, None).filter(F.col("iou") >= at_least)
 
 
 def ordered_union(boxes: DataFrame, pairs: DataFrame, graders: list[str] | None = None) -> DataFrame:

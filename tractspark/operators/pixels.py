@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,21 +36,35 @@ def _blocks(pixels: DataFrame, rim: int, *keep: str) -> DataFrame:
     return pixels.select(*AT, *keep, F.explode(touched("y")).alias("by"), "x").select(*AT, *keep, "by", F.explode(touched("x")).alias("bx")) if rim else pixels.select(*AT, *keep, F.floor(F.col("y") / BLOCK).alias("by"), F.floor(F.col("x") / BLOCK).alias("bx"))
 
 
+def _per_group(rows: DataFrame, keys: tuple[str, ...], run: Callable[[dict], dict], columns: dict[str, str]) -> DataFrame:
+    """image, of whatever type it is, and what run makes of each group's columns, as numpy arrays: the columns named, with their types."""
+    names = [c for c in rows.columns if c != "image"]
+
+    def apply(table: pa.Table) -> pa.Table:
+        out = run({c: table[c].to_numpy() for c in names})
+        image = table["image"].combine_chunks().take(pa.array(np.zeros(len(next(iter(out.values()))), np.int64)))
+        kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+        return pa.Table.from_arrays([image, *(pa.array(out[c]).cast(kinds[t]) for c, t in columns.items())], names=["image", *columns])
+
+    kind = rows.schema["image"].dataType.simpleString()
+    return rows.groupBy("image", *keys).applyInArrow(apply, f"image {kind}, " + ", ".join(f"{c} {t}" for c, t in columns.items()))
+
+
 def neighbour_ring(pixels: DataFrame) -> DataFrame:
     """For each foreground pixel (once) a bit mask of its foreground neighbours in ring order. One shuffle: blocks with a rim of one pixel,
     each a small bitmap in its task."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = int(pdf["by"].iloc[0]) * BLOCK, int(pdf["bx"].iloc[0]) * BLOCK
+    def run(own: dict) -> dict:
+        y0, x0 = int(own["by"][0]) * BLOCK, int(own["bx"][0]) * BLOCK
         grid = np.zeros((BLOCK + 2, BLOCK + 2), np.uint8)
-        grid[pdf["y"].to_numpy() - y0 + 1, pdf["x"].to_numpy() - x0 + 1] = 1
+        grid[own["y"] - y0 + 1, own["x"] - x0 + 1] = 1
         y, x = np.nonzero(grid[1:-1, 1:-1])
         ring = np.zeros(len(y), np.int32)
         for k, (dy, dx) in enumerate(RING):
             ring |= grid[y + 1 + dy, x + 1 + dx].astype(np.int32) << k
-        return pd.DataFrame({"image": pdf["image"].iloc[0], "y": (y + y0).astype(np.int32), "x": (x + x0).astype(np.int32), "ring": ring})
+        return {"y": y + y0, "x": x + x0, "ring": ring}
 
-    return _blocks(pixels, 1).groupBy("image", "by", "bx").applyInPandas(lambda pdf: run(pdf), "image long, y int, x int, ring int")
+    return _per_group(_blocks(pixels, 1), ("by", "bx"), run, {"y": "int", "x": "int", "ring": "int"})
 
 
 def endpoints(ringed: DataFrame) -> DataFrame:
@@ -65,24 +81,25 @@ def junctions(ringed: DataFrame) -> DataFrame:
 def overlap_matrix(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """Shared pixels, areas and IoU of each pair of labels that meet. Both sides go through one shuffle, by blocks of pixels; counts of
     pairs and labels per block are added up afterwards. A pixel may have several labels."""
-    side = lambda df, k: df.select(*AT, "label", F.lit(k).alias("side"))
+    packed = lambda a, b: F.shiftleft(F.col(a).cast("long"), 32) + F.col(b)
+    side = lambda df, k: _blocks(df, 0, "label").select("image", packed("by", "bx").alias("block"), packed("y", "x").alias("code"), F.col("label").cast("long").alias("label"), F.lit(k).alias("side"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        image = pdf["image"].iloc[0]
-        code = (pdf["y"].to_numpy(np.int64) << 32) | pdf["x"].to_numpy(np.int64)
-        label, is_b = pdf["label"].to_numpy(np.int64), pdf["side"].to_numpy() == 1
-        own = [np.unique(label[m], return_counts=True) for m in (~is_b, is_b)]
+    def run(own: dict) -> dict:
+        code, label, is_b = own["code"], own["label"], own["side"] == 1
+        areas = [np.unique(label[m], return_counts=True) for m in (~is_b, is_b)]
         order = np.argsort(code[is_b], kind="stable")
         at_b, label_b = code[is_b][order], label[is_b][order]
         low, high = (np.searchsorted(at_b, code[~is_b], side=s) for s in ("left", "right"))
         n = high - low
         a = np.repeat(label[~is_b], n)
         b = label_b[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        pairs, shared = np.unique(np.stack([a, b]), axis=1, return_counts=True) if len(a) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-        out = [pd.DataFrame({"kind": 2, "a": pairs[0], "b": pairs[1], "n": shared})] + [pd.DataFrame({"kind": k, "a": ids, "b": 0, "n": c}) for k, (ids, c) in enumerate(own)]
-        return pd.concat(out, ignore_index=True).assign(image=image)[["image", "kind", "a", "b", "n"]]
+        # Pairs of labels are counted by their places in the sorted labels, as one number.
+        key, shared = np.unique(np.searchsorted(areas[0][0], a) * max(1, len(areas[1][0])) + np.searchsorted(areas[1][0], b), return_counts=True)
+        pairs = areas[0][0][key // max(1, len(areas[1][0]))], areas[1][0][key % max(1, len(areas[1][0]))]
+        parts = [(2, *pairs, shared)] + [(k, ids, np.zeros(len(ids), np.int64), c) for k, (ids, c) in enumerate(areas)]
+        return {"kind": np.concatenate([np.full(len(x[1]), x[0]) for x in parts])} | {c: np.concatenate([x[k] for x in parts]) for k, c in enumerate(("a", "b", "n"), 1)}
 
-    counts = _blocks(side(pred, 0).unionAll(side(truth, 1)), 0, "label", "side").groupBy("image", "by", "bx").applyInPandas(lambda pdf: run(pdf), "image long, kind int, a long, b long, n long")
+    counts = _per_group(side(pred, 0).unionAll(side(truth, 1)), ("block",), run, {"kind": "int", "a": "long", "b": "long", "n": "long"})
     counts = cut(counts.groupBy("image", "kind", "a", "b").agg(F.sum("n").alias("n")))
     area = lambda kind, c: counts.filter(F.col("kind") == kind).select("image", F.col("a").alias(c), F.col("n").alias(f"n_{c}"))
     rows = counts.filter("kind = 2").select("image", "a", "b", F.col("n").alias("shared")).join(area(0, "a"), ["image", "a"]).join(area(1, "b"), ["image", "b"])
@@ -164,11 +181,11 @@ def label_components(pixels: DataFrame) -> DataFrame:
     """8-connected components of each image's foreground, numbered by their first pixel in row order. Two levels: blocks with a rim of
     one pixel are labelled each in its task, and the labels that a rim's pixel has in several blocks are joined in rounds."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        by, bx = int(pdf["by"].iloc[0]), int(pdf["bx"].iloc[0])
+    def run(own: dict) -> dict:
+        by, bx = int(own["by"][0]), int(own["bx"][0])
         grid = np.full((BLOCK + 4, BLOCK + 4), -1, np.int64)
-        pdf = pdf[["y", "x"]].drop_duplicates().sort_values(["y", "x"], ignore_index=True)
-        y, x = pdf["y"].to_numpy(np.int64) - by * BLOCK + 2, pdf["x"].to_numpy(np.int64) - bx * BLOCK + 2
+        code = np.unique((own["y"].astype(np.int64) << 32) | own["x"].astype(np.int64))
+        y, x = (code >> 32) - by * BLOCK + 2, (code & 0xFFFFFFFF) - bx * BLOCK + 2
         grid[y, x] = np.arange(len(y))
         steps = [(grid[y + dy, x + dx], np.arange(len(y))) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]
         a, b = np.concatenate([n[n >= 0] for n, _ in steps]), np.concatenate([k[n >= 0] for n, k in steps])
@@ -181,15 +198,11 @@ def label_components(pixels: DataFrame) -> DataFrame:
             if (new == label).all():
                 break
             label = new
-        code = ((pdf["y"].to_numpy(np.int64)) << 32) | pdf["x"].to_numpy(np.int64)
         inside = (y > 1) & (y < BLOCK + 2) & (x > 1) & (x < BLOCK + 2)
         rim = ~inside | (y == 2) | (y == BLOCK + 1) | (x == 2) | (x == BLOCK + 1)
-        return pd.DataFrame({"code": code, "first": code[label], "inside": inside, "rim": rim})
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        return run(pdf).assign(image=pdf["image"].iloc[0])[["image", "code", "first", "inside", "rim"]]
+        return {"code": code, "first": code[label], "inside": inside, "rim": rim}
 
-    own = cut(_blocks(pixels.select(*AT), 1).groupBy("image", "by", "bx").applyInPandas(lambda pdf: block(pdf), "image long, code long, first long, inside boolean, rim boolean"))
+    own = cut(_per_group(_blocks(pixels.select(*AT), 1), ("by", "bx"), run, {"code": "long", "first": "long", "inside": "boolean", "rim": "boolean"}))
     met = own.filter("rim").groupBy("image", "code").agg(F.min("first").alias("low"), F.collect_set("first").alias("all"))  # a pixel lies in four blocks at most
     links = met.select("image", F.col("low").alias("a"), F.explode("all").alias("b")).filter("a <> b")
     roots = components(links).withColumnRenamed("node", "first")
@@ -201,31 +214,35 @@ def label_components(pixels: DataFrame) -> DataFrame:
 
 
 def trace(pixels: DataFrame) -> DataFrame:
-    """From the first endpoint in row order through unvisited neighbours, straight on where there is a choice."""
-
-    def walk(points: set) -> list[tuple[int, int]]:
-        left = set(points)
-        around = lambda p: [q for dy, dx in steps if (q := (p[0] + dy, p[1] + dx)) in left]
-        here = min((p for p in left if len(around(p)) <= 1), default=None)
-        path, dy, dx = [], 0, 0
-        while here is not None:
-            path.append(here)
-            left.discard(here)
-            best = max(around(here), key=lambda q: (q[0] - here[0]) * dy + (q[1] - here[1]) * dx, default=None)
-            if best:
-                dy, dx = best[0] - here[0], best[1] - here[1]
-            here = best
-        return path
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pixels_of: dict[int, set] = {}
-        for f, y, x in zip(pdf["fiber_id"].tolist(), pdf["y"].tolist(), pdf["x"].tolist()):
-            pixels_of.setdefault(f, set()).add((y, x))
-        out = [(f, k, y, x) for f, points in pixels_of.items() for k, (y, x) in enumerate(walk(points))]
-        return pd.DataFrame(out, columns=["fiber_id", "pos", "y", "x"]).assign(image=pdf["image"].iloc[0])[["image", "fiber_id", "pos", "y", "x"]]
-
-    steps = sorted(RING)
+    """From the first endpoint in row order through unvisited neighbours, straight on where there is a choice. All fibers of a group walk
+    at once, a step at a time; a fiber without an endpoint has no trace."""
+    steps = np.array(sorted(RING))
+
+    def run(own: dict) -> dict:
+        fibers, fiber = np.unique(own["fiber_id"], return_inverse=True)
+        y0, x0 = int(own["y"].min()) - 1, int(own["x"].min()) - 1
+        height, width = int(own["y"].max()) - y0 + 2, int(own["x"].max()) - x0 + 2  # with an empty rim
+        code = np.unique((fiber.astype(np.int64) * height + own["y"] - y0) * width + own["x"] - x0)
+        target = code[:, None] + steps @ np.array([width, 1])
+        at = np.minimum(np.searchsorted(code, target), len(code) - 1)
+        around = np.where(code[at] == target, at, -1)
+        fiber = code // (height * width)
+        ends = np.flatnonzero((around >= 0).sum(1) <= 1)
+        here = ends[np.unique(fiber[ends], return_index=True)[1]]
+        visited, way, out = np.zeros(len(code), bool), np.zeros((len(here), 2), np.int64), []
+        while len(here):
+            out.append(here)
+            visited[here] = True
+            open_ = (around[here] >= 0) & ~visited[around[here]]
+            best = np.where(open_, way @ steps.T, -9).argmax(1)
+            some = open_.any(1)
+            here, way = around[here[some], best[some]], steps[best[some]]
+        path = np.concatenate(out) if out else np.zeros(0, np.int64)
+        pos = np.repeat(np.arange(len(out)), [len(k) for k in out])
+        inside = code[path] % (height * width)
+        return {"fiber_id": fibers[fiber[path]], "pos": pos, "y": inside // width + y0, "x": inside % width + x0}
+
     # Groups of some fibers of an image: one group a fiber would cost more in dealing than in walking.
-    sizes = pixels.groupBy("image").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    parted = pixels.join(sizes, "image").select("image", "fiber_id", "y", "x", F.pmod(F.xxhash64("fiber_id"), F.col("parts")).alias("part"))
-    return parted.groupBy("image", "part").applyInPandas(lambda pdf: run(pdf), "image long, fiber_id long, pos int, y int, x int")
+    sizes = pixels.groupBy(F.col("image").alias("_image")).agg(F.ceil(F.count("*") / PART).alias("parts"))
+    parted = pixels.join(sizes, F.col("image").eqNullSafe(F.col("_image"))).select("image", "fiber_id", "y", "x", F.pmod(F.xxhash64("fiber_id"), F.col("parts")).alias("part"))
+    return _per_group(parted, ("part",), run, {"fiber_id": "long", "pos": "int", "y": "int", "x": "int"})

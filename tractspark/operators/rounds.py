@@ -1,13 +1,21 @@
-"""Work in rounds over tables of pairs: components of a graph, matchings and independent sets. Each round cuts the lineage with checkpoint(),
-whose folder executors share; no image, component or pair list is gathered in one task."""
+"""Matchings, independent sets and components over tables of pairs. What can be solved apart is: images whose pairs fit in a task are solved
+each in one step, larger images fall into components, which are dealt to tasks, and only components of more than LIMIT pairs go through
+rounds over the whole table. Rounds cut the lineage with checkpoint(), whose folder executors share."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Pairs that one task solves, at most (a pair takes some 40 bytes); hashing may put a few times as many small components together.
+LIMIT = 500_000
+
 
 def _ready(spark: SparkSession) -> None:
     """Sets a checkpoint folder where none is: one of spark.checkpoint.dir, else in the warehouse, or on a local master a temporary one."""
@@ -42,9 +50,60 @@ def components(edges: DataFrame, by: str = "image") -> DataFrame:
         state = now
 
 
+def _picked(rows: DataFrame, keys: list[str], pick: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    """The rows of each group that pick gives the numbers of."""
+    return rows.groupBy(*keys).applyInArrow(lambda table: table.combine_chunks().take(pa.array(pick(table), pa.int64())), rows.schema)
+
+
+def solved(pairs: DataFrame, pick: Callable[[pa.Table], np.ndarray], in_rounds: Callable[[DataFrame], DataFrame] | None, sides: bool = True) -> DataFrame:
+    """The pairs (image, a, b, ...) that pick chooses of each image, whose components don't matter to each other; sides: a and b are ids of two
+    kinds. in_rounds does the same for components of more than LIMIT pairs; without it, those are solved each in one task."""
+    pairs = cut(pairs)
+    sizes = pairs.groupBy("image").agg(F.count("*").alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= LIMIT:
+        return _picked(pairs, ["image"], pick)
+    columns = pairs.columns
+    sized = pairs.join(sizes, "image")
+    small, large = sized.filter(F.col("_n") <= LIMIT).select(*columns), cut(sized.filter(F.col("_n") > LIMIT))
+    node = lambda k, c: F.struct(F.lit(k).alias("side"), F.col(c).alias("id")) if sides else F.col(c)
+    roots = components(large.select("image", node(0, "a").alias("a"), node(1, "b").alias("b"))).select("image", F.col("node").alias("_node"), F.col("root").alias("_root"))
+    # The least node of a component is its root and has no row there.
+    rooted = large.withColumn("_node", node(1, "b")).join(roots, ["image", "_node"], "left").withColumn("_root", F.coalesce("_root", "_node"))
+    each = rooted.groupBy("image", "_root").agg(F.count("*").alias("_own"))
+    rooted = cut(rooted.join(each, ["image", "_root"]))
+    light = F.col("_own") <= LIMIT if in_rounds else F.lit(True)
+    part = F.when(F.col("_own") > LIMIT, F.xxhash64("_root")).otherwise(F.pmod(F.xxhash64("_root"), F.ceil(F.col("_n") / LIMIT)))
+    dealt = rooted.filter(light).select(*columns, part.alias("_part"))
+    out = _picked(small, ["image"], pick).unionAll(_picked(dealt, ["image", "_part"], pick).select(*columns))
+    heavy = rooted.filter(~light).select(*columns)
+    return out if in_rounds is None or heavy.isEmpty() else out.unionAll(in_rounds(heavy))
+
+
+def _numbered(table: pa.Table, *columns: str) -> tuple[list[int], int]:
+    """The ids of columns that share their ids, one column after the other, as numbers from 0 on, and how many there are."""
+    every = pa.concat_arrays([table[c].combine_chunks() for c in columns]).dictionary_encode()
+    return every.indices.to_pylist(), len(every.dictionary)
+
+
 def matched(pairs: DataFrame, *order) -> DataFrame:
-    """The pairs (image, a, b, ...) that one-to-one matching takes which goes through them in a strict order: in each round those that come
-    first for both their sides, after which all pairs of these sides go. Equal to taking one pair after the other."""
+    """The pairs (image, a, b, ...) that one-to-one matching takes which goes through them in a strict order."""
+    names = [f"_o{k}" for k in range(len(order))]
+
+    def pick(table: pa.Table) -> np.ndarray:
+        (a, n), (b, m) = _numbered(table, "a"), _numbered(table, "b")
+        free_a, free_b, out = [True] * n, [True] * m, []
+        for k in pc.sort_indices(table, sort_keys=[(c, "ascending") for c in names]).to_pylist():
+            if free_a[a[k]] and free_b[b[k]]:
+                free_a[a[k]] = free_b[b[k]] = False
+                out.append(k)
+        return np.array(out, np.int64)
+
+    ordered = pairs.withColumns(dict(zip(names, (F.col(o) if isinstance(o, str) else o for o in order))))
+    return solved(ordered, pick, lambda rest: matched_in_rounds(rest, *names)).select(*pairs.columns)
+
+
+def matched_in_rounds(pairs: DataFrame, *order) -> DataFrame:
+    """The same: in each round the pairs that come first for both their sides, after which all pairs of these sides go."""
     left = cut(pairs.withColumn("_key", F.struct(*order)))
     columns, out = pairs.columns, None
     while True:
@@ -58,13 +117,41 @@ def matched(pairs: DataFrame, *order) -> DataFrame:
 
 def first_come_set(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The nodes (image, fiber_id) that stay if they come one after the other and each goes that is paired with one that stays before it.
-    pairs: image, a, b with a before b. In each round nodes stay that no open one precedes, and those paired with them behind go."""
+    pairs: image, a, b with a before b."""
+
+    def pick(table: pa.Table) -> np.ndarray:
+        """A pair for each node that goes: its last one with a node that stays."""
+        ids, n = _numbered(table, "a", "b")
+        a, b = ids[: len(table)], ids[len(table) :]
+        after: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        waits, gone_by = [0] * n, [-1] * n
+        for k, (p, q) in enumerate(zip(a, b)):
+            after[p].append((q, k))
+            waits[q] += 1
+        ready = [p for p in range(n) if not waits[p]]
+        while ready:
+            p = ready.pop()
+            for q, k in after[p]:
+                if gone_by[p] < 0:
+                    gone_by[q] = k
+                waits[q] -= 1
+                if not waits[q]:
+                    ready.append(q)
+        return np.array([k for k in gone_by if k >= 0], np.int64)
+
+    own = pairs.select("image", "a", "b").distinct()
+    gone = solved(own, pick, _gone_in_rounds, sides=False).select("image", F.col("b").alias("fiber_id"))
+    return nodes.join(gone, ["image", "fiber_id"], "left_anti")
+
+
+def _gone_in_rounds(pairs: DataFrame) -> DataFrame:
+    """The same pairs' nodes b that go. In each round nodes stay that no open one precedes, and those paired with them behind go."""
     open_, gone = cut(pairs.select("image", "a", "b").distinct()), None
     while not open_.isEmpty():
         later = open_.select("image", F.col("b").alias("a")).distinct()
         stay = open_.select("image", "a").distinct().join(later, ["image", "a"], "left_anti")
-        out = cut(open_.join(stay, ["image", "a"], "left_semi").select("image", F.col("b").alias("fiber_id")).distinct())
+        out = cut(open_.join(stay, ["image", "a"], "left_semi"))
         gone = out if gone is None else gone.unionAll(out)
-        away = out.withColumnRenamed("fiber_id", "b")
+        away = out.select("image", "b").distinct()
         open_ = cut(open_.join(stay, ["image", "a"], "left_anti").join(away, ["image", "b"], "left_anti").join(away.withColumnRenamed("b", "a"), ["image", "a"], "left_anti"))
-    return nodes if gone is None else nodes.join(gone, ["image", "fiber_id"], "left_anti")
+    return gone
