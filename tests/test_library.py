@@ -203,6 +203,50 @@ def test_headers_in_any_order_and_spelling(spark, tmp_path):
     assert listed == ["Z.TIF", "a.tif"]
 
 
+def test_wide_quoted_and_broken_prediction_files(spark, tmp_path):
+    own = {"Fiber ID": "7", "First analog (µm)": "1.5", "Second analog (µm)": "3", "Ratio": "2", "Fiber type": "single", "Valid": "true", "Error probability": "x", "Image Name": 'a, ""b""'}
+    more = [f"extra {k}" for k in range(60)]
+    quoted = lambda cells: ",".join(f'"{c}"' for c in cells)
+    head, row = [*more[:40], *own, *more[40:]], ["1"] * 40 + list(own.values()) + ["line\nend"] * 20
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "wide.csv").write_text("made by hand\n" + quoted(head) + "\r\n" + quoted(row) + "\r\n\r\n" + quoted(row[:45]) + "\r\n")
+    (tmp_path / "broken.csv").write_bytes(b"\xff\x00nothing,here\n1,2\n")
+    (tmp_path / "empty.csv").write_text("")
+    got = files.read_predictions(spark, str(tmp_path)).collect()
+    assert len(got) == 2 and {r.image_name for r in got} == {'a, "b"', None}
+    r = next(r for r in got if r.image_name)
+    assert (r.fiber_id, r.first_um, r.second_um, r.length_um, r.ratio, r.fiber_type, r.valid, r.error_probability) == (7, 1.5, 3.0, 4.5, 2.0, "one segment", True, None)
+    short = next(r for r in got if not r.image_name)
+    assert (short.fiber_id, short.first_um, short.fiber_type, short.valid) == (7, 1.5, "one segment", None)
+
+
+def test_paired_samples_that_cannot_be_tested(spark):
+    rows = lambda r: spark.createDataFrame(r, "key long, x double, y double")
+    for bad in ([(1, 1.0, 2.0), (2, 1.5, None)], [(1, 1.0, 2.0), (2, 2.0, 3.0), (3, 1.0, 1.0)], []):
+        with pytest.raises(Exception, match="partially overlapping samples need"):
+            S.partially_overlapping_t(rows(bad), "key").collect()
+    assert S.partially_overlapping_t(rows([(1, 1.0, 2.0), (2, 2.0, 3.5), (3, 1.0, None), (4, None, 2.0)]), "key").count() == 1
+
+
+def test_rank_tests_of_many_types_share_the_reference(spark):
+    rng = np.random.default_rng(1)
+    groups = {(g, t): np.round(rng.normal(k / 9, 1, 15 + 5 * k), 1).tolist() for g in ("A", "B", None) for k, t in enumerate(["ref", "t1", "t2", "t3", None])}
+    del groups["B", "ref"]
+    df = spark.createDataFrame([(g, t, v) for (g, t), vs in groups.items() for v in vs] + [("A", "none", None)], "grader string, type string, ratio double")
+    got = {(r.grader, r.type): r for r in S.rank_test(df, "ref").collect()}
+    assert set(got) == {k for k in groups if k[1] != "ref"}
+    for (g, t), r in got.items():
+        x, ref = np.array(groups[g, t]), np.array(groups.get((g, "ref"), []))
+        assert (r.n1, r.n2) == (len(ref), len(x))
+        _, n = np.unique(np.concatenate([x, ref]), return_counts=True)
+        assert r.ties == (n.astype(float) ** 3 - n).sum()
+        if len(ref):
+            u = ((x[None] < ref[:, None]) + (x[None] == ref[:, None]) / 2).sum()
+            assert r.u == pytest.approx(u) and r.delta == pytest.approx(2 * u / (len(x) * len(ref)) - 1)
+        else:
+            assert r.u is None
+
+
 def test_left_over_files_and_lookup(spark):
     a = spark.createDataFrame([("e", "a1"), ("e", "a2")], "entry string, path string")
     assert C.pair_by_position(a, a).count() == 2 and C.pair_by_position(a, a.limit(1), strict=False).filter("second is null").count() == 1

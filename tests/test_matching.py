@@ -169,3 +169,23 @@ def test_large_images_by_components_and_rounds(spark, monkeypatch, limit):
     assert [sorted(map(tuple, f(pairs).collect())) for f in (J.greedy_match, J.first_come_match)] == whole
     assert J.optimal_match(pairs, 0.0).agg(F.sum("iou")).first()[0] == pytest.approx(total)
     assert sorted(map(tuple, R.first_come_set(nodes, own).collect())) == stay
+
+
+def test_boxes_of_mixed_sizes_meet_across_levels(spark):
+    rng = np.random.default_rng(12)
+    shape = lambda k: (int(rng.integers(-300, 3000)), int(rng.integers(-300, 3000)), int(2 ** rng.uniform(0, k)), int(2 ** rng.uniform(0, k)))
+    boxes = [(i, g, k + 1000 * (g == "O"), shape(size)) for i, size in ((1, 7), (2, 12), (3, 5)) for g in "FO" for k in range(60)]
+    boxes += [(2, "F", 900, (0, 0, 100_000, 100_000)), (2, "O", 1900, (-5, -5, 100_003, 99_000)), (2, "O", 1901, (64, 64, 64, 64)), (2, "F", 901, (64, 64, 64, 64)), (4, "F", 1, (0, 0, 5, 5)), (2, "F", 902, (10, 10, 0, 4))]
+    df = spark.createDataFrame(boxes, "image long, grader string, fiber_id long, bbox struct<x:int,y:int,width:int,height:int>")
+    left, right = (df.filter(F.col("grader") == g) for g in "FO")
+    pairs = [(p, q) for p in boxes for q in boxes if p[0] == q[0] and (p[1], q[1]) == ("F", "O")]
+    want = {(p[0], p[2], q[2]): iou(p[3], q[3]) for p, q in pairs}
+    got = [(r.image, r.a, r.b, r.iou) for r in J.box_pairs(left, right, 1e-12).collect()]
+    assert {g[:3] for g in got} == {k for k, v in want.items() if v > 1e-12} and len(got) == len({g[:3] for g in got})
+    assert all(v == pytest.approx(want[k]) for *k, v in got for k in [tuple(k)])
+    touch = lambda p, q, k: p[k] - 5 < q[k] + q[k + 2] and q[k] < p[k] + p[k + 2] + 5
+    near = [(r.image, r.a, r.b) for r in J.near_pairs(left, right).collect()]
+    assert sorted(near) == sorted((p[0], p[2], q[2]) for p, q in pairs if touch(p[3], q[3], 0) and touch(p[3], q[3], 1))
+    levels = left.select("image", F.col("bbox").alias("p")).withColumn("own", J._level("p", 64))
+    shown = J._cells(levels, "p", F.filter(F.array(*map(F.lit, range(12))), lambda k: k >= F.col("own")), 64).groupBy("image", "p", "level").count()
+    assert shown.agg(F.max("count")).first()[0] <= 4

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def area(b: Column) -> Column:
-    return b["width"] * b["height"]
+    return b["width"].cast("long") * b["height"]
 
 
 def centre(b: Column) -> Column:
@@ -17,9 +17,9 @@ def centre(b: Column) -> Column:
 
 def iou(a: Column, b: Column) -> Column:
     """0 if the union is empty."""
-    side = lambda p, s: F.greatest(F.lit(0), F.least(a[p] + a[s], b[p] + b[s]) - F.greatest(a[p], b[p]))
+    side = lambda p, s: F.greatest(F.lit(0), F.least(a[p].cast("long") + a[s], b[p].cast("long") + b[s]) - F.greatest(a[p], b[p]))
     both = side("x", "width").cast("long") * side("y", "height")
-    union = area(a).cast("long") + area(b) - both
+    union = area(a) + area(b) - both
     return F.when(union > 0, both / union).otherwise(F.lit(0.0))
 
 

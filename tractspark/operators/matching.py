@@ -1,5 +1,5 @@
-"""Spatial matching of fibers between graders (J items) by grid joins: boxes meet in the cells that they touch, and a pair counts only in
-the cell that holds the upper left corner of its intersection, so no pair is made twice."""
+"""Spatial matching of fibers between graders (J items) by grid joins: boxes meet in the cells that they touch, on the level of the
+larger one, and a pair counts only in the cell that holds the upper left corner of its intersection, so no pair is made twice."""
 
 from __future__ import annotations
 
@@ -17,31 +17,51 @@ from .rounds import components, first_come_set, matched, solved
 CELL = 64
 
 
-def _cells(df: DataFrame, cell: int) -> DataFrame:
-    b = F.col("bbox")
-    spread = lambda p, s: F.sequence(F.floor(b[p] / cell), F.floor((b[p] + F.greatest(b[s], F.lit(1)) - 1) / cell))
-    return df.withColumn("cx", F.explode(spread("x", "width"))).withColumn("cy", F.explode(spread("y", "height")))
+def _level(box: str, cell: int):
+    """Level of a box: its cells, of cell * 2^level pixels, are at least as wide and high as the box, so it touches four of them at most."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col(box)["width"], F.col(box)["height"], F.lit(1)) / cell)).cast("int"))
+
+
+def _cells(df: DataFrame, box: str, levels, cell: int) -> DataFrame:
+    """df by the cells that its boxes touch on each of the levels (at most four a level, from the box's own on)."""
+    b, side = F.col(box), F.col("side")
+    spread = lambda p, s: F.sequence(F.floor(b[p] / side), F.floor((b[p] + F.greatest(b[s], F.lit(1)) - 1) / side))
+    rows = df.withColumn("level", F.explode(levels)).withColumn("side", F.expr(f"shiftleft({cell}L, level)"))
+    return rows.withColumn("cx", F.explode(spread("x", "width"))).withColumn("cy", F.explode(spread("y", "height")))
+
+
+def _met(left: DataFrame, right: DataFrame, cell: int) -> DataFrame:
+    """left (image, a, p) and right (image, b, q) by the pairs whose boxes p and q share the cell of their intersection's upper left corner, on the
+    level of the larger one. A box shows on its own level and on coarser ones that the other side's boxes of its image have, so it makes four rows
+    for each of these at most, however large it is; crowded cells are left to the adaptive splitting of skewed joins."""
+    one, other = left.withColumn("la", _level("p", cell)), right.withColumn("lb", _level("q", cell))
+    used = lambda df, c, name: df.groupBy("image").agg(F.collect_set(c).alias(name))
+    one, other = one.join(used(other, "lb", "theirs"), "image"), other.join(used(one, "la", "theirs"), "image")
+    own = lambda c: F.array(F.col(c))
+    coarser = lambda c: F.filter("theirs", lambda k: k > F.col(c))
+    at = ["image", "level", "side", "cx", "cy"]
+    keep = lambda df, *c: df.select(*at, *c)
+    a_own, a_far = keep(_cells(one, "p", own("la"), cell), "a", "p"), keep(_cells(one, "p", coarser("la"), cell), "a", "p")
+    b_own = keep(_cells(other, "q", own("lb"), cell), "b", "q")
+    b_every = keep(_cells(other, "q", F.filter("theirs", lambda k: k >= F.col("lb")), cell), "b", "q")
+    corner = lambda k: F.floor(F.greatest(F.col("p")[k], F.col("q")[k]) / F.col("side"))
+    rows = a_own.join(b_every, at).unionByName(a_far.join(b_own, at))
+    return rows.filter((F.col("cx") == corner("x")) & (F.col("cy") == corner("y"))).select("image", "a", "b", "p", "q")
 
 
 def box_pairs(left: DataFrame, right: DataFrame, threshold: float, inclusive: bool = False, cell: int = CELL) -> DataFrame:
     """Image, a, b, box_a, box_b, iou. Both sides: image, fiber_id, bbox; threshold above 0."""
-    a = _cells(left.select("image", F.col("fiber_id").alias("a"), "bbox"), cell).withColumnRenamed("bbox", "box_a")
-    b = _cells(right.select("image", F.col("fiber_id").alias("b"), "bbox"), cell).withColumnRenamed("bbox", "box_b")
-    corner = lambda p: F.floor(F.greatest(F.col("box_a")[p], F.col("box_b")[p]) / cell)
-    rows = a.join(b, ["image", "cx", "cy"]).filter((F.col("cx") == corner("x")) & (F.col("cy") == corner("y")))
-    rows = rows.withColumn("iou", iou(F.col("box_a"), F.col("box_b")))
-    return rows.filter(F.col("iou") >= threshold if inclusive else F.col("iou") > threshold).select("image", "a", "b", "box_a", "box_b", "iou")
+    rows = _met(left.select("image", F.col("fiber_id").alias("a"), F.col("bbox").alias("p")), right.select("image", F.col("fiber_id").alias("b"), F.col("bbox").alias("q")), cell)
+    rows = rows.withColumn("iou", iou(F.col("p"), F.col("q")))
+    return rows.filter(F.col("iou") >= threshold if inclusive else F.col("iou") > threshold).select("image", "a", "b", F.col("p").alias("box_a"), F.col("q").alias("box_b"), "iou")
 
 
 def near_pairs(left: DataFrame, right: DataFrame, distance: int = 5, cell: int = CELL) -> DataFrame:
     """J2's candidates: image, a, b of all fibers that may have pixels within `distance` (pixels lie in their boxes; left boxes are inflated)."""
     b = F.col("bbox")
     grown = F.struct((b["x"] - distance).alias("x"), (b["y"] - distance).alias("y"), (b["width"] + 2 * distance).alias("width"), (b["height"] + 2 * distance).alias("height"))
-    one = _cells(left.select("image", F.col("fiber_id").alias("a"), grown.alias("bbox")), cell).withColumnRenamed("bbox", "p")
-    other = _cells(right.select("image", F.col("fiber_id").alias("b"), "bbox"), cell).withColumnRenamed("bbox", "q")
-    corner = lambda k: F.floor(F.greatest(F.col("p")[k], F.col("q")[k]) / cell)
+    rows = _met(left.select("image", F.col("fiber_id").alias("a"), grown.alias("p")), right.select("image", F.col("fiber_id").alias("b"), b.alias("q")), cell)
     meet = lambda k, s: (F.col("p")[k] < F.col("q")[k] + F.col("q")[s]) & (F.col("q")[k] < F.col("p")[k] + F.col("p")[s])
-    rows = one.join(other, ["image", "cx", "cy"]).filter((F.col("cx") == corner("x")) & (F.col("cy") == corner("y")))
     return rows.filter(meet("x", "width") & meet("y", "height")).select("image", "a", "b")
 
 

@@ -76,12 +76,18 @@ def _against_reference(df: DataFrame, reference: str, col: str) -> DataFrame:
 
 def rank_test(df: DataFrame, reference: str, col: str = "ratio") -> DataFrame:
     """U of the reference sample, effect size, Cliff's delta and the tie sum, for each grader and type."""
-    rows = _against_reference(df, reference, col)
-    rows = running_totals(rows, ["grader", "type"], "v", "x")
-    t = F.col("x") + F.col("r")
-    out = rows.groupBy("grader", "type").agg(
-        F.sum("r").alias("n1"), F.sum("x").alias("n2"), F.sum(F.col("r") * (F.col("x_before") + F.col("x") / 2)).alias("u"), F.sum((t * t * t - t).cast("double")).alias("ties")
+    # A row for each grader and value, with the counts of all types: running sums of the reference serve them all.
+    counts = _histogram(df, col, "grader", "type")
+    is_ref = F.col("type").eqNullSafe(F.lit(reference))
+    values = counts.groupBy("grader", "v").agg(F.sum(F.when(is_ref, F.col("c")).otherwise(0)).alias("r"), F.collect_list(F.when(~is_ref, F.struct("type", F.col("c").alias("x")))).alias("others"))
+    values = running_totals(values, ["grader"], "v", "r")
+    ties = lambda t: (t * t * t - t).cast("double")
+    whole = values.groupBy(F.col("grader").alias("_grader")).agg(F.sum("r").alias("n1"), F.sum(ties(F.col("r"))).alias("_ties"))
+    rows = values.select("grader", "r", "r_before", F.explode("others").alias("o")).select("grader", "r", "r_before", "o.type", "o.x")
+    sums = rows.groupBy("grader", "type").agg(
+        F.sum("x").alias("n2"), F.sum(F.col("x") * (F.col("r_before") + F.col("r") / 2)).alias("_below"), F.sum(ties(F.col("x") + F.col("r")) - ties(F.col("r"))).alias("_more")
     )
+    out = sums.join(whole, F.col("grader").eqNullSafe(F.col("_grader"))).select("grader", "type", "n1", "n2", (F.col("n1") * F.col("n2") - F.col("_below")).alias("u"), (F.col("_ties") + F.col("_more")).alias("ties"))
     enough = (F.col("n1") >= 2) & (F.col("n2") >= 2)
     out = out.withColumn("u", F.when(enough, F.col("u")))
     effect = 1 - 2 * F.col("u") / (F.col("n1") * F.col("n2"))
@@ -97,7 +103,7 @@ def rank_test_p(df: DataFrame, reference: str, col: str = "ratio", exact: bool =
 
 
 def disagreement(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """`<grader>_only` where exactly one grader is significant."""
+    """`<grader>_only` where exactly one of any number of graders is significant."""
     hits = tests.groupBy("type").agg(F.count_if(F.col("p") < alpha).alias("n"), F.max(F.when(F.col("p") < alpha, F.col("grader"))).alias("who"))
     return hits.select("type", F.when(F.col("n") == 1, F.concat("who", F.lit("_only"))).alias("disagreement"))
 
@@ -268,7 +274,7 @@ def welch_and_anova_p(df: DataFrame, a: str, b: str, col: str = "ratio") -> Data
 
 def partially_overlapping_t(df: DataFrame, key: str, equal: bool = True, mu: float = 0.0, alternative: str = "two.sided", level: float = 0.95) -> DataFrame:
     """Df has `key`, x and y (null where only one was seen). Statistic, degrees of freedom, estimate, p for the alternative (1 without a
-    standard error) and the interval (one end infinite for one-sided alternatives) in one row; no row for fewer than two pairs or none alone."""
+    standard error) and the interval (one end infinite for one-sided alternatives) in one row. It is an error if there are fewer than two pairs, or none alone."""
     if alternative not in ("two.sided", "less", "greater"):
         raise ValueError("alternative: two.sided, less or greater")
     x, y, pair = F.col("x"), F.col("y"), F.col("x").isNotNull() & F.col("y").isNotNull()
@@ -284,7 +290,8 @@ def partially_overlapping_t(df: DataFrame, key: str, equal: bool = True, mu: flo
         welch = F.pow(v1 / n1 + v2 / n2, 2) / (F.pow(v1 / n1, 2) / (n1 - 1) + F.pow(v2 / n2, 2) / (n2 - 1))
         df_ = (n12 - 1) + (welch - n12 + 1) / (alone + 2 * n12) * alone
     est = F.col("m1") - F.col("m2")
-    out = s.filter((n12 >= 2) & (alone > 0)).select(F.try_divide(est - mu, se).alias("statistic"), df_.alias("df"), est.alias("estimate"), se.alias("_se"))
+    checked = F.when(n12 < 2, F.raise_error(F.lit("partially overlapping samples need two pairs or more"))).when(alone <= 0, F.raise_error(F.lit("partially overlapping samples need values without a partner"))).otherwise(est)
+    out = s.withColumn("_est", checked.cast("double")).select(F.try_divide(F.col("_est") - mu, se).alias("statistic"), df_.alias("df"), F.col("_est").alias("estimate"), se.alias("_se"))
     t, dof, tails = F.col("statistic"), F.col("df"), 2 if alternative == "two.sided" else 1
     p = t_two_sided(t, dof) if tails == 2 else t_upper(-t if alternative == "less" else t, dof)
     reach = t_quantile(F.lit(1 - (1 - level) / tails), dof) * F.col("_se")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import io
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,22 +16,38 @@ from ..operators.cohort import drop_invalid_boxes
 from ..schemas import AI, FIBERS, IMAGE_COLUMNS, TYPE_ALIASES
 
 
-def read_predictions(spark: SparkSession, root: str, grader: str = AI, most_columns: int = 32) -> DataFrame:
-    """IO1: all CSV files below root. Each file's header says where its columns are, in any order; the image column may be spelt either way,
-    and columns that a file lacks are null."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root).select(F.col("_metadata.file_path").alias("path"), "value")
-    is_header = F.col("value").contains("First analog")
-    headers = lines.filter(is_header).select("path", F.transform(F.split("value", ","), F.trim).alias("names")).dropDuplicates(["path"])
-    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(most_columns)))
-    rows = lines.filter(~is_header & (F.trim("value") != "")).join(headers, "path").select("names", cells.alias("c"))
-    rows = rows.select("names", F.array(*[F.col(f"c.c{i}") for i in range(most_columns)]).alias("cells"))
-    pick = lambda *names: F.coalesce(*[F.get("cells", (F.array_position("names", n) - 1).cast("int")) for n in names])
+#: Columns of a prediction file that are read, and where their values go.
+_CELLS = ("image_name", "Fiber ID", "First analog (µm)", "Second analog (µm)", "Ratio", "Fiber type", "Valid", "Error probability")
+
+
+def read_predictions(spark: SparkSession, root: str, grader: str = AI) -> DataFrame:
+    """IO1: all CSV files below root, read whole and each parsed with its own header (the record that names the first tract; what stands before it
+    is skipped): any number of columns in any order, quoted cells with commas and line ends, the image column spelt either way. Columns that a
+    file lacks, and cells that a short record lacks, are null, as are numbers that can't be read; a file without a header has no rows."""
+    names = [f"c{k}" for k in range(len(_CELLS))]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                at, out = None, [[] for _ in names]
+                for record in csv.reader(io.StringIO(content.as_py().decode("utf-8-sig", "replace"), newline="")):
+                    cells = [c.strip() for c in record]
+                    if _CELLS[2] in cells:
+                        spelt = [next((c for c in IMAGE_COLUMNS if c in cells), None), *_CELLS[1:]]
+                        at = [cells.index(c) if c in cells else None for c in spelt]
+                    elif at is not None and any(cells):
+                        for column, k in zip(out, at):
+                            column.append(cells[k] or None if k is not None and k < len(cells) else None)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=names)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select("content")
+    cells = files.mapInArrow(parse, ", ".join(f"{c} string" for c in names))
+    image, fiber, first, second, ratio, kind, valid, error = (F.col(c) for c in names)
     aliases = F.create_map(*[F.lit(x) for p in TYPE_ALIASES.items() for x in p])
-    number = lambda n: F.when(~F.isnan(pick(n).try_cast("double")), pick(n).try_cast("double"))
-    first, second, kind = number("First analog (µm)"), number("Second analog (µm)"), pick("Fiber type")
-    return rows.select(
-        pick(*IMAGE_COLUMNS).alias("image_name"), pick("Fiber ID").try_cast("long").alias("fiber_id"), first.alias("first_um"), second.alias("second_um"), number("Ratio").alias("ratio"), (first + second).alias("length_um"),
-        F.coalesce(aliases[kind], kind).alias("fiber_type"), pick("Valid").try_cast("boolean").alias("valid"), number("Error probability").alias("error_probability"), F.lit(grader).alias("grader"),
+    number = lambda c: F.when(~F.isnan(c.try_cast("double")), c.try_cast("double"))
+    return cells.select(
+        image.alias("image_name"), fiber.try_cast("long").alias("fiber_id"), number(first).alias("first_um"), number(second).alias("second_um"), number(ratio).alias("ratio"), (number(first) + number(second)).alias("length_um"),
+        F.coalesce(aliases[kind], kind).alias("fiber_type"), valid.try_cast("boolean").alias("valid"), number(error).alias("error_probability"), F.lit(grader).alias("grader"),
     )
 
 
