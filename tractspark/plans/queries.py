@@ -208,13 +208,21 @@ def paired_lengths(spark, sf):
     return J.paired_lengths(_pairs(spark, sf, 0.5), b.filter("grader = 'F'"), b.filter("grader = 'O'")).select("image", "a", "b", "red_1", _r("green_1"), _r("ratio_1"), "red_2", _r("green_2"), _r("ratio_2"))
 
 
-@query()
+#: All pairs of F and O with an intersection, and what a matching takes that goes through ordered pairs (k) one after the other.
+_EVERY = ", e AS (SELECT image, a, b, i / (s - i) AS iou FROM (SELECT p.image, p.fiber_id AS a, q.fiber_id AS b, greatest(0, least(p.x + p.width, q.x + q.width) - greatest(p.x, q.x)) * greatest(0, least(p.y + p.height, q.y + q.height) - greatest(p.y, q.y)) AS i, p.width * p.height + q.width * q.height AS s FROM b p JOIN b q ON p.image = q.image AND p.grader = 'F' AND q.grader = 'O'))"
+_TAKEN = ", w AS (SELECT image, 0::BIGINT AS k, []::BIGINT[] AS ua, []::BIGINT[] AS ub, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS iou FROM (SELECT DISTINCT image FROM od) UNION ALL SELECT w.image, od.k, CASE WHEN t THEN list_append(ua, od.a) ELSE ua END, CASE WHEN t THEN list_append(ub, od.b) ELSE ub END, CASE WHEN t THEN od.a END, od.b, od.iou FROM w JOIN od ON od.image = w.image AND od.k = w.k + 1 CROSS JOIN LATERAL (SELECT NOT list_contains(ua, od.a) AND NOT list_contains(ub, od.b) AS t)), g AS (SELECT image, a, b, iou FROM w WHERE a IS NOT NULL)"
+_GREEDY = _EVERY + ", od AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY iou DESC, a, b) AS k FROM e WHERE iou >= 0.1)" + _TAKEN
+_FIRST = _EVERY + ", od AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY a, b) AS k FROM e WHERE iou > 0.25)" + _TAKEN
+_DETECTED = " SELECT n.image, coalesce(tp, 0) AS tp, n_pred - coalesce(tp, 0) AS fp, n, coalesce(tp / nullif(n_pred, 0), 0)::DOUBLE AS precision, coalesce(tp / nullif(n, 0), 0)::DOUBLE AS recall, coalesce(2 * tp / nullif(n_pred + n, 0), 0)::DOUBLE AS f1, round(coalesce(s / tp, 0), 9)::DOUBLE AS mean_iou FROM (SELECT image, count(*) FILTER (grader = 'F') AS n_pred, count(*) FILTER (grader = 'O') AS n FROM b GROUP BY 1) n LEFT JOIN (SELECT image, count(*) AS tp, sum(iou) AS s FROM g GROUP BY 1) USING (image)"
+
+
+@query(_GREEDY + " SELECT * FROM g", f"RECURSIVE {B}")
 def greedy_match(spark, sf):
     """J11."""
     return J.greedy_match(_pairs(spark, sf, 0.1, inclusive=True))
 
 
-@query()
+@query(_FIRST + " SELECT * FROM g", f"RECURSIVE {B}")
 def first_come_match(spark, sf):
     """J12."""
     return J.first_come_match(_pairs(spark, sf))
@@ -226,18 +234,18 @@ def optimal_match(spark, sf):
     return J.optimal_match(_similar(spark, sf).withColumnRenamed("similarity", "iou"), 0.5).withColumnRenamed("iou", "similarity")
 
 
-@query()
+@query(_GREEDY + _DETECTED, f"RECURSIVE {B}")
 def detection(spark, sf):
     """A10: pairs matched greedily."""
     b = X.boxes(spark, sf)
-    return J.detection_scores(b.filter("grader = 'F'"), b.filter("grader = 'O'"), J.greedy_match(_pairs(spark, sf, 0.1, inclusive=True)), per_image=True)
+    return J.detection_scores(b.filter("grader = 'F'"), b.filter("grader = 'O'"), J.greedy_match(_pairs(spark, sf, 0.1, inclusive=True)), per_image=True).withColumn("mean_iou", _r("mean_iou", digits=9))
 
 
-@query()
+@query(_FIRST + _DETECTED, f"RECURSIVE {B}")
 def image_detection(spark, sf):
     """Pairs matched first come."""
     b = X.boxes(spark, sf)
-    return J.detection_scores(b.filter("grader = 'F'"), b.filter("grader = 'O'"), J.first_come_match(_pairs(spark, sf)), per_image=True)
+    return J.detection_scores(b.filter("grader = 'F'"), b.filter("grader = 'O'"), J.first_come_match(_pairs(spark, sf)), per_image=True).withColumn("mean_iou", _r("mean_iou", digits=9))
 
 
 def _own_pairs(spark, sf, threshold: float) -> DataFrame:
@@ -246,7 +254,11 @@ def _own_pairs(spark, sf, threshold: float) -> DataFrame:
     return J.box_pairs(b, b, threshold).filter("a < b")
 
 
-@query()
+#: Fibers of an image in the order of their graders and ids (k), each with those before it that it matches; it stays if none of these stays.
+_UNION = ", f AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY grader, fiber_id) AS k FROM b), c AS (SELECT q.image, q.k, list(p.k) AS near FROM f p JOIN f q ON p.image = q.image AND p.k < q.k WHERE greatest(0, least(p.x + p.width, q.x + q.width) - greatest(p.x, q.x)) * greatest(0, least(p.y + p.height, q.y + q.height) - greatest(p.y, q.y)) / (p.width * p.height + q.width * q.height - greatest(0, least(p.x + p.width, q.x + q.width) - greatest(p.x, q.x)) * greatest(0, least(p.y + p.height, q.y + q.height) - greatest(p.y, q.y))) > 0.75 GROUP BY ALL), h AS (SELECT image, k, near, row_number() OVER (PARTITION BY image ORDER BY k) AS i FROM c), z AS (SELECT image, 0::BIGINT AS i, []::BIGINT[] AS gone, NULL::BIGINT AS k FROM (SELECT DISTINCT image FROM h) UNION ALL SELECT z.image, h.i, CASE WHEN t THEN list_append(gone, h.k) ELSE gone END, CASE WHEN t THEN h.k END FROM z JOIN h ON h.image = z.image AND h.i = z.i + 1 CROSS JOIN LATERAL (SELECT len(list_filter(near, lambda x: NOT list_contains(gone, x))) > 0 AS t)), u AS (SELECT f.* FROM f ANTI JOIN z USING (image, k))"
+
+
+@query(_UNION + " SELECT image, grader, fiber_id FROM u", f"RECURSIVE {B}")
 def ordered_union(spark, sf):
     """Over the fibers of all graders."""
     return J.ordered_union(X.boxes(spark, sf), _own_pairs(spark, sf, 0.75))
@@ -262,7 +274,7 @@ def found_by_grader(spark, sf):
     return J.found_flags(b, b, ["F", "O"])
 
 
-@query()
+@query(_UNION + f" SELECT image, grader, fiber_id, {_FLAG.format('F')}, {_FLAG.format('O')} FROM u p", f"RECURSIVE {B}")
 def union_found_flags(spark, sf):
     """J9."""
     b = X.boxes(spark, sf)
@@ -270,14 +282,19 @@ def union_found_flags(spark, sf):
     return J.found_flags(kept, b, ["F", "O"])
 
 
-@query()
+_NEAR = "SELECT nr.image, a, b, count(DISTINCT ({0}.y, {0}.x)) AS h FROM nr JOIN px p ON p.image = nr.image AND p.fiber_id = a JOIN px q ON q.image = nr.image AND q.fiber_id = b AND (p.y - q.y) ** 2 + (p.x - q.x) ** 2 <= 25 GROUP BY ALL"
+#: Any two fibers of an image whose pixels come near, their similarity, and clusters by all that a fiber reaches over links ({0}: which).
+_CLUSTERS = f", nr AS (SELECT p.image, p.fiber_id AS a, q.fiber_id AS b FROM b p JOIN b q ON p.image = q.image AND p.fiber_id < q.fiber_id AND p.x - 5 < q.x + q.width AND q.x < p.x + p.width + 5 AND p.y - 5 < q.y + q.height AND q.y < p.y + p.height + 5), n AS (SELECT image, fiber_id, count(*) AS n FROM px GROUP BY ALL), sm AS (SELECT l.image, a, b, least(l.h / n1.n, r.h / n2.n) AS s FROM ({_NEAR.format('p')}) l JOIN ({_NEAR.format('q')}) r USING (image, a, b) JOIN n n1 ON n1.image = l.image AND n1.fiber_id = a JOIN n n2 ON n2.image = l.image AND n2.fiber_id = b), ln AS (SELECT sm.image, a, b FROM sm JOIN b p ON p.image = sm.image AND p.fiber_id = a JOIN b q ON q.image = sm.image AND q.fiber_id = b WHERE s > 0.5 AND (WHICH)), bo AS (FROM ln UNION ALL SELECT image, b, a FROM ln), re AS (SELECT image, fiber_id AS x, fiber_id AS y FROM b UNION SELECT re.image, x, bo.b FROM re JOIN bo ON bo.image = re.image AND bo.a = re.y), cl AS (SELECT image, x AS fiber_id, min(y) AS cluster FROM re GROUP BY ALL), mb AS (SELECT image, cluster, bool_or(grader = 'F') AS f, bool_or(grader = 'O') AS o FROM cl JOIN b USING (image, fiber_id) GROUP BY ALL)"
+
+
+@query(_CLUSTERS.replace("WHICH", "TRUE") + ", t AS (SELECT count(*) AS total, count(*) FILTER (f AND o) AS found_by_all, count(*) FILTER (f) AS F_total, count(*) FILTER (f AND NOT o) AS F_unique, count(*) FILTER (o) AS O_total, count(*) FILTER (o AND NOT f) AS O_unique FROM mb) SELECT *, found_by_all / total AS found_by_all_share, F_total / total AS F_recall, O_total / total AS O_recall, (F_unique / F_total + O_unique / O_total) / 2 AS average_unique, (F_total / total + O_total / total) / 2 AS average_recall FROM t", f"RECURSIVE {PX}")
 def annotator_agreement(spark, sf):
     """J6 (fibers of one grader link as well), J7, A8."""
     b = X.boxes(spark, sf)
     return J.agreement(J.membership(b, J.clusters(b, _similar(spark, sf, everyone=True).filter("similarity > 0.5")), ["F", "O"]), ["F", "O"])
 
 
-@query()
+@query(_CLUSTERS.replace("WHICH", "p.grader <> q.grader") + " SELECT f AS F, o AS O, count(*) AS n FROM mb GROUP BY ALL", f"RECURSIVE {PX}")
 def cross_grader_clusters(spark, sf):
     """Links between graders only."""
     b = X.boxes(spark, sf)
@@ -285,9 +302,6 @@ def cross_grader_clusters(spark, sf):
     return J.membership(b, found, ["F", "O"]).groupBy("F", "O").agg(F.count("*").alias("n"))
 
 
-_NEAR = "SELECT nr.image, a, b, count(DISTINCT ({0}.y, {0}.x)) AS h FROM nr JOIN px p ON p.image = nr.image AND p.fiber_id = a JOIN px q ON q.image = nr.image AND q.fiber_id = b AND (p.y - q.y) ** 2 + (p.x - q.x) ** 2 <= 25 GROUP BY ALL"
-
-
 @query(f", nr AS (SELECT p.image, p.fiber_id AS a, q.fiber_id AS b FROM b p JOIN b q ON p.image = q.image AND p.grader = 'F' AND q.grader = 'O' AND p.x - 5 < q.x + q.width AND q.x < p.x + p.width + 5 AND p.y - 5 < q.y + q.height AND q.y < p.y + p.height + 5), n AS (SELECT image, fiber_id, count(*) AS n FROM px GROUP BY ALL), s AS (SELECT l.image, a, b, least(l.h / n1.n, r.h / n2.n) AS s FROM ({_NEAR.format('p')}) l JOIN ({_NEAR.format('q')}) r USING (image, a, b) JOIN n n1 ON n1.image = l.image AND n1.fiber_id = a JOIN n n2 ON n2.image = l.image AND n2.fiber_id = b) SELECT image, a, b, round(s, 6) AS similarity FROM s WHERE s > 0.5", PX)
 def skeleton_match(spark, sf):
     """J2, R10."""
@@ -538,11 +552,15 @@ def colour_scores(spark, sf):
     return out.select("image", "a", "b", *(_r(c) for c in out.columns[3:]))
 
 
-@query()
+_MEANS_OF = ", ".join(f"round(coalesce(sum(coalesce({v}, 0)) / (SELECT count(*) FROM g), 0), 9)::DOUBLE AS {n}_{c}" for k, n in ((1, "red"), (2, "green")) for c, v in (("dice", f"2 * (h{k} / nullif(p{k} + t{k} - h{k}, 0)) / (1 + h{k} / nullif(p{k} + t{k} - h{k}, 0))"), ("recall", f"h{k} / nullif(t{k}, 0)"), ("precision", f"h{k} / nullif(p{k}, 0)")))
+
+
+@query(_GREEDY + _SHOWN.replace("SELECT image, a, b FROM pr WHERE i / (s - i) > 0.5", "SELECT image, a, b FROM g") + f" SELECT (SELECT count(*) FROM g) AS tp, {_MEANS_OF} FROM c", f"RECURSIVE {PX}")
 def mean_colour_scores(spark, sf):
     """The means over greedily matched pairs."""
     px, pairs = X.mask_pixels(spark, sf), J.greedy_match(_pairs(spark, sf, 0.1, inclusive=True))
-    return P.mean_colour_scores(P.colour_scores(px.filter("grader = 'F'"), px.filter("grader = 'O'"), pairs), pairs)
+    out = P.mean_colour_scores(P.colour_scores(px.filter("grader = 'F'"), px.filter("grader = 'O'"), pairs), pairs)
+    return out.select("tp", *(_r(c, digits=9) for c in out.columns[1:]))
 
 
 @query("SELECT *, n > 0.5 * 64 * 64 AS keep, n > 0.5 * 64 * 64 AND (ty + 1) * 64 <= 1000 AND (tx + 1) * 64 <= 1000 AS keep_whole FROM (SELECT image, y // 64 AS ty, x // 64 AS tx, count(DISTINCT (y, x)) AS n FROM px GROUP BY ALL)", PX)
