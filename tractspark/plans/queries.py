@@ -831,3 +831,52 @@ def bootstrap_medians(spark, sf):
     """Interval of the difference of medians."""
     rows = _clean(spark, sf).select("type", (F.col("grader") == HUMAN).cast("int").alias("side"), F.col("ratio").alias("value"))
     return S.bootstrap(rows, "type", lambda x, wx, y, wy: S.weighted_median(x, wx) - S.weighted_median(y, wy))
+
+
+_NAMED = f"lower(CASE grader WHEN '{AI}' THEN replace(type, 'A', '4') ELSE CASE type WHEN 'SMALL' THEN 'little' ELSE type END END)"
+
+
+@query(f", c AS (SELECT grader, {_NAMED} AS type, length_um FROM m WHERE fiber_type = 'two segments' AND error_probability < 0.5), o AS (SELECT type, row_number() OVER (ORDER BY median(length_um), type) AS k FROM c GROUP BY 1) SELECT type, grader, k::INT AS type_order, count(*) AS n, round(median(length_um), 6) AS median FROM c JOIN o USING (type) GROUP BY ALL", M)
+def loaded_conditions(spark, sf):
+    """F3, F5, X3, W6 one after the other: what a loader does before anything is compared."""
+    rows = C.renamed(C.below_error(C.only_double(X.measurements(spark, sf))), {AI: lambda c: N.substring_rename(c, [("A", "4")], upper=False), HUMAN: lambda c: N.map_rename(c, {"SMALL": "little"})}, F.lower)
+    out = C.summary(rows, "length_um")
+    return C.with_order(out, C.order_types(rows)).select("type", "grader", "type_order", "n", _r("median"))
+
+
+@query("SELECT fiber_type, grader, count(*) AS n FROM m WHERE fiber_type IN ('termination', 'origin') GROUP BY ALL", M)
+def triple_fibers(spark, sf):
+    """F3 for fibers of three segments."""
+    return C.only_triple(X.measurements(spark, sf)).groupBy("fiber_type", "grader").agg(F.count("*").alias("n"))
+
+
+@query("SELECT image_name, type, first_um FROM m WHERE fiber_id = (SELECT min(fiber_id) FROM m)", M)
+def looked_up(spark, sf):
+    """F12."""
+    rows = X.measurements(spark, sf)
+    return C.lookup(rows, rows.agg(F.min("fiber_id")).first()[0] or 0).select("image_name", "type", "first_um")
+
+
+@query(", v AS (SELECT *, CASE WHEN fiber_id % 11 = 0 THEN 0 ELSE width END AS w, CASE WHEN fiber_id % 13 = 0 THEN -x - 1 ELSE x END AS l, CASE WHEN fiber_id % 17 = 0 THEN 0 ELSE height END AS p FROM b) SELECT grader, count(*) AS n, count(*) FILTER (x >= 900) AS far FROM v WHERE w > 0 AND height > 0 AND l >= 0 AND y >= 0 AND p > 0 GROUP BY 1", B)
+def valid_boxes(spark, sf):
+    """boxes without width, boxes that begin outside the image, and fibers without pixels go."""
+    b, own = F.col("bbox"), F.col("fiber_id")
+    bad = F.struct(F.when(own % 13 == 0, -b["x"] - 1).otherwise(b["x"]).alias("x"), b["y"].alias("y"), F.when(own % 11 == 0, 0).otherwise(b["width"]).alias("width"), b["height"].alias("height"))
+    rows = X.boxes(spark, sf).select("grader", F.abs(b["x"]).alias("at"), bad.alias("bbox"), F.when(own % 17 == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), b["height"].cast("int"))).alias("pixels"))
+    return C.drop_invalid_boxes(rows, pixels="pixels").groupBy("grader").agg(F.count("*").alias("n"), F.count_if(F.col("at") >= 900).alias("far"))
+
+
+@query(_PROBS + " SELECT image, " + ", ".join(f"round(avg(p{k}), 6) AS p{k}" for k in range(3)) + " FROM (SELECT image, y, x, " + ", ".join(f"avg(p{k} * p{k}) AS p{k}" for k in range(3)) + " FROM pb GROUP BY ALL) GROUP BY 1", PX)
+def merged_scales(spark, sf):
+    """A15 over scales: means of squares."""
+    px = X.mask_pixels(spark, sf).select("image", "y", "x").distinct().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    p = lambda a, b, c: ((F.col("y") * a + F.col("x") * b + F.col("k") * c) % 101) / 101
+    return P.merge_scales(px.select("image", "y", "x", p(31, 17, 7).alias("p0"), p(13, 29, 11).alias("p1"), p(7, 3, 5).alias("p2"))).groupBy("image").agg(*(_r(F.avg(f"p{k}"), f"p{k}") for k in range(3)))
+
+
+@query(", t AS (SELECT type, row_number() OVER (ORDER BY median(length_um), type) AS k FROM m GROUP BY 1) SELECT 'all' AS mode, a.type AS a, b.type AS b FROM t a JOIN t b ON a.k < b.k UNION ALL SELECT 'reference', a.type, b.type FROM t a JOIN t b ON a.k = 1 AND b.k > 1", M)
+def comparison_modes(spark, sf):
+    """All pairs, and all against the first."""
+    order = C.order_types(X.measurements(spark, sf))
+    mode = lambda m: C.test_pairs(order, m).select(F.lit(m).alias("mode"), "a", "b")
+    return mode("all").unionByName(mode("reference"))
