@@ -168,6 +168,24 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, path).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_any_tokenizer_and_width_of_offsets(spark, name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path(name))
+    runs, tokenizer = packing.RunIds(path), Tokenizer.from_file(path)
+    assert runs.whole == (name != "word_bpe_49k.json")
+    texts = [(r[1] or "")[:500] for r in rows()] + ["Upper CASE kept", "two  spaces\tand\ntabs", "Ünïcödé ×÷"]
+    want = [i for t in texts for i in [*tokenizer.encode(t, add_special_tokens=False).ids, 0]]
+    for kind in (pa.string(), pa.large_string()):
+        ids, stops = runs.ids(pa.array(texts, kind), 0)
+        assert ids.tolist() == want and len(stops) == len(texts) and stops[-1] == len(want)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = packing.tokenise(df, path, keep_ids=True).orderBy("doc_id").collect()
+    assert [i for r in got for i in r.ids] == want
+
+
 def test_suffix_arrays_and_removal(docs, none, monkeypatch):
     for most in (suffix.SYMBOLS, 1):  # by buckets, and one suffix after the other
         monkeypatch.setattr(suffix, "SYMBOLS", most)

@@ -44,6 +44,9 @@ _KIND[32] = 0
 _WHOLE = np.zeros(256, bool)
 _WHOLE[[39, *range(28, 32), 0xC2, *range(0xC6, 256)]] = True
 
+#: Texts on which runs and whole texts must give the same ids for a tokenizer to be used by runs.
+_PROBES = ("", "Two Words", " a  b\n\nC\t", "It's x1's 12ab-3, (end).", "ÉTÉ été x", "na\u00efve Stra\u00dfe 10\u00d72", "日本語 text", "a\u200bb \u0130x", "<|end|> <pad>", "I'LL don't", "tab\tsep  double\r\nline")
+
 PIECES = "row_id long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -73,12 +76,19 @@ class RunIds(dict):
     The pre-tokenizer never joins text across white space, nor letters and digits with other characters (contractions, which start at an
     apostrophe, aside), and it lower-cases. So the ids of a text are those of its runs in order: of letters and digits, and of other
     characters; words (between spaces, tabs and line ends) with an apostrophe, or with characters beyond ASCII other than Latin letters,
-    are runs of their own."""
+    are runs of their own. A tokenizer that works otherwise, as probes show, codes whole texts instead."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.whole = Tokenizer.from_file(path), False
+        probes = pa.array([*_PROBES, " ".join(_PROBES)])
+        by_runs, by_texts = self.ids(probes, 0), self._of_texts(probes, 0)
+        self.whole = not all(np.array_equal(a, b) for a, b in zip(by_runs, by_texts))
+
+    def _of_texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array([*x.ids, end_id], "<u4") for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, "<u4"), *found]), np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
 
     def look_up(self, runs: list[str]) -> list[bytes]:
         new = [r for r in runs if r not in self]
@@ -91,6 +101,9 @@ class RunIds(dict):
 
     def ids(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts after each other, each followed by end_id, and where each text's ids stop."""
+        if self.whole:
+            return self._of_texts(texts, end_id)
+        texts = texts.cast(pa.string())  # 32-bit offsets, whatever the session's Arrow strings have
         edges = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
         raw = _PLAIN[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]]
         edges -= edges[0]
