@@ -68,12 +68,14 @@ def test_box_join_equals_all_pairs(spark):
     assert best >= greedy - 1e-12
 
 
-def test_hungarian_is_optimal():
+def test_assignment_is_optimal():
     rng = np.random.default_rng(2)
     for n, m in ((1, 1), (3, 3), (4, 6)):
         v = rng.random((n, m))
         best = max(sum(v[i, p[i]] for i in range(n)) for p in itertools.permutations(range(m), n))
-        assert sum(v[i, j] for i, j in enumerate(J.hungarian(v))) == pytest.approx(best)
+        a, b = (x.ravel().tolist() for x in np.indices((n, m)))
+        taken = J.best_total(a, b, v.ravel().tolist())
+        assert len(taken) == n and sum(v[a[k], b[k]] for k in taken) == pytest.approx(best)
 
 
 def test_clusters_follow_chains(spark):
