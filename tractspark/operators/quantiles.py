@@ -54,7 +54,7 @@ def quantiles(df: DataFrame, col: str, probabilities: Sequence[float], by: Seque
     found = None
     while True:
         small = wanted.filter(F.col("n") <= SMALL).groupBy(*group).agg(F.collect_list(F.struct("rank", "at")).alias("asked"))
-        lists = values.join(F.broadcast(small), alike(values, small, group), "left_semi").groupBy(*group).agg(F.sort_array(F.collect_list("v")).alias("a"))
+        lists = values.join(small, alike(values, small, group), "left_semi").groupBy(*group).agg(F.sort_array(F.collect_list("v")).alias("a"))
         done = small.join(lists, alike(small, lists, group)).select(*(small[k] for k in keys), F.explode("asked").alias("w"), "a").select(*keys, "w.rank", F.get("a", F.col("w.at").cast("int")).alias("value"))
         large = wanted.filter(F.col("n") > SMALL)
         asked = large.select(*group).distinct()
