@@ -171,6 +171,25 @@ def test_large_images_by_components_and_rounds(spark, monkeypatch, limit):
     assert sorted(map(tuple, R.first_come_set(nodes, own).collect())) == stay
 
 
+@pytest.mark.parametrize("side, units, size", [(22, 20, 10_000), (5, 10, 45)])
+def test_auction_has_the_greatest_total(spark, side, units, size):
+    # One component beyond a task's size, ties, repeated pairs, an image of its own with pairs of no use, and ids that both images share.
+    rng = np.random.default_rng(21)
+    kept = sorted({(int(a), int(b)) for a, b in rng.integers(0, side, (side * 2, 2))} | {(k, k) for k in range(side)} | {(k, (k + 1) % side) for k in range(side)})
+    rows = [(1, a, b, int(rng.integers(0, 11)) / 10) for a, b in kept]
+    rows += [(1, *rows[0][1:3], 0.1), (1, *rows[1][1:3], 1.0), (2, 0, 0, 0.0), (2, 1, 1, 0.7), (2, 1, 2, 0.7), (2, 3, 2, 0.1)]
+    pairs = spark.createDataFrame(rows, "image long, a long, b long, iou double").repartition(3)
+    got = R.best_in_rounds(pairs, units, size).collect()
+    assert got and set(map(tuple, got)) <= set(rows)
+    assert len({(r.image, r.a) for r in got}) == len(got) == len({(r.image, r.b) for r in got})
+    for image, n in ((1, side), (2, 4)):
+        table = np.zeros((n, n))
+        for _, a, b, v in (r for r in rows if r[0] == image):
+            table[a, b] = max(table[a, b], v)
+        assert sum(r.iou for r in got if r.image == image) == pytest.approx(table[np.arange(n), hungarian(table)].sum())
+    assert R.best_in_rounds(pairs.limit(0)).count() == 0
+
+
 def test_boxes_of_mixed_sizes_meet_across_levels(spark):
     rng = np.random.default_rng(12)
     shape = lambda k: (int(rng.integers(-300, 3000)), int(rng.integers(-300, 3000)), int(2 ** rng.uniform(0, k)), int(2 ** rng.uniform(0, k)))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
-from .rounds import components, first_come_set, matched, solved
+from .rounds import best_in_rounds, components, first_come_set, matched, solved
 
 CELL = 64
 
@@ -146,8 +146,9 @@ def best_total(a: list[int], b: list[int], value: list[float]) -> list[int]:
 
 
 def optimal_match(pairs: DataFrame, at_least: float) -> DataFrame:
-    """Greatest total per image, kept at `at_least` and above after the assignment. Components of the pairs are solved each on its own,
-    over their pairs; no table of all pairs of a component's sides is made."""
+    """Greatest total per image, kept at `at_least` and above after the assignment. Images or components of up to rounds.LIMIT pairs are
+    solved each in one step, over their pairs; no table of all pairs of their sides is made. Larger components take an auction in rounds over the
+    whole table, which weighs by whole millionths."""
 
     def pick(table: pa.Table) -> np.ndarray:
         order = pc.sort_indices(table, sort_keys=[("a", "ascending"), ("b", "ascending")])
@@ -155,7 +156,7 @@ def optimal_match(pairs: DataFrame, at_least: float) -> DataFrame:
         a, b = (rows[c].combine_chunks().dictionary_encode().indices.to_pylist() for c in ("a", "b"))
         return order.to_numpy()[best_total(a, b, rows["iou"].to_pylist())]
 
-    return solved(pairs.select("image", "a", "b", "iou"), pick, None).filter(F.col("iou") >= at_least)
+    return solved(pairs.select("image", "a", "b", "iou"), pick, best_in_rounds).filter(F.col("iou") >= at_least)
 
 
 def ordered_union(boxes: DataFrame, pairs: DataFrame, graders: list[str] | None = None) -> DataFrame:

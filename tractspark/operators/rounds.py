@@ -5,6 +5,7 @@ rounds over the whole table. Rounds cut the lineage with checkpoint(), whose fol
 from __future__ import annotations
 
 import tempfile
+from collections import deque
 from collections.abc import Callable
 
 import numpy as np
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 #: Pairs that one task solves, at most (a pair takes some 40 bytes); hashing may put a few times as many small components together.
 LIMIT = 500_000
 
+#: The auction's least step is divided by this from phase to phase (speed only).
+FALL = 32
+
 
 def _ready(spark: SparkSession) -> None:
     """Sets a checkpoint folder where none is: one of spark.checkpoint.dir, else in the warehouse, or on a local master a temporary one."""
@@ -79,6 +83,90 @@ def solved(pairs: DataFrame, pick: Callable[[pa.Table], np.ndarray], in_rounds:
     return out if in_rounds is None or heavy.isEmpty() else out.unionAll(in_rounds(heavy))
 
 
+def _bid(table: pa.Table, step: int) -> pa.Table:
+    """The places (o, price, owner) that change hands as the free bidders of the table (p, o, w, price, owner) bid until none is left: one raises its
+    best place's price to where its second best is as good, less step, and who had the place is free, to bid on if its rows are here as well."""
+    order = pc.sort_indices(table, sort_keys=[("p", "ascending"), ("o", "ascending")])
+    rows = table.take(order)
+    bidders, first = np.unique(rows["p"].to_numpy(), return_index=True)
+    places, one, at = np.unique(rows["o"].to_numpy(), return_index=True, return_inverse=True)
+    price = rows["price"].to_numpy()[one].tolist()
+    number = {p: i for i, p in enumerate(bidders.tolist())}
+    owner = [p if p is None else number.get(p, -1) for p in rows["owner"].take(pa.array(one)).to_pylist()]
+    ends = [*first.tolist()[1:], len(rows)]
+    ways = [list(zip(o, w)) for o, w in ((at[i:j].tolist(), rows["w"][i:j].to_pylist()) for i, j in zip(first.tolist(), ends))]
+    served, changed = {i for i in owner if i is not None and i >= 0}, set()
+    free = deque(i for i in range(len(bidders)) if i not in served)
+    while free:
+        i = free.popleft()
+        best, best_v, second = -1, None, None
+        for o, w in ways[i]:
+            v = w - price[o]
+            if best_v is None or v > best_v:
+                best, best_v, second = o, v, best_v
+            elif second is None or v > second:
+                second = v
+        price[best] += best_v - (best_v if second is None else second) + step
+        if owner[best] is not None and owner[best] >= 0:
+            free.append(owner[best])
+        owner[best] = i
+        changed.add(best)
+    out = sorted(changed)
+    return pa.table({"o": pa.array(places[out], pa.int64()), "price": pa.array([price[o] for o in out], pa.int64()), "owner": pa.array(bidders[[owner[o] for o in out]], pa.int64())})
+
+
+def _around(ways: DataFrame, free: DataFrame, prices: DataFrame, size: int) -> DataFrame | None:
+    """The ways of the free bidders and of those they may set free, as many steps on as size rows allow; None if the free ones' own are more."""
+    near, found = free, None
+    while True:
+        own = cut(ways.join(near, "p", "left_semi"))
+        if own.count() > size:
+            return found
+        found, before = own, near
+        near = cut(own.select("o").distinct().join(prices, "o").filter("owner is not null").select(F.col("owner").alias("p")).unionAll(before).distinct())
+        if near.count() == before.count():
+            return found
+
+
+def best_in_rounds(pairs: DataFrame, units: int = 1_000_000, size: int = 4 * LIMIT) -> DataFrame:
+    """The pairs (image, a, b, iou) of a one-to-one matching with the greatest total of round(units * iou), exactly, by an auction over the whole
+    table. Each side's nodes get doubles that stand for staying alone: a bids for the b of its pairs or its own double, the double of b for b or the
+    doubles of its pairs' a, so all bidders are served in the end and any prices may be started from. Values are multiplied by more than the number
+    of bidders; the bids' least step falls by FALL from phase to phase down to 1, where the total can't be improved by a whole unit.
+    In a round bidders are dealt to tasks of about size rows, each of which goes through its bids at the prices before the round; then the highest
+    bid for a place counts and whoever lost is free in the next round. Prices only rise and who has a place has it at its price, so a round needs no
+    other agreement. When the free bidders are few, one task takes them and what lies around them. Prices beyond a long raise an error."""
+    pairs = cut(pairs.groupBy("image", "a", "b").agg(F.max("iou").alias("iou")).withColumn("w", F.round(F.col("iou") * units).cast("long")).filter("w > 0"))
+    number = lambda c: cut(pairs.select("image", c).distinct().withColumn(f"_{c}", F.monotonically_increasing_id() * 2))
+    a, b = number("a"), number("b")
+    n = a.count() + b.count()
+    step = max((pairs.agg(F.max("w")).first()[0] or 0) * (n + 1) // 4, 1)
+    known = cut(pairs.join(a, ["image", "a"]).join(b, ["image", "b"]))
+    way = lambda df, p, o, w=F.lit(0).cast("long"): df.select(p.alias("p"), o.alias("o"), w.alias("w"))
+    p, q = F.col("_a"), F.col("_b")
+    ways = cut(way(known, p, q, F.col("w") * (n + 1)).unionAll(way(known, q + 1, p + 1)).unionAll(way(a, p, p + 1)).unionAll(way(b, q + 1, q)))
+    blocks = -(-ways.count() // size)
+    nobody = F.lit(None).cast("long")
+    prices = cut(ways.select("o").distinct().select("o", F.lit(0).cast("long").alias("price"), nobody.alias("owner")))
+    bidding = lambda least: lambda table: _bid(table.combine_chunks(), least)
+    turn = 0
+    while n:
+        while True:
+            free = cut(ways.select("p").distinct().join(prices.select(F.col("owner").alias("p")), "p", "left_anti"))
+            if free.isEmpty():
+                break
+            turn += 1
+            near = _around(ways, free, prices, size) if blocks > 1 else ways
+            dealt = ways.withColumn("block", F.pmod(F.xxhash64("p", F.lit(turn)), F.lit(blocks))) if near is None else near.withColumn("block", F.lit(0).cast("long"))
+            bids = dealt.join(prices, "o").groupBy("block").applyInArrow(bidding(step), "o long, price long, owner long")
+            prices = cut(prices.unionByName(bids).groupBy("o").agg(F.max(F.struct("price", "owner")).alias("s")).select("o", "s.*"))
+        if step == 1:
+            break
+        step, prices = max(step // FALL, 1), prices.withColumn("owner", nobody)
+    chosen = prices.select(F.col("owner").alias("_a"), F.col("o").alias("_b")).filter("_a % 2 = 0 and _b % 2 = 0")
+    return known.join(chosen, ["_a", "_b"]).select("image", "a", "b", "iou")
+
+
 def _numbered(table: pa.Table, *columns: str) -> tuple[list[int], int]:
     """The ids of columns that share their ids, one column after the other, as numbers from 0 on, and how many there are."""
     every = pa.concat_arrays([table[c].combine_chunks() for c in columns]).dictionary_encode()
