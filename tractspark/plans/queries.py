@@ -654,13 +654,18 @@ def wide_sheets(spark, sf):
     return files.melt_ratios(wide, list("FOP"), invert=True).groupBy("type").agg(F.count("*").alias("n"), F.round(F.sum("ratio"), 9).alias("total"))
 
 
-@query()
+@query("SELECT image_name, fiber_id, '{\"type\":\"' || fiber_type || '\",\"ratio\":' || coalesce(ratio, -1)::DOUBLE || ',\"proba\":' || coalesce(error_probability, -1)::DOUBLE || '}' AS json FROM m", M)
 def fiber_json(spark, sf):
     """IO7."""
     return files.fiber_json(X.measurements(spark, sf))
 
 
-@query()
+_STEPS = "list_reduce(list(CASE WHEN px IS NOT NULL AND label = {0} THEN sqrt((x - px) ** 2 + (y - py) ** 2) ELSE 0 END ORDER BY x), lambda a, b: a + b)"
+_LINES = ", r AS (SELECT user_id, run, any_value(label) AS label, count(*) AS n, string_agg(x || ',' || y, ' ' ORDER BY x) AS line FROM (SELECT *, sum((pl IS DISTINCT FROM label)::INT) OVER (PARTITION BY user_id ORDER BY x) AS run FROM s) GROUP BY user_id, run), sg AS (SELECT user_id, count(*) AS runs, min_by(label, run) AS head, string_agg('\"' || line || '\"', ',' ORDER BY run) AS lines, string_agg(CASE label WHEN 1 THEN '\"red\"' ELSE '\"green\"' END, ',' ORDER BY run) AS colors, string_agg(n::VARCHAR, ',' ORDER BY run) AS lens FROM r GROUP BY 1)"
+_LINES += f", ln AS (SELECT user_id, count(*) AS n, CASE WHEN count(*) < 2 THEN count(*) FILTER (label = 1) ELSE {_STEPS.format(1)} END::DOUBLE AS red, CASE WHEN count(*) < 2 THEN count(*) FILTER (label = 2) ELSE {_STEPS.format(2)} END::DOUBLE AS green FROM s GROUP BY 1), ty AS (SELECT *, CASE WHEN red = 0 OR green = 0 THEN 'one segment' WHEN runs = 2 THEN 'two segments' WHEN runs = 3 AND head = 1 THEN 'termination' WHEN runs = 3 THEN 'origin' ELSE 'other' END AS kind FROM ln JOIN sg USING (user_id))"
+
+
+@query(_LINES + " SELECT 'events' AS image, user_id AS fiber_id, '{\"x\":0,\"y\":0,\"width\":' || n || ',\"height\":50,\"points\":[' || lines || '],\"colors\":[' || colors || '],\"fiber_id\":' || user_id || ',\"type\":\"' || kind || '\",\"ratio\":' || coalesce(green / nullif(red, 0), -1)::DOUBLE || ',\"proba_error\":-1.0,\"segmentLengthsPx\":[' || lens || '],\"firstAnalogPx\":' || red || ',\"secondAnalogPx\":' || green || '}' AS json FROM ty", T)
 def trace_json(spark, sf):
     """IO7 with polylines."""
     p = F.col("points")
