@@ -1,7 +1,10 @@
 """Matching, components, published agreement figures, renaming and files against plain versions."""
 
+import struct
+
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tractspark.functions import names as N
@@ -271,3 +274,20 @@ def test_running_summary_of_a_stream(spark, tmp_path):
     q = arrivals.running_summary(rows, ["type"], "ratio").writeStream.format("memory").queryName("sums").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.type, r.n, r["mean"]) for r in spark.table("sums").collect()} == {("0", 5, 4.0), ("1", 5, 5.0)}
+
+
+def test_split_depends_on_the_key_alone(spark):
+    keys = [*range(-50, 2000), 2**62, None]
+    rows = spark.createDataFrame([(k, i % 7) for i, k in enumerate(keys)] + [(5, 1), (None, 2)], "fiber_id long, other long")
+    part = lambda df, **seed: {(r.fiber_id, r.part) for r in C.split(df, "fiber_id", 90, **seed).collect()}
+
+    def want(k, seed=42):
+        # A null leaves the hash as it is.
+        h = 42 if k is None else xxhash.xxh64_intdigest(struct.pack("<q", k), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", seed), h)
+        return "train" if (h - (h >> 63 << 64)) % 100 < 90 else "test"
+
+    got = part(rows)
+    assert got == {(k, want(k)) for k in keys} == part(rows.repartition(5).withColumn("other", F.lit(0)))
+    assert part(rows, seed=7) == {(k, want(k, 7)) for k in keys} != got
+    assert 0.87 < sum(p == "train" for _, p in got) / len(got) < 0.93
