@@ -47,3 +47,33 @@ def test_planted_copies(spark):
     assert stage(spark, texts) == kept(texts)
 
 
+
+
+def test_blocks_of_a_large_group(spark, monkeypatch):
+    """A group about as alike as 0.8 asks, in many blocks: one document of each class stays, and sketches leave few pairs to compare."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "FEW", 8)
+    found, inner = [], simhash._near_in_blocks
+
+    def counted(*args):
+        out = args[-1].write(inner(*args))
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "_near_in_blocks", counted)
+    random.seed(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for k in range(150):
+        copy = list(base)
+        for at in random.sample(range(200), random.randint(2, 5)):
+            copy[at] = f"x{k}-{at}"
+        texts.append((k, " ".join(copy)))
+    sets = [simhash.shingle_set(t) for _, t in texts]
+    marks = [int.from_bytes(simhash.sketch(s)) for s in sets]
+    assert all((x ^ y).bit_count() <= len(set(s.tolist()) ^ set(o.tolist())) for s, x in zip(sets, marks) for o, y in zip(sets, marks))
+    expected = kept(texts)
+    links = sum(jaccard(a[1], b[1]) >= 0.8 for i, a in enumerate(texts) for b in texts[:i])
+    assert 0 < links < 2000 and len(expected) > 1
+    assert stage(spark, texts) == expected
+    assert found[0] < 2 * links

@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_rows, bound_arrow, free_name, materialise
@@ -26,6 +27,8 @@ from .rolling import Hashes, mixed
 TILE = 2048
 #: Shingles that the order of prefixes puts last, at most.
 COMMON = 200_000
+#: Bits of the sketch of a shingle set; sets in a block of those that share a shingle; sets of a shingle and size that meet without sketches.
+SKETCH, BLOCK, FEW = 512, 256, 32
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
@@ -179,28 +182,98 @@ def _sets(rows: DataFrame, words_per_shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, items array<long>")
 
 
+def sketch(items: np.ndarray) -> bytes:
+    """SKETCH bits: each is 1 if an odd number of the set's hashes falls on it. Two sets differ in at least as many hashes as their sketches
+    do in bits, as a hash of both changes both sketches alike."""
+    odd = np.bincount(items.view(np.uint64) % np.uint64(SKETCH), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
 def _prefixes(rows: DataFrame, at_least: float, words_per_shingle: int, common: list[int]) -> DataFrame:
-    """doc_id, digest and text to doc_id, digest, cls (equal for equal sets), n and prefix: the first shingles of the set, rare ones before
-    those of `common` (rarest first). Sets of a Jaccard index of at_least share a shingle of their prefixes, whatever the order is."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    """doc_id, digest and text to doc_id, digest, cls (equal for equal sets), n, the sketch and prefix: the first shingles of the set, rare ones
+    before those of `common` (rarest first). Sets of a Jaccard index of at_least share a shingle of their prefixes, whatever the order is."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("prefix", pa.list_(pa.int64()))])
     hot = np.array(common, np.int64)
     by_hash = np.argsort(hot)
     hashes = hot[by_hash]
 
     def run(batches):
         for batch in batches:
-            cls, n, prefix = [], [], []
+            cls, n, marks, prefix = [], [], [], []
             for x in batch.column(2):
                 items = shingle_set(x.as_py(), words_per_shingle)
                 cls.append(xxhash.xxh64_intdigest(items.tobytes()))
                 n.append(len(items))
+                marks.append(sketch(items))
                 if len(hashes):
                     at = np.minimum(np.searchsorted(hashes, items), len(hashes) - 1)
                     items = items[np.argsort(np.where(hashes[at] == items, by_hash[at] + 1, 0), kind="stable")]
                 prefix.append(items[: len(items) - int(np.ceil(at_least * len(items) - 1e-9)) + 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(n, pa.int64()), _lists(prefix).cast(schema.field(4).type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(marks, pa.binary()), _lists(prefix).cast(schema.field(5).type)], schema=schema)
+
+    return rows.mapInArrow(run, "doc_id long, digest long, cls long, n long, sketch binary, prefix array<long>")
+
+
+def _fits(p: str, q: str, at_least: float) -> Column:
+    """Of two sets that first meet in a shingle, no more than the rests of both can be common."""
+    n, m, i, j = (F.col(f"{side}.{x}") for x in ("n", "pos") for side in (p, q))
+    return (F.least(n - i, m - j) >= at_least / (1 + at_least) * (n + m) - 1e-6) & (F.col(f"{p}.cls") != F.col(f"{q}.cls"))
+
+
+def _near_in_blocks(left: DataFrame, sketches: DataFrame, at_least: float, scratch: Scratch) -> DataFrame:
+    """left: item, own (cls, n, pos) and root. Pairs (a, b) of sets with different roots that share an item and that neither their sizes,
+    their places in the prefixes nor their sketches (by cls) rule out.
+
+    The sets of an item fall into classes of size, as sets whose sizes differ by more than at_least can't be alike. Sets of one class, or of two
+    that follow each other, meet. Where both have at most FEW sets, each set meets few others and all these pairs become rows. Else the
+    classes are cut into blocks that meet whole and are compared in numpy, so only pairs that the sketches leave become rows; keys of
+    blocks are paired first, and the blocks' sets follow by joins."""
+    rows = left.withColumn("size", F.floor(F.log("own.n") / -F.log(F.lit(at_least)) + 1e-9) if at_least < 1 else F.col("own.n").cast("long"))
+    cells = scratch.write(rows.groupBy("item", "size").agg(F.count("*").alias("sets"), F.min("root").alias("low"), F.max("root").alias("high")))
+    below = cells.select("item", (F.col("size") + 1).alias("size"), F.col("sets").alias("o_sets"), F.col("low").alias("o_low"), F.col("high").alias("o_high"))
+    met = cells.filter("low < high").select("item", "size", "sets", F.col("size").alias("o_size"), F.col("sets").alias("o_sets"))
+    met = met.unionAll(cells.join(below, ["item", "size"]).filter("least(low, o_low) < greatest(high, o_high)").select("item", "size", "sets", (F.col("size") - 1).alias("o_size"), "o_sets"))
+    met = scratch.write(met)
+    few = met.filter(F.greatest("sets", "o_sets") <= FEW).select("item", "size", "o_size")
+    other = rows.select("item", F.col("size").alias("o_size"), F.col("own").alias("other"), F.col("root").alias("o_root"))
+    plain = rows.join(few, ["item", "size"]).join(other, ["item", "o_size"]).filter("root <> o_root").filter(_fits("own", "other", at_least))
+    plain = plain.select(F.least("own.cls", "other.cls").alias("a"), F.greatest("own.cls", "other.cls").alias("b"))
+
+    last = lambda sets: F.sequence(F.lit(0).cast("long"), F.ceil(F.col(sets) / BLOCK) - 1)
+    met = met.filter(F.greatest("sets", "o_sets") > FEW).select("item", "size", "o_size", "o_sets", F.explode(last("sets")).alias("block"))
+    met = met.select("item", "size", "block", "o_size", F.explode(last("o_sets")).alias("o_block"))
+    met = scratch.write(met.filter("o_size < size or o_block >= block"))
+    used = met.select("item", "size").unionAll(met.select("item", F.col("o_size").alias("size"))).distinct()
+    dealt = rows.join(cells.select("item", "size", F.ceil(F.col("sets") / BLOCK).alias("blocks")).join(used, ["item", "size"], "left_semi"), ["item", "size"])
+    dealt = dealt.select("item", "size", F.pmod(F.xxhash64("own.cls"), F.col("blocks")).alias("block"), "own.cls", "own.n", "own.pos", "root").join(sketches, "cls")
+    blocks = scratch.write(dealt.groupBy("item", "size", "block").agg(F.collect_list(F.struct("cls", "n", "pos", "root", "sketch")).alias("sets")))
+    other = blocks.select("item", F.col("size").alias("o_size"), F.col("block").alias("o_block"), F.col("sets").alias("o_sets"))
+    both = met.join(blocks, ["item", "size", "block"]).join(other, ["item", "o_size", "o_block"]).select("sets", "o_sets")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    common, apart = at_least / (1 + at_least), (1 - at_least) / (1 + at_least)
 
-    return rows.mapInArrow(run, "doc_id long, digest long, cls long, n long, prefix array<long>")
+    def side(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+        ends = np.cumsum(pc.list_value_length(column).to_numpy(), dtype=np.int64)
+        *numbers, marks = column.flatten().flatten()
+        return ends, [*(x.to_numpy() for x in numbers), np.frombuffer(b"".join(marks.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)]
+
+    def compare(batches):
+        for batch in batches:
+            (ends, x), (o_ends, y) = side(batch.column(0)), side(batch.column(1))
+            found = [np.zeros((2, 0), np.int64)]
+            for start, stop, o_start, o_stop in zip(np.append(0, ends[:-1]), ends, np.append(0, o_ends[:-1]), o_ends):
+                cls, n, pos, root = (v[start:stop, None] for v in x[:4])
+                o_cls, o_n, o_pos, o_root = (v[None, o_start:o_stop] for v in y[:4])
+                i, j = np.nonzero((cls != o_cls) & (root != o_root) & (np.minimum(n - pos, o_n - o_pos) >= common * (n + o_n) - 1e-6))
+                i, j = i + start, j + o_start
+                bits = np.bitwise_count(x[4][i] ^ y[4][j]).sum(1, dtype=np.int64)
+                keep = bits <= apart * (x[1][i] + y[1][j]) + 1e-6
+                pair = np.stack([x[0][i[keep]], y[0][j[keep]]])
+                found.append(np.sort(pair, axis=0))
+            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+
+    return plain.unionAll(both.mapInArrow(compare, "a long, b long")).distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
@@ -225,15 +298,14 @@ def similar_classes(docs: DataFrame, at_least: float = 0.8, words_per_shingle: i
     with the next, a Jaccard index of at_least (above 0). Exact: candidates share a shingle of their prefixes, all are confirmed on
     their whole sets, and only pairs that are joined already are passed over. Three rounds: each set with the least and the greatest one that
     it shares a shingle with; in shingles whose sets aren't joined yet, all with those of the least and the greatest root; then what is
-    left. So a large group of near copies is joined by few pairs. Texts without words are alike."""
+    left, in blocks, where sketches rule out most pairs before any becomes a row. So a large group of near copies is joined by few pairs.
+    Texts without words are alike."""
     spark = docs.sparkSession
     bound_arrow(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
 
     def fits(p: str, q: str) -> Column:
-        """Of two sets that first meet in a shingle, no more than the rests of both can be common."""
-        n, m, i, j = (F.col(f"{side}.{x}") for x in ("n", "pos") for side in (p, q))
-        return (F.least(n - i, m - j) >= at_least / (1 + at_least) * (n + m) - 1e-6) & (F.col(f"{p}.cls") != F.col(f"{q}.cls"))
+        return _fits(p, q, at_least)
 
     def pairs(df: DataFrame, p: str, q: str) -> DataFrame:
         return df.filter(fits(p, q)).select(F.least(f"{p}.cls", f"{q}.cls").alias("a"), F.greatest(f"{p}.cls", f"{q}.cls").alias("b"))
@@ -245,10 +317,10 @@ def similar_classes(docs: DataFrame, at_least: float = 0.8, words_per_shingle: i
         common = [r.item for r in reversed(seen.orderBy(F.desc("c"), "item").limit(COMMON).select("item").collect())]
         marked = scratch.write(_prefixes(rows, at_least, words_per_shingle, common))
         own = marked.groupBy("cls").agg(F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"))
-        own = own.select("cls", "n", F.posexplode("prefix").alias("pos", "item")).select("item", F.struct("cls", "n", "pos").alias("own"))
-        at = Window.partitionBy("item")
-        own = scratch.write(own.withColumns({"low": F.min("own").over(at), "high": F.max("own").over(at)}).filter("low.cls < high.cls"))
-        of_class = scratch.write(marked.groupBy("cls").agg(F.min("digest").alias("digest")))
+        own = own.select("cls", "n", F.posexplode("prefix").alias("pos", "item"))
+        several = own.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1").select("item")
+        own = scratch.write(own.join(several, "item", "left_semi").select("item", F.struct("cls", "n", "pos").alias("own")))
+        of_class = scratch.write(marked.groupBy("cls").agg(F.min("digest").alias("digest"), F.first("sketch").alias("sketch")))
         sets = links_ = None
 
         def confirm(found: DataFrame) -> DataFrame:
@@ -257,7 +329,7 @@ def similar_classes(docs: DataFrame, at_least: float = 0.8, words_per_shingle: i
             needed = found.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
             if sets is not None:
                 needed = needed.join(sets.select(F.col("key").alias("cls")), "cls", "left_anti")
-            needed = scratch.write(of_class.join(needed, "cls"))
+            needed = scratch.write(of_class.select("cls", "digest").join(needed, "cls"))
             if not needed.isEmpty():
                 texts = rows.select("digest", "text").join(needed, "digest").dropDuplicates(["cls"])
                 new = scratch.write(_sets(texts.select(F.col("cls").alias("key"), "text"), words_per_shingle))
@@ -273,23 +345,21 @@ def similar_classes(docs: DataFrame, at_least: float = 0.8, words_per_shingle: i
             split = out.groupBy("item").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("item")
             return out.join(split, "item", "left_semi")
 
-        first = own.filter(fits("own", "low")).groupBy("own.cls").agg(F.min("low.cls").alias("other"))
-        last = own.filter(fits("own", "high")).groupBy("own.cls").agg(F.max("high.cls").alias("other"))
-        roots = confirm(scratch.write(first.unionAll(last).select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()))
+        ends = own.groupBy("item").agg(F.min("own").alias("low"), F.max("own").alias("high"))
+        met = own.join(ends, "item").groupBy("own.cls").agg(F.min(F.when(fits("own", "low"), F.col("low.cls"))).alias("low"), F.max(F.when(fits("own", "high"), F.col("high.cls"))).alias("high"))
+        met = met.select("cls", F.explode(F.array("low", "high")).alias("other")).filter("other is not null")
+        roots = confirm(scratch.write(met.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()))
         left = scratch.write(rooted(own, roots))
         scratch.drop(own)
         both = left.select("item", "own", "root", F.struct("root", "own").alias("one"))
-        both = both.select("item", "own", "root", F.min("one").over(at).alias("low"), F.max("one").over(at).alias("high"))
+        both = both.join(both.groupBy("item").agg(F.min("one").alias("low"), F.max("one").alias("high")), "item")
         both = both.select("own", "root", F.explode(F.array("low", "high")).alias("other")).filter("root <> other.root").select("own", F.col("other.own").alias("other"))
         stars = scratch.write(pairs(both, "own", "other").distinct())
         if not stars.isEmpty():
             roots = confirm(stars)
             left = rooted(left, roots)
-        # What is left of a shingle's sets meets in classes of size: sets whose sizes differ by more than at_least can't be alike.
-        left = left.withColumn("size", F.floor(F.log("own.n") / -F.log(F.lit(at_least)) + 1e-9) if at_least < 1 else F.col("own.n"))
-        other = left.select("item", F.col("own").alias("other"), F.col("root").alias("other_root"), F.explode(F.array("size", F.col("size") - 1)).alias("size"))
-        met = left.join(other, ["item", "size"]).filter("root <> other_root")
-        rest = scratch.write(pairs(met, "own", "other").distinct().join(stars, ["a", "b"], "left_anti"))
+        rest = _near_in_blocks(left, of_class.select("cls", "sketch"), at_least, scratch)
+        rest = scratch.write(rest.join(stars, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             roots = confirm(rest)
         return materialise(marked.select("doc_id", "digest", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("root", "cls").alias("root")), "classes")
