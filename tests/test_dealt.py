@@ -57,3 +57,13 @@ def test_skeletons_as_all_pixel_pairs(spark):
     assert got == pytest.approx({(a, b): min(share(a, b), share(b, a)) for _, a, b in wanted})
     found = J.skeleton_similarity(frame, spark.createDataFrame(wanted, "image string, a string, b string"))
     assert "cy#" not in plan(found)
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_quantiles_beyond_two_rounds(spark, monkeypatch, by):
+    """Tables of later rounds descend from those they are joined with."""
+    from tractspark.operators import quantiles as Qu
+
+    monkeypatch.setattr(Qu, "SMALL", 20)
+    frame = spark.range(3001).selectExpr("if(id = 0, null, 'k') AS k", "cast((id * 7919) % 3001 as double) AS v").filter("k is not null")
+    assert Qu.quantiles(frame, "v", [0.5], by).first()["q"] == [1500.5]

@@ -45,7 +45,12 @@ def quantiles(df: DataFrame, col: str, probabilities: Sequence[float], by: Seque
         at = lambda k: F.get("a", k.cast("int"))
         return lists.select(*named, F.array(*(_interpolated(F.size("a"), p, at) for p in probabilities)).alias("q"))
 
-    alike = lambda a, b, names: [a[k].eqNullSafe(b[k]) for k in names]
+    def met(a: DataFrame, b: DataFrame, names: Sequence[str], how: str = "inner", *also: Column) -> DataFrame:
+        """a by the rows of b with the same names, nulls alike; b's are renamed first, as the tables descend from each other."""
+        other = b.select(*(F.col(k).alias(f"_of_{k}") for k in names), *(c for c in b.columns if c not in names))
+        on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in names] + list(also)
+        return a.join(other, on, how).drop(*(f"_of_{k}" for k in names)) if on else a.crossJoin(other)
+
     group = [*keys, "path"]
     sizes = cut(sizes)
     places = F.array_distinct(F.flatten(F.array(*(F.array(F.floor((F.col("n") - 1) * F.lit(float(p))), F.ceil((F.col("n") - 1) * F.lit(float(p)))) for p in probabilities))))
@@ -54,18 +59,18 @@ def quantiles(df: DataFrame, col: str, probabilities: Sequence[float], by: Seque
     found = None
     while True:
         small = wanted.filter(F.col("n") <= SMALL).groupBy(*group).agg(F.collect_list(F.struct("rank", "at")).alias("asked"))
-        lists = values.join(small, alike(values, small, group), "left_semi").groupBy(*group).agg(F.sort_array(F.collect_list("v")).alias("a"))
-        done = small.join(lists, alike(small, lists, group)).select(*(small[k] for k in keys), F.explode("asked").alias("w"), "a").select(*keys, "w.rank", F.get("a", F.col("w.at").cast("int")).alias("value"))
+        lists = met(values, small, group, "left_semi").groupBy(*group).agg(F.sort_array(F.collect_list("v")).alias("a"))
+        done = met(small, lists, group).select(*keys, F.explode("asked").alias("w"), "a").select(*keys, "w.rank", F.get("a", F.col("w.at").cast("int")).alias("value"))
         large = wanted.filter(F.col("n") > SMALL)
         asked = large.select(*group).distinct()
-        mine = values.join(asked, alike(values, asked, group), "left_semi")
+        mine = met(values, asked, group, "left_semi")
         cuts = cut(mine.groupBy(*group).agg(F.percentile_approx("v", grid, ACCURACY).alias("cuts")))
-        placed = mine.join(cuts, alike(mine, cuts, group)).select(*(mine[k] for k in group), "v", _range_of(F.col("v"), F.col("cuts")).alias("range"))
+        placed = met(mine, cuts, group).select(*group, "v", _range_of(F.col("v"), F.col("cuts")).alias("range"))
         counts = placed.groupBy(*group, "range").agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
         before = F.coalesce(F.sum("c").over(Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         counts = counts.withColumn("before", before)
-        held = large.join(counts, [*alike(large, counts, group), F.col("before") <= F.col("at"), F.col("at") < F.col("before") + F.col("c")])
-        held = cut(held.select(*(large[k] for k in group), "range", "rank", (F.col("at") - F.col("before")).alias("at"), F.col("c").alias("n"), "least", "most"))
+        held = met(large, counts, group, "inner", F.col("before") <= F.col("at"), F.col("at") < F.col("before") + F.col("c"))
+        held = cut(held.select(*group, "range", "rank", (F.col("at") - F.col("before")).alias("at"), F.col("c").alias("n"), "least", "most"))
         done = cut(done.unionAll(held.filter("least = most").select(*keys, "rank", F.col("least").alias("value"))))
         found = done if found is None else found.unionAll(done)
         held = held.filter("least <> most")
@@ -74,11 +79,11 @@ def quantiles(df: DataFrame, col: str, probabilities: Sequence[float], by: Seque
         if wanted.isEmpty():
             break
         kept = held.select(*group, "range").distinct()
-        values = cut(placed.join(kept, alike(placed, kept, [*group, "range"]), "left_semi").select(*keys, "v", deeper.alias("path")))
+        values = cut(met(placed, kept, [*group, "range"], "left_semi").select(*keys, "v", deeper.alias("path")))
     answers = found.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("rank", "value"))).alias("of"))
-    out = sizes.join(answers, alike(sizes, answers, keys)) if keys else sizes.crossJoin(answers)
+    out = met(sizes, answers, keys)
     at = lambda k: F.element_at("of", k.cast("long"))
-    return out.select(*(sizes[k].alias(b) for b, k in zip(by, keys)), F.array(*(_interpolated(F.col("n"), p, at) for p in probabilities)).alias("q"))
+    return out.select(*named, F.array(*(_interpolated(F.col("n"), p, at) for p in probabilities)).alias("q"))
 
 
 def medians(df: DataFrame, col: str, by: Sequence[str] = (), name: str = "median") -> DataFrame:
