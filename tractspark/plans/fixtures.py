@@ -10,7 +10,7 @@ from ..schemas import AI, HUMAN
 BASELINE = "STANDARD"
 
 #: Boxes of a partition, about; some 35 pixels follow from each.
-BOXES = 50_000
+BOXES = 25_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
