@@ -77,3 +77,33 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     assert 0 < links < 2000 and len(expected) > 1
     assert stage(spark, texts) == expected
     assert found[0] < 2 * links
+
+
+def test_simhash_proposes_links(spark, monkeypatch):
+    """The stage's first links are SimHash's: it alone joins copies that differ in a word or two, and what it can't see is joined after it."""
+    proposed, inner = [], simhash._by_fingerprint
+
+    def taken(*args):
+        out = inner(*args)
+        proposed.extend((r.a, r.b) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(simhash, "_by_fingerprint", taken)
+    random.seed(7)
+    texts = []
+    for k in range(12):
+        base = random.choices([f"w{i}" for i in range(3000)], k=900)
+        near, far = list(base), list(base)
+        near[0] = f"x{k}"
+        for at in range(10, 190, 10):
+            far[at] = f"y{k}"
+        texts += [(3 * k, " ".join(base)), (3 * k + 1, " ".join(near)), (3 * k + 2, " ".join(far))]
+    assert all(jaccard(texts[k][1], texts[k + 2][1]) >= 0.8 for k in range(0, 36, 3))
+    sets = {i: simhash.shingle_set(t) for i, t in texts}
+    fps = {i: simhash.majority(s) for i, s in sets.items()}
+    linked = [(i, j) for i in fps for j in fps if i < j and (fps[i] ^ fps[j]).bit_count() <= 3]
+    assert all((3 * k, 3 * k + 1) in linked for k in range(12)) and any((3 * k, 3 * k + 2) not in linked for k in range(12))
+    assert stage(spark, texts) == kept(texts) and len(kept(texts)) == 12
+    cls = {simhash.xxhash.xxh64_intdigest(s.tobytes()): i for i, s in sets.items()}
+    pairs = {tuple(sorted(cls[x % 2**64] for x in p)) for p in proposed}
+    assert all((fps[i] ^ fps[j]).bit_count() <= 6 for i, j in pairs) and len(pairs) >= 12

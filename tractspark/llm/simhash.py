@@ -43,7 +43,11 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
     starts = np.concatenate(([0], ends[: -words_per_shingle])).tolist()
     stops = (ends[words_per_shingle - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), "<u8", len(starts))
+    return majority(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), "<u8", len(starts)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; 0 without hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         part = hashes[at : at + 4096]
@@ -190,28 +194,45 @@ def sketch(items: np.ndarray) -> bytes:
 
 
 def _prefixes(rows: DataFrame, at_least: float, words_per_shingle: int, common: list[int]) -> DataFrame:
-    """doc_id, digest and text to doc_id, digest, cls (equal for equal sets), n, the sketch and prefix: the first shingles of the set, rare ones
-    before those of `common` (rarest first). Sets of a Jaccard index of at_least share a shingle of their prefixes, whatever the order is."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    """doc_id, digest and text to doc_id, digest, cls (equal for equal sets), n, fp (the SimHash of the set), the sketch and prefix: the first
+    shingles of the set, rare ones before those of `common` (rarest first). Sets of a Jaccard index of at_least share a shingle of their
+    prefixes, whatever the order is. Of equal sets that a task meets only the first has a prefix, the others' are empty."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary()), ("prefix", pa.list_(pa.int64()))])
     hot = np.array(common, np.int64)
     by_hash = np.argsort(hot)
     hashes = hot[by_hash]
 
     def run(batches):
+        seen = set()
         for batch in batches:
-            cls, n, marks, prefix = [], [], [], []
+            cls, n, fps, marks, prefix = [], [], [], [], []
             for x in batch.column(2):
                 items = shingle_set(x.as_py(), words_per_shingle)
                 cls.append(xxhash.xxh64_intdigest(items.tobytes()))
                 n.append(len(items))
+                fps.append(majority(items))
                 marks.append(sketch(items))
+                if cls[-1] in seen:
+                    prefix.append(items[:0])
+                    continue
+                seen.add(cls[-1])
                 if len(hashes):
                     at = np.minimum(np.searchsorted(hashes, items), len(hashes) - 1)
                     items = items[np.argsort(np.where(hashes[at] == items, by_hash[at] + 1, 0), kind="stable")]
                 prefix.append(items[: len(items) - int(np.ceil(at_least * len(items) - 1e-9)) + 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(marks, pa.binary()), _lists(prefix).cast(schema.field(5).type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(marks, pa.binary()), _lists(prefix).cast(schema.field(6).type)], schema=schema)
+
+    return rows.mapInArrow(run, "doc_id long, digest long, cls long, n long, fp long, sketch binary, prefix array<long>")
 
-    return rows.mapInArrow(run, "doc_id long, digest long, cls long, n long, sketch binary, prefix array<long>")
+
+def _by_fingerprint(classes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """classes: cls and fp. Pairs (a, b) that the SimHash links propose: the least sets of two linked fingerprints, and each set with the least one
+    of its own fingerprint."""
+    nodes = scratch.write(classes.groupBy("fp").agg(F.min("cls").alias("least")))
+    side = lambda name: nodes.select(F.col("fp").alias(name), F.col("least").alias(f"of_{name}"))
+    linked = links(nodes.select("fp"), radius).join(side("a"), "a").join(side("b"), "b").select("of_a", "of_b")
+    equal = classes.join(nodes, "fp").filter("cls <> least").select("cls", "least")
+    return scratch.write(linked.unionAll(equal).toDF("p", "q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
 
 
 def _fits(p: str, q: str, at_least: float) -> Column:
@@ -293,10 +314,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_classes(docs: DataFrame, at_least: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
+def similar_classes(docs: DataFrame, at_least: float = 0.8, words_per_shingle: int = 5, radius: int = 3) -> DataFrame:
     """doc_id, digest (of the text) and root for each row: rows share a root if a chain of texts joins them whose shingle sets have, each
-    with the next, a Jaccard index of at_least (above 0). Exact: candidates share a shingle of their prefixes, all are confirmed on
-    their whole sets, and only pairs that are joined already are passed over. Three rounds: each set with the least and the greatest one that
+    with the next, a Jaccard index of at_least (above 0). SimHash first: fingerprints of the sets are linked at `radius` bits, as in
+    near_duplicates, and links are confirmed on the whole sets. Fingerprints of sets that are only just alike differ in more bits than tiles can
+    tell apart, so an exact search follows for what SimHash hasn't joined: candidates share a shingle of their prefixes, all are confirmed, and
+    only pairs that are joined already are passed over. Three rounds: each set with the least and the greatest one that
     it shares a shingle with; in shingles whose sets aren't joined yet, all with those of the least and the greatest root; then what is
     left, in blocks, where sketches rule out most pairs before any becomes a row. So a large group of near copies is joined by few pairs.
     Texts without words are alike."""
@@ -316,27 +339,27 @@ def similar_classes(docs: DataFrame, at_least: float = 0.8, words_per_shingle: i
         seen = seen.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c")).filter("c > 1")
         common = [r.item for r in reversed(seen.orderBy(F.desc("c"), "item").limit(COMMON).select("item").collect())]
         marked = scratch.write(_prefixes(rows, at_least, words_per_shingle, common))
-        own = marked.groupBy("cls").agg(F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"))
-        own = own.select("cls", "n", F.posexplode("prefix").alias("pos", "item"))
-        several = own.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1").select("item")
-        own = scratch.write(own.join(several, "item", "left_semi").select("item", F.struct("cls", "n", "pos").alias("own")))
-        of_class = scratch.write(marked.groupBy("cls").agg(F.min("digest").alias("digest"), F.first("sketch").alias("sketch")))
+        of_class = scratch.write(marked.groupBy("cls").agg(F.min("digest").alias("digest"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
         sets = links_ = None
 
-        def confirm(found: DataFrame) -> DataFrame:
-            """Adds the links among the pairs that are found and returns the roots of all."""
+        def confirm(found: DataFrame) -> None:
+            """Adds the links among the pairs that are found."""
             nonlocal sets, links_
             needed = found.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
             if sets is not None:
                 needed = needed.join(sets.select(F.col("key").alias("cls")), "cls", "left_anti")
             needed = scratch.write(of_class.select("cls", "digest").join(needed, "cls"))
             if not needed.isEmpty():
-                texts = rows.select("digest", "text").join(needed, "digest").dropDuplicates(["cls"])
+                texts = rows.select("digest", "text").join(needed, "digest").dropDuplicates(["digest", "cls"])
                 new = scratch.write(_sets(texts.select(F.col("cls").alias("key"), "text"), words_per_shingle))
                 sets = new if sets is None else sets.unionAll(new)
             if sets is not None:
                 new = scratch.write(_confirmed(found, sets, at_least))
                 links_ = new if links_ is None else links_.unionAll(new)
+
+        def joined(found: DataFrame) -> DataFrame:
+            """Confirms the pairs that are found; the roots by all links so far."""
+            confirm(found)
             return components(links_ if links_ is not None else found)
 
         def rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
@@ -345,10 +368,18 @@ def similar_classes(docs: DataFrame, at_least: float = 0.8, words_per_shingle: i
             split = out.groupBy("item").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("item")
             return out.join(split, "item", "left_semi")
 
+        hashed = _by_fingerprint(of_class.select("cls", "fp"), radius, scratch)
+        confirm(hashed)
+        # The sets of a shingle are shuffled once: both sides of the join read whole rows, so they share the exchange.
+        own = marked.select("cls", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "item"))
+        own = own.select("item", F.struct("cls", "n", "pos").alias("own")).repartition("item")
+        several = own.groupBy("item").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high").select("item")
+        own = scratch.write(own.distinct().join(several, "item", "left_semi"))
         ends = own.groupBy("item").agg(F.min("own").alias("low"), F.max("own").alias("high"))
         met = own.join(ends, "item").groupBy("own.cls").agg(F.min(F.when(fits("own", "low"), F.col("low.cls"))).alias("low"), F.max(F.when(fits("own", "high"), F.col("high.cls"))).alias("high"))
         met = met.select("cls", F.explode(F.array("low", "high")).alias("other")).filter("other is not null")
-        roots = confirm(scratch.write(met.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()))
+        met = met.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
+        roots = joined(scratch.write(met.join(hashed, ["a", "b"], "left_anti")))
         left = scratch.write(rooted(own, roots))
         scratch.drop(own)
         both = left.select("item", "own", "root", F.struct("root", "own").alias("one"))
@@ -356,20 +387,20 @@ def similar_classes(docs: DataFrame, at_least: float = 0.8, words_per_shingle: i
         both = both.select("own", "root", F.explode(F.array("low", "high")).alias("other")).filter("root <> other.root").select("own", F.col("other.own").alias("other"))
         stars = scratch.write(pairs(both, "own", "other").distinct())
         if not stars.isEmpty():
-            roots = confirm(stars)
+            roots = joined(stars)
             left = rooted(left, roots)
         rest = _near_in_blocks(left, of_class.select("cls", "sketch"), at_least, scratch)
         rest = scratch.write(rest.join(stars, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
-            roots = confirm(rest)
+            roots = joined(rest)
         return materialise(marked.select("doc_id", "digest", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("root", "cls").alias("root")), "classes")
 
 
-def keep_one(docs: DataFrame, at_least: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
-    """One row (all columns) of each group of near copies, by similar_classes: the one with the least doc_id (rows without one come last),
+def keep_one(docs: DataFrame, at_least: float = 0.8, words_per_shingle: int = 5, radius: int = 3) -> DataFrame:
+    """One row (all columns) of each group of near copies, by similar_classes (SimHash links, confirmed, then an exact search for the rest): the one with the least doc_id (rows without one come last),
     then the least text digest. A null or empty text counts as one without words, and all of these are one group; of rows equal in doc_id
     and text one stays; an empty table gives no rows; columns of any name are carried."""
-    found = similar_classes(docs, at_least, words_per_shingle)
+    found = similar_classes(docs, at_least, words_per_shingle, radius)
     key_id, key_digest = (free_name(docs.columns, c) for c in ("key_id", "key_digest"))
     least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("k"))
     least = least.select(F.col("k.doc_id").alias(key_id), F.col("k.digest").alias(key_digest))
