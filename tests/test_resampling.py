@@ -93,3 +93,14 @@ def test_weighted_median():
         v, w = np.sort(rng.integers(0, 9, n)).astype(float), rng.integers(0, 4, n)
         w[rng.integers(n)] += 1
         assert S.weighted_median(v, w) == np.median(np.repeat(v, w))
+
+
+def test_draws_of_values_and_of_weights_have_one_law():
+    rng = np.random.default_rng(8)
+    for weights in (np.array([0, 1, 2, 0, 5, 1]), np.array([0, 1, 2, 0, 5, 1]) * 1000):
+        totals = np.array([9, 0, 40] * 4000)
+        got = S._drawn(rng, totals, weights)
+        assert got.shape == (12000, 6) and (got.sum(1) == totals).all() and not got[:, weights == 0].any()
+        p, some = weights / weights.sum(), got[totals == 40]
+        assert some.mean(0) == pytest.approx(40 * p, abs=0.15) and some.var(0) == pytest.approx(40 * p * (1 - p), rel=0.1)
+    assert S._drawn(rng, np.zeros(3, int), np.zeros(4, int)).shape == (3, 4)

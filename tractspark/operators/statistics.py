@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -122,6 +123,8 @@ def symbols(p: Column, levels: int = 4) -> Column:
 
 #: Distinct values that one task resamples together, at most.
 CHUNK = 4096
+#: Counts that are drawn at once, about, and chunks of an Arrow batch, at most.
+CELLS, CHUNKS_PER_BATCH = 1 << 17, 16
 
 
 def _chunks(rows: DataFrame, by: list[str], *sides: str) -> DataFrame:
@@ -149,40 +152,77 @@ def _chunks(rows: DataFrame, by: list[str], *sides: str) -> DataFrame:
     return out.join(totals, alike(out, totals, own)).drop(*(m for _, m in own))
 
 
+def _drawn(rng: np.random.Generator, totals: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Multinomial counts: a row for each of totals, a column for each of weights (whole numbers). Where values come few times each, the values
+    themselves are drawn and counted, else a binomial draw for each weight takes less."""
+    size = int(weights.sum())
+    if size == 0:
+        return np.zeros((len(totals), len(weights)), np.int64)
+    if size > 16 * np.count_nonzero(weights):
+        return rng.multinomial(totals, weights / size)
+    owner = np.repeat(np.arange(len(weights)), weights)
+    cells = owner[rng.integers(0, size, int(totals.sum()), dtype=np.uint16 if size < 1 << 16 else np.uint32)]
+    cells += np.repeat(np.arange(len(totals)) * len(weights), totals)
+    return np.bincount(cells, minlength=len(totals) * len(weights)).reshape(len(totals), len(weights))
+
+
 def _resampled(rows: DataFrame, by: list[str], sides: tuple[str, str], replicates: int, block: int, seed: int, measure: Callable[..., dict], merge: dict[str, str], known: DataFrame | None = None) -> DataFrame:
     """by, replicate and the measures of each resample of rows (by, v and the counts in sides): both sides are drawn anew, as many values as
     they have. A chunk's share of a replicate is found by binomial draws down its path, seeded by replicates and node, so all chunks agree on them
     and each knows how much lies before it; its own counts are a multinomial draw. measure(row, v, next, counts, before, sizes) gives arrays by replicate, which
-    `merge` (sum or max) joins over chunks; row also has what `known` (by and more columns, a row for each group) knows of the group. No row holds more than a chunk or a block of replicates."""
+    `merge` (sum or max) joins over chunks; row also has what `known` (by and more columns, a row for each group) knows of the group. A chunk goes
+    to several tasks, with some of the blocks each, only if there are few chunks. Runs jobs: the Arrow batches of a few chunks are set for them."""
+    spark = rows.sparkSession
     chunks = _chunks(rows, by, *sides)
     chunks = chunks if known is None else with_groups(chunks, known, by)
-    work = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // block) - 1)))).withColumn("key", F.pmod(F.xxhash64(*by), F.lit(2**31)))
-    work = work.repartition(*by, "chunk", "block")
+    blocks, wide, pieces = -(-replicates // block), 4 * spark.sparkContext.defaultParallelism, max(1, chunks.count())
+    spans = min(blocks, -(-wide // pieces))
+    work = chunks.withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(spans - 1)))).withColumn("key", F.pmod(F.xxhash64(*by), F.lit(2**31)))
+    work = work.repartition(min(pieces * spans, max(wide, pieces // 64)), *by, "chunk", "span")
     names = list(merge)
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                n = min(block, replicates - row["block"] * block)
-                own = (seed, row["key"], row["block"])
-                counts, before, sizes = [], [], []
-                for k, side in enumerate(sides):
-                    total, behind = np.full(n, row[f"n_{side}"], np.int64), np.zeros(n, np.int64)
-                    for step in row["path"] if row["path"] is not None else ():
-                        left = np.random.default_rng((*own, k, -step["level"], step["node"])).binomial(total, min(1.0, step[side]))
-                        behind, total = (behind, left) if step["goes_left"] else (behind + left, total - left)
-                    weights = np.array([h[side] for h in row["h"]], float)
-                    rng = np.random.default_rng((*own, k, 0, row["chunk"]))
-                    counts.append(rng.multinomial(total, weights / weights.sum()) if weights.sum() > 0 else np.zeros((n, len(weights)), np.int64))
-                    before.append(behind)
-                    sizes.append(row[f"n_{side}"])
-                v, following = (np.array([np.nan if h[c] is None else h[c] for h in row["h"]], float) for c in ("v", "next"))
-                out = measure(row, v, following, counts, before, sizes)
-                yield pd.DataFrame({b: [row[b]] * n for b in by} | {"replicate": row["block"] * block + np.arange(n)} | {c: out[c] for c in names})
+    def draw_block(row: dict, at: int, paths: list[dict], numbers: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        n, own = min(block, replicates - at * block), (seed, row["key"], at)
+        totals, before = [], []
+        for k, side in enumerate(sides):
+            total, behind = np.full(n, row[f"n_{side}"], np.int64), np.zeros(n, np.int64)
+            for step in paths:
+                left = np.random.default_rng((*own, k, -step["level"], step["node"])).binomial(total, min(1.0, step[side]))
+                behind, total = (behind, left) if step["goes_left"] else (behind + left, total - left)
+            totals.append(total)
+            before.append(behind)
+        rngs = [np.random.default_rng((*own, k, 0, row["chunk"])) for k in range(len(sides))]
+        sizes, found = [row[f"n_{side}"] for side in sides], []
+        step = max(1, CELLS // len(numbers["v"]))
+        for some in (slice(i, i + step) for i in range(0, n, step)):
+            counts = [_drawn(rng, total[some], numbers[side]) for rng, total, side in zip(rngs, totals, sides)]
+            found.append(measure(row, numbers["v"], numbers["next"], counts, [x[some] for x in before], sizes))
+        return {c: np.concatenate([x[c] for x in found]) for c in names}
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.select([c for c in batch.schema.names if c not in ("h", "path")])
+            for i, row in enumerate(rest.to_pylist()):
+                h = batch.column("h")[i].values
+                numbers = {c: h.field(c).cast(pa.float64() if c in ("v", "next") else pa.int64()).to_numpy(zero_copy_only=False) for c in ("v", "next", *sides)}
+                row["h"] = np.rec.fromarrays(list(numbers.values()), names=list(numbers))
+                paths = batch.column("path")[i].as_py() or []
+                for at in range(row["span"] * blocks // spans, (row["span"] + 1) * blocks // spans):
+                    out = draw_block(row, at, paths, numbers)
+                    n = len(out[names[0]])
+                    own = [pa.array([row[b]] * n, batch.schema.field(b).type) for b in by]
+                    drawn = [pa.array((at * block + np.arange(n)).astype(np.int32)), *(pa.array(np.asarray(out[c], float)) for c in names)]
+                    yield pa.RecordBatch.from_arrays(own + drawn, names=[*by, "replicate", *names])
 
     kinds = ", ".join(f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by)
-    draws = work.mapInPandas(draw, f"{kinds}, replicate int, " + ", ".join(f"{c} double" for c in names))
-    return draws.groupBy(*by, "replicate").agg(*((F.max if how == "max" else F.sum)(c).alias(c) for c, how in merge.items()))
+    draws = work.mapInArrow(draw, f"{kinds}, replicate int, " + ", ".join(f"{c} double" for c in names))
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(most)
+    spark.conf.set(most, CHUNKS_PER_BATCH)
+    try:
+        return cut(draws.groupBy(*by, "replicate").agg(*((F.max if how == "max" else F.sum)(c).alias(c) for c, how in merge.items())))
+    finally:
+        spark.conf.set(most, old)
 
 
 def bootstrap_delta(df: DataFrame, reference: str, col: str = "ratio", replicates: int = 5000, block: int = 250, alpha: float = 0.05, seed: int = 42) -> DataFrame:
@@ -193,10 +233,10 @@ def bootstrap_delta(df: DataFrame, reference: str, col: str = "ratio", replicate
     rows = rows.join(both, rows["grader"].eqNullSafe(both["_g"]) & rows["type"].eqNullSafe(both["_t"]), "left_semi")
 
     def wins(row, v, following, counts, before, sizes):
-        (xs, rs), x_before = counts, before[0][:, None]
-        below = x_before + np.cumsum(xs, axis=1) - xs
+        xs, rs = counts if sizes[0] * sizes[1] < 2**62 else (c.astype(float) for c in counts)
         # Of a reference value: values below it, and half of its ties, of all.
-        return {"share": (rs * (below + xs / 2)).sum(1) / (float(sizes[0]) * sizes[1])}
+        inside = np.einsum("ij,ij->i", rs, np.cumsum(xs, axis=1)) - np.einsum("ij,ij->i", rs, xs) / 2
+        return {"share": (before[0] * rs.sum(1, dtype=float) + inside) / (float(sizes[0]) * sizes[1])}
 
     draws = _resampled(rows, ["grader", "type"], ("x", "r"), replicates, block, seed, wins, {"share": "sum"}).withColumn("delta", 2 * F.col("share") - 1)
     out = draws.groupBy("grader", "type").agg(F.percentile("delta", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q")).select("grader", "type", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
