@@ -55,6 +55,34 @@ def test_a_group_of_ten_million_values(spark):
     assert got["big"] == pytest.approx([(n - 1) * p for p in (0.25, 0.5, 0.99)], rel=1e-12) and got["small"] == [25.0, 50.0, 99.0]
 
 
+def written(spark):
+    """Records of all shuffles so far, as the session's status store has them."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    none = jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("few", [10_000, 1])
+def test_values_of_large_groups_stay_where_they_are(spark, monkeypatch, few):
+    monkeypatch.setattr(Q, "SMALL", 1_000)
+    monkeypatch.setattr(Q, "FEW", few, raising=False)
+    n, sizes = 100_000, {"a": 49_950, None: 49_950, "small": 100}
+    name = F.when(F.col("id") < 100, "small").when(F.col("id") % 2 == 0, "a")
+    df = spark.range(n).select(name.alias("model"), ((F.col("id") * 7_919) % n).cast("double").alias("v"))
+    values = {k: sorted(float(i * 7_919 % n) for i in range(n) if (("small" if i < 100 else "a" if i % 2 == 0 else None) == k)) for k in sizes}
+    before, threshold = written(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where Spark doesn't broadcast by itself: few of many partitions have rows
+    try:
+        got = {r.model: r.q for r in Q.quantiles(df, "v", [0.25, 0.5], ["model"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert {k: len(v) for k, v in values.items()} == sizes and set(got) == set(sizes)
+    assert all(same(x, at(values[k], p)) for k in sizes for x, p in zip(got[k], [0.25, 0.5]))
+    # Beyond FEW groups the joins are Spark's choice, and the values the same.
+    assert few == 1 or written(spark) - before < n / 4
+
+
 def test_statistics_keep_null_groups_and_groups_without_values(spark):
     df = spark.createDataFrame([(None, "x", 1.0), (None, "x", 3.0), ("a", "x", None), ("a", "y", 5.0)], "type string, grader string, ratio double")
     got = {(r.type, r.grader): (r.n, r.median) for r in C.summary(df).collect()}

@@ -2,7 +2,8 @@
 
 Values are counted by ranges, and only the ranges that hold a wanted rank are refined. A group's ranges are cut at values that a mergeable sketch
 proposes; a value that is a cut has a range of its own, so ties never stand in the way. The counts are exact whatever the sketch says: it decides
-how soon a range is small, not which value is found. Ranges of at most SMALL values are sorted as arrays; a group of any size is never in one task.
+how soon a range is small, not which value is found. Ranges of at most SMALL values are sorted as arrays; a group of any size is never in one task:
+values of large groups stay where they are, and their groups' cuts come to them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from .rounds import cut
 #: Values that are sorted as one array, at most; ranges that a larger group is cut into (a power of two) and the accuracy of their cuts.
 SMALL, RANGES, ACCURACY = 100_000, 128, 10_000
 
+#: Large groups whose cuts are broadcast, at most (a kB each; there is at most one for SMALL values). Of more, Spark chooses the joins.
+FEW = 10_000
+
 
 def _interpolated(n: Column, p: float, at) -> Column:
     """The value at p of n sorted ones, as SQL's percentile has it; at(k): the k-th from 0."""
@@ -58,14 +62,15 @@ def quantiles(df: DataFrame, col: str, probabilities: Sequence[float], by: Seque
     grid = [i / RANGES for i in range(1, RANGES)]
     found = None
     while True:
+        large = wanted.filter(F.col("n") > SMALL)
+        asked = cut(large.select(*group).distinct())
+        sent = F.broadcast if asked.count() <= FEW else (lambda t: t)
+        # Values are those of groups with wanted ranks: what isn't large is small.
         small = wanted.filter(F.col("n") <= SMALL).groupBy(*group).agg(F.collect_list(F.struct("rank", "at")).alias("asked"))
-        lists = met(values, small, group, "left_semi").groupBy(*group).agg(F.sort_array(F.collect_list("v")).alias("a"))
+        lists = met(values, sent(asked), group, "left_anti").groupBy(*group).agg(F.sort_array(F.collect_list("v")).alias("a"))
         done = met(small, lists, group).select(*keys, F.explode("asked").alias("w"), "a").select(*keys, "w.rank", F.get("a", F.col("w.at").cast("int")).alias("value"))
-        large = wanted.filter(F.col("n") > SMALL)
-        asked = large.select(*group).distinct()
-        mine = met(values, asked, group, "left_semi")
-        cuts = cut(mine.groupBy(*group).agg(F.percentile_approx("v", grid, ACCURACY).alias("cuts")))
-        placed = met(mine, cuts, group).select(*group, "v", _range_of(F.col("v"), F.col("cuts")).alias("range"))
+        cuts = cut(met(values, sent(asked), group, "left_semi").groupBy(*group).agg(F.percentile_approx("v", grid, ACCURACY).alias("cuts")))
+        placed = met(values, sent(cuts), group).select(*group, "v", _range_of(F.col("v"), F.col("cuts")).alias("range"))
         counts = placed.groupBy(*group, "range").agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
         before = F.coalesce(F.sum("c").over(Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         counts = counts.withColumn("before", before)
@@ -79,7 +84,7 @@ def quantiles(df: DataFrame, col: str, probabilities: Sequence[float], by: Seque
         if wanted.isEmpty():
             break
         kept = held.select(*group, "range").distinct()
-        values = cut(met(placed, kept, [*group, "range"], "left_semi").select(*keys, "v", deeper.alias("path")))
+        values = cut(met(placed, sent(kept), [*group, "range"], "left_semi").select(*keys, "v", deeper.alias("path")))
     answers = found.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("rank", "value"))).alias("of"))
     out = met(sizes, answers, keys)
     at = lambda k: F.element_at("of", k.cast("long"))
