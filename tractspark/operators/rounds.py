@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 #: Pairs that one task solves, at most (a pair takes some 40 bytes); hashing may put a few times as many small components together.
 LIMIT = 500_000
@@ -36,10 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, by: str = "image") -> DataFrame:
-    """by, node, root: the least node that each node of the edges (by, a, b) reaches, for the nodes other than the roots. Alternates
-    large-star and small-star rounds until the stars no longer change."""
+    """by, node, root: the least node that each node of the edges (by, a, b) reaches, for the nodes other than the roots. Where no image has more
+    than LIMIT edges, each is done in one step; else large-star and small-star rounds alternate until the stars no longer change."""
     pairs = lambda df: df.select(by, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     edges, state = cut(pairs(edges)), None
+    most = edges.groupBy(by).count().agg(F.max("count")).first()[0] or 0
+    if most <= LIMIT and isinstance(edges.schema["a"].dataType, (IntegralType, StringType)):
+        own = edges.select(by, F.col("a").alias("node"), F.col("b").alias("root"))
+        return own.groupBy(by).applyInArrow(_rooted, own.schema)
     while True:
         both = edges.unionAll(edges.select(by, F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(by, "a").agg(F.min("b").alias("m")).select(by, "a", F.least("a", "m").alias("m"))
@@ -54,6 +59,26 @@ def components(edges: DataFrame, by: str = "image") -> DataFrame:
         state = now
 
 
+def _rooted(edges: pa.Table) -> pa.Table:
+    """The edges (by, node, root) of one image as its nodes and the least ones that they reach, roots left out."""
+    by, *ends = (edges[k].combine_chunks() for k in range(3))
+    known = pc.unique(pa.concat_arrays(ends))
+    known = known.take(pc.sort_indices(known))
+    a, b = (pc.index_in(k, known).to_numpy() for k in ends)
+    label = np.arange(len(known))
+    while True:
+        p, q = label[a], label[b]
+        met = p != q
+        if not met.any():
+            break
+        a, b = p[met], q[met]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+    nodes = np.flatnonzero(label != np.arange(len(known)))
+    return pa.Table.from_arrays([by.take(pa.array(np.zeros(len(nodes), np.int64))), known.take(pa.array(nodes)), known.take(pa.array(label[nodes]))], names=edges.column_names)
+
+
 def _picked(rows: DataFrame, keys: list[str], pick: Callable[[pa.Table], np.ndarray]) -> DataFrame:
     """The rows of each group that pick gives the numbers of."""
     return rows.groupBy(*keys).applyInArrow(lambda table: table.combine_chunks().take(pa.array(pick(table), pa.int64())), rows.schema)

@@ -59,6 +59,15 @@ def mask_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("image", "grader", "fiber_id", (F.col("bbox.y") + F.col("i")).alias("y"), (F.col("bbox.x") + F.col("i") % F.col("bbox.width")).alias("x"), (F.lit(1) + (F.col("i") >= F.col("bbox.height") / 2).cast("int")).alias("label"))
 
 
+def mask_fibers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pixels, a row for each fiber: y, x and label are arrays."""
+    b = boxes(spark, sf_dir).filter("bbox.x is not null and bbox.y is not null and bbox.width > 0 and bbox.height > 0")
+    x, y, w, h = (F.col("bbox")[c] for c in ("x", "y", "width", "height"))
+    half = F.ceil(h / 2).cast("int")
+    across = F.slice(F.flatten(F.array_repeat(F.sequence(x, x + w - 1), F.ceil(h / w).cast("int"))), F.lit(1), h)
+    return b.select("image", "grader", "fiber_id", F.sequence(y, y + h - 1).alias("y"), across.alias("x"), F.concat(F.array_repeat(F.lit(1), half), F.array_repeat(F.lit(2), h - half)).alias("label"))
+
+
 MEASUREMENTS_SQL = f"""m AS (SELECT concat(p_type, '-', l_suppkey) AS image_name, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS fiber_id,
   CASE WHEN l_tax = 0 THEN 0.0 ELSE l_quantity END AS first_um, l_extendedprice / 2100 AS second_um,
   l_extendedprice / 2100 / nullif(CASE WHEN l_tax = 0 THEN 0.0::DOUBLE ELSE l_quantity END, 0) AS ratio, CASE WHEN l_tax = 0 THEN 0.0 ELSE l_quantity END + l_extendedprice / 2100 AS length_um,

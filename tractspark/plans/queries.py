@@ -587,7 +587,7 @@ def skeleton_junctions(spark, sf):
 @query()
 def mask_components(spark, sf):
     """R14, R11."""
-    return P.component_boxes(P.label_components(X.mask_pixels(spark, sf)).withColumnRenamed("component", "label"))
+    return P.boxes_of_components(X.mask_fibers(spark, sf))
 
 
 @query()
