@@ -593,7 +593,7 @@ def mask_components(spark, sf):
 @query()
 def ordered_traces(spark, sf):
     """R15."""
-    return P.trace(X.mask_pixels(spark, sf))
+    return P.trace(X.mask_fibers(spark, sf))
 
 
 @query("SELECT image, y, x, max_by(label, fiber_id) AS label FROM px WHERE y BETWEEN 0 AND 999 AND x BETWEEN 0 AND 999 GROUP BY ALL", PX)
