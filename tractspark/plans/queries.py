@@ -547,7 +547,7 @@ _SHOWN = ", k AS (SELECT image, a, b FROM pr WHERE i / (s - i) > 0.5), f AS (SEL
 @query(_SHOWN + " SELECT image, a, b, " + ", ".join(f"round(coalesce(2 * (h{k} / nullif(p{k} + t{k} - h{k}, 0)) / (1 + h{k} / nullif(p{k} + t{k} - h{k}, 0)), 0), 6) AS {n}_dice, round(coalesce(h{k} / nullif(t{k}, 0), 0), 6) AS {n}_recall, round(coalesce(h{k} / nullif(p{k}, 0), 0), 6) AS {n}_precision" for k, n in ((1, "red"), (2, "green"))) + " FROM c", PX)
 def colour_scores(spark, sf):
     """A11, for pairs of boxes of an IoU above 0.5."""
-    px = X.mask_pixels(spark, sf)
+    px = X.mask_fibers(spark, sf)
     out = P.colour_scores(px.filter("grader = 'F'"), px.filter("grader = 'O'"), _pairs(spark, sf, 0.5))
     return out.select("image", "a", "b", *(_r(c) for c in out.columns[3:]))
 
@@ -558,7 +558,7 @@ _MEANS_OF = ", ".join(f"round(coalesce(sum(coalesce({v}, 0)) / (SELECT count(*)
 @query(_GREEDY + _SHOWN.replace("SELECT image, a, b FROM pr WHERE i / (s - i) > 0.5", "SELECT image, a, b FROM g") + f" SELECT (SELECT count(*) FROM g) AS tp, {_MEANS_OF} FROM c", f"RECURSIVE {PX}")
 def mean_colour_scores(spark, sf):
     """The means over greedily matched pairs."""
-    px, pairs = X.mask_pixels(spark, sf), J.greedy_match(_pairs(spark, sf, 0.1, inclusive=True))
+    px, pairs = X.mask_fibers(spark, sf), J.greedy_match(_pairs(spark, sf, 0.1, inclusive=True))
     out = P.mean_colour_scores(P.colour_scores(px.filter("grader = 'F'"), px.filter("grader = 'O'"), pairs), pairs)
     return out.select("tp", *(_r(c, digits=9) for c in out.columns[1:]))
 
