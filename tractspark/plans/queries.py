@@ -575,13 +575,13 @@ _RING = ", u AS (SELECT DISTINCT image, y, x FROM px), k AS (SELECT u.image, u.y
 @query(_RING.replace("LEFT JOIN u v ON v.image = u.image AND v.y BETWEEN u.y - 1 AND u.y + 1 AND v.x BETWEEN u.x - 1 AND u.x + 1 AND (v.y <> u.y OR v.x <> u.x)", "CROSS JOIN (SELECT unnest([-1, -1, -1, 0, 0, 1, 1, 1]) AS dy, unnest([-1, 0, 1, -1, 1, -1, 0, 1]) AS dx) LEFT JOIN u v ON v.image = u.image AND v.y = u.y + dy AND v.x = u.x + dx") + " SELECT image, count(*) FILTER (n <= 1) AS n_ends FROM k GROUP BY 1 HAVING count(*) FILTER (n <= 1) > 0", PX)
 def skeleton_ends(spark, sf):
     """R12."""
-    return P.endpoints(P.neighbour_ring(X.mask_pixels(spark, sf).select("image", "y", "x"))).groupBy("image").agg(F.count("*").alias("n_ends"))
+    return P.endpoints(P.neighbour_ring(X.mask_fibers(spark, sf).select("image", "y", "x"))).groupBy("image").agg(F.count("*").alias("n_ends"))
 
 
 @query(", u AS (SELECT DISTINCT image, y, x FROM px), r AS (SELECT u.image, u.y, u.x, k FROM (SELECT image, y - dy AS y, x - dx AS x, k FROM u CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS k, unnest([-1, -1, -1, 0, 1, 1, 1, 0]) AS dy, unnest([-1, 0, 1, 1, 1, 0, -1, -1]) AS dx)) u), l AS (SELECT image, y, x, bit_or(1 << k) AS ring FROM r GROUP BY ALL HAVING count(*) > 2), t AS (SELECT DISTINCT (1 << a) | (1 << b) | (1 << c) AS three FROM range(8) a(a), range(8) b(b), range(8) c(c) WHERE b - a > 1 AND c - b > 1 AND c - a < 7) SELECT image, y, x FROM l SEMI JOIN u USING (image, y, x) WHERE EXISTS (FROM t WHERE ring & three = three)", PX)
 def skeleton_junctions(spark, sf):
     """R13."""
-    return P.junctions(P.neighbour_ring(X.mask_pixels(spark, sf).select("image", "y", "x"))).select("image", "y", "x")
+    return P.junctions(P.neighbour_ring(X.mask_fibers(spark, sf).select("image", "y", "x"))).select("image", "y", "x")
 
 
 @query()
