@@ -537,7 +537,7 @@ def component_boxes(spark, sf):
 @query(", f AS (SELECT image, y, x, fiber_id FROM px WHERE grader = 'F'), o AS (SELECT image, y, x, fiber_id FROM px WHERE grader = 'O'), h AS (SELECT f.image, f.fiber_id AS a, o.fiber_id AS b, count(*) AS shared FROM f JOIN o USING (image, y, x) GROUP BY ALL), na AS (SELECT image, fiber_id, count(*) AS n FROM px GROUP BY ALL) SELECT h.image, a, b, shared, round(shared / (p.n + q.n - shared), 6) AS iou FROM h JOIN na p ON p.image = h.image AND p.fiber_id = a JOIN na q ON q.image = h.image AND q.fiber_id = b", PX)
 def overlap_matrix(spark, sf):
     """A9."""
-    px = X.mask_pixels(spark, sf).select("image", "grader", "y", "x", F.col("fiber_id").alias("label"))
+    px = X.mask_fibers(spark, sf).select("image", "grader", "y", "x", F.col("fiber_id").alias("label"))
     return P.overlap_matrix(px.filter("grader = 'F'"), px.filter("grader = 'O'")).select("image", "a", "b", "shared", _r("iou"))
 
 
