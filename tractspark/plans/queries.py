@@ -176,9 +176,8 @@ def _pairs(spark, sf, threshold: float = 0.25, inclusive: bool = False) -> DataF
 
 def _similar(spark, sf, everyone: bool = False) -> DataFrame:
     """Skeleton similarity of all pairs above 0: of F with O, or of any two fibers of an image."""
-    b = X.boxes(spark, sf)
-    near = J.near_pairs(b, b).filter("a < b") if everyone else J.near_pairs(b.filter("grader = 'F'"), b.filter("grader = 'O'"))
-    return J.skeleton_similarity(X.mask_pixels(spark, sf).select("image", "fiber_id", "y", "x"), near).filter("similarity > 0")
+    px = X.mask_fibers(spark, sf)
+    return J.near_skeletons(px) if everyone else J.near_skeletons(px.filter("grader in ('F', 'O')"), apart="grader")
 
 
 @query("SELECT image, a, b, round(i / (s - i), 6) AS iou FROM pr", B)
