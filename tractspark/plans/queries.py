@@ -297,7 +297,7 @@ def annotator_agreement(spark, sf):
 def cross_grader_clusters(spark, sf):
     """Links between graders only."""
     b = X.boxes(spark, sf)
-    found = J.clusters(b, _similar(spark, sf, everyone=True).filter("similarity > 0.5"), same_grader=False)
+    found = J.clusters(b, J.near_skeletons(X.mask_fibers(spark, sf).filter("grader is not null"), apart="grader").filter("similarity > 0.5"))
     return J.membership(b, found, ["F", "O"]).groupBy("F", "O").agg(F.count("*").alias("n"))
 
 
