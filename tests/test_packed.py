@@ -114,3 +114,15 @@ def test_components_in_one_step_as_in_rounds(spark, monkeypatch, kind):
     assert "FlatMapGroupsInArrow" in plan(one)
     monkeypatch.setattr(R, "LIMIT", 0)
     assert exact(one) == exact(R.components(edges))
+
+
+def test_sides_in_one_table(both):
+    """Both sides' fibers are read once, also where fibers of both sides share their ids."""
+    for df in both:
+        df = df.withColumn("of", (F.col("grader") == "O").cast("int")).withColumn("fiber_id", F.floor(F.col("fiber_id") / 2))
+        apart = [df.filter(F.col("of") == k).drop("of", "grader") for k in (0, 1)]
+        pairs = df.sparkSession.createDataFrame([(i, a, a + d) for i in "abc" for a in range(30) for d in (0, 1, 500)], "image string, a long, b long")
+        want = exact(P.colour_scores(*apart, pairs))
+        assert want and exact(P.colour_scores(df.drop("grader"), None, pairs)) == want
+        label = lambda k: k.drop("label").withColumnRenamed("fiber_id", "label")
+        assert exact(P.overlap_matrix(label(df))) == exact(P.overlap_matrix(*map(label, apart)))

@@ -14,6 +14,7 @@ from ..operators import matching as J
 from ..operators import pixels as P
 from ..operators import statistics as S
 from ..operators.quantiles import medians
+from ..operators.rounds import cut
 from ..schemas import AI, HUMAN
 from ..sources import files
 from . import fixtures as X
@@ -174,6 +175,11 @@ def _pairs(spark, sf, threshold: float = 0.25, inclusive: bool = False) -> DataF
     return J.box_pairs(b.filter("grader = 'F'"), b.filter("grader = 'O'"), threshold, inclusive)
 
 
+def _sides(spark, sf) -> DataFrame:
+    """Fibers of F (0) and O (1)."""
+    return X.mask_fibers(spark, sf).filter("grader in ('F', 'O')").withColumn("of", (F.col("grader") == "O").cast("int"))
+
+
 def _similar(spark, sf, everyone: bool = False) -> DataFrame:
     """Skeleton similarity of all pairs above 0: of F with O, or of any two fibers of an image."""
     px = X.mask_fibers(spark, sf)
@@ -536,8 +542,7 @@ def component_boxes(spark, sf):
 @query(", f AS (SELECT image, y, x, fiber_id FROM px WHERE grader = 'F'), o AS (SELECT image, y, x, fiber_id FROM px WHERE grader = 'O'), h AS (SELECT f.image, f.fiber_id AS a, o.fiber_id AS b, count(*) AS shared FROM f JOIN o USING (image, y, x) GROUP BY ALL), na AS (SELECT image, fiber_id, count(*) AS n FROM px GROUP BY ALL) SELECT h.image, a, b, shared, round(shared / (p.n + q.n - shared), 6) AS iou FROM h JOIN na p ON p.image = h.image AND p.fiber_id = a JOIN na q ON q.image = h.image AND q.fiber_id = b", PX)
 def overlap_matrix(spark, sf):
     """A9."""
-    px = X.mask_fibers(spark, sf).select("image", "grader", "y", "x", F.col("fiber_id").alias("label"))
-    return P.overlap_matrix(px.filter("grader = 'F'"), px.filter("grader = 'O'")).select("image", "a", "b", "shared", _r("iou"))
+    return P.overlap_matrix(_sides(spark, sf).withColumnRenamed("label", "colour").withColumnRenamed("fiber_id", "label")).select("image", "a", "b", "shared", _r("iou"))
 
 
 _SHOWN = ", k AS (SELECT image, a, b FROM pr WHERE i / (s - i) > 0.5), f AS (SELECT image, y, x, max_by(label, fiber_id) AS p FROM px WHERE grader = 'F' GROUP BY ALL), o AS (SELECT image, y, x, max_by(label, fiber_id) AS t FROM px WHERE grader = 'O' GROUP BY ALL), u AS (SELECT k.*, y, x FROM k JOIN px ON px.image = k.image AND fiber_id IN (a, b) GROUP BY ALL), j AS (SELECT u.image, a, b, p, t FROM u JOIN o USING (image, y, x) LEFT JOIN f USING (image, y, x)), c AS (SELECT image, a, b, " + ", ".join(f"count(*) FILTER (p = {k} AND t = {k}) AS h{k}, count(*) FILTER (p = {k}) AS p{k}, count(*) FILTER (t = {k}) AS t{k}" for k in (1, 2)) + " FROM j GROUP BY ALL)"
@@ -546,8 +551,7 @@ _SHOWN = ", k AS (SELECT image, a, b FROM pr WHERE i / (s - i) > 0.5), f AS (SEL
 @query(_SHOWN + " SELECT image, a, b, " + ", ".join(f"round(coalesce(2 * (h{k} / nullif(p{k} + t{k} - h{k}, 0)) / (1 + h{k} / nullif(p{k} + t{k} - h{k}, 0)), 0), 6) AS {n}_dice, round(coalesce(h{k} / nullif(t{k}, 0), 0), 6) AS {n}_recall, round(coalesce(h{k} / nullif(p{k}, 0), 0), 6) AS {n}_precision" for k, n in ((1, "red"), (2, "green"))) + " FROM c", PX)
 def colour_scores(spark, sf):
     """A11, for pairs of boxes of an IoU above 0.5."""
-    px = X.mask_fibers(spark, sf)
-    out = P.colour_scores(px.filter("grader = 'F'"), px.filter("grader = 'O'"), _pairs(spark, sf, 0.5))
+    out = P.colour_scores(_sides(spark, sf), None, _pairs(spark, sf, 0.5))
     return out.select("image", "a", "b", *(_r(c) for c in out.columns[3:]))
 
 
@@ -557,8 +561,8 @@ _MEANS_OF = ", ".join(f"round(coalesce(sum(coalesce({v}, 0)) / (SELECT count(*)
 @query(_GREEDY + _SHOWN.replace("SELECT image, a, b FROM pr WHERE i / (s - i) > 0.5", "SELECT image, a, b FROM g") + f" SELECT (SELECT count(*) FROM g) AS tp, {_MEANS_OF} FROM c", f"RECURSIVE {PX}")
 def mean_colour_scores(spark, sf):
     """The means over greedily matched pairs."""
-    px, pairs = X.mask_fibers(spark, sf), J.greedy_match(_pairs(spark, sf, 0.1, inclusive=True))
-    out = P.mean_colour_scores(P.colour_scores(px.filter("grader = 'F'"), px.filter("grader = 'O'"), pairs), pairs)
+    pairs = cut(J.greedy_match(_pairs(spark, sf, 0.1, inclusive=True)))
+    out = P.mean_colour_scores(P.colour_scores(_sides(spark, sf), None, pairs), pairs)
     return out.select("tp", *(_r(c, digits=9) for c in out.columns[1:]))
 
 
